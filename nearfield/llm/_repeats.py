@@ -37,8 +37,8 @@ class Thinned:
 
     schema = "h long, g long, doc_id long, pos int, len int, known boolean"
 
-    def __init__(self, first: bool, distinct_docs: bool = False):
-        self.first, self.distinct_docs, self.held, self.rows = first, distinct_docs, [], 0
+    def __init__(self, first: bool):
+        self.first, self.held, self.rows = first, [], 0
 
     def add(self, h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((h, g, doc, pos))
@@ -94,10 +94,14 @@ def repeated(rows: DataFrame) -> DataFrame:
     return rows.select("h", "doc_id", "pos", "known").withColumn("n", F.count(F.lit(1)).over(w)).where("known or n > 1").select("doc_id", "pos")
 
 
-def not_first(rows: DataFrame) -> DataFrame:
-    """The places that a lesser (doc_id, pos) of the same key precedes, and the known ones."""
-    w = W.partitionBy("h", "g").orderBy("doc_id", "pos")
-    return rows.withColumn("rank", F.row_number().over(w)).where("known or rank > 1").select("doc_id", "pos", "len")
+def not_first(rows: DataFrame, within: bool) -> DataFrame:
+    """The places whose key a smaller doc_id has too, and the known ones.
+
+    ``within``: also those whose key the same document has at a lesser place.
+    """
+    w = W.partitionBy("h", "g")
+    later = F.row_number().over(w.orderBy("doc_id", "pos")) > 1 if within else F.col("doc_id") > F.min("doc_id").over(w)
+    return rows.withColumn("later", later).where("known or later").select("doc_id", "pos", "len")
 
 
 def by_document(places: DataFrame, *columns: str | Column) -> DataFrame:

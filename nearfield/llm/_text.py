@@ -158,13 +158,15 @@ def inside(at: np.ndarray, k: int) -> np.ndarray:
 def window_minima(keys: np.ndarray, w: int) -> np.ndarray:
     """Position of the least key of each run of w keys, by block prefix and suffix minima.
 
-    Positions ride in the low 24 bits, so equal contents choose equal places.
+    Positions ride in the low 30 bits, so equal contents choose equal places.
     """
     n = len(keys) - w + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
     place = np.arange(len(keys), dtype=np.uint64)
-    low = U64(0xFFFFFF) if len(keys) < 1 << 24 else U64(0xFFFFFFFF)
+    low = U64((1 << 30) - 1)
+    if len(keys) > 1 << 30:
+        raise ValueError("a text of over 1 GB")
     k = (keys & ~low) | place
     pad = -len(k) % w
     k = np.concatenate([k, np.full(pad, np.iinfo(np.uint64).max, dtype=np.uint64)]).reshape(-1, w)

@@ -152,7 +152,7 @@ def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
     known = docs.where("doc_id is not null")
     quarters = repeated(known.mapInArrow(_quarters(window), Thinned.schema))
     halves = repeated(marked(docs, quarters, "pos").mapInArrow(_halves(window), Thinned.schema))
-    return not_first(marked(docs, halves, "pos").mapInArrow(_wholes(window), Thinned.schema))
+    return not_first(marked(docs, halves, "pos").mapInArrow(_wholes(window), Thinned.schema), within=True)
 
 
 def drop_repeated_windows(documents: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:
