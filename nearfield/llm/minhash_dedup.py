@@ -7,8 +7,8 @@ disagrees on K - least, so it must share one of the first K - least + 1 keys:
 only that prefix is posted. Within a list of postings the collisions of two
 classes are counted over their whole signatures. Lists are not turned into
 pairs: a class is compared with the list's leaders only. One within the
-allowed distance of a leader follows it, one within twice that is tied to it
-and leads too, and one beyond leads by itself. By the triangle inequality of
+allowed distance of a leader follows it, one within twice that ties
+it to the leader it follows or becomes, and one beyond leads by itself. By the triangle inequality of
 the Hamming distance no pair within the allowed distance ends in different
 families. Families then meet as whole texts, and links between members are
 confirmed on full shingle sets; links that join nothing new are not written.
@@ -110,51 +110,70 @@ def _signed_batches(size: int, keys: int):
     return run
 
 
+class _List:
+    """The leaders of one list of postings and the edges that join what they tie.
+
+    Leaders that some member ties (both within twice the distance) are joined, by
+    one edge at most for each leader; a follower gets one edge to its leader.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.sigs, self.ids, self.root = most, [], [], []
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def add(self, sig: np.ndarray, rep: np.ndarray, u: list, v: list) -> None:
+        left = np.arange(len(rep))
+        tie = np.full(len(rep), -1)
+        k = 0
+        while len(left):
+            if k == len(self.ids):
+                self.sigs.append(sig[left[0]])
+                self.ids.append(int(rep[left[0]]))
+                self.root.append(k)
+            d = (sig[left] != self.sigs[k]).sum(1)
+            near = left[d <= 2 * self.most]
+            for t in np.unique(tie[near]).tolist():
+                a, b = (self.find(t), self.find(k)) if t >= 0 else (0, 0)
+                if a != b:
+                    self.root[max(a, b)] = min(a, b)
+                    u.append(self.ids[k])
+                    v.append(self.ids[t])
+            tie[near] = k
+            follow = left[d <= self.most]
+            follow = follow[rep[follow] != self.ids[k]]
+            u += rep[follow].tolist()
+            v += [self.ids[k]] * len(follow)
+            left = left[d > self.most]
+            k += 1
+
+
 def _lists(most: int):
     """Edges (member, leader) within each list of postings, which come sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leaders, leader_ids = None, np.zeros((0, COORDINATES), np.uint8), np.zeros(0, np.int64)
+        key, held = None, _List(most)
         for batch in batches:
             if not batch.num_rows:
                 continue
             h, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
-            u, v = [], []
             edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
             start, count = edge[:-1], np.diff(edge)
-            twos = start[(count == 2)]
-            twos = twos[(twos > 0) & (twos + 2 < len(h))]  # lists at the batch's ends may go on
-            near = (sig[twos] != sig[twos + 1]).sum(1) <= 2 * most
-            u.append(rep[twos[near] + 1])
-            v.append(rep[twos[near]])
-            done = set(twos.tolist())
-            for a, c in zip(start.tolist(), count.tolist(), strict=True):
-                at_end = a == 0 or a + c == len(h)
-                if (c == 1 and not at_end) or a in done:
-                    continue
+            inner = (start > 0) & (start + count < len(h))  # lists at the batch's ends may go on
+            twos = start[inner & (count == 2)]
+            twos = twos[(sig[twos] != sig[twos + 1]).sum(1) <= most]
+            u, v = rep[twos + 1].tolist(), rep[twos].tolist()
+            todo = ~inner | (count > 2)
+            for a, c in zip(start[todo].tolist(), count[todo].tolist(), strict=True):
                 if h[a] != key:
-                    key, leaders, leader_ids = h[a], np.zeros((0, COORDINATES), np.uint8), np.zeros(0, np.int64)
-                left = np.arange(a, a + c)
-                if len(leaders):
-                    far = np.full(c, COORDINATES + 1)
-                    who = np.zeros(c, dtype=np.int64)
-                    for s, i in zip(leaders, leader_ids, strict=True):
-                        d = (sig[left] != s).sum(1)
-                        u.append(rep[left[d <= 2 * most]])
-                        v.append(np.full(int((d <= 2 * most).sum()), i))
-                        far = np.minimum(far, d)
-                    left = left[far > most]
-                while len(left):
-                    s, i = sig[left[0]], rep[left[0]]
-                    leaders, leader_ids = np.vstack([leaders, s]), np.append(leader_ids, i)
-                    d = (sig[left] != s).sum(1)
-                    tied = d <= 2 * most
-                    tied[0] = False
-                    u.append(rep[left[tied]])
-                    v.append(np.full(int(tied.sum()), i))
-                    left = left[1:][d[1:] > most]
-            yield table("u:l,v:l", u=np.concatenate(u), v=np.concatenate(v))
+                    key, held = h[a], _List(most)
+                held.add(sig[a : a + c], rep[a : a + c], u, v)
+            yield table("u:l,v:l", u=u, v=v)
 
     return run
 
