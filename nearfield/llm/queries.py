@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship
-from . import minhash_dedup, mixing, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from . import minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeated_windows(_read(spark, sf_dir, "documents"), window=20)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), folds=5, out=0, threshold=0.3)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_read(spark, sf_dir, "documents"), scope=200)
 
