@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ class Thinned:
     repeated, and one row goes out under the key besides.
     """
 
-    schema = "h long, g long, doc_id long, pos int, len int, known boolean"
+    schema = "h long, g int, doc_id long, pos int, len int, known boolean"
 
     def __init__(self, first: bool):
         self.first, self.held, self.rows = first, [], 0
@@ -52,29 +53,27 @@ class Thinned:
         h, g, doc, pos = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.rows = [], 0
         order = np.lexsort((pos, doc, g, h)) if self.first else np.argsort(h, kind="stable")
-        h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-        lead = np.ones(len(h), dtype=bool)
-        lead[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        if self.first:
-            yield self.batch(h[lead], g[lead], doc[lead], pos[lead], 1, False)
-            yield from self.spans(doc[~lead], pos[~lead])
-            return
-        group = np.cumsum(lead) - 1
-        many = np.bincount(group)[group] > 1
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+        # rows go out in order of place: neighbours in a document then compress well in the exchange
+        lead = np.sort(order[new])
         yield self.batch(h[lead], g[lead], doc[lead], pos[lead], 1, False)
-        if many.any():
-            d, p = doc[many], pos[many]
-            k = place_key(d, p)
-            yield self.batch(k, k, d, p, 1, True)
+        if self.first:
+            rest = order[~new]
+        else:
+            group = np.cumsum(new) - 1
+            rest = order[np.bincount(group)[group] > 1]
+        yield from self.spans(doc[rest], pos[rest], merge=self.first)
 
     @staticmethod
-    def spans(doc: np.ndarray, pos: np.ndarray, length: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """Known rows as runs of following places."""
+    def spans(doc: np.ndarray, pos: np.ndarray, length: np.ndarray | None = None, merge: bool = True) -> Iterator[pa.RecordBatch]:
+        """Known rows; without lengths, runs of following places are merged to one row."""
         if not len(doc):
             return
         if length is None:
             order = np.lexsort((pos, doc))
-            doc, pos = doc[order], pos[order]
+            doc, pos, length = doc[order], pos[order], 1
+        if merge and np.ndim(length) == 0:
             new = np.ones(len(doc), dtype=bool)
             new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
             at = np.flatnonzero(new)
@@ -85,7 +84,7 @@ class Thinned:
     @staticmethod
     def batch(h, g, doc, pos, length, known) -> pa.RecordBatch:
         n = len(h)
-        return table("h:l,g:l,doc_id:l,pos:i,len:i,known:b", h=signed(h), g=signed(g), doc_id=doc, pos=pos.astype(np.int32), len=np.broadcast_to(np.asarray(length, dtype=np.int32), (n,)), known=np.full(n, known))
+        return table("h:l,g:i,doc_id:l,pos:i,len:i,known:b", h=signed(h), g=g.astype(np.uint32).view(np.int32), doc_id=doc, pos=pos.astype(np.int32), len=np.broadcast_to(np.asarray(length, dtype=np.int32), (n,)), known=np.full(n, known))
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -104,17 +103,18 @@ def not_first(rows: DataFrame, within: bool) -> DataFrame:
     return rows.withColumn("later", later).where("known or later").select("doc_id", "pos", "len")
 
 
-def by_document(places: DataFrame, *columns: str | Column) -> DataFrame:
-    """One row a document with the list of its places."""
-    return places.groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list(F.struct(*columns)).alias("marks"))
+def by_document(places: DataFrame, length: Column) -> DataFrame:
+    """One row a document with the list of its places, each as pos * 2**32 + length."""
+    mark = F.shiftleft(F.col("pos").cast("long"), 32) + length
+    return places.groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list(mark).alias("marks"))
 
 
-def marked(docs: DataFrame, places: DataFrame, *columns: str, keep_all: bool = False) -> DataFrame:
+def marked(docs: DataFrame, places: DataFrame, keep_all: bool = False) -> DataFrame:
     """Documents with their places; the exchange of the texts is one and the same in every use.
 
     ``keep_all`` keeps documents without places, and rows whose doc_id is null.
     """
-    marks = by_document(places, *columns).hint("shuffle_hash")
+    marks = by_document(places, F.col("len") if "len" in places.columns else F.lit(1)).hint("shuffle_hash")
     known = docs.where("doc_id is not null")
     out = known.join(marks, known.doc_id == marks.marked_id, "left" if keep_all else "inner").select("doc_id", "text", "marks")
     if keep_all:
@@ -123,10 +123,9 @@ def marked(docs: DataFrame, places: DataFrame, *columns: str, keep_all: bool = F
     return out
 
 
-def mark_arrays(column: pa.Array, start: int, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For rows start..start+n of a list<struct> column: row numbers of all marks, and the struct's fields."""
+def mark_arrays(column: pa.Array, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows start..start+n of a column of marks: row number, pos and length of each mark."""
     part = column.slice(start, n)
-    counts = np.asarray([0 if x is None else x for x in pa.compute.list_value_length(part).to_pylist()], dtype=np.int64)
-    flat = part.flatten()
-    fields = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat.flatten()] if len(flat) else [np.zeros(0, np.int64)] * flat.type.num_fields
-    return np.repeat(np.arange(n), counts), fields
+    counts = pc.fill_null(pc.list_value_length(part), 0).to_numpy().astype(np.int64)
+    flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(n), counts), flat >> 32, flat & 0xFFFFFFFF

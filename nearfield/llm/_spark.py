@@ -26,8 +26,13 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def texts(documents: DataFrame) -> DataFrame:
-    """doc_id and text alone, whatever else the table holds."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id and text alone, whatever else the table holds.
+
+    Columns of the right type pass as they are: an alias would keep Spark from
+    seeing that two exchanges of the texts are the same.
+    """
+    kinds = dict(documents.dtypes)
+    return documents.select(*(F.col(c) if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))))
 
 
 def table(schema: str, **columns) -> pa.RecordBatch:

@@ -5,7 +5,7 @@ those only at the least-hashed one of each target window (a winnowed choice that
 depends on the words alone, so equal windows choose equal places). Quarters that
 occur once drop out; what is left is extended to half windows, to the right and
 to the left, and counted again; halves that occur twice or more let their target
-windows in, which are judged by 128 bits of hash and exact order of place.
+windows in, which are judged by 96 bits of hash and exact order of place.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def _quarters(window: int):
 
 def _lift(batch: pa.RecordBatch, block: Block, words: Words) -> np.ndarray:
     """Which word places of the block are marked."""
-    row, (pos,) = mark_arrays(batch.column(2), block.rows.start, len(block))
+    row, pos, _ = mark_arrays(batch.column(2), block.rows.start, len(block))
     place = words.at[row] + pos
     out = np.zeros(len(words), dtype=bool)
     out[place[place < words.at[row + 1]]] = True
@@ -90,7 +90,7 @@ def _wholes(window: int):
                 words = Words(block)
                 hashes = words.hashes()
                 start, anchor, _ = _anchors(words, hashes, window)
-                row, (pos,) = mark_arrays(batch.column(2), block.rows.start, len(block))
+                row, pos, _ = mark_arrays(batch.column(2), block.rows.start, len(block))
                 alive = np.zeros((2, len(words) + 1), dtype=bool)
                 place = words.at[row] + pos // 2
                 ok = place < words.at[row + 1]
@@ -110,7 +110,7 @@ def _cut(window: int, keep_text: bool):
         for batch in batches:
             for block in blocks(batch.column(1)):
                 words = Words(block)
-                row, (pos, length) = mark_arrays(batch.column(2), block.rows.start, len(block))
+                row, pos, length = mark_arrays(batch.column(2), block.rows.start, len(block))
                 begin = words.at[row] + pos
                 end = np.minimum(begin + length - 1 + window, words.at[row + 1])
                 ok = begin < end
@@ -151,8 +151,8 @@ def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
     docs = texts(documents)
     known = docs.where("doc_id is not null")
     quarters = repeated(known.mapInArrow(_quarters(window), Thinned.schema))
-    halves = repeated(marked(docs, quarters, "pos").mapInArrow(_halves(window), Thinned.schema))
-    return not_first(marked(docs, halves, "pos").mapInArrow(_wholes(window), Thinned.schema), within=True)
+    halves = repeated(marked(docs, quarters).mapInArrow(_halves(window), Thinned.schema))
+    return not_first(marked(docs, halves).mapInArrow(_wholes(window), Thinned.schema), within=True)
 
 
 def drop_repeated_windows(documents: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:
@@ -165,4 +165,4 @@ def drop_repeated_windows(documents: DataFrame, window: int = 20, keep_text: boo
     """
     docs = texts(documents)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return marked(docs, repeated_windows(documents, window), "pos", "len", keep_all=True).mapInArrow(_cut(window, keep_text), schema)
+    return marked(docs, repeated_windows(documents, window), keep_all=True).mapInArrow(_cut(window, keep_text), schema)

@@ -16,7 +16,7 @@ suffixes alike that far tie, so the previous or next smaller one of a suffix, in
 the order of documents, has an equal string just if its tie holds a smaller
 document than its own. A fragment seen before in the same task is not sent; the
 fate of its strings is known. Anchors of very many fragments are not gathered:
-their strings go on one by one, under 128 bits of hash.
+their strings go on one by one, under 96 bits of hash.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def _fragments(length: int):
             ids = batch.column(0).to_numpy()
             for block in blocks(batch.column(1)):
                 s = _Strings(block, length)
-                row, (pos,) = mark_arrays(batch.column(2), block.rows.start, len(block))
+                row, pos, _ = mark_arrays(batch.column(2), block.rows.start, len(block))
                 place = block.at[row] + pos
                 place = place[place < block.at[row + 1]]
                 lead = s.once(s.key)
@@ -252,7 +252,7 @@ def _cut(length: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                row, (pos, many) = mark_arrays(batch.column(2), block.rows.start, len(block))
+                row, pos, many = mark_arrays(batch.column(2), block.rows.start, len(block))
                 n = len(block.data)
                 if len(row):
                     begin = block.at[row] + pos
@@ -303,7 +303,7 @@ def repeated_strings(documents: DataFrame, length: int = 50, most_fragments: int
     docs = texts(documents)
     known = docs.where("doc_id is not null")
     anchors = repeated(known.mapInArrow(_anchors(length), Thinned.schema))
-    fragments = marked(docs, anchors, "pos").mapInArrow(_fragments(length), FRAGMENT)
+    fragments = marked(docs, anchors).mapInArrow(_fragments(length), FRAGMENT)
     sized = fragments.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("anchor")))
     met = sized.where("n > 1 or part is null").select("anchor", "doc_id", "pos", "part", "len", (F.col("n") > most_fragments).alias("large"))
     return not_first(met.mapInArrow(_judge(length), Thinned.schema), within=False)
@@ -320,4 +320,4 @@ def drop_repeated_strings(documents: DataFrame, length: int = 50, keep_text: boo
     """
     docs = texts(documents)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if keep_text else "")
-    return marked(docs, repeated_strings(documents, length), "pos", "len", keep_all=True).mapInArrow(_cut(length, keep_text), schema)
+    return marked(docs, repeated_strings(documents, length), keep_all=True).mapInArrow(_cut(length, keep_text), schema)
