@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship
-from . import decontaminate, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from . import decontaminate, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), tolerance=0.2)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), folds=3, out=1, threshold=0.7)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"), window=2)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
