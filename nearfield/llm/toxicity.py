@@ -4,8 +4,8 @@ The kernel compares words by their common subsequences of three bytes within a
 span of five, each gap at a discount, so gapped and inserted-character insults
 stay near the insult. Labels mark whole texts: a clean text's words are all
 clean, a toxic text has some toxic word (its witness). Words that only toxic
-texts hold start as positives; after a first fit those that are the witness of
-no text drop out. Nyström landmarks span the space in which the squared-hinge
+texts hold are candidates; those that cover the toxic texts best are the witnesses and
+positives. Nyström landmarks span the space in which the squared-hinge
 machine is solved. As scores are linear in the kernel's explicit features, the
 landmarks fold into one weight for each subsequence, and a text is scored by its
 highest word, through a sigmoid fitted on the training texts.
@@ -29,7 +29,7 @@ from .quality_classifier import held_out
 #: Labelled texts of either kind that are learned from, at most (those of least hash).
 SAMPLE_TEXTS = 6000
 #: Word types that are learned from, at most: positives, negatives; and the landmarks.
-POSITIVES, NEGATIVES, LANDMARKS = 3000, 24_000, 320
+POSITIVES, NEGATIVES, HARD, LANDMARKS = 3000, 12_000, 1500, 400
 GAP, BITS, PIECE, STEP = 0.6, 16, 30, 24
 _PATTERNS = ((1, 2, 1.0), (1, 3, GAP), (2, 3, GAP), (1, 4, GAP**2), (2, 4, GAP**2), (3, 4, GAP**2))
 
@@ -164,7 +164,7 @@ def _machine(positive: list[str], negative: list[str]) -> Model:
     root = vector[:, good] / np.sqrt(value[good])
     phi = _against(positive + negative, spread) @ root
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    cost = np.concatenate([np.full(len(positive), 8.0 * max(1.0, len(negative) / max(len(positive), 1) / 16)), np.full(len(negative), 8.0)])
+    cost = np.concatenate([np.full(len(positive), 32.0), np.full(len(negative), 8.0)])
     w = svm(phi, y, cost)
     return Model((spread.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
 
@@ -194,6 +194,17 @@ def _raw(model: Model, *keep: str):
     return run
 
 
+def _near(model: Model):
+    """Machine outputs of word types."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch["type"]):
+                yield table("type:s,raw:d", type=batch["type"].slice(block.rows.start, len(block)), raw=model.words(block.data, block.at[:-1], block.at[1:]))
+
+    return run
+
+
 def _sigmoid(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (not falling) and shift of a logistic fit, by Newton steps with a little ridge."""
     x = np.stack([raw, np.ones(len(raw))], axis=1)
@@ -221,38 +232,65 @@ def fit(train: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model | None:
     good = list(dict.fromkeys(often + rest))[:NEGATIVES]
     if not bad or not good:
         return None
-    model = _machine(bad, good)
-    witness = {r.type: r.n for r in _witnesses(sample.where("toxic = 1"), model, bad).collect()}
-    chosen = [t for t in bad if witness.get(t, 0) > 0]
-    if chosen:
-        model = _machine(chosen, good)
+    held = [np.array(r.places) for r in _incidence(sample.where("toxic = 1"), bad).collect()]
+    chosen = witnesses(held, bad)
+    model = _machine(chosen, good)
+    hard: list[str] = []
+    for _ in range(2):
+        # clean words that score highest come in as negatives and as landmarks
+        near = seen.select("type").mapInArrow(_near(model), "type string, raw double").orderBy(F.desc("raw"), "type").limit(HARD)
+        hard = list(dict.fromkeys(hard + [r.type for r in near.collect()]))
+        model = _machine(chosen, hard + [t for t in good if t not in set(hard)])
     found = sample.select("text", "toxic").mapInArrow(_raw(model, "toxic"), "toxic int, raw double").toPandas()
     model.slope, model.shift = _sigmoid(found["raw"].to_numpy(), found["toxic"].to_numpy(dtype=float))
     return model
 
 
-def _witnesses(toxic: DataFrame, model: Model, bad: list[str]) -> DataFrame:
-    """How many toxic texts each positive is the highest word of; of equal words in a text all count."""
-    data = "".join(bad).encode()
-    size = np.array([len(t.encode()) for t in bad])
-    end = np.cumsum(size)
-    value = model.words(np.frombuffer(data, np.uint8), end - size, end)
-    of = {t.encode(): float(v) for t, v in zip(bad, value, strict=True)}
+def _incidence(toxic: DataFrame, bad: list[str]) -> DataFrame:
+    """For each toxic text the numbers of the candidate words that it holds."""
+    number = {t.encode(): i for i, t in enumerate(bad)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[str] = []
+            out: list[list[int]] = []
             for block in blocks(batch["text"]):
                 words = units(block)
                 raw = words.data.tobytes()
                 for i in range(len(block)):
-                    held = {w for a, b in zip(words.start[words.at[i] : words.at[i + 1]].tolist(), words.end[words.at[i] : words.at[i + 1]].tolist(), strict=True) if (w := raw[a:b]) in of}
-                    if held:
-                        top = max(of[w] for w in held)
-                        out += [w.decode() for w in held if of[w] >= top - 0.05]
-            yield table("type:s", type=out)
+                    seen = range(words.at[i], words.at[i + 1])
+                    out.append(sorted({number[w] for k in seen if (w := raw[words.start[k] : words.end[k]]) in number}))
+            yield table("places:L", places=out)
+
+    return toxic.select("text").mapInArrow(run, "places array<long>").where("size(places) > 0")
+
 
-    return toxic.select("text").mapInArrow(run, "type string").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+def witnesses(held: list[np.ndarray], bad: list[str], rounds: int = 4) -> list[str]:
+    """Words that witness the toxic texts, by greedy cover: the word of most texts without a witness comes next.
+
+    Later rounds cover the texts anew with the words that are left. A word must
+    cover one in a hundred of the texts, and two at least: a few copies of a text
+    share words by chance.
+    """
+    chosen: list[int] = []
+    texts_of: list[list[int]] = [[] for _ in bad]
+    for d, places in enumerate(held):
+        for t in places.tolist():
+            texts_of[t].append(d)
+    used = np.zeros(len(bad), dtype=bool)
+    least = max(2, len(held) // 100)
+    for _ in range(rounds):
+        bare = np.ones(len(held), dtype=bool)
+        gain = np.array([len(x) for x in texts_of]) * ~used
+        while len(gain) and (t := int(np.argmax(gain))) >= 0 and gain[t] >= least:
+            chosen.append(t)
+            used[t] = True
+            gain[t] = 0
+            for d in texts_of[t]:
+                if bare[d]:
+                    bare[d] = False
+                    np.subtract.at(gain, held[d], 1)
+            gain[used] = 0
+    return [bad[t] for t in dict.fromkeys(chosen)]
 
 
 def _scored(model: Model | None):
