@@ -81,8 +81,11 @@ def halved(a: Column) -> Column:
 
 
 def lookup_distance(codes: Column, table: Column) -> Column:
-    """Asymmetric distance: the sum of each code's entry in its sub-space's table."""
-    return _sum(F.zip_with(codes, table, lambda c, row: F.element_at(row, (c + 1).cast("int"))))
+    """Asymmetric distance: the sum of each code's entry in its sub-space's table.
+
+    Rounded, so that rows of equal codes tie whatever the order of the sum.
+    """
+    return F.round(_sum(F.zip_with(codes, table, lambda c, row: F.element_at(row, (c + 1).cast("int")))), 12)
 
 
 def cluster_key(probes: Column) -> Column:

@@ -137,6 +137,22 @@ class Graph:
         return (int(count.min()), int(count.max())) if len(count) else (0, 0)
 
 
+def _searcher(qid, q, of, k, ef, mode, entries):
+    """Builds the graph of one piece and answers the queries that want its part."""
+
+    def run(key, table):
+        g = Graph(matrix(table["embedding"]), table["vec_id"].to_numpy())
+        out: list[tuple[int, int, float]] = []
+        for i, x in zip(qid.tolist(), q, strict=True):
+            if of is None or i in of.get(key[0].as_py(), ()):
+                near = g.search(x, k, ef) if mode == "hierarchical" else g.search_flat(x, k, ef, entries)
+                out += [(i, n, d) for d, n in near]
+        a, b, c = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table({"qid": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "dist": pa.array(c, pa.float64())})
+
+    return run
+
+
 def search_parts(rows: DataFrame, queries: DataFrame, k: int, ef: int, mode: str = "hierarchical", entries: int = 1, wanted: DataFrame | None = None) -> DataFrame:
     """(qid, vec_id, dist, rank): every part's graph is searched, and the answers merged.
 
@@ -155,16 +171,7 @@ def search_parts(rows: DataFrame, queries: DataFrame, k: int, ef: int, mode: str
         else:
             of = None
 
-        def run(key: tuple, table: pa.Table, qid=qid, q=q, of=of) -> pa.Table:
-            g = Graph(matrix(table["embedding"]), table["vec_id"].to_numpy())
-            out: list[tuple[int, int, float]] = []
-            for i, x in zip(qid.tolist(), q, strict=True):
-                if of is None or i in of.get(key[0].as_py(), ()):
-                    near = g.search(x, k, ef) if mode == "hierarchical" else g.search_flat(x, k, ef, entries)
-                    out += [(i, n, d) for d, n in near]
-            a, b, c = zip(*out, strict=True) if out else ([], [], [])
-            return pa.table({"qid": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "dist": pa.array(c, pa.float64())})
-
+        run = _searcher(qid, q, of, k, ef, mode, entries)
         part = cut.groupBy("part", "piece").applyInArrow(run, FOUND)
         found = part if found is None else found.unionByName(part)
     return ranked(found, k)

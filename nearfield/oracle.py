@@ -54,16 +54,16 @@ def _lloyd(name: str, rows: str, size: int, steps: int, how: str, order: str) ->
 
 _IVF = [
     "r AS (SELECT vec_id, 0 AS m, v AS x FROM b)",
-    *_lloyd("i", "r", NLIST, STEPS, "ip", "vec_id"),
-    f"cen AS (SELECT CAST(c AS BIGINT) AS list_id, cen FROM i{STEPS})",
-    "lists AS (SELECT vec_id, x AS v, CAST(c AS BIGINT) AS list_id FROM ia)",
+    *_lloyd("iv", "r", NLIST, STEPS, "ip", "vec_id"),
+    f"cen AS (SELECT CAST(c AS BIGINT) AS list_id, cen FROM iv{STEPS})",
+    "lists AS (SELECT vec_id, x AS v, CAST(c AS BIGINT) AS list_id FROM iva)",
     f"probes AS (SELECT * FROM (SELECT qid, q, list_id, 1 - list_inner_product(q, cen) AS dist, row_number() OVER (PARTITION BY qid ORDER BY 1 - list_inner_product(q, cen), list_id) AS rank FROM q, cen) WHERE rank <= {NPROBE})",
 ]
 _SUB = DIM // M
 _PARTS = f"p AS (SELECT vec_id, m, list_slice(v, m * {_SUB} + 1, m * {_SUB} + {_SUB}) AS x FROM b, range({M}) t(m))"
 _PQ = [_PARTS, *_lloyd("k", "p", KS, STEPS, "l2", "vec_id")]
 _LUT = f"lut AS (SELECT qid, m, c, {_l2(f'list_slice(q, m * {_SUB} + 1, m * {_SUB} + {_SUB})', 'cen')} AS d FROM q, k{STEPS})"
-_ADC = "adc AS (SELECT qid, vec_id, sum(d) AS dist FROM ka JOIN lut USING (m, c) GROUP BY qid, vec_id)"
+_ADC = "adc AS (SELECT qid, vec_id, round(sum(d), 12) AS dist FROM ka JOIN lut USING (m, c) GROUP BY qid, vec_id)"
 
 
 def _reranked(near: str, p: int = TOP_P) -> list[str]:
@@ -109,7 +109,7 @@ def _local_first() -> str:
         "l1 AS (SELECT list_id, m, c, coalesce(v.cen, o.cen) AS cen FROM l0 o LEFT JOIN lv v USING (list_id, m, c))",
         f"la AS (SELECT * FROM {near(1)})",
         f"ll AS (SELECT qid, list_id, m, c, {_l2(f'list_slice(q, m * {_SUB} + 1, m * {_SUB} + {_SUB})', 'cen')} AS d FROM probes JOIN l1 USING (list_id))",
-        "adc AS (SELECT qid, vec_id, sum(d) AS dist FROM la JOIN ll USING (list_id, m, c) GROUP BY qid, vec_id)",
+        "adc AS (SELECT qid, vec_id, round(sum(d), 12) AS dist FROM la JOIN ll USING (list_id, m, c) GROUP BY qid, vec_id)",
     ]
     return _with(_Q, _B, *_IVF, *parts, *_reranked("adc")) + _final(_rank("d"))
 
@@ -120,7 +120,7 @@ def _residual() -> str:
         *_lloyd("s", "rp", KS, STEPS, "l2", "list_id, vec_id"),
         f"slut AS (SELECT qid, m, c, list_inner_product(list_slice(q, m * {_SUB} + 1, m * {_SUB} + {_SUB}), cen) AS d FROM q, s{STEPS})",
         "asked AS (SELECT qid, list_id, list_inner_product(q, cen) AS base FROM probes JOIN cen USING (list_id))",
-        "adc AS (SELECT qid, vec_id, 1 - (any_value(base) + sum(d)) AS dist FROM asked JOIN sa USING (list_id) JOIN slut USING (qid, m, c) GROUP BY qid, vec_id)",
+        "adc AS (SELECT qid, vec_id, 1 - (any_value(base) + round(sum(d), 12)) AS dist FROM asked JOIN sa USING (list_id) JOIN slut USING (qid, m, c) GROUP BY qid, vec_id)",
     ]
     return _with(_Q, _B, *_IVF, *parts, *_reranked("adc")) + _final(_rank("d"))
 
@@ -167,7 +167,7 @@ def oracle_sql() -> dict[str, str]:
         "pq_codes": _with(_B, *_PQ) + "SELECT vec_id, CAST(m AS BIGINT) AS m, CAST(c AS BIGINT) AS c FROM ka",
         "pq_adc_topp": _with(_Q, _B, *_PQ, _LUT, _ADC) + _final(_rank("adc", TOP_P)),
         "pq_topk": _with(_Q, _B, *_PQ, _LUT, _ADC, *_reranked("adc")) + pq_final,
-        "ivfpq_topk": _with(_Q, _B, *_IVF, *_PQ, _LUT, "adc AS (SELECT qid, vec_id, sum(d) AS dist FROM probes JOIN lists USING (list_id) JOIN ka USING (vec_id) JOIN lut USING (qid, m, c) GROUP BY qid, vec_id)", *_reranked("adc")) + pq_final,
+        "ivfpq_topk": _with(_Q, _B, *_IVF, *_PQ, _LUT, "adc AS (SELECT qid, vec_id, round(sum(d), 12) AS dist FROM probes JOIN lists USING (list_id) JOIN ka USING (vec_id) JOIN lut USING (qid, m, c) GROUP BY qid, vec_id)", *_reranked("adc")) + pq_final,
         "ivffirstpq_topk": _local_first(),
         "ivfpq_residual_topk": _residual(),
         "shard_flat_merge": _flat(),
