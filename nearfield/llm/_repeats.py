@@ -1,49 +1,108 @@
 """Finding repeated keys at scale, for the exact-substring operators.
 
 Rows are first thinned inside each task: of the rows of one key a task keeps one
-for the exchange and marks the rest as known repeats under keys of their own. So
-however often a key occurs, it sends one row per task and buffer, and no key
-gathers its rows in one place.
+for the exchange and passes the rest on as known repeats. So however often a key
+occurs, it sends one row per task and buffer, and no key gathers its rows in one
+place. What is sent is packed: the rows of a buffer that go to one partition
+travel as one binary, column by column and byte plane by byte plane, which takes
+half the space of rows. The receiving task reads its part in ``SUBS`` slices of
+the key space, sorted ahead by Spark, and holds one slice at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._spark import table
-from ._text import U64, mix, signed
+from ._text import U64, mix, ragged, signed
 
-BUFFER_ROWS = 1 << 19
+BUFFER_ROWS, SUBS, MARKS_A_ROW = 1 << 19, 4, 1 << 15
+PACKED = "bucket int, sub int, kind int, data binary"
+PLACES = "doc_id long, mark long, kind int"
+#: Kinds of packed rows and of places: keyed rows, known repeats, and (places only) rows to look at again.
+KEYED, KNOWN, AGAIN = 0, 1, 2
 
+Columns = tuple[np.ndarray, ...]
 
-def place_key(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A key of its own for a place, to deal known rows out evenly."""
-    return mix(doc.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + pos.astype(np.uint64))
+
+def pack(columns: Columns, widths: tuple[int, ...]) -> bytes:
+    """Low bytes of unsigned 64-bit columns, plane by plane; a negative width stores differences."""
+    out = []
+    for x, w in zip(columns, widths, strict=True):
+        x = x.astype(np.uint64)
+        if w < 0:
+            x = np.diff(x, prepend=U64(0))
+        out.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, : abs(w)].T).tobytes())
+    return b"".join(out)
+
+
+def unpack(data: bytes, widths: tuple[int, ...]) -> Columns:
+    n = len(data) // sum(map(abs, widths))
+    out, at = [], 0
+    for w in widths:
+        full = np.zeros((n, 8), dtype=np.uint8)
+        full[:, : abs(w)] = np.frombuffer(data, np.uint8, n * abs(w), at).reshape(abs(w), n).T
+        at += n * abs(w)
+        x = full.reshape(-1).view(np.uint64)
+        out.append(np.cumsum(x, dtype=np.uint64) if w < 0 else x)
+    return tuple(out)
+
+
+_MARK = (-8, 4, 4)  # doc_id, pos, len
+
+
+class Exchange:
+    """Packs what one task sends; ``buckets`` has one id for each receiving partition."""
+
+    def __init__(self, buckets: list[int], widths: tuple[int, ...]):
+        self.buckets, self.widths, self.turn = np.array(buckets), widths, 0
+
+    @staticmethod
+    def batch(bucket: list, sub: list, kind: int, data: list) -> pa.RecordBatch:
+        return table("bucket:i,sub:i,kind:i,data:z", bucket=bucket, sub=sub, kind=[kind] * len(data), data=data)
+
+    def keyed(self, key: np.ndarray, columns: Columns) -> Iterator[pa.RecordBatch]:
+        """Send rows by the high 24 bits of their key; they keep their order within a partition."""
+        n = len(self.buckets)
+        high = (key >> U64(40)).astype(np.int64)
+        slot = high % n * SUBS + high // n % SUBS
+        order = np.argsort(slot, kind="stable")
+        cut = np.flatnonzero(np.diff(slot[order], prepend=-1))
+        cuts = np.append(cut, len(order)).tolist()
+        slots = slot[order][cut].tolist()
+        columns = tuple(c[order] for c in columns)
+        data = [pack(tuple(c[a:b] for c in columns), self.widths) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield self.batch([self.buckets[s // SUBS] for s in slots], [s % SUBS for s in slots], KEYED, data)
+
+    def known(self, doc: np.ndarray, pos: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Send marks to the partitions in turn."""
+        for a in range(0, len(doc), MARKS_A_ROW):
+            self.turn += 1
+            part = slice(a, a + MARKS_A_ROW)
+            yield self.batch([self.buckets[self.turn % len(self.buckets)]], [0], KNOWN, [pack((doc[part], pos[part], length[part]), _MARK)])
 
 
 class Thinned:
-    """Collects (key, doc, pos) rows of a task and yields them thinned.
+    """Collects keyed rows of a task and sends them thinned.
 
-    ``first`` keeps of each key the least (doc, pos) only and marks all others as
-    known. Otherwise every row of a key that comes more than once is known to be
-    repeated, and one row goes out under the key besides.
+    ``first`` sends of each key the least (doc, pos) only; all others are known
+    repeats. Otherwise every row of a key that comes more than once is known to be
+    repeated, and one row goes out under the key besides. Rows are (h, g, doc, pos).
     """
 
-    schema = "h long, g int, doc_id long, pos int, len int, known boolean"
-
-    def __init__(self, first: bool):
-        self.first, self.held, self.rows = first, [], 0
+    def __init__(self, exchange: Exchange, first: bool):
+        self.exchange, self.first, self.held, self.rows = exchange, first, [], 0
 
-    def add(self, h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((h, g, doc, pos))
-        self.rows += len(h)
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(columns)
+        self.rows += len(columns[0])
         if self.rows >= BUFFER_ROWS:
             yield from self.flush()
 
@@ -53,68 +112,104 @@ class Thinned:
         h, g, doc, pos = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.rows = [], 0
         order = np.lexsort((pos, doc, g, h)) if self.first else np.argsort(h, kind="stable")
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-        # rows go out in order of place: neighbours in a document then compress well in the exchange
+        new = fresh(h[order], g[order])
+        # rows go out in order of place: neighbours in a document then pack well
         lead = np.sort(order[new])
-        yield self.batch(h[lead], g[lead], doc[lead], pos[lead], 1, False)
-        if self.first:
-            rest = order[~new]
-        else:
-            group = np.cumsum(new) - 1
-            rest = order[np.bincount(group)[group] > 1]
-        yield from self.spans(doc[rest], pos[rest], merge=self.first)
+        columns = (h, g, doc, pos) if self.first else (h, doc, pos)
+        yield from self.exchange.keyed(h[lead], tuple(c[lead] for c in columns))
+        rest = order[~new] if self.first else order[np.bincount(c)[c] > 1] if len(c := np.cumsum(new) - 1) else order
+        yield from self.exchange.known(*merged(doc[rest], pos[rest], np.ones(len(rest), dtype=np.int64)))
 
-    @staticmethod
-    def spans(doc: np.ndarray, pos: np.ndarray, length: np.ndarray | None = None, merge: bool = True) -> Iterator[pa.RecordBatch]:
-        """Known rows; without lengths, runs of following places are merged to one row."""
-        if not len(doc):
-            return
-        if length is None:
-            order = np.lexsort((pos, doc))
-            doc, pos, length = doc[order], pos[order], 1
-        if merge and np.ndim(length) == 0:
-            new = np.ones(len(doc), dtype=bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
-            at = np.flatnonzero(new)
-            doc, pos, length = doc[at], pos[at], np.diff(np.append(at, len(new)))
-        k = place_key(doc, pos)
-        yield Thinned.batch(k, k, doc, pos, length, True)
 
-    @staticmethod
-    def batch(h, g, doc, pos, length, known) -> pa.RecordBatch:
-        n = len(h)
-        return table("h:l,g:i,doc_id:l,pos:i,len:i,known:b", h=signed(h), g=g.astype(np.uint32).view(np.int32), doc_id=doc, pos=pos.astype(np.int32), len=np.broadcast_to(np.asarray(length, dtype=np.int32), (n,)), known=np.full(n, known))
+def fresh(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """The places whose key occurs in more than one thinned row, and the known ones."""
-    w = W.partitionBy("h")
-    return rows.select("h", "doc_id", "pos", "known").withColumn("n", F.count(F.lit(1)).over(w)).where("known or n > 1").select("doc_id", "pos")
+def merged(doc: np.ndarray, pos: np.ndarray, length: np.ndarray) -> Columns:
+    """Marks in order of place; marks of length 1 that follow each other become one."""
+    order = np.lexsort((pos, doc))
+    doc, pos, length = doc[order], pos[order], length[order]
+    if not len(doc) or length.max() > 1:
+        return doc, pos, length
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+    at = np.flatnonzero(new)
+    return doc[at], pos[at], np.diff(np.append(at, len(new)))
 
 
-def not_first(rows: DataFrame, within: bool) -> DataFrame:
-    """The places whose key a smaller doc_id has too, and the known ones.
+def places(doc: np.ndarray, pos: np.ndarray, length: np.ndarray, kind: int = KNOWN) -> pa.RecordBatch:
+    mark = (pos.astype(np.int64) << 32) | length.astype(np.int64)
+    return table("doc_id:l,mark:l,kind:i", doc_id=doc.astype(np.uint64).view(np.int64), mark=mark, kind=np.full(len(doc), kind, dtype=np.int32))
 
-    ``within``: also those whose key the same document has at a lesser place.
-    """
-    w = W.partitionBy("h", "g")
-    later = F.row_number().over(w.orderBy("doc_id", "pos")) > 1 if within else F.col("doc_id") > F.min("doc_id").over(w)
-    return rows.withColumn("later", later).where("known or later").select("doc_id", "pos", "len")
+
+FIRST_WIDTHS = (8, 4, -8, 4)  # h, g, doc, pos
+MANY_WIDTHS = (5, -8, 4)  # h, doc, pos
+
+
+def many(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places of keys that come more than once."""
+    order = np.argsort(h, kind="stable")
+    group = np.cumsum(fresh(h[order])) - 1
+    if len(order):
+        rest = order[np.bincount(group)[group] > 1]
+        yield places(*merged(doc[rest].view(np.int64), pos[rest].view(np.int64), np.ones(len(rest), dtype=np.int64)))
 
 
-def by_document(places: DataFrame, length: Column) -> DataFrame:
-    """One row a document with the list of its places, each as pos * 2**32 + length."""
-    mark = F.shiftleft(F.col("pos").cast("long"), 32) + length
-    return places.groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list(mark).alias("marks"))
+def not_first(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places of keys that a lesser place has too."""
+    doc, pos = doc.view(np.int64), pos.view(np.int64)
+    order = np.lexsort((pos, doc, g, h))
+    rest = order[~fresh(h[order], g[order])]
+    yield places(*merged(doc[rest], pos[rest], np.ones(len(rest), dtype=np.int64)))
 
 
-def marked(docs: DataFrame, places: DataFrame, keep_all: bool = False) -> DataFrame:
-    """Documents with their places; the exchange of the texts is one and the same in every use.
+def receive(judge: Callable[..., Iterator[pa.RecordBatch]], widths: tuple[int, ...]):
+    """Reads the packed rows of a partition, slice by slice, and judges each slice's keyed rows together."""
 
-    ``keep_all`` keeps documents without places, and rows whose doc_id is null.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Columns] = []
+        current = None
+        for batch in batches:
+            for sub, kind, data in zip(batch["sub"].to_pylist(), batch["kind"].to_pylist(), batch["data"], strict=True):
+                if kind == KNOWN:
+                    yield places(*unpack(data.as_py(), _MARK))
+                    continue
+                if sub != current and held:
+                    yield from judge(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = []
+                current = sub
+                held.append(unpack(data.as_py(), widths))
+        if held:
+            yield from judge(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def exchanged(sent: DataFrame, n: int, judge: Callable[..., Iterator[pa.RecordBatch]], widths: tuple[int, ...]) -> DataFrame:
+    """(doc_id, mark, kind) of what ``judge`` finds, and of what was known before."""
+    return sent.repartition(n, "bucket").sortWithinPartitions("sub").mapInArrow(receive(judge, widths), PLACES)
+
+
+def bucket_ids(spark: SparkSession) -> list[int]:
+    """One number for each shuffle partition that Spark's hash sends there."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(24 * n).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), F.col("id").cast("int").alias("id"))
+    return [r.id for r in rows.groupBy("p").agg(F.min("id").alias("id")).orderBy("p").collect()]
+
+
+def marked(docs: DataFrame, found: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Documents with their marks; the exchange of the texts is one and the same in every use.
+
+    A mark is pos * 2**32 + length. ``keep_all`` keeps documents without marks, and
+    rows whose doc_id is null.
     """
-    marks = by_document(places, F.col("len") if "len" in places.columns else F.lit(1)).hint("shuffle_hash")
+    marks = found.groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list("mark").alias("marks")).hint("shuffle_hash")
     known = docs.where("doc_id is not null")
     out = known.join(marks, known.doc_id == marks.marked_id, "left" if keep_all else "inner").select("doc_id", "text", "marks")
     if keep_all:
@@ -129,3 +224,28 @@ def mark_arrays(column: pa.Array, start: int, n: int) -> tuple[np.ndarray, np.nd
     counts = pc.fill_null(pc.list_value_length(part), 0).to_numpy().astype(np.int64)
     flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return np.repeat(np.arange(n), counts), flat >> 32, flat & 0xFFFFFFFF
+
+
+def spread(row: np.ndarray, pos: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and pos of every single place of the marks."""
+    return np.repeat(row, length), ragged(pos, length)
+
+
+HASHED = "h long, g long, doc_id long, mark long, known boolean"
+
+
+def hashed(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Single places under their keys, for ``later_docs``."""
+    return table("h:l,g:l,doc_id:l,mark:l,known:b", h=signed(h), g=signed(g), doc_id=doc, mark=(pos.astype(np.int64) << 32) | 1, known=np.zeros(len(h), dtype=bool))
+
+
+def settled(doc: np.ndarray, pos: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """Marks that are known to hold, dealt out evenly."""
+    k = signed(mix(doc.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)))
+    return table("h:l,g:l,doc_id:l,mark:l,known:b", h=k, g=k, doc_id=doc, mark=(pos.astype(np.int64) << 32) | length.astype(np.int64), known=np.ones(len(doc), dtype=bool))
+
+
+def later_docs(rows: DataFrame) -> DataFrame:
+    """(doc_id, mark, kind) of the rows whose key a smaller doc_id has too, and of the known ones."""
+    least = F.min("doc_id").over(W.partitionBy("h", "g"))
+    return rows.withColumn("least", least).where("known or doc_id > least").select("doc_id", "mark", F.lit(KNOWN).cast("int").alias("kind"))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._repeats import Thinned, mark_arrays, marked, not_first, repeated
+from ._repeats import FIRST_WIDTHS, MANY_WIDTHS, PACKED, Exchange, Thinned, bucket_ids, exchanged, mark_arrays, marked, many, not_first, spread
 from ._spark import table, texts
 from ._text import BYTE_A, BYTE_B, WORD_A, WORD_B, Block, Words, blocks, cover, inside, window_minima
 
@@ -32,9 +32,9 @@ def _anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     return start, window_minima(grams, window - quarter + 1)[start], grams
 
 
-def _quarters(window: int):
+def _quarters(window: int, buckets: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Thinned(first=False)
+        out = Thinned(Exchange(buckets, MANY_WIDTHS), first=False)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column(1)):
@@ -50,18 +50,18 @@ def _quarters(window: int):
 
 def _lift(batch: pa.RecordBatch, block: Block, words: Words) -> np.ndarray:
     """Which word places of the block are marked."""
-    row, pos, _ = mark_arrays(batch.column(2), block.rows.start, len(block))
+    row, pos = spread(*mark_arrays(batch.column(2), block.rows.start, len(block)))
     place = words.at[row] + pos
     out = np.zeros(len(words), dtype=bool)
     out[place[place < words.at[row + 1]]] = True
     return out
 
 
-def _halves(window: int):
+def _halves(window: int, buckets: list[int]):
     half, quarter = window // 2, window // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Thinned(first=False)
+        out = Thinned(Exchange(buckets, MANY_WIDTHS), first=False)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for block in blocks(batch.column(1)):
@@ -79,18 +79,18 @@ def _halves(window: int):
     return run
 
 
-def _wholes(window: int):
+def _wholes(window: int, buckets: list[int]):
     half = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Thinned(first=True)
+        out = Thinned(Exchange(buckets, FIRST_WIDTHS), first=True)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for block in blocks(batch.column(1)):
                 words = Words(block)
                 hashes = words.hashes()
                 start, anchor, _ = _anchors(words, hashes, window)
-                row, pos, _ = mark_arrays(batch.column(2), block.rows.start, len(block))
+                row, pos = spread(*mark_arrays(batch.column(2), block.rows.start, len(block)))
                 alive = np.zeros((2, len(words) + 1), dtype=bool)
                 place = words.at[row] + pos // 2
                 ok = place < words.at[row + 1]
@@ -141,7 +141,7 @@ def _cut(window: int, keep_text: bool):
 
 
 def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, pos, len): len word windows in a row, from word pos on, each of which also starts earlier.
+    """(doc_id, mark): runs of word windows that also start earlier; a mark is first word * 2**32 + windows.
 
     Earlier means a smaller doc_id, or the same document and an earlier start.
     ``window`` is a multiple of 4.
@@ -150,9 +150,11 @@ def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
         raise ValueError("window must be a multiple of 4")
     docs = texts(documents)
     known = docs.where("doc_id is not null")
-    quarters = repeated(known.mapInArrow(_quarters(window), Thinned.schema))
-    halves = repeated(marked(docs, quarters).mapInArrow(_halves(window), Thinned.schema))
-    return not_first(marked(docs, halves).mapInArrow(_wholes(window), Thinned.schema), within=True)
+    buckets = bucket_ids(docs.sparkSession)
+    n = len(buckets)
+    quarters = exchanged(known.mapInArrow(_quarters(window, buckets), PACKED), n, many, MANY_WIDTHS)
+    halves = exchanged(marked(docs, quarters).mapInArrow(_halves(window, buckets), PACKED), n, many, MANY_WIDTHS)
+    return exchanged(marked(docs, halves).mapInArrow(_wholes(window, buckets), PACKED), n, not_first, FIRST_WIDTHS)
 
 
 def drop_repeated_windows(documents: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:

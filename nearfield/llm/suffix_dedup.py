@@ -9,13 +9,13 @@ bytes or more with an earlier document.
 One suffix array over a corpus does not fit a machine, so suffixes are dealt out:
 each string of ``length`` bytes belongs to its least-hashed 16-gram (its anchor),
 and equal strings have equal anchors. Anchors that occur in one document drop
-out. Of the others, each document sends the bytes of the strings that share the
-anchor, as one fragment. Fragments of an anchor meet in one task, where a suffix
-array over many fragments is built by prefix doubling, up to ``length`` bytes:
+out. Of the others, each document sends the hash of the bytes that hold the
+anchor's strings, its fragment: a fragment that an earlier document has whole goes
+whole. Fragments of one anchor that differ meet in one task, where a suffix
+array over the strings of many fragments is built, up to ``length`` bytes:
 suffixes alike that far tie, so the previous or next smaller one of a suffix, in
 the order of documents, has an equal string just if its tie holds a smaller
-document than its own. A fragment seen before in the same task is not sent; the
-fate of its strings is known. Anchors of very many fragments are not gathered:
+document than its own. Anchors of very many fragments are not gathered:
 their strings go on one by one, under 96 bits of hash.
 """
 
@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._repeats import Thinned, mark_arrays, marked, not_first, place_key, repeated
+from ._repeats import AGAIN, HASHED, KNOWN, MANY_WIDTHS, PACKED, Exchange, Thinned, bucket_ids, exchanged, fresh, hashed, later_docs, many, mark_arrays, marked, merged, places, settled, spread
 from ._spark import grouped, table, texts
 from ._text import BYTE_A, BYTE_B, Block, blocks, cover, inside, ragged, runs, signed, window_minima
 
 ANCHOR = 16
 #: Fragments of one anchor that meet in one suffix array.
-MOST_FRAGMENTS = 4096
-_FLUSH_BYTES = 16 << 20
+MOST_FRAGMENTS = 1 << 16
 
 
 def suffix_array(data: bytes | np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +64,23 @@ def suffix_array(data: bytes | np.ndarray, depth: int | None = None) -> tuple[np
     return order, rank
 
 
+def sorted_suffixes(data: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse suffix array: the order of the suffixes at ``start``, each of ``depth`` bytes or more.
+
+    They are compared up to ``depth`` bytes, eight at a time; the second array marks
+    those that differ from the one before.
+    """
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+    eight = np.zeros(len(data) + 1, dtype=np.uint64)
+    for i in range(8):
+        eight |= padded[i : i + len(data) + 1] << np.uint64(56 - 8 * i)
+    words = [eight[start + i] for i in range(0, depth - depth % 8, 8)]
+    if depth % 8:
+        words.append(eight[start + depth - depth % 8] >> np.uint64(64 - 8 * (depth % 8)))
+    order = np.lexsort(words[::-1])
+    return order, fresh(*(w[order] for w in words))
+
+
 def longest_previous_factor(data: bytes) -> list[int]:
     """For each position the length of the longest match that starts earlier (it may overlap).
 
@@ -124,9 +140,9 @@ class _Strings:
         return out
 
 
-def _anchors(length: int):
+def _anchors(length: int, buckets: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Thinned(first=False)
+        out = Thinned(Exchange(buckets, MANY_WIDTHS), first=False)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for block in blocks(batch.column(1)):
@@ -139,60 +155,73 @@ def _anchors(length: int):
 
 
 FRAGMENT = "anchor long, doc_id long, pos int, part binary, len int"
+_CONTENT_WIDTHS = (5, 8, 4, -8, 4, 3)  # anchor, fragment hashes, doc, pos, strings
 
 
-def _fragments(length: int):
-    """Fragments of surviving anchors; those known to repeat go without bytes, under a place key."""
+def _contents(length: int, buckets: list[int]):
+    """Hashes of the fragments of surviving anchors; those seen before in the task are known repeats."""
 
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
+    def flush(out: Exchange, held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        anchor, doc, pos, h, g, count, offsets, data = [], [], [], [], [], [], [], []
-        base = 0
-        for a, d, p, x, y, c, size, raw in held:
-            anchor.append(a), doc.append(d), pos.append(p), h.append(x), g.append(y), count.append(c)
-            offsets.append(np.cumsum(size) - size + base)
-            data.append(raw)
-            base += len(raw)
-        anchor, doc, pos, h, g, count, start = (np.concatenate(x) for x in (anchor, doc, pos, h, g, count, offsets))
-        raw = np.concatenate(data)
+        anchor, h, g, doc, pos, count = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((doc, g, h))
-        lead = np.ones(len(order), dtype=bool)
-        lead[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-        first, rest = order[lead], order[~lead]
-        size = count[first] + length - 1
-        packed = raw[ragged(start[first], size)]
-        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        part = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(packed.tobytes())])
-        made = [(anchor[first], doc[first], pos[first], part, count[first])]
-        if len(rest):
-            made.append((place_key(doc[rest], pos[rest]), doc[rest], pos[rest], pa.nulls(len(rest), pa.binary()), count[rest]))
-        for a, d, p, x, c in made:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(d), pa.array(p.astype(np.int32)), x, pa.array(c.astype(np.int32))], names=["anchor", "doc_id", "pos", "part", "len"])
+        new = fresh(h[order], g[order])
+        lead, rest = np.sort(order[new]), order[~new]
+        yield from out.keyed(anchor[lead], tuple(c[lead] for c in (anchor, h, g, doc, pos, count)))
+        yield from out.known(*merged(doc[rest], pos[rest], count[rest]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_bytes = [], 0
+        out, held, rows = Exchange(buckets, _CONTENT_WIDTHS), [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for block in blocks(batch.column(1)):
                 s = _Strings(block, length)
-                row, pos, _ = mark_arrays(batch.column(2), block.rows.start, len(block))
-                place = block.at[row] + pos
-                place = place[place < block.at[row + 1]]
-                lead = s.once(s.key)
-                alive = np.isin(s.begin[lead], place)
+                row, pos = spread(*mark_arrays(batch.column(2), block.rows.start, len(block)))
+                alive = np.isin(s.begin[s.once(s.key)], block.at[row] + pos)
                 h, g = _fragment_hash(s, block, length)
-                one = s.once(h, g)
-                at = np.flatnonzero(alive & (one == np.arange(len(one))))
+                at = np.flatnonzero(alive & (s.once(h, g) == np.arange(len(h))))
+                held.append((s.key[at], h[at], g[at], ids[block.rows][s.doc[at]], s.begin[at] - block.at[s.doc[at]], s.count[at]))
+                rows += len(at)
+                if rows >= 1 << 18:
+                    yield from flush(out, held)
+                    held, rows = [], 0
+        yield from flush(out, held)
+
+    return run
+
+
+def _compare(anchor: np.ndarray, h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Fragments that an earlier document has whole are known; anchors of different contents are looked at again."""
+    doc, pos, count = (x.view(np.int64) for x in (doc, pos, count))
+    order = np.lexsort((doc, g, h, anchor))
+    new = fresh(anchor[order], h[order], g[order])
+    rest = order[~new]
+    yield places(doc[rest], pos[rest], count[rest], KNOWN)
+    lead = order[new]
+    group = np.cumsum(fresh(anchor[lead])) - 1
+    again = lead[np.bincount(group)[group] > 1] if len(lead) else lead
+    yield places(doc[again], pos[again], count[again], AGAIN)
+
+
+def _fragments(length: int):
+    """Bytes of the fragments to look at again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for block in blocks(batch.column(1)):
+                s = _Strings(block, length)
+                row, pos, _ = mark_arrays(batch.column(2), block.rows.start, len(block))
+                at = np.flatnonzero(np.isin(s.begin, block.at[row] + pos))
                 if not len(at):
                     continue
                 size = s.count[at] + length - 1
-                held.append((s.key[at], ids[block.rows][s.doc[at]], s.begin[at] - block.at[s.doc[at]], h[at], g[at], s.count[at], size, block.data[ragged(s.begin[at], size)]))
-                held_bytes += int(size.sum())
-                if held_bytes >= _FLUSH_BYTES:
-                    yield from flush(held)
-                    held, held_bytes = [], 0
-        yield from flush(held)
+                packed = block.data[ragged(s.begin[at], size)]
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                part = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+                place = (s.begin[at] - block.at[s.doc[at]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s.key[at])), pa.array(ids[block.rows][s.doc[at]]), pa.array(place), part, pa.array(s.count[at].astype(np.int32))], names=["anchor", "doc_id", "pos", "part", "len"])
 
     return run
 
@@ -210,11 +239,8 @@ def _judge(length: int):
         for part in grouped(batches, ["anchor"], 1 << 20):
             part = part.combine_chunks()
             doc, pos, count = (part[k].to_numpy().astype(np.int64) for k in ("doc_id", "pos", "len"))
-            bare = part["part"].is_null().to_numpy()
-            if bare.any():
-                yield from Thinned.spans(doc[bare], pos[bare], count[bare])
-            large = part["large"].to_numpy(zero_copy_only=False)
-            for which, small in ((~bare & ~large, True), (~bare & large, False)):
+            large = part["large"].to_numpy().astype(bool)
+            for which, small in ((~large, True), (large, False)):
                 at = np.flatnonzero(which)
                 if not len(at):
                     continue
@@ -224,26 +250,18 @@ def _judge(length: int):
                 place = pos[at][owner] + start - block.at[owner]
                 if not small:
                     h, g = BYTE_A.grams(block.data, length)[start], BYTE_B.grams(block.data, length)[start]
-                    yield Thinned.batch(h, g, doc[at][owner], place, 1, False)
+                    yield hashed(h, g, doc[at][owner], place)
                     continue
-                order, rank = suffix_array(block.data, length)
-                real = np.zeros(len(block.data), dtype=bool)
-                real[start] = True
-                order = order[real[order]]
-                whose = np.zeros(len(block.data), dtype=np.int64)
-                whose[start] = doc[at][owner]
-                r, d = rank[order], whose[order]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = r[1:] != r[:-1]
-                least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
-                later = np.zeros(len(block.data), dtype=bool)
-                later[order[d > least]] = True
-                gone = later[start]
-                a, b = runs(gone & True)
+                order, new = sorted_suffixes(block.data, start, length)
+                d = doc[at][owner]
+                least = np.minimum.reduceat(d[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+                gone = np.zeros(len(start), dtype=bool)
+                gone[order] = d[order] > least
+                a, b = runs(gone)
                 # a run must not pass from one fragment to the next
                 cut = np.flatnonzero(gone[1:] & gone[:-1] & (owner[1:] != owner[:-1])) + 1
                 a, b = np.sort(np.concatenate([a, cut])), np.sort(np.concatenate([b, cut]))
-                yield from Thinned.spans(doc[at][owner[a]], place[a], b - a)
+                yield settled(doc[at][owner[a]], place[a], b - a)
 
     return run
 
@@ -252,11 +270,11 @@ def _cut(length: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                row, pos, many = mark_arrays(batch.column(2), block.rows.start, len(block))
+                row, pos, length_ = mark_arrays(batch.column(2), block.rows.start, len(block))
                 n = len(block.data)
                 if len(row):
                     begin = block.at[row] + pos
-                    string = cover(n, begin, np.minimum(begin + many, block.at[row + 1]))
+                    string = cover(n, begin, np.minimum(begin + length_, block.at[row + 1]))
                     s = _Strings(block, length)
                     h, g = _fragment_hash(s, block, length)
                     one = s.once(h, g)
@@ -294,7 +312,7 @@ def _cut(length: int, keep_text: bool):
 
 
 def repeated_strings(documents: DataFrame, length: int = 50, most_fragments: int = MOST_FRAGMENTS) -> DataFrame:
-    """(doc_id, pos, len): len strings in a row, from byte pos on, that also start in a document with a smaller doc_id.
+    """(doc_id, mark): runs of strings that also start in a document with a smaller doc_id; a mark is first byte * 2**32 + strings.
 
     Of fragments of one content within a document only the first is listed.
     """
@@ -302,11 +320,14 @@ def repeated_strings(documents: DataFrame, length: int = 50, most_fragments: int
         raise ValueError(f"length must be {2 * ANCHOR} or more")
     docs = texts(documents)
     known = docs.where("doc_id is not null")
-    anchors = repeated(known.mapInArrow(_anchors(length), Thinned.schema))
-    fragments = marked(docs, anchors).mapInArrow(_fragments(length), FRAGMENT)
-    sized = fragments.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("anchor")))
-    met = sized.where("n > 1 or part is null").select("anchor", "doc_id", "pos", "part", "len", (F.col("n") > most_fragments).alias("large"))
-    return not_first(met.mapInArrow(_judge(length), Thinned.schema), within=False)
+    buckets = bucket_ids(docs.sparkSession)
+    n = len(buckets)
+    anchors = exchanged(known.mapInArrow(_anchors(length, buckets), PACKED), n, many, MANY_WIDTHS)
+    contents = exchanged(marked(docs, anchors).mapInArrow(_contents(length, buckets), PACKED), n, _compare, _CONTENT_WIDTHS)
+    fragments = marked(docs, contents.where(F.col("kind") == AGAIN)).mapInArrow(_fragments(length), FRAGMENT)
+    sized = fragments.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("anchor"))).where("n > 1")
+    met = sized.select("anchor", "doc_id", "pos", "part", "len", (F.col("n") > most_fragments).alias("large"))
+    return contents.where(F.col("kind") == KNOWN).union(later_docs(met.mapInArrow(_judge(length), HASHED)))
 
 
 def drop_repeated_strings(documents: DataFrame, length: int = 50, keep_text: bool = False) -> DataFrame:
