@@ -81,6 +81,13 @@ def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[
             yield part["qid"].to_numpy(), matrix(part["v"])
 
 
+def query_parts(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[DataFrame]:
+    """The queries in parts of about ``size`` rows (one part if there are fewer), each fit to be broadcast."""
+    passes = max(1, -(-queries.count() // size))
+    for i in range(passes):
+        yield queries if passes == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
+
+
 def distances(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", eps: float | None = None) -> DataFrame:
     """(qid, vec_id, dist): per-partition candidates that hold every query's k nearest, or all within ``eps``.
 

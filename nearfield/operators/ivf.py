@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import ip_distance
 from ..sources.ship import ship
-from .flat import matrix
+from .flat import matrix, query_parts
 from .kmeans import assign, first_rows, lloyd
 from .topk import ranked, vector_columns
 
@@ -74,11 +75,14 @@ def search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4) -> Data
 
 def union_search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
     """The same result by way of the union of all probed lists: a semi-join first, the probe test after."""
-    asked = probes(index, queries, nprobe)
-    union = index.lists.join(asked.select("list_id").distinct(), "list_id", "left_semi")
-    per = asked.groupBy("qid").agg(F.first("q").alias("q"), F.collect_set("list_id").alias("lists"))
-    met = union.join(F.broadcast(per) if per.count() <= 10_000 else per, F.array_contains("lists", F.col("list_id")))
-    return ranked(met.select("qid", "vec_id", ip_distance(F.col("q"), F.col("v")).alias("dist")), k)
+    parts = []
+    for part in query_parts(queries):
+        asked = probes(index, part, nprobe)
+        union = index.lists.join(asked.select("list_id").distinct(), "list_id", "left_semi")
+        per = asked.groupBy("qid").agg(F.first("q").alias("q"), F.collect_set("list_id").alias("lists"))
+        met = union.join(F.broadcast(per), F.array_contains("lists", F.col("list_id")))
+        parts.append(met.select("qid", "vec_id", ip_distance(F.col("q"), F.col("v")).alias("dist")))
+    return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
 def query_order(index: IVF, queries: DataFrame, nprobe: int = 8, mode: str = "signature") -> DataFrame:

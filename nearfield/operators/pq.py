@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, l2_distance, lookup_distance
 from ..sources.ship import ship
 from ..sources.tables import checkpointed
-from .flat import matrix, rerank
+from .flat import matrix, query_parts, rerank
 from .ivf import IVF, probes
 from .kmeans import DIGITS, assign, first_rows, lloyd
 from .topk import ranked, vector_columns
@@ -78,9 +79,8 @@ def _asked(queries: DataFrame) -> DataFrame:
 
 def adc(codes: DataFrame, queries: DataFrame, book: np.ndarray, top_p: int) -> DataFrame:
     """The ``top_p`` rows of least table distance."""
-    lut = tables(queries, book)
-    met = codes.join(F.broadcast(lut) if queries.count() <= 10_000 else lut)
-    return ranked(met.select("qid", "vec_id", lookup_distance(F.col("code"), F.col("lut")).alias("dist")), top_p)
+    parts = [codes.join(F.broadcast(tables(part, book))).select("qid", "vec_id", lookup_distance(F.col("code"), F.col("lut")).alias("dist")) for part in query_parts(queries)]
+    return ranked(reduce(DataFrame.unionByName, parts), top_p)
 
 
 def search(base: DataFrame, queries: DataFrame, book: np.ndarray, k: int = 10, top_p: int = 50) -> DataFrame:

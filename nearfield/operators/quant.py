@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import halved, integer_dot, ip_distance, quantized_i8, quantized_u8
-from .flat import rerank
+from .flat import query_parts, rerank
 from .topk import ranked, vector_columns
 
-#: Queries times rows that a plan may pair by a nested loop over broadcast queries: queries are this many at most.
-BROADCAST_QUERIES = 10_000
-
-
-def _asked(queries: DataFrame) -> DataFrame:
-    """Queries as (qid, q), broadcast where their number is checked to be small."""
-    q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("q")).where("qid is not null and q is not null")
-    return F.broadcast(q) if q.count() <= BROADCAST_QUERIES else q
+def _asked(queries: DataFrame) -> Iterator[DataFrame]:
+    """Queries as (qid, q), in blocks small enough to be sent out whole."""
+    for part in query_parts(queries):
+        yield part.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("q")).where("qid is not null and q is not null")
 
 
 def u8_params(base: DataFrame) -> DataFrame:
@@ -37,9 +36,13 @@ def u8_codes(base: DataFrame) -> DataFrame:
 def u8_search(base: DataFrame, queries: DataFrame, k: int = 10, top_p: int = 50) -> DataFrame:
     """Candidates by the score low * step * sum + step^2 * codes . query codes, then exact distances."""
     p = F.broadcast(u8_params(base))
-    asked = _asked(queries).join(p).withColumn("qc", quantized_u8(F.col("q"), F.col("low"), F.col("step"))).select("qid", "qc", "step")
+    codes = u8_codes(base)
     score = F.col("bias") + F.col("step") * F.col("step") * integer_dot(F.col("code"), F.col("qc"))
-    scored = u8_codes(base).join(F.broadcast(asked)).select("qid", "vec_id", (-score).alias("dist"))
+    parts = []
+    for asked in _asked(queries):
+        asked = asked.join(p).select("qid", quantized_u8(F.col("q"), F.col("low"), F.col("step")).alias("qc"), "step")
+        parts.append(codes.join(F.broadcast(asked)).select("qid", "vec_id", (-score).alias("dist")))
+    scored = reduce(DataFrame.unionByName, parts)
     return rerank(ranked(scored, max(k, top_p)), vector_columns(base), queries.select("qid", F.col("embedding").alias("v")), k)
 
 
@@ -54,12 +57,16 @@ def i8_search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The distance is minus the integer product of the codes."""
     s = F.broadcast(i8_scale(base, queries))
     rows = vector_columns(base).join(s).select("vec_id", quantized_i8(F.col("v"), F.col("scale")).alias("code"))
-    asked = _asked(queries).join(s).select("qid", quantized_i8(F.col("q"), F.col("scale")).alias("qc"))
-    return ranked(rows.join(F.broadcast(asked)).select("qid", "vec_id", (-integer_dot(F.col("code"), F.col("qc"))).cast("double").alias("dist")), k)
+    parts = []
+    for asked in _asked(queries):
+        asked = asked.join(s).select("qid", quantized_i8(F.col("q"), F.col("scale")).alias("qc"))
+        parts.append(rows.join(F.broadcast(asked)).select("qid", "vec_id", (-integer_dot(F.col("code"), F.col("qc"))).cast("double").alias("dist")))
+    return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
 def half_search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Inner product distance of vectors rounded to half precision."""
     rows = vector_columns(base).select("vec_id", halved(F.col("v")).alias("h"))
-    asked = _asked(queries).select("qid", halved(F.col("q")).alias("qh"))
-    return ranked(rows.join(F.broadcast(asked)).select("qid", "vec_id", ip_distance(F.col("qh"), F.col("h")).alias("dist")), k)
+    asked = [a.select("qid", halved(F.col("q")).alias("qh")) for a in _asked(queries)]
+    parts = [rows.join(F.broadcast(a)).select("qid", "vec_id", ip_distance(F.col("qh"), F.col("h")).alias("dist")) for a in asked]
+    return ranked(reduce(DataFrame.unionByName, parts), k)

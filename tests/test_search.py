@@ -164,3 +164,16 @@ def test_stream_answers_equal_batch(spark, base, asked, tmp_path):
     stream = streaming.read_queries(spark, str(tmp_path / "q"), files=1)
     streaming.answer(stream, lambda q: flat.search(base, q), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert ids(spark.read.parquet(str(tmp_path / "out"))) == ids(flat.search(base, asked))
+
+
+def test_reports(base, asked):
+    from nearfield.plans.report import Timings, partition_balance, scanned_rows
+
+    assert sum(r.rows for r in partition_balance(base.repartition(3)).collect()) == 300
+    index = ivf.build(base, 4, 1)
+    got = scanned_rows(ivf.probes(index, asked, 4), index.sizes()).collect()
+    assert {r.scanned for r in got} == {300}
+    t = Timings()
+    with t.step("a"):
+        pass
+    assert [n for n, _ in t.rows()] == ["a"]
