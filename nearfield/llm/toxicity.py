@@ -136,8 +136,16 @@ def _matrix(types: list[str]) -> np.ndarray:
 
 def _against(types: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of words with the landmarks."""
-    parts = [_matrix(types[a : a + 512]) @ landmarks.T for a in range(0, len(types), 512)]
-    return np.vstack(parts) if parts else np.zeros((0, len(landmarks)), dtype=np.float32)
+    out = np.zeros((len(types), len(landmarks)), dtype=np.float32)
+    by_slot = np.ascontiguousarray(landmarks.T)
+    for block in blocks(pa.array(types, type=pa.string())):
+        start, end = block.at[:-1], np.minimum(block.at[1:], block.at[:-1] + PIECE)
+        for r, slot, w in _features(block.data, start, end):
+            w = w / np.maximum(np.sqrt((w * w).sum(1)), 1e-6)[:, None]
+            for a in range(0, len(r), 64):
+                part = slice(a, a + 64)
+                out[block.rows.start + r[part]] = np.matmul(w[part][:, None, :], by_slot[slot[part]])[:, 0]
+    return out
 
 
 def svm(phi: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -220,10 +228,9 @@ def _sigmoid(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def fit(train: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model | None:
-    """Learn from rows of text and toxic (0 or 1), by at most ``sample_texts`` of either kind; None without both."""
-    rows = [train.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_texts) for k in (0, 1)]
-    sample = checkpointed(rows[0].union(rows[1]))
+def fit(train: DataFrame) -> Model | None:
+    """Learn from a bounded table of rows of text and toxic (0 or 1); None without both kinds."""
+    sample = train
     counts = checkpointed(sample.mapInArrow(_types, "type string, toxic long").groupBy("type").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
     bad = [r.type for r in counts.where("good = 0 and bad >= 2").orderBy(F.desc("bad"), "type").limit(POSITIVES).collect()]
     seen = counts.where("good > 0")
@@ -320,6 +327,6 @@ def classify(documents: DataFrame, labels: DataFrame, folds: int = 3, out: int =
     kept = marks.where(~F.coalesce(F.pmod(F.crc32(F.col("_labelled").cast("string")), F.lit(folds)) == out, F.lit(False)))
     chosen = [kept.where(F.col("toxic") == k).orderBy(F.xxhash64("_labelled"), "_labelled").limit(sample_texts) for k in (0, 1)]
     some = F.broadcast(chosen[0].union(chosen[1]))
-    train = checkpointed(docs.where("not held_out").join(some, F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "toxic"))
-    model = fit(train, sample_texts)
+    train = checkpointed(docs.where("not held_out").join(some, F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]))
+    model = fit(train)
     return docs.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
