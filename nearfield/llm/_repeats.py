@@ -5,7 +5,7 @@ for the exchange and passes the rest on as known repeats. So however often a key
 occurs, it sends one row per task and buffer, and no key gathers its rows in one
 place. What is sent is packed: the rows of a buffer that go to one partition
 travel as one binary, column by column and byte plane by byte plane, which takes
-half the space of rows. The receiving task reads its part in ``SUBS`` slices of
+half the space of rows. The receiving task reads its part in up to ``SUBS`` slices of
 the key space, sorted ahead by Spark, and holds one slice at a time.
 """
 
@@ -63,6 +63,8 @@ class Exchange:
 
     def __init__(self, buckets: list[int], widths: tuple[int, ...]):
         self.buckets, self.widths, self.turn = np.array(buckets), widths, 0
+        #: With many partitions each is small by itself, and slices would only multiply the packed rows.
+        self.subs = max(1, min(SUBS, 256 // len(buckets)))
 
     @staticmethod
     def batch(bucket: list, sub: list, kind: int, data: list) -> pa.RecordBatch:
@@ -72,14 +74,14 @@ class Exchange:
         """Send rows by the high 24 bits of their key; they keep their order within a partition."""
         n = len(self.buckets)
         high = (key >> U64(40)).astype(np.int64)
-        slot = high % n * SUBS + high // n % SUBS
+        slot = high % n * self.subs + high // n % self.subs
         order = np.argsort(slot, kind="stable")
         cut = np.flatnonzero(np.diff(slot[order], prepend=-1))
         cuts = np.append(cut, len(order)).tolist()
         slots = slot[order][cut].tolist()
         columns = tuple(c[order] for c in columns)
         data = [pack(tuple(c[a:b] for c in columns), self.widths) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield self.batch([self.buckets[s // SUBS] for s in slots], [s % SUBS for s in slots], KEYED, data)
+        yield self.batch([self.buckets[s // self.subs] for s in slots], [s % self.subs for s in slots], KEYED, data)
 
     def known(self, doc: np.ndarray, pos: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Send marks to the partitions in turn."""
