@@ -2,7 +2,7 @@
 
 Documents with one shingle set are one class, of which the least doc_id stands
 for all. Each class is posted under the values of its signature coordinates,
-two coordinates to a key. A pair that agrees on ``least`` of the coordinates
+two coordinates to a key (one where the threshold is low). A pair that agrees on ``least`` of the coordinates
 disagrees on K - least, so it must share one of the first K - least + 1 keys:
 only that prefix is posted. Within a list of postings the collisions of two
 classes are counted over their whole signatures. Lists are not turned into
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._spark import checkpointed, grouped, table, texts
-from ._text import BYTE_A, U64, WORD_A, WORD_B, Block, Words, blocks, inside, mix, ragged, signed
+from ._text import BYTE_A, U64, WORD_A, Block, Words, blocks, inside, mix, ragged, signed
 
 COORDINATES = 48
 #: Chance that a pair at the very threshold falls short of the counted collisions.
@@ -82,7 +82,7 @@ def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], at
 
 
-def _signed_batches(size: int, keys: int):
+def _signed_batches(size: int, keys: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -98,7 +98,10 @@ def _signed_batches(size: int, keys: int):
                     xors[full] = np.bitwise_xor.reduceat(mix(grams ^ U64(0x5851F42D4C957F2D)), first)
                     for j in range(COORDINATES):
                         low[full, j] = np.minimum.reduceat((grams ^ _XOR[j]) * _TIMES[j], first)
-                pair = mix(mix(low[:, 0 : 2 * keys : 2]) + low[:, 1 : 2 * keys : 2] + np.arange(keys, dtype=np.uint64))
+                pair = low[:, : keys * width : width]
+                if width == 2:
+                    pair = mix(pair) + low[:, 1 : 2 * keys : 2]
+                pair = mix(pair + np.arange(keys, dtype=np.uint64))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(block) * keys + 1, keys), type=pa.int32()), pa.array(signed(pair.ravel())))
                 sig = (mix(low) & U64(255)).astype(np.uint8)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), len(block), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
@@ -258,9 +261,11 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     docs = texts(documents)
     least = least_collisions(percent)
     most = COORDINATES - least
-    keys = min(most + 1, COORDINATES // 2)
+    keys = most + 1
+    # two coordinates a key, as long as there are pairs enough for the prefix
+    width = 2 if 2 * keys <= COORDINATES else 1
     schema = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, keys array<long>"
-    base = checkpointed(docs.mapInArrow(_signed_batches(shingle_words, keys), schema))
+    base = checkpointed(docs.mapInArrow(_signed_batches(shingle_words, keys, width), schema))
     some = base.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "keys")).alias("m")).select("set_a", "set_b", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), "m.sig", "m.keys")
     same = some.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from ._repeats import FIRST_WIDTHS, MANY_WIDTHS, PACKED, Exchange, Thinned, bucket_ids, exchanged, mark_arrays, marked, many, not_first, spread
 from ._spark import table, texts
-from ._text import BYTE_A, BYTE_B, WORD_A, WORD_B, Block, Words, blocks, cover, inside, window_minima
+from ._text import BYTE_B, WORD_A, WORD_B, Block, Words, blocks, cover, inside, window_minima
 
 
 def _anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

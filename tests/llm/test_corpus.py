@@ -8,7 +8,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 import brute
 from nearfield.llm import _text, decontaminate, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
@@ -65,7 +64,7 @@ def test_longest_previous_factor():
         assert suffix_dedup.longest_previous_factor(s) == want
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80), (2, 60)])
 def test_near_duplicates(table, docs, size, percent):
     assert rows(minhash_dedup.near_duplicates(table, size, percent), "n_shingles", "component_id") == brute.near(docs, size, percent)
 
