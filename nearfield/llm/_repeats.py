@@ -119,7 +119,7 @@ class Thinned:
         lead = np.sort(order[new])
         columns = (h, g, doc, pos) if self.first else (h, doc, pos)
         yield from self.exchange.keyed(h[lead], tuple(c[lead] for c in columns))
-        rest = order[~new] if self.first else order[np.bincount(c)[c] > 1] if len(c := np.cumsum(new) - 1) else order
+        rest = order[beyond_first(new, doc[order], pos[order])] if self.first else order[np.bincount(c)[c] > 1] if len(c := np.cumsum(new) - 1) else order
         yield from self.exchange.known(*merged(doc[rest], pos[rest], np.ones(len(rest), dtype=np.int64)))
 
 
@@ -133,6 +133,18 @@ def fresh(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def beyond_first(new: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Which rows of groups in order of place, each opened by a ``new`` row, lie at another place than the first.
+
+    A row that comes twice has one place twice, and no copy of it is a repeat of the other.
+    """
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, dtype=np.int64)
+    out = np.zeros(len(new), dtype=bool)
+    for c in place:
+        out |= c != c[lead]
+    return out
+
+
 def merged(doc: np.ndarray, pos: np.ndarray, length: np.ndarray) -> Columns:
     """Marks in order of place; marks of length 1 that follow each other become one."""
     order = np.lexsort((pos, doc))
@@ -167,7 +179,7 @@ def not_first(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) ->
     """Places of keys that a lesser place has too."""
     doc, pos = doc.view(np.int64), pos.view(np.int64)
     order = np.lexsort((pos, doc, g, h))
-    rest = order[~fresh(h[order], g[order])]
+    rest = order[beyond_first(fresh(h[order], g[order]), doc[order], pos[order])]
     yield places(*merged(doc[rest], pos[rest], np.ones(len(rest), dtype=np.int64)))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._repeats import AGAIN, HASHED, KNOWN, MANY_WIDTHS, PACKED, Exchange, Thinned, bucket_ids, exchanged, fresh, hashed, later_docs, many, mark_arrays, marked, merged, places, settled, spread
+from ._repeats import AGAIN, HASHED, KNOWN, MANY_WIDTHS, PACKED, Exchange, Thinned, beyond_first, bucket_ids, exchanged, fresh, hashed, later_docs, many, mark_arrays, marked, merged, places, settled, spread
 from ._spark import grouped, table, texts
 from ._text import BYTE_A, BYTE_B, Block, blocks, cover, inside, ragged, runs, signed, window_minima
 
@@ -165,9 +165,10 @@ def _contents(length: int, buckets: list[int]):
         if not held:
             return
         anchor, h, g, doc, pos, count = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((doc, g, h))
-        new = fresh(h[order], g[order])
-        lead, rest = np.sort(order[new]), order[~new]
+        order = np.lexsort((pos, doc, g, h))
+        later = beyond_first(fresh(h[order], g[order]), doc[order])
+        # the first document's places all stay, but a row that comes twice counts once
+        lead, rest = np.sort(order[~later & fresh(h[order], g[order], doc[order], pos[order])]), order[later]
         yield from out.keyed(anchor[lead], tuple(c[lead] for c in (anchor, h, g, doc, pos, count)))
         yield from out.known(*merged(doc[rest], pos[rest], count[rest]))
 
@@ -194,13 +195,15 @@ def _contents(length: int, buckets: list[int]):
 def _compare(anchor: np.ndarray, h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Fragments that an earlier document has whole are known; anchors of different contents are looked at again."""
     doc, pos, count = (x.view(np.int64) for x in (doc, pos, count))
-    order = np.lexsort((doc, g, h, anchor))
+    order = np.lexsort((pos, doc, g, h, anchor))
     new = fresh(anchor[order], h[order], g[order])
-    rest = order[~new]
+    later = beyond_first(new, doc[order])
+    rest = order[later]
     yield places(doc[rest], pos[rest], count[rest], KNOWN)
-    lead = order[new]
+    lead = order[~later & fresh(anchor[order], h[order], g[order], doc[order], pos[order])]
     group = np.cumsum(fresh(anchor[lead])) - 1
-    again = lead[np.bincount(group)[group] > 1] if len(lead) else lead
+    contents = np.bincount(group, fresh(anchor[lead], h[lead], g[lead]))
+    again = lead[contents[group] > 1] if len(lead) else lead
     yield places(doc[again], pos[again], count[again], AGAIN)
 
 

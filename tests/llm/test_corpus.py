@@ -269,3 +269,15 @@ def test_repeated_rows(spark):
     assert suffix_dedup.drop_repeated_strings(frame(spark, docs)).count() == 3
     assert {r.taken % 6 for r in mixing.mix(frame(spark, docs)).collect()} == {0}
     assert line_dedup.dedup_lines(frame(spark, docs)).count() == 3
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeated_rows_keep_what_no_other_has(spark, parts):
+    own, shared = "own words that no other document has in it at all, " * 2, "a passage of some sixty bytes that both of the documents hold"
+    docs = [(1, own + shared), (2, f"here {shared} once"), (3, "short")]
+    d = frame(spark, docs + docs[:2] + docs[:1]).repartition(parts)
+    for got, want in (
+        (substring_dedup.drop_repeated_windows(d, 4), {i: (w[1], w[2]) for i, w in brute.windows(docs, 4).items()}),
+        (suffix_dedup.drop_repeated_strings(d), {i: (w[1], w[3]) for i, w in brute.strings(docs, 50).items()}),
+    ):
+        assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got.collect()) == sorted((i, *want[i]) for i in (1, 1, 1, 2, 2, 3))
