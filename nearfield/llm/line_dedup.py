@@ -22,15 +22,16 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _runs(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, start, fp, key) of each run of ``window`` lines with a word in it."""
+def _runs(docs: DataFrame, window: int, words: int = 1) -> DataFrame:
+    """(doc_id, start, fp, key) of each run of ``window`` lines with a line of ``words`` words or more in it."""
+    holds = r"[^\x20\x09-\x0D]" if words == 1 else r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (words - 1)
     hashed = docs.where("doc_id is not null").select("doc_id", _lines(F.col("text")).alias("lines"))
     hashed = hashed.where(F.size("lines") >= window)
-    # a line without a word never is a fingerprint: it takes the greatest hash
+    # a line without that many words never is a fingerprint: it takes the greatest hash
     blank = F.lit(2**63 - 1)
     hashed = hashed.select(
         "doc_id",
-        F.transform("lines", lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).otherwise(blank)).alias("h"),
+        F.transform("lines", lambda x: F.when(x.rlike(holds), F.xxhash64(x)).otherwise(blank)).alias("h"),
         F.transform("lines", lambda x: F.xxhash64(x, F.lit(9))).alias("g"),
     )
     each = F.transform(
@@ -44,12 +45,12 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     return hashed.select("doc_id", F.inline(each)).where(F.col("fp") != blank)
 
 
-def repeated_runs(documents: DataFrame, window: int = 2) -> DataFrame:
-    """(doc_id, start) of each run of ``window`` lines that also starts earlier.
+def repeated_runs(documents: DataFrame, window: int = 2, words: int = 1) -> DataFrame:
+    """(doc_id, start) of each run of ``window`` lines that also starts earlier, if a line of it has ``words`` words or more.
 
     Earlier: in a document of smaller doc_id, or at a lesser line of the same one.
     """
-    runs = _runs(texts(documents), window)
+    runs = _runs(texts(documents), window, words)
     place = F.struct("doc_id", "start")
     shared = runs.groupBy("fp", "key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = checkpointed(shared.select("fp", "key", "first", "n"))
@@ -61,19 +62,25 @@ def repeated_runs(documents: DataFrame, window: int = 2) -> DataFrame:
     return later.union(cold.where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start"))
 
 
-def dedup_lines(documents: DataFrame, window: int = 2) -> DataFrame:
+def dedup_lines(documents: DataFrame, window: int = 2, long_words: int | None = None) -> DataFrame:
     """Every row with its columns, ``text`` without later repeated runs, and n_lines and n_removed.
 
     Lines are what lies between newlines, blank ones included; runs are judged on
     the input. Null text stays null and has one (empty) line. Rows whose doc_id is
     null lose nothing and are no one's earlier copy; rows that repeat a doc_id lose
-    the same lines. Columns named n_lines or n_removed are replaced.
+    the same lines. Columns named n_lines or n_removed are replaced. With
+    ``long_words`` a single line of that many words or more is a run by itself,
+    whatever its neighbours are.
     """
-    gone = repeated_runs(documents, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("start").alias("_starts"))
+    marks = repeated_runs(documents, window)
+    if long_words:
+        # a long line n goes as -1 - n
+        marks = marks.union(repeated_runs(documents, 1, long_words).select("doc_id", -1 - F.col("start")))
+    gone = marks.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("start").alias("_starts"))
     rows = documents.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_doc"), "left")
     lines = _lines(F.col("text"))
     index = F.sequence(F.lit(0), F.size(lines) - 1)
-    covered = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (window - 1))))
+    covered = F.flatten(F.transform("_starts", lambda s: F.when(s < 0, F.array(-1 - s)).otherwise(F.sequence(s, s + (window - 1))) if long_words else F.sequence(s, s + (window - 1))))
     kept = F.when(F.col("_starts").isNull(), index).otherwise(F.array_except(index, covered))
     rows = rows.withColumn("_kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
     rows = rows.withColumn("n_removed", F.col("n_lines") - F.size("_kept"))

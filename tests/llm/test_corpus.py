@@ -281,3 +281,12 @@ def test_repeated_rows_keep_what_no_other_has(spark, parts):
         (suffix_dedup.drop_repeated_strings(d), {i: (w[1], w[3]) for i, w in brute.strings(docs, 50).items()}),
     ):
         assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got.collect()) == sorted((i, *want[i]) for i in (1, 1, 1, 2, 2, 3))
+
+
+def test_long_lines_between_other_neighbours(spark):
+    long, short = " ".join(f"w{k}" for k in range(51)), " ".join(f"w{k}" for k in range(50))
+    docs = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{short}\ne"), (3, f" {long}"), (4, long), (5, f"f\n{short}\n{long}\n{long}"), (6, None)]
+    d = frame(spark, docs)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()} == dict(docs)
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(d, long_words=51).collect()}
+    assert got == {1: (0, docs[0][1]), 2: (1, f"c\nd\n{short}\ne"), 3: (0, docs[2][1]), 4: (1, ""), 5: (2, f"f\n{short}"), 6: (0, None)}
