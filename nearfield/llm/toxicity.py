@@ -3,9 +3,9 @@
 The kernel compares words by their common subsequences of three bytes within a
 span of five, each gap at a discount, so gapped and inserted-character insults
 stay near the insult. Labels mark whole texts: a clean text's words are all
-clean, a toxic text has some toxic word (its witness). Words that only toxic
-texts hold are candidates; those that cover the toxic texts best are the witnesses and
-positives. Nyström landmarks span the space in which the squared-hinge
+clean, a toxic text has some toxic word (its witness). Words that toxic texts hold
+far more often than clean ones are candidates; those that cover the toxic texts best are
+the witnesses and positives. Nyström landmarks span the space in which the squared-hinge
 machine is solved. As scores are linear in the kernel's explicit features, the
 landmarks fold into one weight for each subsequence, and a text is scored by its
 highest word, through a sigmoid fitted on the training texts.
@@ -13,6 +13,7 @@ highest word, through a sigmoid fitted on the training texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ from .quality_classifier import held_out
 SAMPLE_TEXTS = 6000
 #: Word types that are learned from, at most: positives, negatives; and the landmarks.
 POSITIVES, NEGATIVES, HARD, LANDMARKS = 3000, 12_000, 1500, 400
+#: A candidate is this many times as frequent in toxic texts as in clean ones, at least.
+RATIO = 8
 GAP, BITS, PIECE, STEP = 0.6, 16, 30, 24
 _PATTERNS = ((1, 2, 1.0), (1, 3, GAP), (2, 3, GAP), (1, 4, GAP**2), (2, 4, GAP**2), (3, 4, GAP**2))
 
@@ -232,21 +235,30 @@ def fit(train: DataFrame) -> Model | None:
     """Learn from a bounded table of rows of text and toxic (0 or 1); None without both kinds."""
     sample = train
     counts = checkpointed(sample.mapInArrow(_types, "type string, toxic long").groupBy("type").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
-    bad = [r.type for r in counts.where("good = 0 and bad >= 2").orderBy(F.desc("bad"), "type").limit(POSITIVES).collect()]
+    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return None
+    # a clean label may be wrong: few clean texts do not rule a word out
+    pool = counts.where("bad >= 2").where(F.col("good") * F.lit(RATIO * n[1]) <= F.col("bad") * F.lit(n[0]))
+    found = pool.orderBy(F.desc("bad"), "type").limit(POSITIVES).collect()
+    bad = [r.type for r in found]
     seen = counts.where("good > 0")
     often = [r.type for r in seen.orderBy(F.desc("good"), "type").limit(NEGATIVES // 4).collect()]
     rest = [r.type for r in seen.orderBy(F.xxhash64("type"), "type").limit(NEGATIVES).collect()]
-    good = list(dict.fromkeys(often + rest))[:NEGATIVES]
+    held = [np.array(r.places) for r in _incidence(sample.where("toxic = 1"), bad).collect()]
+    chosen = witnesses(held, bad, supports([r.good for r in found], len(held), n[1] / (n[0] + n[1]), counts.where("bad >= 2").count()))
+    # where no word passes, the best cover by words of two texts or more has to do
+    chosen = chosen or witnesses(held, bad, np.full(len(bad), 2), rounds=1)
+    wanted = set(chosen)
+    good = [t for t in dict.fromkeys(often + rest) if t not in wanted][:NEGATIVES]
     if not bad or not good:
         return None
-    held = [np.array(r.places) for r in _incidence(sample.where("toxic = 1"), bad).collect()]
-    chosen = witnesses(held, bad)
     model = _machine(chosen, good)
     hard: list[str] = []
     for _ in range(2):
         # clean words that score highest come in as negatives and as landmarks
-        near = seen.select("type").mapInArrow(_near(model), "type string, raw double").orderBy(F.desc("raw"), "type").limit(HARD)
-        hard = list(dict.fromkeys(hard + [r.type for r in near.collect()]))
+        near = seen.select("type").mapInArrow(_near(model), "type string, raw double").orderBy(F.desc("raw"), "type").limit(HARD + len(chosen))
+        hard = list(dict.fromkeys(hard + [r.type for r in near.collect() if r.type not in wanted][:HARD]))
         model = _machine(chosen, hard + [t for t in good if t not in set(hard)])
     found = sample.select("text", "toxic").mapInArrow(_raw(model, "toxic"), "toxic int, raw double").toPandas()
     model.slope, model.shift = _sigmoid(found["raw"].to_numpy(), found["toxic"].to_numpy(dtype=float))
@@ -271,12 +283,33 @@ def _incidence(toxic: DataFrame, bad: list[str]) -> DataFrame:
     return toxic.select("text").mapInArrow(run, "places array<long>").where("size(places) > 0")
 
 
-def witnesses(held: list[np.ndarray], bad: list[str], rounds: int = 4) -> list[str]:
+def supports(good: list[int], held: int, share: float, tried: int) -> np.ndarray:
+    """Toxic texts that words in ``good`` clean texts must cover.
+
+    So many that, were toxic texts (a ``share`` of all) no likelier to hold it, less
+    than one of the ``tried`` words would do as well by chance. That does not grow
+    with the texts. For a word in no clean text one in a hundred of the ``held``
+    texts, and two at least, is enough as well.
+    """
+
+    def need(g: int) -> int:
+        b, tail = 1, 1.0
+        while tail > 1 / max(tried, 2) and b < held + 1:
+            b += 1
+            n = b + g
+            tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(1 - share) + (n - k) * math.log(share)) for k in range(g + 1))
+        return b
+
+    known = {g: need(g) for g in set(good)}
+    return np.array([min(known[g], max(2, held // 100)) if g == 0 else known[g] for g in good], dtype=np.int64)
+
+
+def witnesses(held: list[np.ndarray], bad: list[str], least: np.ndarray, rounds: int = 4) -> list[str]:
     """Words that witness the toxic texts, by greedy cover: the word of most texts without a witness comes next.
 
     Later rounds cover the texts anew with the words that are left. A word must
-    cover one in a hundred of the texts, and two at least: a few copies of a text
-    share words by chance.
+    cover ``least`` of the texts, its own number: a few copies of a text share words by
+    chance.
     """
     chosen: list[int] = []
     texts_of: list[list[int]] = [[] for _ in bad]
@@ -284,11 +317,10 @@ def witnesses(held: list[np.ndarray], bad: list[str], rounds: int = 4) -> list[s
         for t in places.tolist():
             texts_of[t].append(d)
     used = np.zeros(len(bad), dtype=bool)
-    least = max(2, len(held) // 100)
     for _ in range(rounds):
         bare = np.ones(len(held), dtype=bool)
         gain = np.array([len(x) for x in texts_of]) * ~used
-        while len(gain) and (t := int(np.argmax(gain))) >= 0 and gain[t] >= least:
+        while len(gain) and gain[t := int(np.argmax(np.where(gain >= least, gain, 0)))] >= least[t]:
             chosen.append(t)
             used[t] = True
             gain[t] = 0

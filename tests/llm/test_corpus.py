@@ -290,3 +290,28 @@ def test_long_lines_between_other_neighbours(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()} == dict(docs)
     got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.dedup_lines(d, long_words=51).collect()}
     assert got == {1: (0, docs[0][1]), 2: (1, f"c\nd\n{short}\ne"), 3: (0, docs[2][1]), 4: (1, ""), 5: (2, f"f\n{short}"), 6: (0, None)}
+
+
+def test_toxicity_learns_rare_insults(spark):
+    rng = random.Random(11)
+    say = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    good = [say(rng.randint(2, 8), "aeioulnrst") for _ in range(400)]
+    bad = [say(9, "bcdfghjkmpqvwxyz") for _ in range(120)]
+    docs = [(i, " ".join([rng.choice(good) for _ in range(12)] + [bad[i // 2 % 120]] * (i % 2))) for i in range(6000)]
+    labels = [(i, 1, i % 2) for i, _ in docs]
+    # one clean text with each insult, as a wrong label gives
+    docs += [(10_000 + k, f"{good[k]} {good[k + 1]} {w}") for k, w in enumerate(bad)]
+    labels += [(10_000 + k, 1, 0) for k in range(120)]
+    out = toxicity.classify(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in out if r.held_out and r.doc_id < 10_000]
+    for k in (0, 1):
+        assert np.mean([r.predicted == k for r in held if r.doc_id % 2 == k]) > 0.9
+
+
+def test_toxicity_without_a_clear_word(spark):
+    docs = [(i, f"some plain words and zgrobnik{i // 2:03}" if i % 2 else "some plain words and more") for i in range(1200)]
+    docs += [(5000 + i, f"plain vexquot{i // 3:04} x") for i in range(1200)]
+    labels = [(i, 1, i % 2) for i, _ in docs if i < 5000] + [(i, 1, 1) for i, _ in docs if i >= 5000]
+    out = toxicity.classify(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    toxic = [r.predicted for r in out if r.doc_id >= 5000]
+    assert np.mean(toxic) > 0.9 and np.mean([r.predicted for r in out if r.doc_id < 5000 and r.doc_id % 2 == 0]) < 0.1
