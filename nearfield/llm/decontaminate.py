@@ -1,12 +1,15 @@
 """Benchmark passages in documents, under word edits.
 
-A passage is found where a window of as many words as the item has lies within
-the item's allowed edit distance. Windows that share too few 3-word grams with
-items of their length cannot (each edit spoils three grams), so they are left
-out. The others and the items walk the CGK embedding: a random walk over the
-words that repeats or advances by shared random bits, so that edits become few
-differing coordinates. Samples of the coordinates are hash keys, repeated until
-the target recall; pairs that collide are verified by exact edit distance.
+An item is held where some run of words lies within the item's allowed edit
+distance. Windows of as many words as the item has are looked at: one that starts
+where such a run starts shares all but three 3-word grams an edit with the item
+(an inserted word breaks two grams and pushes a third out of the window), so
+windows with fewer are left out. The others and the items walk the CGK embedding:
+a random walk over the words that repeats or advances by shared random bits, so
+that edits become few differing coordinates. Samples of the coordinates are hash
+keys, repeated until the target recall; where keys collide, the item is aligned
+with the window and its surroundings by exact edit distance. Items too short for
+an edit are looked up as they are.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from ._spark import table, texts
 from ._text import BYTE_A, U64, WORD_A, Block, Words, blocks, cover, inside, lowered, mix, ragged, runs
 
-#: Fewest words of an item that is looked for, and most words of a piece of one.
-LEAST_WORDS, PIECE_WORDS = 6, 96
+#: Items of fewer words allow no edit: all their windows are looked up by hash and compared.
+EDITED_WORDS = 6
 #: Items and their bytes that are sent out at once; more go in further passes.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 #: Part of sampled coordinates that a pair at the allowed distance still shares, recall aimed at, coordinates a key.
@@ -46,28 +49,43 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes(BYTE_A), words.at
 
 
-def edit_distance(a: list, b: list, most: int) -> int:
-    """Levenshtein distance of two sequences by bit-parallel columns; most + 1 if it is above ``most``."""
+def _scores(a: list, b: list, anywhere: bool) -> Iterator[int]:
+    """Edit distance of ``a`` to each beginning of ``b``, or to the nearest run that ends there, by bit-parallel columns."""
     where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
-    n = len(a)
-    if not n:
-        return min(len(b), most + 1)
-    full, top = (1 << n) - 1, 1 << (n - 1)
-    up, down, score = full, 0, n
-    for j, x in enumerate(b):
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for x in b:
         eq = where.get(x, 0)
         across = (((eq & up) + up) ^ up) | eq | down
         hp, hn = down | (full & ~(across | up)), up & across
         score += bool(hp & top) - bool(hn & top)
+        yield score
+        hp, hn = (hp << 1 | (not anywhere)) & full, hn << 1 & full
+        up, down = hn | (full & ~((eq | down) | hp)), hp & (eq | down)
+
+
+def edit_distance(a: list, b: list, most: int) -> int:
+    """Levenshtein distance of two sequences; most + 1 if it is above ``most``."""
+    if not a:
+        return min(len(b), most + 1)
+    score = len(a)
+    for j, score in enumerate(_scores(a, b, False)):
         if score - (len(b) - j - 1) > most:
             return most + 1
-        hp, hn = (hp << 1 | 1) & full, hn << 1 & full
-        up, down = hn | (full & ~((eq | down) | hp)), hp & (eq | down)
     return min(score, most + 1)
 
 
+def best_run(a: list, b: list) -> tuple[int, int]:
+    """Least edit distance of ``a`` to any run of ``b``, and the end of the first run of that distance."""
+    best, end = len(a), 0
+    for j, score in enumerate(_scores(a, b, True)):
+        if score < best:
+            best, end = score, j + 1
+    return best, end
+
+
 class Walks:
     """CGK walks of word sequences, sampled; the same bits for documents and items."""
 
@@ -95,19 +113,23 @@ class Walks:
 
 
 class Index:
-    """Items of one block: pieces, the grams of each length, and LSH keys."""
+    """Items of one block: their words, the grams of each length, and LSH keys."""
 
     def __init__(self, ids: list[int], items: list[str], tolerance: float):
         self.walks = Walks(repetitions(), SAMPLED)
         seqs, owner = [], []
+        #: Items that allow no edit, by their number of words and their words.
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         for block in blocks(pa.array(items, type=pa.string())):
             words, at = tokens(block)
             for i in range(len(block)):
-                s = words[at[i] : at[i + 1]]
-                if len(s) >= LEAST_WORDS:
-                    for piece in np.array_split(s, math.ceil(len(s) / PIECE_WORDS)):
-                        seqs.append(piece)
-                        owner.append(ids[block.rows.start + i])
+                s, item = words[at[i] : at[i + 1]], ids[block.rows.start + i]
+                if len(s) >= EDITED_WORDS:
+                    seqs.append(s)
+                    owner.append(item)
+                elif len(s):
+                    self.short.setdefault(len(s), {}).setdefault(s.tobytes(), []).append(item)
+        self.short_keys = {n: np.unique(WORD_A.grams(np.frombuffer(b"".join(held), dtype=np.uint64), n)[::n]) for n, held in self.short.items()}
         self.owner = np.array(owner, dtype=np.int64)
         self.n = np.array([len(s) for s in seqs], dtype=np.int64)
         self.most = np.floor(tolerance * self.n + 1e-9).astype(np.int64)
@@ -130,13 +152,13 @@ class Index:
         keys = np.concatenate([self.walks.keys(words, start[a : a + _WINDOWS], self.n[a : a + _WINDOWS]) for a in range(0, len(start), _WINDOWS)])
         flat = keys.ravel()
         order = np.argsort(flat, kind="stable")
-        self.key, self.key_piece = flat[order], order // keys.shape[1]
+        self.key, self.key_item = flat[order], order // keys.shape[1]
 
     def candidates(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows (start, size number) with grams enough, in documents laid end to end."""
         none = np.zeros(0, dtype=np.int64)
         place = np.flatnonzero(inside(at, 3))
-        if not len(place) or not len(self.n):
+        if not len(self.n) or not len(place):
             return none, none
         gram = WORD_A.grams(words, 3)[place]
         slot = np.searchsorted(self.gram, gram)
@@ -174,26 +196,56 @@ class Index:
             return none, none
         return np.concatenate(starts), np.concatenate(sizes)
 
+    def exact(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, start, 0) of the short items, where their words stand."""
+        for n, held in self.short.items():
+            place = np.flatnonzero(inside(at, n))
+            for s in place[np.isin(WORD_A.grams(words, n)[place], self.short_keys[n])].tolist():
+                d = int(np.searchsorted(at, s, "right")) - 1
+                for item in held.get(words[s : s + n].tobytes(), ()):
+                    yield d, item, int(s - at[d]), 0
+
+    def padded(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents shorter than an item that they may hold are drawn out by words that nothing has."""
+        n = np.diff(at)
+        if not len(self.n):
+            return words, at
+        more = np.where((n >= (self.sizes - self.allowed).min()) & (n < self.sizes.max()), self.allowed.max(), 0)
+        return np.insert(words, np.repeat(at[1:], more), U64(1)), at + np.concatenate([[0], np.cumsum(more)])
+
     def matches(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(document, item, start, distance) of verified windows."""
+        """(document, item, start, distance) of verified places; windows that overlap are verified as one."""
+        yield from self.exact(words, at)
+        words, at = self.padded(words, at)
         start, size = self.candidates(words, at)
-        seen: dict = {}
+        found = [np.zeros((2, 0), dtype=np.int64)]
         for a in range(0, len(start), _WINDOWS):
             s, n = start[a : a + _WINDOWS], self.sizes[size[a : a + _WINDOWS]]
             keys = self.walks.keys(words, s, n).ravel()
             lo, hi = np.searchsorted(self.key, keys), np.searchsorted(self.key, keys, "right")
             window = np.repeat(np.repeat(np.arange(len(s)), self.walks.repeats), hi - lo)
-            pairs = np.unique(np.stack([window, self.key_piece[ragged(lo, hi - lo)]]), axis=1)
-            for w, piece in pairs.T.tolist():
-                if self.n[piece] != n[w]:
-                    continue
-                own = words[s[w] : s[w] + n[w]]
-                k = (own.tobytes(), piece)
-                if k not in seen:
-                    seen[k] = edit_distance(self.lists[piece], own.tolist(), int(self.most[piece]))
-                if seen[k] <= self.most[piece]:
-                    d = int(np.searchsorted(at, s[w], "right")) - 1
-                    yield d, int(self.owner[piece]), int(s[w] - at[d]), seen[k]
+            item = self.key_item[ragged(lo, hi - lo)]
+            met = self.n[item] == n[window]
+            found.append(np.unique(np.stack([item[met], s[window[met]]]), axis=1))
+        item, s = np.unique(np.concatenate(found, axis=1), axis=1)
+        if not len(s):
+            return
+        d = np.searchsorted(at, s, "right") - 1
+        new = np.ones(len(s), dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (d[1:] != d[:-1]) | (s[1:] - s[:-1] > self.n[item[1:]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(s)) - 1
+        seen: dict = {}
+        for i, doc, a, b in zip(item[first].tolist(), d[first].tolist(), s[first].tolist(), s[last].tolist(), strict=True):
+            n, most = int(self.n[i]), int(self.most[i])
+            a, b = max(a - most, int(at[doc])), min(b + n + most, int(at[doc + 1]))
+            own = words[a:b]
+            k = (own.tobytes(), i)
+            if k not in seen:
+                seen[k] = best_run(self.lists[i], own.tolist())
+            distance, end = seen[k]
+            if distance <= most:
+                yield doc, int(self.owner[i]), max(a + end - n - int(at[doc]), 0), distance
 
 
 def _scan(index: Index):
@@ -211,32 +263,60 @@ def _scan(index: Index):
     return run
 
 
-def find(documents: DataFrame, benchmark: DataFrame, tolerance: float = 0.2) -> DataFrame:
-    """(doc_id, item_id, distance, start): each item that a document holds, at its best window.
+def _texts_without(index: Index, column: int):
+    """Rows whose text holds no item."""
 
-    Words are compared without case (A-Z) and ASCII punctuation; ``start`` is the
-    window's first word, ``distance`` its word edit distance, at most ``tolerance``
-    times the item's words (for items of over 96 words: of one of their equal
-    pieces). Items of under 6 words, null texts and null ids are not looked for or
-    into. Rows that repeat a doc_id or an item_id give one row, of the least
-    (distance, start). Empty tables give no rows.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for block in blocks(batch.column(column).cast(pa.string())):
+                words, at = tokens(block)
+                for d, *_ in index.matches(words, at):
+                    clean[block.rows.start + d] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame, tolerance: float) -> Iterator[Index]:
+    """The items in blocks of bounded size, each to be sent out by itself."""
     if not 0 <= tolerance <= 0.2:
         raise ValueError("tolerance must lie in 0..0.2: beyond, windows need not share a gram")
-    docs = texts(documents).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item")).where("item_id is not null and item is not null")
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()
     passes = max(math.ceil(n / BLOCK_ITEMS), math.ceil(size / BLOCK_BYTES), 1)
-    out = None
     for i in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(passes)) == i).orderBy("item_id", "item").collect()
-        index = Index([r.item_id for r in rows], [r.item for r in rows], tolerance)
+        yield Index([r.item_id for r in rows], [r.item for r in rows], tolerance)
+
+
+def find(documents: DataFrame, benchmark: DataFrame, tolerance: float = 0.2) -> DataFrame:
+    """(doc_id, item_id, distance, start): each item that a document holds, at its best window.
+
+    Words are compared without case (A-Z) and ASCII punctuation. An item is held
+    if some run of words has a word edit distance to it of at most ``tolerance``
+    times its words; items of one to five words must occur as they are.
+    ``distance`` is that of the best run, and ``start`` the first word of the item-sized
+    window that ends with it (the first such run; 0 if the window would begin before the text). Null texts and null ids are not
+    looked for or into, nor are items without words. Rows that repeat a doc_id or
+    an item_id give one row, of the least (distance, start). Empty tables give no
+    rows.
+    """
+    docs = texts(documents).where("doc_id is not null and text is not null")
+    out = None
+    for index in _indexes(benchmark, tolerance):
         found = docs.mapInArrow(_scan(index), "doc_id long, item_id long, distance long, start long")
         out = found if out is None else out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start")).alias("m")).select("doc_id", "item_id", "m.distance", "m.start")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, tolerance: float = 0.2) -> DataFrame:
-    """The documents that hold no item; columns stay as they are, rows of null doc_id stay."""
-    found = find(documents, benchmark, tolerance).select(F.col("doc_id").alias("_held")).distinct()
-    return documents.join(found, F.col("doc_id").cast("long") == F.col("_held"), "left_anti")
+    """The rows whose text holds no item; columns stay as they are.
+
+    Rows are judged where they are read, each by its own text: repeated and null
+    doc_ids change nothing, null and empty texts hold nothing and stay.
+    """
+    out = documents
+    for index in _indexes(benchmark, tolerance):
+        out = out.mapInArrow(_texts_without(index, documents.columns.index("text")), documents.schema)
+    return out

@@ -8,19 +8,26 @@ one Spark CASE expression over the statistics.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed
-from ._stats import FEATURES, feature, statistics
+from ._spark import checkpointed, texts
+from ._stats import FEATURES, NAMES, count, feature, ratio, statistics
+from ._text import blocks
 
 #: Labelled rows that the list is learned from, at most (those of least hash).
 SAMPLE_ROWS = 20_000
 
 
+#: The rows that the base rejects.
+BASE_SQL = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
 @dataclass(frozen=True)
 class Test:
     name: str
@@ -105,11 +112,14 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, most_rule
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Learn from at most ``sample_rows`` labelled rows, chosen by a hash of doc_id."""
+def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Learn from at most ``sample_rows`` labelled ids, chosen by a hash of doc_id; only their texts are counted."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_labelled")).agg(F.min("quality").alias("_quality"))
-    sample = marks.orderBy(F.xxhash64("_labelled"), "_labelled").limit(sample_rows)
-    rows = stats.join(F.broadcast(sample), stats.doc_id == sample._labelled)
+    sample = F.broadcast(checkpointed(marks.orderBy(F.xxhash64("_labelled"), "_labelled").limit(sample_rows)))
+    some = texts(documents).join(sample, F.col("doc_id") == F.col("_labelled"), "left_semi")
+    rows = statistics(some).join(sample, F.col("doc_id") == F.col("_labelled"))
+    # rows that repeat an id are learned from once, by the least counts
+    rows = rows.groupBy("doc_id", "_quality").agg(F.min(F.struct(*NAMES)).alias("m")).select("doc_id", "_quality", "m.*")
     found = rows.select(*(feature(k).alias(k) for k in FEATURES), "_quality", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).alias("_fold"), "doc_id").toPandas().sort_values("doc_id")
     x = {k: found[k].to_numpy(dtype=float) for k in FEATURES}
     return learn(x, found["_quality"].to_numpy() == 0, found["_fold"].to_numpy())
@@ -134,12 +144,35 @@ def judge(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     no words and fail. Rows that repeat a doc_id are judged each by its own text.
     Without labelled rows of both kinds nothing but the base rejects.
     """
-    stats = checkpointed(statistics(documents))
-    rules = fit(stats, labels, sample_rows)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    rules = fit(documents, labels, sample_rows)
+    return statistics(documents).withColumn("base_failed", F.expr(BASE_SQL)).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def passes(rules: list[Rule], counts: dict[str, np.ndarray]) -> np.ndarray:
+    """What ``judge`` calls kept, from counts in memory."""
+    n = len(counts["n_words"])
+    out = (counts["n_words"] >= 50) & (100 * counts["n_repeat_words"] <= 50 * counts["n_words"])
+    x = {k: ratio(k, counts) for k in FEATURES}
+    for rule in rules:
+        out &= ~_covered(rule, x, n)
+    return out
 
 
-def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of the table whose text is kept; columns stay as they are."""
-    return documents.join(judge(documents, labels).where("not kept").select(F.col("doc_id").alias("_rejected")).distinct(), F.col("doc_id") == F.col("_rejected"), "left_anti")
+def _kept(rules: list[Rule], column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [passes(rules, count(block)) for block in blocks(batch.column(column).cast(pa.string()))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return run
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of the table whose text is kept; columns stay as they are.
+
+    Rows are judged where they are read, each by its own text, whatever its doc_id
+    (null and repeated ones too); null and empty texts go.
+    """
+    rules = fit(documents, labels, sample_rows)
+    return documents.mapInArrow(_kept(rules, documents.columns.index("text")), documents.schema)

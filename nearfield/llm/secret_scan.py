@@ -26,7 +26,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts; the value is the last group.
 WEAK_ID = re.compile(r"(?ai:\b(user(?:_?name)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?))" + _SPACE_Q + r"([A-Za-z0-9@._-]{3,})")
 WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])(?=[0-9A-Z+/_-]*[a-z])([A-Za-z0-9+/_-]{32,64}={0,2})(?![A-Za-z0-9+/_=-])")
-WEAK_ENDPOINT = re.compile(r"(?a:\b([a-z][a-z0-9+.-]{1,11}://[^\s\"'<>]{3,}|(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|googleapis|azure|internal)\.[a-z]{2,}))")
+#: Hosts start where a token starts and have labels of at most 63 characters, so each character of a long run is looked at a bounded number of times.
+WEAK_ENDPOINT = re.compile(r"(?a:(\b[a-z][a-z0-9+.-]{1,11}://[^\s\"'<>]{3,}|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}|(?<![A-Za-z0-9_.-])(?:[a-z0-9-]{1,63}\.)+(?:amazonaws|googleapis|azure|internal)\.[a-z]{2,}))")
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ID_WORDS = ("user", "login", "account", "client", "access")
 
@@ -62,23 +63,30 @@ _NEEDS = {"id": ("secret",), "key": ("id",), "endpoint": ("id", "secret")}
 def linked(strong: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], scope: int) -> list[tuple[str, int, int]]:
     """The weak parts that have their complementary parts within ``scope`` code points.
 
-    An interval join: the parts of a role are kept by start; as parts of a role do not
-    nest, those that touch a scope are found by bisection. Parts that overlap a part
-    of the same role, or are the part itself, complement nothing.
+    An interval join: of each role the starts and the ends are kept in order, so the
+    parts that touch a scope, and those of them that overlap the part in question,
+    are counted by bisection. What overlaps a part is the same text and complements
+    nothing; nor does a weak part count that a strong one of its own role overlaps.
     """
     roles: dict[str, list[tuple[int, int]]] = {"secret": [], "id": [], "endpoint": []}
+    sure: dict[str, list[tuple[int, int]]] = {"secret": [], "id": [], "endpoint": []}
+    for kind, a, b in strong:
+        sure[_ROLE[kind]].append((a, b))
     for kind, a, b in strong + weak:
         roles[_ROLE[kind]].append((a, b))
-    starts, ends = {}, {}
-    for role, parts in roles.items():
-        parts.sort()
-        starts[role], ends[role] = [a for a, _ in parts], sorted(b for _, b in parts)
+    sides = lambda parts: (sorted(a for a, _ in parts), sorted(b for _, b in parts))
+    every, certain = ({role: sides(parts) for role, parts in of.items()} for of in (roles, sure))
+
+    def touching(of: tuple[list[int], list[int]], a: int, b: int) -> int:
+        """Parts that share a place with a..b (end exclusive)."""
+        return bisect_left(of[0], b) - bisect_right(of[1], a)
+
     out = []
     for kind, a, b in weak:
-        if any(x < b and a < y for k, x, y in strong if _ROLE[k] == _ROLE[kind]):
+        if touching(certain[_ROLE[kind]], a, b):
             continue
-        near = lambda role: bisect_right(starts[role], b + scope) - bisect_left(ends[role], a - scope)  # noqa: B023, E731
-        if all(near(role) > 0 for role in _NEEDS[kind]):
+        # a part that ends where the scope starts, or starts where it ends, is within it
+        if all(touching(every[role], a - scope - 1, b + scope + 1) > touching(every[role], a, b) for role in _NEEDS[kind]):
             out.append((kind, a, b))
     return out
 
