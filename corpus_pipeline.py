@@ -20,32 +20,42 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, each row by its own text; null and empty texts go too."""
     return quality_rules.keep_good(docs, _read(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of two lines or more go, and documents of which no word is left."""
+    """Later repeated runs of two lines or more, or of one line of over 50 words, go, and documents of which no word is left.
+
+    Rows of null doc_id keep their lines; rows that repeat a doc_id are one document.
+    Documents that lose nothing stay as they are, wordless ones too.
+    """
     ship(spark)
-    out = line_dedup.dedup_lines(docs, window=2)
+    out = line_dedup.dedup_lines(docs, window=2, long_words=51)
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     columns = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
     return out.withColumns(columns).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five-word shingles, 0.8)."""
+    """One document of each group of near-duplicates stays (five-word shingles, 0.8): the least doc_id.
+
+    Rows that repeat the doc_id that stays, wordless rows and rows of null doc_id stay.
+    """
     ship(spark)
     return minhash_dedup.drop_near_duplicates(docs, shingle_words=5, percent=80)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row by its own text."""
     return decontaminate.drop_contaminated(docs, _read(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: how often each document is taken, and in how many words."""
+    """The mix: how often each document is taken, and in how many words.
+
+    Null texts have no words; rows that repeat a doc_id are drawn together.
+    """
     ship(spark)
     return mixing.mix(docs)
 

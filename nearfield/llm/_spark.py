@@ -25,6 +25,18 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each drawn out by underscores until no column has it."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in held:
+            n += "_"
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
 def texts(documents: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever else the table holds.
 

@@ -103,17 +103,18 @@ def near(docs, size: int, percent: int) -> dict[int, tuple]:
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def lines(docs, window: int) -> dict[int, tuple]:
+def lines(docs, window: int, long_words: int | None = None) -> dict[int, tuple]:
     """op9's rows: (n_lines, n_removed, kept text)."""
     seen, out = set(), {}
     for i, t in sorted(docs):
         rows = (t or "").split("\n")
         gone = [False] * len(rows)
-        for a in range(len(rows) - window + 1):
-            k = tuple(rows[a : a + window])
-            if any(WORD.search(x) for x in k):
-                if k in seen:
-                    gone[a : a + window] = [True] * window
-                seen.add(k)
+        for n, least in ((window, None), (1, long_words)) if long_words else ((window, None),):
+            for a in range(len(rows) - n + 1):
+                k = (least, *rows[a : a + n])
+                if len(words(k[1])) >= least if least else any(WORD.search(x) for x in k[1:]):
+                    if k in seen:
+                        gone[a : a + n] = [True] * n
+                    seen.add(k)
         out[i] = (len(rows), sum(gone), "\n".join(r for r, g in zip(rows, gone, strict=True) if not g))
     return out

@@ -74,12 +74,13 @@ def test_large_families_meet_block_by_block(table, docs):
     assert got == brute.near(docs, 3, 85)
 
 
-@pytest.mark.parametrize("window", [1, 2, 3])
-def test_line_dedup(table, docs, window):
-    out = line_dedup.dedup_lines(table, window)
+@pytest.mark.parametrize("window", [1, 2, 3, 4, 5])
+@pytest.mark.parametrize("long", [None, 4])
+def test_line_dedup(table, docs, window, long):
+    out = line_dedup.dedup_lines(table, window, long)
     assert set(table.columns) <= set(out.columns)
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text or "") for r in out.collect()}
-    assert got == brute.lines(docs, window)
+    assert got == brute.lines(docs, window, long)
 
 
 def test_hot_runs_of_lines(spark):

@@ -32,7 +32,7 @@ def test_stages(spark):
     got = {r.doc_id: r.text for r in out["quality_rules"].collect()}
     assert got == held and len(good & set(held)) > 0.9 * len({i for i in good if len(brute.words(brute_text(spark, i))) >= 50})
 
-    held = {i: t for i, (_, n, t) in brute.lines(held.items(), 2).items() if n == 0 or brute.WORD.search(t)}
+    held = {i: t for i, (_, n, t) in brute.lines(held.items(), 2, 51).items() if n == 0 or brute.WORD.search(t)}
     assert {r.doc_id: r.text for r in out["line_dedup"].collect()} == held
     assert out["line_dedup"].where("n_chars <> length(text)").count() == 0
 
