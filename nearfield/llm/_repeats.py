@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import table
-from ._text import U64, mix, ragged, signed
+from ._spark import checkpointed, table, texts
+from ._text import U64, ragged
 
 BUFFER_ROWS, SUBS, MARKS_A_ROW = 1 << 19, 4, 1 << 15
 PACKED = "bucket int, sub int, kind int, data binary"
 PLACES = "doc_id long, mark long, kind int"
-#: Kinds of packed rows and of places: keyed rows, known repeats, and (places only) rows to look at again.
+#: Kinds of packed rows and of places: keyed rows, known repeats, and rows to look at again.
 KEYED, KNOWN, AGAIN = 0, 1, 2
 
 Columns = tuple[np.ndarray, ...]
@@ -183,6 +183,14 @@ def not_first(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) ->
     yield places(*merged(doc[rest], pos[rest], np.ones(len(rest), dtype=np.int64)))
 
 
+def not_first_doc(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places of keys that a lesser document has too."""
+    doc, pos = doc.view(np.int64), pos.view(np.int64)
+    order = np.lexsort((pos, doc, g, h))
+    rest = order[beyond_first(fresh(h[order], g[order]), doc[order])]
+    yield places(*merged(doc[rest], pos[rest], np.ones(len(rest), dtype=np.int64)))
+
+
 def receive(judge: Callable[..., Iterator[pa.RecordBatch]], widths: tuple[int, ...]):
     """Reads the packed rows of a partition, slice by slice, and judges each slice's keyed rows together."""
 
@@ -217,49 +225,59 @@ def bucket_ids(spark: SparkSession) -> list[int]:
     return [r.id for r in rows.groupBy("p").agg(F.min("id").alias("id")).orderBy("p").collect()]
 
 
+def based(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) and, where rows of one doc_id differ, ``base``: rows of one id are one document, laid end to end.
+
+    ``base`` is the place at which a row begins in its document, in bytes or words; rows of one
+    text have one base, so a row that comes twice is no copy of itself.
+    """
+    docs = texts(documents)
+    named = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    mixed = named.groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low <> high")
+    mixed = checkpointed(mixed.select("doc_id"))
+    if mixed.isEmpty():
+        return docs
+    rows = named.join(mixed, "doc_id", "left_semi").distinct()
+    before = F.coalesce(F.sum(F.col("size") + 1).over(W.partitionBy("doc_id").orderBy("hash", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = checkpointed(rows.select(F.col("doc_id").alias("mixed_id"), F.col("hash").alias("mixed_hash"), before.alias("before")))
+    out = docs.join(rows, (docs.doc_id == rows.mixed_id) & (F.xxhash64("text") == rows.mixed_hash), "left")
+    return checkpointed(out.select("doc_id", "text", F.coalesce("before", F.lit(0)).cast("long").alias("base")))
+
+
 def marked(docs: DataFrame, found: DataFrame, keep_all: bool = False) -> DataFrame:
-    """Documents with their marks; the exchange of the texts is one and the same in every use.
+    """Documents (see ``based``) with their marks; the exchange of the texts is one and the same in every use.
 
     A mark is pos * 2**32 + length. ``keep_all`` keeps documents without marks, and
     rows whose doc_id is null.
     """
     marks = found.groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_list("mark").alias("marks")).hint("shuffle_hash")
     known = docs.where("doc_id is not null")
-    out = known.join(marks, known.doc_id == marks.marked_id, "left" if keep_all else "inner").select("doc_id", "text", "marks")
+    out = known.join(marks, known.doc_id == marks.marked_id, "left" if keep_all else "inner").select(*docs.columns, "marks")
     if keep_all:
-        nameless = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(out.schema["marks"].dataType).alias("marks"))
+        nameless = docs.where("doc_id is null").select(*docs.columns, F.lit(None).cast(out.schema["marks"].dataType).alias("marks"))
         out = out.union(nameless)
     return out
 
 
-def mark_arrays(column: pa.Array, start: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows start..start+n of a column of marks: row number, pos and length of each mark."""
-    part = column.slice(start, n)
+def bases(batch: pa.RecordBatch) -> np.ndarray:
+    """Where each row begins in its document."""
+    return batch["base"].to_numpy() if "base" in batch.schema.names else np.zeros(batch.num_rows, dtype=np.int64)
+
+
+def mark_arrays(batch: pa.RecordBatch, rows: slice, size: np.ndarray, scale: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a slice of rows of these sizes: row number, pos within the row and length of each mark that lies in the row.
+
+    ``scale``: a place is told apart by so many positions.
+    """
+    part = batch["marks"].slice(rows.start, len(size))
     counts = pc.fill_null(pc.list_value_length(part), 0).to_numpy().astype(np.int64)
     flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(n), counts), flat >> 32, flat & 0xFFFFFFFF
+    row, pos, length = np.repeat(np.arange(len(size)), counts), flat >> 32, flat & 0xFFFFFFFF
+    pos = pos - scale * bases(batch)[rows][row]
+    own = (pos >= 0) & (pos < scale * size[row])
+    return row[own], pos[own], length[own]
 
 
 def spread(row: np.ndarray, pos: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and pos of every single place of the marks."""
     return np.repeat(row, length), ragged(pos, length)
-
-
-HASHED = "h long, g long, doc_id long, mark long, known boolean"
-
-
-def hashed(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Single places under their keys, for ``later_docs``."""
-    return table("h:l,g:l,doc_id:l,mark:l,known:b", h=signed(h), g=signed(g), doc_id=doc, mark=(pos.astype(np.int64) << 32) | 1, known=np.zeros(len(h), dtype=bool))
-
-
-def settled(doc: np.ndarray, pos: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-    """Marks that are known to hold, dealt out evenly."""
-    k = signed(mix(doc.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)))
-    return table("h:l,g:l,doc_id:l,mark:l,known:b", h=k, g=k, doc_id=doc, mark=(pos.astype(np.int64) << 32) | length.astype(np.int64), known=np.ones(len(doc), dtype=bool))
-
-
-def later_docs(rows: DataFrame) -> DataFrame:
-    """(doc_id, mark, kind) of the rows whose key a smaller doc_id has too, and of the known ones."""
-    least = F.min("doc_id").over(W.partitionBy("h", "g"))
-    return rows.withColumn("least", least).where("known or doc_id > least").select("doc_id", "mark", F.lit(KNOWN).cast("int").alias("kind"))

@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._repeats import FIRST_WIDTHS, MANY_WIDTHS, PACKED, Exchange, Thinned, bucket_ids, exchanged, mark_arrays, marked, many, not_first, spread
-from ._spark import table, texts
+from ._repeats import FIRST_WIDTHS, MANY_WIDTHS, PACKED, Exchange, Thinned, based, bases, bucket_ids, exchanged, mark_arrays, marked, many, not_first, spread
+from ._spark import table
 from ._text import BYTE_B, WORD_A, WORD_B, Block, Words, blocks, cover, inside, window_minima
 
 
@@ -36,13 +36,13 @@ def _quarters(window: int, buckets: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Thinned(Exchange(buckets, MANY_WIDTHS), first=False)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, base = batch.column(0).to_numpy(zero_copy_only=False), bases(batch)
             for block in blocks(batch.column(1)):
                 words = Words(block)
                 _, anchor, grams = _anchors(words, words.hashes(), window)
                 place = np.unique(anchor)
                 doc = words.doc()[place]
-                yield from out.add(grams[place], np.zeros(len(place), np.uint64), ids[block.rows][doc], place - words.at[doc])
+                yield from out.add(grams[place], np.zeros(len(place), np.uint64), ids[block.rows][doc], place - words.at[doc] + base[block.rows][doc])
         yield from out.flush()
 
     return run
@@ -50,7 +50,7 @@ def _quarters(window: int, buckets: list[int]):
 
 def _lift(batch: pa.RecordBatch, block: Block, words: Words) -> np.ndarray:
     """Which word places of the block are marked."""
-    row, pos = spread(*mark_arrays(batch.column(2), block.rows.start, len(block)))
+    row, pos = spread(*mark_arrays(batch, block.rows, np.diff(words.at)))
     place = words.at[row] + pos
     out = np.zeros(len(words), dtype=bool)
     out[place[place < words.at[row + 1]]] = True
@@ -63,13 +63,13 @@ def _halves(window: int, buckets: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Thinned(Exchange(buckets, MANY_WIDTHS), first=False)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, base = batch.column(0).to_numpy(), bases(batch)
             for block in blocks(batch.column(1)):
                 words = Words(block)
                 grams = WORD_B.grams(words.hashes(), half)
                 anchor = np.flatnonzero(_lift(batch, block, words))
                 doc = words.doc()[anchor]
-                own = anchor - words.at[doc]
+                own = anchor - words.at[doc] + base[block.rows][doc]
                 # a half window at its own place p goes by 2p if it runs right from the anchor, by 2p + 1 if left
                 for start, side in ((anchor, 0), (anchor - (half - quarter), 1)):
                     ok = (start >= words.at[doc]) & (start + half <= words.at[doc + 1])
@@ -85,12 +85,12 @@ def _wholes(window: int, buckets: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Thinned(Exchange(buckets, FIRST_WIDTHS), first=True)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, base = batch.column(0).to_numpy(), bases(batch)
             for block in blocks(batch.column(1)):
                 words = Words(block)
                 hashes = words.hashes()
                 start, anchor, _ = _anchors(words, hashes, window)
-                row, pos = spread(*mark_arrays(batch.column(2), block.rows.start, len(block)))
+                row, pos = spread(*mark_arrays(batch, block.rows, np.diff(words.at), 2))
                 alive = np.zeros((2, len(words) + 1), dtype=bool)
                 place = words.at[row] + pos // 2
                 ok = place < words.at[row + 1]
@@ -99,7 +99,7 @@ def _wholes(window: int, buckets: list[int]):
                 start = start[keep]
                 doc = words.doc()[start]
                 h, g = WORD_A.grams(hashes, window), WORD_B.grams(words.hashes(BYTE_B), window)
-                yield from out.add(h[start], g[start], ids[block.rows][doc], start - words.at[doc])
+                yield from out.add(h[start], g[start], ids[block.rows][doc], start - words.at[doc] + base[block.rows][doc])
         yield from out.flush()
 
     return run
@@ -110,7 +110,7 @@ def _cut(window: int, keep_text: bool):
         for batch in batches:
             for block in blocks(batch.column(1)):
                 words = Words(block)
-                row, pos, length = mark_arrays(batch.column(2), block.rows.start, len(block))
+                row, pos, length = mark_arrays(batch, block.rows, np.diff(words.at))
                 begin = words.at[row] + pos
                 end = np.minimum(begin + length - 1 + window, words.at[row + 1])
                 ok = begin < end
@@ -144,11 +144,14 @@ def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, mark): runs of word windows that also start earlier; a mark is first word * 2**32 + windows.
 
     Earlier means a smaller doc_id, or the same document and an earlier start.
-    ``window`` is a multiple of 4.
+    ``window`` is a multiple of 4. Of doc_ids whose rows differ, first words count from ``based``.
     """
+    return _repeated_windows(based(documents), window)
+
+
+def _repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     if window < 4 or window % 4:
         raise ValueError("window must be a multiple of 4")
-    docs = texts(documents)
     known = docs.where("doc_id is not null")
     buckets = bucket_ids(docs.sparkSession)
     n = len(buckets)
@@ -163,8 +166,9 @@ def drop_repeated_windows(documents: DataFrame, window: int = 20, keep_text: boo
     A word goes if a window over it also starts earlier; windows are judged on
     the input. Kept words are joined by one space. Null texts have no words. Rows
     whose doc_id is null lose nothing and are no one's earlier copy; rows that
-    repeat a doc_id count as one document in place order. No rows in, none out.
+    repeat a doc_id are one document, laid end to end (in the order of a hash of their
+    texts), and a row that comes twice is no copy of itself. No rows in, none out.
     """
-    docs = texts(documents)
+    docs = based(documents)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return marked(docs, repeated_windows(documents, window), keep_all=True).mapInArrow(_cut(window, keep_text), schema)
+    return marked(docs, _repeated_windows(docs, window), keep_all=True).mapInArrow(_cut(window, keep_text), schema)

@@ -49,19 +49,30 @@ def test_substring_dedup(table, docs, window):
 
 
 @pytest.mark.parametrize("most", [1 << 16, 1])
-def test_suffix_dedup(table, docs, most, monkeypatch):
-    whole = suffix_dedup.repeated_strings
-    monkeypatch.setattr(suffix_dedup, "repeated_strings", lambda d, n: whole(d, n, most))
-    got = rows(suffix_dedup.drop_repeated_strings(table), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def test_suffix_dedup(table, docs, most):
+    got = rows(suffix_dedup.drop_repeated_strings(table, most_fragments=most), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.strings(docs, 50)
 
 
-def test_longest_previous_factor():
+def test_longest_previous_factors():
     rng = random.Random(1)
-    for _ in range(100):
-        s = bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(25)))
-        want = [max([0] + [max(k for k in range(len(s) - p + 1) if s[q : q + k] == s[p : p + k]) for q in range(p)]) for p in range(len(s))]
-        assert suffix_dedup.longest_previous_factor(s) == want
+    for _ in range(200):
+        depth = rng.randint(1, 20)
+        texts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(depth, 30))) for _ in range(rng.randint(1, 6))]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.cumsum([0, *map(len, texts)])
+        start = np.concatenate([np.arange(a, b - depth + 1) for a, b in zip(at[:-1], at[1:])])
+        doc = np.array([rng.randrange(4) for _ in texts])[np.searchsorted(at, start, "right") - 1]
+        order, common = suffix_dedup.sorted_suffixes(data, start, depth)
+        cut = [bytes(data[s : s + depth]) for s in start[order]]
+        assert cut == sorted(cut)
+        prefix = lambda a, b: next((k for k in range(depth) if a[k] != b[k]), depth)  # noqa: B023, E731
+        assert common.tolist() == [0] + [prefix(a, b) for a, b in zip(cut, cut[1:])]
+        d = doc[order].tolist()
+        want = [max([prefix(x, y) for y, e in zip(cut, d) if e < k] or [0]) for x, k in zip(cut, d)]
+        assert suffix_dedup.longest_previous_factors(doc[order], common).tolist() == want
+        got = suffix_dedup.longest_previous_factors(doc[order], common, depth) >= depth
+        assert got.tolist() == [w == depth for w in want]
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80), (2, 60)])

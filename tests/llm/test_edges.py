@@ -10,7 +10,7 @@ import pytest
 
 import brute
 import corpus_pipeline
-from nearfield.llm import decontaminate, line_dedup, quality_rules, secret_scan
+from nearfield.llm import decontaminate, line_dedup, quality_rules, secret_scan, substring_dedup, suffix_dedup
 from nearfield.llm._stats import FEATURES
 from nearfield.llm._text import blocks
 from nearfield.sources.ship import ship
@@ -193,3 +193,41 @@ def test_lines_of_rows_that_repeat_an_id(spark):
     docs = [(1, "a\nb\nown"), (1, "own\nx\na\nb"), (2, "own\nx"), (2, "own\nx"), (None, "a\nb"), (3, "q\nr")]
     got = sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_lines(frame(spark, docs)).collect())
     assert got == sorted([("1", "a\nb\nown"), ("1", "own\nx"), ("2", ""), ("2", ""), ("None", "a\nb"), ("3", "q\nr")])
+
+
+def test_differing_rows_of_one_id_are_judged_each(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, long, short = say(40), say(300), say(25)
+    docs = [(1, shared), (2, f"{long} {shared} end"), (2, f"{short} {shared}"), (2, short), (3, f"{short} x"), (4, None), (2, f"{long} {shared} end")]
+    for parts in (1, 3):
+        table = frame(spark, docs).repartition(parts)
+        first = {}
+        for i, t in docs:
+            b = (t or "").encode()
+            for a in range(len(b) - 49):
+                first[b[a : a + 50]] = min(i, first.get(b[a : a + 50], i))
+        want = []
+        for i, t in docs:
+            b = (t or "").encode()
+            gone = bytearray(len(b))
+            for a in range(len(b) - 49):
+                if first[b[a : a + 50]] < i:
+                    gone[a : a + 50] = b"\1" * 50
+            want.append((i, len(b), sum(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.drop_repeated_strings(table).collect()]
+        assert sorted(got) == sorted(want)
+        kept = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.drop_repeated_windows(table).collect())
+        # of the two rows of id 2 that hold the short text, and of those that hold the shared one, all copies but the first document's go
+        assert [k for k in kept if k[1] == 341] == [(2, 341, 40)] * 2 and (1, 40, 0) in kept and (4, 0, 0) in kept
+        assert sorted(n for i, w, n in kept if i == 2 and w in (25, 65)) in ([0, 65], [25, 40])
+
+
+def test_an_anchor_of_very_many_fragments(spark):
+    core = "the very same sixteen bytes and more of them"
+    docs = [(i, f"{i * 7919 % 100_003:06d}{core}{i // 2:06d}") for i in range(1, 20_001)]
+    table = frame(spark, docs)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.drop_repeated_strings(table).collect()}
+    assert got == brute.strings(docs, 50)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.drop_repeated_strings(table, most_fragments=100).collect()}
+    assert got == brute.strings(docs, 50)
