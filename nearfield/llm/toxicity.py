@@ -2,18 +2,22 @@
 
 The kernel compares words by their common subsequences of three bytes within a
 span of five, each gap at a discount, so gapped and inserted-character insults
-stay near the insult. Labels mark whole texts: a clean text's words are all
-clean, a toxic text has some toxic word (its witness). Words that toxic texts hold
-far more often than clean ones are candidates; those that cover the toxic texts best are
-the witnesses and positives. Nyström landmarks span the space in which the squared-hinge
-machine is solved. As scores are linear in the kernel's explicit features, the
-landmarks fold into one weight for each subsequence, and a text is scored by its
-highest word, through a sigmoid fitted on the training texts.
+stay near the insult. Training rows are labelled texts, and the machine sees a text
+through its highest word: a clean text has no toxic word, a toxic one has at
+least one. Which word that is, is learned in turns: first words that toxic texts
+hold significantly more often than clean ones count as toxic; then, with the
+machine fitted, each toxic text enters by its highest word if that lies on the toxic
+side (else its label is taken for noise), and each clean text by its highest word
+and by words drawn from it. Near copies of a text count once. Nyström landmarks span the
+space in which the squared-hinge machine is solved. As scores are linear in the kernel's
+explicit features, the landmarks fold into one weight for each subsequence. A sigmoid
+fitted on the training texts turns the highest word's output into the score.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,16 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import checkpointed, table, texts
-from ._text import BYTE_A, Block, Words, blocks, lowered, ragged
+from ._text import BYTE_A, Block, Words, blocks, lowered, mix, ragged
 from .decontaminate import _DROPPED
 from .quality_classifier import held_out
 
 #: Labelled texts of either kind that are learned from, at most (those of least hash).
 SAMPLE_TEXTS = 6000
-#: Word types that are learned from, at most: positives, negatives; and the landmarks.
-POSITIVES, NEGATIVES, HARD, LANDMARKS = 3000, 12_000, 1500, 400
-#: A candidate is this many times as frequent in toxic texts as in clean ones, at least.
-RATIO = 8
+#: Nyström landmarks, words drawn from each clean text, and turns of choosing the highest words.
+LANDMARKS, DRAWN, TURNS = 400, 2, 3
+#: The part of clean texts whose highest word a toxic text's must exceed to count.
+CLEAR = 0.995
+#: Hashes of a text's words that are compared to find near copies among toxic texts, and how many must agree.
+SIGNATURE, ALIKE = 16, 12
 GAP, BITS, PIECE, STEP = 0.6, 16, 30, 24
 _PATTERNS = ((1, 2, 1.0), (1, 3, GAP), (2, 3, GAP), (1, 4, GAP**2), (2, 4, GAP**2), (3, 4, GAP**2))
 
@@ -99,16 +105,16 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Machine outputs of words."""
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Machine outputs of words, and the piece of each that gives it."""
         begin, stop, word = _pieces(start, end)
         out = np.full(len(begin), self.bias)
         for r, slot, w in _features(data, begin, stop):
             norm = np.sqrt((w * w).sum(1))
             out[r] += (self.weights[slot] * w).sum(1) / np.maximum(norm, 1e-6)
-        best = np.full(len(start), -np.inf)
-        np.maximum.at(best, word, out)
-        return best
+        order = np.lexsort((out, word))
+        last = order[np.append(np.flatnonzero(np.diff(word[order])), len(order) - 1)] if len(order) else order
+        return out[last], begin[last], stop[last]
 
     def texts(self, block: Block) -> np.ndarray:
         """The highest word of each text; -9 for texts without words."""
@@ -116,7 +122,7 @@ class Model:
         out = np.full(len(block), -9.0)
         if len(words):
             _, first, back = np.unique(words.hashes(BYTE_A), return_index=True, return_inverse=True)
-            f = self.words(words.data, words.start[first], words.end[first])[back]
+            f = self.words(words.data, words.start[first], words.end[first])[0][back]
             some = np.flatnonzero(np.diff(words.at))
             out[some] = np.maximum.reduceat(f, words.at[:-1][some])
         return np.maximum(out, -9.0)
@@ -125,32 +131,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -40, 40)))
 
 
-def _matrix(types: list[str]) -> np.ndarray:
-    """Normalised explicit features of words (of their first piece), dense over the slots in use elsewhere."""
-    out = np.zeros((len(types), 1 << BITS), dtype=np.float32)
-    for block in blocks(pa.array(types, type=pa.string())):
-        start, end = block.at[:-1], np.minimum(block.at[1:], block.at[:-1] + PIECE)
-        base = block.rows.start
-        for r, slot, w in _features(block.data, start, end):
-            norm = np.sqrt((w * w).sum(1))
-            np.add.at(out, (np.repeat(base + r, slot.shape[1]), slot.ravel()), (w / np.maximum(norm, 1e-6)[:, None]).ravel())
+def _normalised(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features of words of at most PIECE bytes: their numbers, slots and normalised weights."""
+    end = np.cumsum([len(w) for w in words], dtype=np.int64)
+    start = np.concatenate([[0], end[:-1]]).astype(np.int64)
+    for r, slot, w in _features(np.frombuffer(b"".join(words), dtype=np.uint8), start, end):
+        yield r, slot, w / np.maximum(np.sqrt((w * w).sum(1)), 1e-6)[:, None]
+
+
+def _matrix(words: list[bytes]) -> np.ndarray:
+    """Normalised explicit features, dense over the slots."""
+    out = np.zeros((len(words), 1 << BITS), dtype=np.float32)
+    for r, slot, w in _normalised(words):
+        np.add.at(out, (np.repeat(r, slot.shape[1]), slot.ravel()), w.ravel())
     return out
 
 
-def _against(types: list[str], landmarks: np.ndarray) -> np.ndarray:
+def _against(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of words with the landmarks."""
-    out = np.zeros((len(types), len(landmarks)), dtype=np.float32)
+    out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
     by_slot = np.ascontiguousarray(landmarks.T)
-    for block in blocks(pa.array(types, type=pa.string())):
-        start, end = block.at[:-1], np.minimum(block.at[1:], block.at[:-1] + PIECE)
-        for r, slot, w in _features(block.data, start, end):
-            w = w / np.maximum(np.sqrt((w * w).sum(1)), 1e-6)[:, None]
-            for a in range(0, len(r), 64):
-                part = slice(a, a + 64)
-                out[block.rows.start + r[part]] = np.matmul(w[part][:, None, :], by_slot[slot[part]])[:, 0]
+    for r, slot, w in _normalised(words):
+        for a in range(0, len(r), 64):
+            part = slice(a, a + 64)
+            out[r[part]] = np.matmul(w[part][:, None, :], by_slot[slot[part]])[:, 0]
     return out
 
 
+def cut(word: bytes) -> list[bytes]:
+    """A word's pieces of at most PIECE bytes, which overlap."""
+    begin, stop, _ = _pieces(np.array([0]), np.array([len(word)]))
+    return [word[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+
+
 def svm(phi: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Squared-hinge machine by Newton steps on the support; the last weight is the bias."""
     x = np.hstack([phi, np.ones((len(phi), 1))]).astype(float)
@@ -167,51 +180,102 @@ def svm(phi: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, st
     return w
 
 
-def _machine(positive: list[str], negative: list[str]) -> Model:
-    marks = positive[: LANDMARKS // 2] + negative[: LANDMARKS - min(len(positive), LANDMARKS // 2)]
+def _machine(positive: Counter, negative: Counter) -> Model:
+    """The machine over rows (words, with the number of texts that enter by them); both sides weigh the same."""
+    bad, good = ([w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))] for c in (positive, negative))
+    half = min(len(bad), LANDMARKS // 2)
+    marks = bad[:half] + good[: LANDMARKS - half]
     spread = _matrix(marks)
     value, vector = np.linalg.eigh((spread @ spread.T).astype(float))
-    good = value > 1e-4
-    root = vector[:, good] / np.sqrt(value[good])
-    phi = _against(positive + negative, spread) @ root
-    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    cost = np.concatenate([np.full(len(positive), 32.0), np.full(len(negative), 8.0)])
+    some = value > 1e-4
+    root = vector[:, some] / np.sqrt(value[some])
+    phi = _against(bad + good, spread) @ root
+    y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
+    weight = [np.sqrt(np.array([c[w] for w in side], dtype=float)) for c, side in ((positive, bad), (negative, good))]
+    cost = np.concatenate([32.0 * x / x.mean() for x in weight])
     w = svm(phi, y, cost)
     return Model((spread.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
 
 
+def _words_of(block: Block) -> tuple[Words, np.ndarray]:
+    """The words of a block, and the first place of each different one within its text."""
+    words = units(block)
+    if not len(words):
+        return words, np.zeros(0, dtype=np.int64)
+    _, first = np.unique(np.stack([words.doc().astype(np.uint64), words.hashes(BYTE_A)]), axis=1, return_index=True)
+    return words, first
+
+
 def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(type, toxic) once for each text."""
     for batch in batches:
         toxic = batch["toxic"].to_numpy(zero_copy_only=False)
         for block in blocks(batch["text"]):
-            words = units(block)
-            if not len(words):
-                continue
-            doc = words.doc()
-            _, first = np.unique(np.stack([doc.astype(np.uint64), words.hashes(BYTE_A)]), axis=1, return_index=True)
-            raw = words.data.tobytes()
-            kind = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-            yield table("type:s,toxic:l", type=kind, toxic=toxic[block.rows][doc[first]])
+            words, first = _words_of(block)
+            if len(first):
+                raw = words.data.tobytes()
+                kind = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
+                yield table("type:z,toxic:l", type=kind, toxic=toxic[block.rows][words.doc()[first]])
 
 
-def _raw(model: Model, *keep: str):
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, sig): least hashes of the words of each text."""
+    for batch in batches:
+        for block in blocks(batch["text"]):
+            words, first = _words_of(block)
+            h = words.hashes(BYTE_A)[first] if len(first) else np.zeros(0, dtype=np.uint64)
+            at = np.searchsorted(words.doc()[first], np.arange(len(block) + 1)) if len(first) else np.zeros(len(block) + 1, dtype=np.int64)
+            some = np.flatnonzero(np.diff(at))
+            low = np.zeros((len(block), SIGNATURE), dtype=np.uint64)
+            for j in range(SIGNATURE if len(some) else 0):
+                low[some, j] = np.minimum.reduceat(mix(h + np.uint64(j)), at[:-1][some])
+            yield table("doc_id:l,sig:L", doc_id=batch["doc_id"].slice(block.rows.start, len(block)), sig=low.view(np.int64).tolist())
+
+
+def copies(ids: list[int], sigs: np.ndarray) -> list[int]:
+    """The ids that near-repeat one of a lesser id that stays."""
+    gone, seen = [], {}
+    for k in np.argsort(ids, kind="stable").tolist():
+        near = {x for j in range(SIGNATURE) for x in seen.get((j, sigs[k, j]), ())}
+        if any((sigs[x] == sigs[k]).sum() >= ALIKE for x in near):
+            gone.append(ids[k])
+        else:
+            for j in range(SIGNATURE):
+                seen.setdefault((j, sigs[k, j]), []).append(k)
+    return gone
+
+
+def _tops(model: Model):
+    """(toxic, top, raw, drawn) of each text: its highest piece of a word, the machine's output for it, and pieces drawn by hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [model.texts(b) for b in blocks(batch["text"])]
-            raw = np.concatenate(raw) if raw else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), pa.array(raw)], names=[*keep, "raw"])
+            toxic = batch["toxic"].to_numpy(zero_copy_only=False)
+            for block in blocks(batch["text"]):
+                words, first = _words_of(block)
+                if not len(first):
+                    continue
+                raw, begin, stop = model.words(words.data, words.start[first], words.end[first])
+                doc, data = words.doc()[first], words.data.tobytes()
+                draw = words.hashes(BYTE_A)[first]
+                order = np.lexsort((draw, -raw, doc))
+                lead = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
+                by_hash = np.lexsort((draw, doc))
+                edge = np.flatnonzero(np.diff(doc[by_hash], prepend=-1))
+                sizes = np.diff(np.append(edge, len(by_hash)))
+                text = lambda i: data[begin[i] : stop[i]]  # noqa: B023, E731
+                drawn = [b"\0".join(text(i) for i in by_hash[a : a + min(n, DRAWN)]) for a, n in zip(edge.tolist(), sizes.tolist(), strict=True)]
+                yield table("toxic:l,top:z,raw:d,drawn:z", toxic=toxic[block.rows][doc[lead]], top=[text(i) for i in lead], raw=raw[lead], drawn=drawn)
 
     return run
 
 
-def _near(model: Model):
-    """Machine outputs of word types."""
-
+def _raw(model: Model, *keep: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch["type"]):
-                yield table("type:s,raw:d", type=batch["type"].slice(block.rows.start, len(block)), raw=model.words(block.data, block.at[:-1], block.at[1:]))
+            raw = [model.texts(b) for b in blocks(batch["text"])]
+            raw = np.concatenate(raw) if raw else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), pa.array(raw)], names=[*keep, "raw"])
 
     return run
 
@@ -232,42 +296,66 @@ def _sigmoid(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(train: DataFrame) -> Model | None:
-    """Learn from a bounded table of rows of text and toxic (0 or 1); None without both kinds."""
-    sample = train
-    counts = checkpointed(sample.mapInArrow(_types, "type string, toxic long").groupBy("type").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
-    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    """Learn from a bounded table of rows of doc_id, text and toxic (0 or 1); None without both kinds."""
+    n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
-    # a clean label may be wrong: few clean texts do not rule a word out
-    pool = counts.where("bad >= 2").where(F.col("good") * F.lit(RATIO * n[1]) <= F.col("bad") * F.lit(n[0]))
-    found = pool.orderBy(F.desc("bad"), "type").limit(POSITIVES).collect()
-    bad = [r.type for r in found]
-    seen = counts.where("good > 0")
-    often = [r.type for r in seen.orderBy(F.desc("good"), "type").limit(NEGATIVES // 4).collect()]
-    rest = [r.type for r in seen.orderBy(F.xxhash64("type"), "type").limit(NEGATIVES).collect()]
-    held = [np.array(r.places) for r in _incidence(sample.where("toxic = 1"), bad).collect()]
-    chosen = witnesses(held, bad, supports([r.good for r in found], len(held), n[1] / (n[0] + n[1]), counts.where("bad >= 2").count()))
-    # where no word passes, the best cover by words of two texts or more has to do
-    chosen = chosen or witnesses(held, bad, np.full(len(bad), 2), rounds=1)
-    wanted = set(chosen)
-    good = [t for t in dict.fromkeys(often + rest) if t not in wanted][:NEGATIVES]
-    if not bad or not good:
+    toxic = train.where("toxic = 1")
+    held = toxic.mapInArrow(_signatures, "doc_id long, sig array<long>").toPandas()
+    gone = copies(held["doc_id"].tolist(), np.array(held["sig"].tolist()))
+    again = train.sparkSession.createDataFrame([(int(i),) for i in gone], "doc_id long")
+    once = train.where("toxic = 0").unionByName(toxic.join(F.broadcast(again), "doc_id", "left_anti").select(train.columns))
+    bad = significant(once, n[0], n[1] - len(gone))
+    if not bad:
+        # where no word stands out, the best cover by words of two texts or more has to do
+        counts = _counted(train).where("bad >= 2").where(F.col("good") * F.lit(n[1]) * 8 <= F.col("bad") * F.lit(n[0]))
+        pool = [bytes(r.type) for r in counts.orderBy(F.desc("bad"), "type").collect()]
+        bad = witnesses([np.array(r.places) for r in _incidence(toxic, pool).collect()], pool)
+    if not bad:
+        return None
+    positive, blank = Counter(p for w in bad for p in cut(w)), Model(np.zeros(1 << BITS, dtype=np.float32), 0.0)
+    # no word is higher than another yet: clean texts enter by drawn words alone
+    rows = train.where("toxic = 0").mapInArrow(_tops(blank), _TOP).collect()
+    negative = Counter(p for r in rows for p in bytes(r.drawn).split(b"\0") if p not in positive)
+    if not negative:
         return None
-    model = _machine(chosen, good)
-    hard: list[str] = []
-    for _ in range(2):
-        # clean words that score highest come in as negatives and as landmarks
-        near = seen.select("type").mapInArrow(_near(model), "type string, raw double").orderBy(F.desc("raw"), "type").limit(HARD + len(chosen))
-        hard = list(dict.fromkeys(hard + [r.type for r in near.collect() if r.type not in wanted][:HARD]))
-        model = _machine(chosen, hard + [t for t in good if t not in set(hard)])
-    found = sample.select("text", "toxic").mapInArrow(_raw(model, "toxic"), "toxic int, raw double").toPandas()
+    model = _machine(positive, negative)
+    sure, drawn = positive, negative
+    for _ in range(TURNS):
+        rows = once.mapInArrow(_tops(model), _TOP).collect()
+        hard = Counter(bytes(r.top) for r in rows if not r.toxic)
+        # a toxic text whose highest word is no higher than those of clean ones has none
+        bar = max(0.0, float(np.quantile([r.raw for r in rows if not r.toxic], CLEAR)))
+        positive = sure + Counter(bytes(r.top) for r in rows if r.toxic and r.raw > bar and not hard[bytes(r.top)])
+        negative = drawn + Counter({w: k for w, k in hard.items() if w not in positive})
+        model = _machine(positive, Counter({w: k for w, k in negative.items() if w not in positive}))
+    found = train.select("text", "toxic").mapInArrow(_raw(model, "toxic"), "toxic int, raw double").toPandas()
     model.slope, model.shift = _sigmoid(found["raw"].to_numpy(), found["toxic"].to_numpy(dtype=float))
     return model
 
 
-def _incidence(toxic: DataFrame, bad: list[str]) -> DataFrame:
+_TOP = "toxic long, top binary, raw double, drawn binary"
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(type, bad, good): in how many toxic and clean texts each word is."""
+    return rows.mapInArrow(_types, "type binary, toxic long").groupBy("type").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+
+
+def significant(rows: DataFrame, clean: int, toxic: int) -> list[bytes]:
+    """Words in so many more toxic texts than chance gives that less than one word of all would do as well."""
+    counts = checkpointed(_counted(rows).where("bad >= 2"))
+    tried = counts.count()
+    share = toxic / (clean + toxic)
+    # a word in g clean texts must be in some need(g) toxic ones, which rises with g: bad alone bounds the rows
+    found = counts.where(F.col("bad") >= F.lit(chance_bound(0, share, tried))).where(F.col("bad") * F.lit(1 - share) > F.col("good") * F.lit(share)).orderBy(F.desc("bad"), "type").collect()
+    need = {g: chance_bound(g, share, tried) for g in {r.good for r in found}}
+    return [bytes(r.type) for r in found if r.bad >= need[r.good]]
+
+
+def _incidence(toxic: DataFrame, bad: list[bytes]) -> DataFrame:
     """For each toxic text the numbers of the candidate words that it holds."""
-    number = {t.encode(): i for i, t in enumerate(bad)}
+    number = {t: i for i, t in enumerate(bad)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,53 +371,37 @@ def _incidence(toxic: DataFrame, bad: list[str]) -> DataFrame:
     return toxic.select("text").mapInArrow(run, "places array<long>").where("size(places) > 0")
 
 
-def supports(good: list[int], held: int, share: float, tried: int) -> np.ndarray:
-    """Toxic texts that words in ``good`` clean texts must cover.
+def chance_bound(good: int, share: float, tried: int) -> int:
+    """Toxic texts that a word in ``good`` clean texts must be in.
 
     So many that, were toxic texts (a ``share`` of all) no likelier to hold it, less
-    than one of the ``tried`` words would do as well by chance. That does not grow
-    with the texts. For a word in no clean text one in a hundred of the ``held``
-    texts, and two at least, is enough as well.
+    than one of the ``tried`` words would do as well by chance.
     """
-
-    def need(g: int) -> int:
-        b, tail = 1, 1.0
-        while tail > 1 / max(tried, 2) and b < held + 1:
-            b += 1
-            n = b + g
-            tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(1 - share) + (n - k) * math.log(share)) for k in range(g + 1))
-        return b
-
-    known = {g: need(g) for g in set(good)}
-    return np.array([min(known[g], max(2, held // 100)) if g == 0 else known[g] for g in good], dtype=np.int64)
+    b, tail = 1, 1.0
+    while tail > 1 / max(tried, 2) and b < 1_000_000:
+        b += 1
+        n = b + good
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(1 - share) + (n - k) * math.log(share)) for k in range(good + 1))
+    return b
 
 
-def witnesses(held: list[np.ndarray], bad: list[str], least: np.ndarray, rounds: int = 4) -> list[str]:
-    """Words that witness the toxic texts, by greedy cover: the word of most texts without a witness comes next.
-
-    Later rounds cover the texts anew with the words that are left. A word must
-    cover ``least`` of the texts, its own number: a few copies of a text share words by
-    chance.
-    """
-    chosen: list[int] = []
+def witnesses(held: list[np.ndarray], bad: list[bytes]) -> list[bytes]:
+    """Words that cover the toxic texts, greedily: the word of most texts that have none yet comes next, if it has two."""
     texts_of: list[list[int]] = [[] for _ in bad]
     for d, places in enumerate(held):
         for t in places.tolist():
             texts_of[t].append(d)
-    used = np.zeros(len(bad), dtype=bool)
-    for _ in range(rounds):
-        bare = np.ones(len(held), dtype=bool)
-        gain = np.array([len(x) for x in texts_of]) * ~used
-        while len(gain) and gain[t := int(np.argmax(np.where(gain >= least, gain, 0)))] >= least[t]:
-            chosen.append(t)
-            used[t] = True
-            gain[t] = 0
-            for d in texts_of[t]:
-                if bare[d]:
-                    bare[d] = False
-                    np.subtract.at(gain, held[d], 1)
-            gain[used] = 0
-    return [bad[t] for t in dict.fromkeys(chosen)]
+    chosen: list[int] = []
+    bare = np.ones(len(held), dtype=bool)
+    gain = np.array([len(x) for x in texts_of], dtype=np.int64)
+    while len(gain) and gain[t := int(np.argmax(gain))] >= 2:
+        chosen.append(t)
+        for d in texts_of[t]:
+            if bare[d]:
+                bare[d] = False
+                np.subtract.at(gain, held[d], 1)
+        gain[t] = 0
+    return [bad[t] for t in chosen]
 
 
 def _scored(model: Model | None):

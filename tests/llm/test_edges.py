@@ -231,3 +231,18 @@ def test_an_anchor_of_very_many_fragments(spark):
     assert got == brute.strings(docs, 50)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.drop_repeated_strings(table, most_fragments=100).collect()}
     assert got == brute.strings(docs, 50)
+
+
+def test_toxicity_and_quality_on_held_out_rows(spark):
+    from nearfield.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    import zlib
+
+    for name, column, folds, out, threshold, least in (("op8_toxicity", "toxic", 3, 1, 0.7, 0.9), ("op4_quality_classifier", "quality", 5, 0, 0.3, 0.95)):
+        rows = getattr(queries, name)(spark, sf).collect()
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == out) and r.predicted == (r.score >= threshold) for r in rows)
+        held = [(r.predicted, labels[r.doc_id][column]) for r in rows if r.held_out and r.doc_id in labels]
+        hits = sum(p == t == 1 for p, t in held)
+        assert hits >= least * sum(t for _, t in held) and hits >= 0.85 * sum(p for p, _ in held)
