@@ -55,8 +55,8 @@ def truncated(a: Column, dims: int) -> Column:
     return F.slice(a, 1, dims)
 
 
-def subvector(a: Column, m: int, dsub: int) -> Column:
-    return F.slice(a, m * dsub + 1, dsub)
+def subvector(a: Column, m: int | Column, dsub: int) -> Column:
+    return F.slice(a, m * dsub + 1, F.lit(dsub))
 
 
 def quantized_u8(a: Column, low: Column, step: Column) -> Column:

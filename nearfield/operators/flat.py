@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import METRICS
+from ..functions.vectors import METRICS, truncated
 from ..plans.options import SearchOptions
 from ..sources.ship import ship
 from .topk import ranked, vector_columns
@@ -20,12 +22,18 @@ _ROWS = 2048
 FOUND = "qid long, vec_id long, dist double"
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column of one length as a matrix of doubles."""
+def matrix(column: pa.Array, length: int | None = None) -> np.ndarray:
+    """A list column as a matrix of doubles; lists of several lengths, or of another than ``length``, are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    n = len(column)
+    if not n:
+        return np.zeros((0, length or 0))
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    want = int(sizes[0]) if length is None else length
+    if (sizes != want).any():
+        raise ValueError(f"a vector has {int(sizes[sizes != want][0])} components, not {want}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, want)
 
 
 class Best:
@@ -46,23 +54,52 @@ class Best:
             dist, ids = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         self.dist, self.ids = dist, ids
 
+    def add_some(self, which: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates of some of the queries only."""
+        part = Best(len(which), self.k)
+        part.dist, part.ids = self.dist[which], self.ids[which]
+        part.add(dist, ids)
+        width = max(part.dist.shape[1], self.dist.shape[1])
+        for name, fill in (("dist", np.inf), ("ids", 0)):
+            mine, theirs = getattr(self, name), getattr(part, name)
+            mine = np.pad(mine, ((0, 0), (0, width - mine.shape[1])), constant_values=fill)
+            mine[which, : theirs.shape[1]] = theirs
+            mine[which, theirs.shape[1] :] = fill
+            setattr(self, name, mine)
+
     def rows(self, qid: np.ndarray) -> pa.RecordBatch:
         ok = np.isfinite(self.dist)
         return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qid[:, None], ok.shape)[ok]), pa.array(self.ids[ok]), pa.array(self.dist[ok])], names=["qid", "vec_id", "dist"])
 
 
-def _scan(qid: np.ndarray, q: np.ndarray, k: int, metric: str, eps: float | None):
-    kernel = METRICS[metric][1]
+#: A kernel has the distances of a block of queries (by number) to rows of an Arrow batch.
+Kernel = Callable[[np.ndarray, pa.RecordBatch], np.ndarray]
+
+
+def _scan(qid: np.ndarray, kernel: Kernel, k: int, eps: float | None = None, probed: np.ndarray | None = None):
+    """The k nearest rows of each query within a partition, or all within ``eps``.
+
+    With ``probed`` (queries x lists) a query meets the rows of its lists only.
+    """
+    every = np.arange(len(qid))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(len(q), k)
+        best = Best(len(qid), k)
         for batch in batches:
             for a in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(a, _ROWS)
-                dist, ids = kernel(q, matrix(part["v"])), part["vec_id"].to_numpy()
-                if eps is None:
-                    best.add(dist, ids)
+                ids = part["vec_id"].to_numpy()
+                if probed is not None:
+                    lists = part["list_id"].to_numpy()
+                    for x in np.unique(lists).tolist():
+                        which = np.flatnonzero(probed[:, x])
+                        if len(which):
+                            rows = np.flatnonzero(lists == x)
+                            best.add_some(which, kernel(which, part.take(pa.array(rows))), ids[rows])
+                elif eps is None:
+                    best.add(kernel(every, part), ids)
                 else:
+                    dist = kernel(every, part)
                     i, j = np.nonzero(dist <= eps)
                     yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(dist[i, j])], names=["qid", "vec_id", "dist"])
         if eps is None:
@@ -71,6 +108,27 @@ def _scan(qid: np.ndarray, q: np.ndarray, k: int, metric: str, eps: float | None
     return run
 
 
+def scan(rows: DataFrame, queries: DataFrame, kernel_of: Callable[[np.ndarray], Kernel], k: int, eps: float | None = None, probed_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(qid, vec_id, dist): per-partition candidates that hold every query's k nearest, or all within ``eps``.
+
+    queries: (qid, v). They go out in blocks; ``kernel_of`` makes the kernel of a
+    block's matrix, ``probed_of`` its table of probed lists (rows then have a list_id).
+    """
+    ship(rows.sparkSession)
+    out = None
+    for qid, q in query_blocks(queries):
+        probed = probed_of(q) if probed_of else None
+        some = rows if probed is None else rows.where(F.col("list_id").isin(np.flatnonzero(probed.any(0)).tolist()))
+        found = some.mapInArrow(_scan(qid, kernel_of(q), k, eps, probed), FOUND)
+        out = found if out is None else out.unionByName(found)
+    return nothing(rows.sparkSession) if out is None else out
+
+
+def nothing(spark: SparkSession) -> DataFrame:
+    """What no queries find."""
+    return spark.createDataFrame([], FOUND)
+
+
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix) of the queries, at most ``size`` at a time; all must have one length."""
     n = queries.count()
@@ -88,18 +146,23 @@ def query_parts(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[DataFra
         yield queries if passes == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i)
 
 
+def metric_kernel(metric: str) -> Callable[[np.ndarray], Kernel]:
+    """Kernels of a registered metric over a column v."""
+    kernel = METRICS[metric][1]
+    return lambda q: lambda which, part: kernel(q[which], matrix(part["v"], q.shape[1]))
+
+
 def distances(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", eps: float | None = None) -> DataFrame:
     """(qid, vec_id, dist): per-partition candidates that hold every query's k nearest, or all within ``eps``.
 
-    base: (vec_id, v); queries: (qid, v). Rows of another length than the queries are left out.
+    base: (vec_id, v); queries: (qid, v). Rows and queries must have one length.
     """
-    ship(base.sparkSession)
-    out = None
-    for qid, q in query_blocks(queries):
-        rows = base.where(F.size("v") == q.shape[1])
-        found = rows.mapInArrow(_scan(qid, q, k, metric, eps), FOUND)
-        out = found if out is None else out.unionByName(found)
-    return base.sparkSession.createDataFrame([], FOUND) if out is None else out
+    return scan(base, queries, metric_kernel(metric), k, eps)
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    """Queries (qid, embedding) as (qid, v); nulls are left out."""
+    return queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("v")).where("qid is not null and v is not null")
 
 
 def search(base: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), where: Column | None = None) -> DataFrame:
@@ -111,12 +174,13 @@ def search(base: DataFrame, queries: DataFrame, options: SearchOptions = SearchO
     if where is not None:
         base = base.where(where)
     rows = vector_columns(base)
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("v")).where("qid is not null and v is not null")
+    wanted = asked(queries)
     if options.dims is None:
-        return ranked(distances(rows, asked, options.k, options.metric), options.k)
+        return ranked(distances(rows, wanted, options.k, options.metric), options.k)
     p = max(options.k, options.rerank)
-    short = ranked(distances(rows.withColumn("v", F.slice("v", 1, options.dims)), asked.withColumn("v", F.slice("v", 1, options.dims)), p, options.metric), p)
-    return short if options.rerank <= options.k else rerank(short, rows, asked, options.k, options.metric)
+    cut = truncated(F.col("v"), options.dims)
+    short = ranked(distances(rows.withColumn("v", cut), wanted.withColumn("v", cut), p, options.metric), p)
+    return short if options.rerank <= options.k else rerank(short, rows, wanted, options.k, options.metric)
 
 
 def rerank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -> DataFrame:
@@ -129,8 +193,61 @@ def rerank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, k: int, m
 def range_search(base: DataFrame, queries: DataFrame, eps: float, metric: str = "l2", most: int | None = None) -> DataFrame:
     """All rows within ``eps`` of each query (the ``most`` nearest, if given), nearest first."""
     rows = vector_columns(base)
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("v"))
-    return ranked(distances(rows, asked, 0, metric, eps), most)
+    return ranked(distances(rows, asked(queries), 0, metric, eps), most)
+
+
+def _first_documents(qid: np.ndarray, kernel: Kernel, n: int):
+    """(qid, vec_id, dist, doc): the nearest row of each of the n nearest documents of a partition."""
+    every = np.arange(len(qid))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dist, ids, docs = np.zeros((len(qid), 0)), np.zeros((len(qid), 0), dtype=np.int64), np.zeros((len(qid), 0), dtype=np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(a, _ROWS)
+                shape = (len(qid), part.num_rows)
+                d = np.hstack([dist, kernel(every, part)])
+                i = np.hstack([ids, np.broadcast_to(part["vec_id"].to_numpy(), shape)])
+                c = np.hstack([docs, np.broadcast_to(part["doc"].to_numpy(), shape)])
+                order = np.lexsort((i, d, c), axis=1)
+                d, i, c = (np.take_along_axis(x, order, 1) for x in (d, i, c))
+                # the nearest row of each document leads its run; all others drop behind
+                d[:, 1:][c[:, 1:] == c[:, :-1]] = np.inf
+                order = np.lexsort((i, d), axis=1)[:, :n]
+                dist, ids, docs = (np.take_along_axis(x, order, 1) for x in (d, i, c))
+        ok = np.isfinite(dist)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qid[:, None], ok.shape)[ok]), pa.array(ids[ok]), pa.array(dist[ok]), pa.array(docs[ok])], names=["qid", "vec_id", "dist", "doc"])
+
+    return run
+
+
+def document_search(base: DataFrame, queries: DataFrame, n: int, metric: str = "ip") -> DataFrame:
+    """(qid, vec_id, doc, dist): all rows nearer than the nearest row of document n + 1.
+
+    base: (vec_id, doc, v). A first pass finds the n + 1 nearest documents, a second
+    one the rows within the bound that the last of them sets.
+    """
+    ship(base.sparkSession)
+    kernel_of = metric_kernel(metric)
+    out = None
+    for qid, q in query_blocks(queries):
+        first = base.mapInArrow(_first_documents(qid, kernel_of(q), n + 1), FOUND + ", doc long")
+        first = first.groupBy("qid", "doc").agg(F.min(F.struct("dist", "vec_id")).alias("first"))
+        place = F.row_number().over(W.partitionBy("qid").orderBy("first.dist", "first.vec_id"))
+        bounds = {r.qid: (r["first"]["dist"], r["first"]["vec_id"]) for r in first.withColumn("place", place).where(F.col("place") == n + 1).collect()}
+        far, last = (np.array([bounds.get(i, (np.inf, 0))[j] for i in qid.tolist()]) for j in (0, 1))
+
+        def run(batches: Iterator[pa.RecordBatch], qid=qid, kernel=kernel_of(q), far=far[:, None], last=last[:, None]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, _ROWS):
+                    part = batch.slice(a, _ROWS)
+                    dist, ids, doc = kernel(np.arange(len(qid)), part), part["vec_id"].to_numpy(), part["doc"].to_numpy()
+                    i, j = np.nonzero((dist < far) | ((dist == far) & (ids[None] < last)))
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(dist[i, j]), pa.array(doc[j])], names=["qid", "vec_id", "dist", "doc"])
+
+        found = base.mapInArrow(run, FOUND + ", doc long")
+        out = found if out is None else out.unionByName(found)
+    return (base.sparkSession.createDataFrame([], FOUND + ", doc long") if out is None else out).select("qid", "vec_id", "doc", "dist")
 
 
 def search_local(base: DataFrame, queries: DataFrame, k: int, blocks: int, local_p: int, metric: str = "ip") -> DataFrame:
@@ -139,13 +256,13 @@ def search_local(base: DataFrame, queries: DataFrame, k: int, blocks: int, local
 
     rows = shards(base, blocks)
     found = None
-    for qid, q in query_blocks(queries.select("qid", F.col("embedding").alias("v"))):
+    for qid, q in query_blocks(asked(queries)):
         kernel = METRICS[metric][1]
 
         def run(batches: Iterator[pa.RecordBatch], qid=qid, q=q, kernel=kernel) -> Iterator[pa.RecordBatch]:
             held: dict[int, Best] = {}
             for batch in batches:
-                part, ids, x = batch["shard"].to_numpy(), batch["vec_id"].to_numpy(), matrix(batch["embedding"])
+                part, ids, x = batch["shard"].to_numpy(), batch["vec_id"].to_numpy(), matrix(batch["embedding"], q.shape[1])
                 for s in np.unique(part).tolist():
                     held.setdefault(s, Best(len(q), local_p)).add(kernel(q, x[part == s]), ids[part == s])
             for s, best in held.items():
@@ -154,5 +271,7 @@ def search_local(base: DataFrame, queries: DataFrame, k: int, blocks: int, local
 
         part = rows.select("shard", "vec_id", "embedding").mapInArrow(run, FOUND + ", shard long")
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        return ranked(nothing(base.sparkSession), k)
     local = ranked(found.withColumn("key", F.struct("qid", "shard")), local_p, key="key").drop("key", "rank", "shard")
     return ranked(local, k)

@@ -1,22 +1,26 @@
-"""Proximity graphs: a hierarchical small-world graph for each part, built and searched in grouped maps.
+"""Proximity graphs: a hierarchical small-world graph for each part, kept as tables.
 
 A part is bounded (``PART_ROWS``): larger parts are cut further by a hash of the id,
 and their answers merge. Insertion follows vec_id and levels come from a hash of
-the id, so a graph depends on its rows only.
+the id, so a graph depends on its rows only. Graphs are built once, to one row a node
+with its links by level; searches read those rows back and build nothing.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship
-from .flat import FOUND, matrix, query_blocks
+from ..sources.tables import checkpointed, fingerprint, load_index, save_index
+from .flat import FOUND, asked, matrix, query_blocks
 from .partition import partitioned
 from .topk import ranked
 
@@ -30,6 +34,71 @@ def _level(vec_id: int, m: int) -> int:
     return int(-math.log((x + 1) / 2**64) / math.log(m))
 
 
+class Beam:
+    """Ends a walk when the ``ef`` nearest found are nearer than all that is left to visit."""
+
+    def __init__(self, ef: int):
+        self.ef, self.held = ef, 0
+
+    def done(self, d: float, worst: float) -> bool:
+        return self.held >= self.ef and d > worst
+
+    def takes(self, d: float, worst: float) -> bool:
+        return self.held < self.ef or d < worst
+
+    def entered(self, node: int, d: float) -> None:
+        self.held += 1
+
+    def left(self, node: int, d: float) -> None:
+        self.held -= 1
+
+    def over(self) -> bool:
+        return self.held > self.ef
+
+    def results(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        return found
+
+
+class Within(Beam):
+    """Finds what lies within ``eps``; looks at ``least`` nodes at least, and keeps ``most`` at most."""
+
+    def __init__(self, eps: float, least: int = 100, most: int = 10_000):
+        super().__init__(most)
+        self.eps, self.least = eps, least
+
+    def done(self, d: float, worst: float) -> bool:
+        return (self.held >= self.least and d > self.eps) or super().done(d, worst)
+
+    def results(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        return [x for x in found if x[0] <= self.eps]
+
+
+class Documents(Beam):
+    """Counts documents instead of nodes: keeps the nodes of the ``ef`` nearest, returns those of the first ``n``."""
+
+    def __init__(self, doc_of: np.ndarray, n: int, ef: int):
+        super().__init__(max(ef, n + 1))
+        self.doc_of, self.n, self.nodes = doc_of, n, Counter()
+
+    def entered(self, node: int, d: float) -> None:
+        self.nodes[self.doc_of[node]] += 1
+        self.held = len(self.nodes)
+
+    def left(self, node: int, d: float) -> None:
+        doc = self.doc_of[node]
+        self.nodes[doc] -= 1
+        if not self.nodes[doc]:
+            del self.nodes[doc]
+        self.held = len(self.nodes)
+
+    def results(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        docs: dict = {}
+        for at, (_, node) in enumerate(found):
+            docs.setdefault(self.doc_of[node], at)
+        first = sorted(docs.values())
+        return found[: first[self.n]] if len(first) > self.n else found
+
+
 class Graph:
     """Nodes by number; links by level and node; distance 1 - product."""
 
@@ -40,6 +109,37 @@ class Graph:
         for i in np.argsort(ids, kind="stable").tolist():
             self._insert(i)
 
+    @classmethod
+    def of_table(cls, nodes: pa.Table, m: int = 16, ef: int = 150) -> Graph:
+        """A stored graph; gaps, foreign or double links and a missing entry are errors."""
+        nodes = nodes.sort_by("node")
+        n = nodes.num_rows
+        out = cls(np.zeros((0, 0)), np.zeros(0, dtype=np.int64), m, ef)
+        out.x, out.ids = matrix(nodes["embedding"]), nodes["vec_id"].to_numpy()
+        entry = np.flatnonzero(nodes["entry"].to_numpy(zero_copy_only=False))
+        if nodes["node"].to_pylist() != list(range(n)) or len(entry) != 1:
+            raise ValueError("nodes or the entry of a graph are missing")
+        out.entry = int(entry[0])
+        levels = nodes["links"].to_pylist()
+        out.links = [{i: list(to[at]) for i, to in enumerate(levels) if len(to) > at} for at in range(len(levels[out.entry]))]
+        out.check()
+        return out
+
+    def table(self) -> pa.Table:
+        """One row a node: number, id, links by level, whether it is the entry, vector."""
+        n = len(self.x)
+        links = [[level[i] for level in self.links if i in level] for i in range(n)]
+        return pa.table({
+            "node": pa.array(np.arange(n), pa.int64()), "vec_id": pa.array(self.ids, pa.int64()), "links": pa.array(links, pa.list_(pa.list_(pa.int32()))),
+            "entry": pa.array(np.arange(n) == self.entry), "embedding": pa.array(list(self.x), pa.list_(pa.float64())),
+        })
+
+    def check(self) -> None:
+        for level in self.links:
+            for n, out in level.items():
+                if n in out or len(set(out)) != len(out) or not all(y in level for y in out):
+                    raise ValueError(f"node {n} links to itself, twice to another, or to one that is not on its level")
+
     def _far(self, q: np.ndarray, nodes: list[int]) -> list[float]:
         self.seen += len(nodes)
         return (1 - self.x[nodes] @ q).tolist()
@@ -90,20 +190,78 @@ class Graph:
             start = [self._walk(q, start, 1, at)[0][1]]
         for at in range(min(level, len(self.links) - 1), -1, -1):
             found = self._walk(q, start, self.ef, at)
-            most = 2 * self.m if at == 0 else self.m
-            mine = self._diverse(found, self.m)
-            self.links[at][i] = mine
-            for n in mine:
-                theirs = self.links[at][n]
-                theirs.append(i)
-                if len(theirs) > most:
-                    d = self._far(self.x[n], theirs)
-                    self.links[at][n] = self._diverse(sorted(zip(d, theirs, strict=True)), most)
+            self._link(i, found, at)
             start = [n for _, n in found]
         while len(self.links) <= level:
             self.links.append({i: []})
             self.entry = i
 
+    def _link(self, i: int, found: list[tuple[float, int]], at: int) -> None:
+        """Link a node with the best of what was found, and those back to it."""
+        most = 2 * self.m if at == 0 else self.m
+        mine = self._diverse(found, self.m)
+        self.links[at][i] = mine
+        for n in mine:
+            theirs = self.links[at][n]
+            if i not in theirs:
+                theirs.append(i)
+            if len(theirs) > most:
+                d = self._far(self.x[n], theirs)
+                self.links[at][n] = self._diverse(sorted(zip(d, theirs, strict=True)), most)
+
+    def move(self, i: int, x: np.ndarray) -> None:
+        """Give a node another vector: its neighbours link past it, then it is linked anew."""
+        self.x[i] = x
+        levels = [at for at, level in enumerate(self.links) if i in level]
+        for at in levels:
+            level, old = self.links[at], self.links[at][i]
+            for n in [n for n, out in level.items() if i in out]:
+                near = sorted((set(level[n]) | set(old)) - {n, i})
+                level[n] = self._diverse(sorted(zip(self._far(self.x[n], near), near, strict=True)), 2 * self.m if at == 0 else self.m) if near else []
+        start = [self.entry]
+        for at in range(len(self.links) - 1, levels[-1], -1):
+            start = [self._walk(x, start, 1, at)[0][1]]
+        for at in reversed(levels):
+            # from the node's own place the walk leads on by its old links
+            found = [p for p in self._walk(x, list(dict.fromkeys([*(n for n in start if n in self.links[at]), i])), self.ef, at) if p[1] != i]
+            self.links[at][i] = []
+            if found:
+                self._link(i, found, at)
+                start = [n for _, n in found]
+
+    def search_until(self, q: np.ndarray, stop: Beam, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """(distance, id) of what a stop condition keeps."""
+        if self.entry < 0:
+            return []
+        start = [self.entry]
+        for at in range(len(self.links) - 1, 0, -1):
+            start = [self._walk(q, start, 1, at)[0][1]]
+        near = list(zip(self._far(q, start), start, strict=True))
+        visited, best = set(start), []
+        for d, n in near:
+            if allowed is None or allowed[n]:
+                heapq.heappush(best, (-d, -n))
+                stop.entered(n, d)
+        worst = lambda: -best[0][0] if best else math.inf
+        while near:
+            d, n = heapq.heappop(near)
+            if stop.done(d, worst()):
+                break
+            self.hops += 1
+            new = [y for y in self.links[0].get(n, ()) if y not in visited]
+            visited.update(new)
+            for e, y in zip(self._far(q, new), new, strict=True) if new else ():
+                if stop.takes(e, worst()):
+                    heapq.heappush(near, (e, y))
+                    if allowed is None or allowed[y]:
+                        heapq.heappush(best, (-e, -y))
+                        stop.entered(y, e)
+                        while stop.over():
+                            far = heapq.heappop(best)
+                            stop.left(-far[1], -far[0])
+        found = stop.results(sorted((-d, -n) for d, n in best))
+        return sorted((d, int(self.ids[n])) for d, n in found)
+
     def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
         """(distance, id) of the k nearest found."""
         if self.entry < 0:
@@ -137,44 +295,157 @@ class Graph:
         return (int(count.min()), int(count.max())) if len(count) else (0, 0)
 
 
-def _searcher(qid, q, of, k, ef, mode, entries):
-    """Builds the graph of one piece and answers the queries that want its part."""
+NODES = "part long, piece long, node long, vec_id long, links array<array<int>>, entry boolean, embedding array<double>"
 
+
+def _builder(m: int, ef: int):
     def run(key, table):
-        g = Graph(matrix(table["embedding"]), table["vec_id"].to_numpy())
-        out: list[tuple[int, int, float]] = []
-        for i, x in zip(qid.tolist(), q, strict=True):
-            if of is None or i in of.get(key[0].as_py(), ()):
-                near = g.search(x, k, ef) if mode == "hierarchical" else g.search_flat(x, k, ef, entries)
-                out += [(i, n, d) for d, n in near]
-        a, b, c = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table({"qid": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "dist": pa.array(c, pa.float64())})
+        t = Graph(matrix(table["embedding"]), table["vec_id"].to_numpy(), m, ef).table()
+        fixed = [pa.array(np.full(t.num_rows, k.as_py()), pa.int64()) for k in key]
+        return pa.table([*fixed, *t.columns], names=["part", "piece", *t.column_names])
 
     return run
 
 
-def search_parts(rows: DataFrame, queries: DataFrame, k: int, ef: int, mode: str = "hierarchical", entries: int = 1, wanted: DataFrame | None = None) -> DataFrame:
-    """(qid, vec_id, dist, rank): every part's graph is searched, and the answers merged.
+def build(rows: DataFrame, m: int = 16, ef: int = 150, piece_rows: int = PART_ROWS) -> DataFrame:
+    """Nodes of the graphs of (part, vec_id, embedding) rows; nulls are left out."""
+    ship(rows.sparkSession)
+    rows = rows.where("vec_id is not null and embedding is not null")
+    held = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece_rows)).alias("cuts"))
+    cut = rows.join(F.broadcast(held), "part").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("cuts"))).select("part", "piece", "vec_id", "embedding")
+    return cut.groupBy("part", "piece").applyInArrow(_builder(m, ef), NODES)
+
 
-    rows: (part, vec_id, embedding). ``wanted`` (qid, part) names the parts to search for each query.
+def save(nodes: DataFrame, path: str, meta: dict) -> None:
+    """Nodes laid out by part, and how many each piece has."""
+    nodes = checkpointed(nodes)
+    sizes = nodes.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("n"))
+    save_index({"nodes": nodes, "sizes": sizes}, path, meta, by={"nodes": "part"})
+
+
+def load(spark: SparkSession, path: str, meta: dict | None = None, parts: list[int] | None = None) -> DataFrame | None:
+    """Saved nodes, of some parts only if named (others are not read); None if absent or built otherwise.
+
+    A piece whose rows do not number what was saved is an error.
     """
-    ship(rows.sparkSession)
-    held = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).alias("cuts"))
-    cut = rows.join(held, "part").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("cuts"))).select("part", "piece", "vec_id", "embedding")
+    found = load_index(spark, path, meta)
+    if found is None:
+        return None
+    ship(spark)
+    nodes, sizes = found["nodes"].withColumn("part", F.col("part").cast("long")), found["sizes"]
+    if parts is not None:
+        nodes, sizes = nodes.where(F.col("part").isin(parts)), sizes.where(F.col("part").isin(parts))
+    now = nodes.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("now"))
+    if sizes.join(now, ["part", "piece"], "full").where("n is null or now is null or n <> now").limit(1).count():
+        raise ValueError(f"{path}: a graph has lost or gained nodes")
+    return nodes.select(*(c.split(" ")[0] for c in NODES.split(", ")))
+
+
+def build_or_load(rows: DataFrame, path: str, m: int = 16, ef: int = 150) -> DataFrame:
+    """The graphs saved at ``path`` if they have these parameters and rows, else built and saved now."""
+    meta = {"kind": "graph", "m": m, "ef": ef, "data": fingerprint(rows), "parts": rows.agg(F.sum(F.xxhash64("vec_id", "part").cast("decimal(20,0)"))).first()[0].__str__()}
+    found = load(rows.sparkSession, path, meta)
+    if found is None:
+        save(build(rows, m, ef), path, meta)
+        found = load(rows.sparkSession, path, meta)
+    return found
+
+
+def _answers(qid: np.ndarray, q: np.ndarray, of: dict[int, set[int]] | None, answer, schema: str):
+    fields = [f.split(" ") for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+
+    def run(key, table):
+        g = Graph.of_table(table)
+        out = [(i, *row) for i, x in zip(qid.tolist(), q, strict=True) if of is None or i in of.get(key[0].as_py(), ()) for row in answer(g, table, x)]
+        return pa.table([pa.array([r[j] for r in out], kinds[t]) for j, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+    return run
+
+
+def _pieces(nodes: DataFrame, queries: DataFrame, wanted: DataFrame | None, answer, schema: str) -> DataFrame:
+    """``answer(graph, table, x)`` rows of each query in the pieces whose part it wants, after qid."""
     found = None
-    for qid, q in query_blocks(queries.select("qid", F.col("embedding").alias("v"))):
+    for qid, q in query_blocks(asked(queries)):
+        of: dict[int, set[int]] | None = None
+        some = nodes
         if wanted is not None:
-            pairs = wanted.join(rows.sparkSession.createDataFrame([(int(i),) for i in qid], "qid long"), "qid").collect()
-            of: dict[int, set[int]] = {}
-            for r in pairs:
+            of = {}
+            block = F.broadcast(nodes.sparkSession.createDataFrame([(int(i),) for i in qid], "qid long"))
+            for r in wanted.join(block, "qid").collect():
                 of.setdefault(r.part, set()).add(r.qid)
-        else:
-            of = None
+            some = nodes.where(F.col("part").isin(list(of)))
 
-        run = _searcher(qid, q, of, k, ef, mode, entries)
-        part = cut.groupBy("part", "piece").applyInArrow(run, FOUND)
+        part = some.groupBy("part", "piece").applyInArrow(_answers(qid, q, of, answer, schema), schema)
         found = part if found is None else found.unionByName(part)
-    return ranked(found, k)
+    return nodes.sparkSession.createDataFrame([], schema) if found is None else found
+
+
+def _with_allowed(nodes: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    if allowed is None:
+        return nodes
+    return nodes.join(allowed.select("vec_id").distinct().withColumn("allowed", F.lit(True)), "vec_id", "left").select(*nodes.columns, F.coalesce("allowed", F.lit(False)).alias("allowed"))
+
+
+def _flags(table: pa.Table) -> np.ndarray | None:
+    return table.sort_by("node")["allowed"].to_numpy(zero_copy_only=False) if "allowed" in table.column_names else None
+
+
+def search_nodes(nodes: DataFrame, queries: DataFrame, k: int, ef: int, mode: str = "hierarchical", entries: int = 1, wanted: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, vec_id, dist, rank): every part's graph is searched, and the answers merged.
+
+    ``wanted`` (qid, part) names the parts to search for each query; of other
+    parts nothing is read. Rows that are not ``allowed`` (vec_id) are walked through but not found.
+    """
+    ship(nodes.sparkSession)
+
+    def answer(g: Graph, table: pa.Table, x: np.ndarray) -> list[tuple]:
+        near = g.search(x, k, ef, _flags(table)) if mode == "hierarchical" else g.search_flat(x, k, ef, entries)
+        return [(n, d) for d, n in near]
+
+    if mode != "hierarchical" and allowed is not None:
+        raise ValueError("only hierarchical searches take a filter")
+    return ranked(_pieces(_with_allowed(nodes, allowed), queries, wanted, answer, FOUND), k)
+
+
+def range_nodes(nodes: DataFrame, queries: DataFrame, eps: float, least: int = 100, most: int = 10_000, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, vec_id, dist, rank): what the graphs find within ``eps``."""
+    ship(nodes.sparkSession)
+    return ranked(_pieces(_with_allowed(nodes, allowed), queries, None, lambda g, t, x: [(n, d) for d, n in g.search_until(x, Within(eps, least, most), _flags(t))], FOUND))
+
+
+def document_nodes(nodes: DataFrame, queries: DataFrame, docs: DataFrame, n: int, ef: int) -> DataFrame:
+    """(qid, vec_id, doc, dist): the rows of the n nearest documents that the graphs find; docs: (vec_id, doc)."""
+    ship(nodes.sparkSession)
+    rows = nodes.join(docs.select("vec_id", F.col("doc").cast("long").alias("doc")), "vec_id")
+
+    def answer(g: Graph, table: pa.Table, x: np.ndarray) -> list[tuple]:
+        of = table.sort_by("node")["doc"].to_numpy()
+        doc = dict(zip(g.ids.tolist(), of.tolist(), strict=True))
+        return [(i, d, doc[i]) for d, i in g.search_until(x, Documents(of, n + 1, ef))]
+
+    found = _pieces(rows.select(*nodes.columns, "doc"), queries, None, answer, FOUND + ", doc long")
+    first = found.groupBy("qid", "doc").agg(F.min(F.struct("dist", "vec_id")).alias("first"))
+    order = first.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("first.dist", "first.vec_id")))
+    bound = order.where(F.col("place") == n + 1).select("qid", F.col("first").alias("bound"))
+    return found.join(bound, "qid", "left").where(F.col("bound").isNull() | (F.struct("dist", "vec_id") < F.col("bound"))).select("qid", "vec_id", "doc", "dist")
+
+
+def counters(nodes: DataFrame, queries: DataFrame, k: int, ef: int) -> DataFrame:
+    """(qid, hops, seen): nodes that the searches of a query expand, and distances that they take."""
+    ship(nodes.sparkSession)
+
+    def answer(g: Graph, table: pa.Table, x: np.ndarray) -> list[tuple]:
+        g.hops = g.seen = 0
+        g.search(x, k, ef)
+        return [(g.hops, g.seen)]
+
+    return _pieces(nodes, queries, None, answer, "qid long, hops long, seen long").groupBy("qid").agg(F.sum("hops").alias("hops"), F.sum("seen").alias("seen"))
+
+
+def search_parts(rows: DataFrame, queries: DataFrame, k: int, ef: int, mode: str = "hierarchical", entries: int = 1, wanted: DataFrame | None = None) -> DataFrame:
+    """Graphs of (part, vec_id, embedding) rows, built once for this search; see ``build_or_load`` for kept ones."""
+    return search_nodes(checkpointed(build(rows)), queries, k, ef, mode, entries, wanted)
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, parts: int = 1, strategy: str = "contiguous", mode: str = "hierarchical", entries: int = 1) -> DataFrame:

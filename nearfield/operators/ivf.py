@@ -8,13 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import ip_distance
 from ..sources.ship import ship
-from .flat import matrix, query_parts
+from ..sources.tables import fingerprint, load_index, save_index
+from .flat import asked, matrix, metric_kernel, query_parts, scan
 from .kmeans import assign, first_rows, lloyd
 from .topk import ranked, vector_columns
 
@@ -58,31 +58,88 @@ def build(base: DataFrame, nlist: int, steps: int = 10) -> IVF:
     return IVF(book[0], with_list(rows, book[0]))
 
 
+def nearest_lists(q: np.ndarray, centroids: np.ndarray, nprobe: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and distances of the nearest lists of each query, best first, ties by number."""
+    dist = 1 - q @ centroids.T
+    order = np.argsort(dist, axis=1, kind="stable")[:, : min(nprobe, len(centroids))]
+    return order, np.take_along_axis(dist, order, 1)
+
+
 def probes(index: IVF, queries: DataFrame, nprobe: int) -> DataFrame:
     """(qid, q, list_id, dist, rank): the nearest lists of each query, best first."""
-    c = index.table().select("list_id", "centroid")
-    near = queries.select("qid", F.col("embedding").alias("q")).join(F.broadcast(c))
-    near = near.select("qid", "q", F.col("list_id").alias("vec_id"), ip_distance(F.col("q"), F.col("centroid")).alias("dist"))
-    return ranked(near, min(nprobe, len(index.centroids))).withColumnRenamed("vec_id", "list_id")
+    centroids = index.centroids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                order, dist = nearest_lists(matrix(batch["q"], centroids.shape[1]), centroids, nprobe)
+                n, row = order.shape[1], np.repeat(np.arange(len(order)), order.shape[1])
+                one = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array(order.ravel()), pa.array(dist.ravel()), pa.array(np.tile(np.arange(1, n + 1), len(order)))], names=["qid", "q", "list_id", "dist", "rank"])
+
+    ship(queries.sparkSession)
+    rows = asked(queries).withColumnRenamed("v", "q")
+    return rows.mapInArrow(run, f"qid long, q {dict(rows.dtypes)['q']}, list_id long, dist double, rank long")
+
+
+def probed_of(index: IVF, nprobe: int):
+    """For a block of queries, which lists each of them probes."""
+    centroids = index.centroids
+
+    def run(q: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(q), len(centroids)), dtype=bool)
+        np.put_along_axis(out, nearest_lists(q, centroids, nprobe)[0], True, axis=1)
+        return out
+
+    return run
 
 
 def search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
-    """(qid, vec_id, dist, rank) over the probed lists."""
-    asked = probes(index, queries, nprobe).select("qid", "q", "list_id")
-    met = index.lists.join(asked, "list_id")
-    return ranked(met.select("qid", "vec_id", ip_distance(F.col("q"), F.col("v")).alias("dist")), k)
+    """(qid, vec_id, dist, rank) over the probed lists.
+
+    The probes of a block of queries go out with it, and rows are ranked where
+    they are scanned: a list of any size is read by as many tasks as it has splits.
+    """
+    return ranked(scan(index.lists, asked(queries), metric_kernel("ip"), k, probed_of=probed_of(index, nprobe)), k)
 
 
 def union_search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
-    """The same result by way of the union of all probed lists: a semi-join first, the probe test after."""
+    """The same result by way of the union of all probed lists: a semi-join first, the probes of each query after."""
     parts = []
     for part in query_parts(queries):
-        asked = probes(index, part, nprobe)
-        union = index.lists.join(asked.select("list_id").distinct(), "list_id", "left_semi")
-        per = asked.groupBy("qid").agg(F.first("q").alias("q"), F.collect_set("list_id").alias("lists"))
-        met = union.join(F.broadcast(per), F.array_contains("lists", F.col("list_id")))
-        parts.append(met.select("qid", "vec_id", ip_distance(F.col("q"), F.col("v")).alias("dist")))
-    return ranked(reduce(DataFrame.unionByName, parts), k)
+        asked_lists = probes(index, part, nprobe)
+        union = index.lists.join(F.broadcast(asked_lists.select("list_id").distinct()), "list_id", "left_semi")
+        parts.append(search(IVF(index.centroids, union), part, k, nprobe))
+    return ranked(reduce(DataFrame.unionByName, parts).drop("rank"), k)
+
+
+def save(index: IVF, path: str, meta: dict) -> None:
+    """Centroids, and the lists laid out by list_id, as tables."""
+    save_index({"centroids": index.table(), "lists": index.lists}, path, meta)
+
+
+def load(spark: SparkSession, path: str, meta: dict | None = None) -> IVF | None:
+    """A saved index ready to be searched; None if it is absent or was built from other data or parameters."""
+    ship(spark)
+    found = load_index(spark, path, meta)
+    return None if found is None else of_tables(found)
+
+
+def of_tables(found: dict[str, DataFrame]) -> IVF:
+    rows = found["centroids"].orderBy("list_id").collect()
+    if [r.list_id for r in rows] != list(range(len(rows))):
+        raise ValueError("centroids are missing")
+    return IVF(np.array([r.centroid for r in rows]), found["lists"].withColumn("list_id", F.col("list_id").cast("long")))
+
+
+def build_or_load(base: DataFrame, path: str, nlist: int, steps: int = 10) -> IVF:
+    """The index saved at ``path`` if it has these parameters and vectors, else one built and saved now."""
+    meta = {"kind": "ivf", "nlist": nlist, "steps": steps, "data": fingerprint(base)}
+    found = load(base.sparkSession, path, meta)
+    if found is None:
+        save(build(base, nlist, steps), path, meta)
+        found = load(base.sparkSession, path, meta)
+    return found
 
 
 def query_order(index: IVF, queries: DataFrame, nprobe: int = 8, mode: str = "signature") -> DataFrame:

@@ -59,12 +59,14 @@ def lloyd(rows: DataFrame, start: np.ndarray, steps: int, how: str, reseed=None)
 
 
 def first_rows(rows: DataFrame, size: int, *order: str) -> np.ndarray:
-    """Rows number c * n div size of the given order, as the start of a book."""
-    seats = numbered(rows, *(order or ("vec_id",)))
+    """Rows number c * n div size of the given order, as the start of a book; ids alone are sorted."""
+    order = order or ("vec_id",)
+    keys = list(dict.fromkeys([*order, "vec_id"]))
+    seats = numbered(rows.select(*keys), *order)
     n = seats.select("n_rows").first()
     rows_at = [(c, c * n["n_rows"] // size) for c in range(size)] if n else []
-    picks = seats.join(F.broadcast(rows.sparkSession.createDataFrame(rows_at, "c int, row long")), "row")
-    found = picks.orderBy("c").select("v").toArrow()
+    picks = seats.join(F.broadcast(rows.sparkSession.createDataFrame(rows_at, "c int, row long")), "row").select("c", *keys)
+    found = rows.join(F.broadcast(picks), keys).orderBy("c").select("v").toArrow()
     if found.num_rows < size:
         raise ValueError(f"{size} centroids need as many rows")
     return matrix(found["v"])

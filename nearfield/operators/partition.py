@@ -19,8 +19,9 @@ def numbered(table: DataFrame, *order: str | Column) -> DataFrame:
     offsets, total = {}, 0
     for p in sorted(counts):
         offsets[p], total = total, total + counts[p]
-    offset = F.element_at(F.create_map(*(F.lit(x) for p in offsets.items() for x in p)), F.col("_part")) if offsets else F.lit(0)
-    return done.withColumn("row", (offset + F.col("_seat")).cast("long")).withColumn("n_rows", F.lit(total).cast("long")).drop("_part", "_seat")
+    rows = [(p, n) for p, n in offsets.items()]
+    at = F.broadcast(table.sparkSession.createDataFrame(rows, "_part int, _offset long"))
+    return done.join(at, "_part").withColumn("row", (F.col("_offset") + F.col("_seat")).cast("long")).withColumn("n_rows", F.lit(total).cast("long")).drop("_part", "_seat", "_offset")
 
 
 def shard_of(row: Column, n: Column, shards: int) -> Column:
@@ -32,9 +33,14 @@ def shard_of(row: Column, n: Column, shards: int) -> Column:
 
 
 def shards(table: DataFrame, n: int) -> DataFrame:
-    """Rows with ``shard``: contiguous ranges of vec_id."""
-    rows = numbered(table, "vec_id")
-    return rows.withColumn("shard", shard_of(F.col("row"), F.col("n_rows"), n)).drop("row", "n_rows")
+    """Rows with ``shard``: contiguous ranges of vec_id.
+
+    Only ids are numbered; rows take their shard by comparing their id with the n first ones.
+    """
+    ids = numbered(table.select("vec_id"), "vec_id").withColumn("shard", shard_of(F.col("row"), F.col("n_rows"), n))
+    first = sorted(r["first"] for r in ids.groupBy("shard").agg(F.min("vec_id").alias("first")).collect())
+    place = sum((F.col("vec_id") >= F.lit(x)).cast("long") for x in first[1:]) if len(first) > 1 else F.lit(0)
+    return table.withColumn("shard", F.lit(0).cast("long") + place)
 
 
 def chunk_of(row: Column, n: Column, parts: int) -> Column:

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, l2_distance, lookup_distance
+from ..functions.vectors import l2_distance, subvector
 from ..sources.ship import ship
-from ..sources.tables import checkpointed
-from .flat import matrix, query_parts, rerank
-from .ivf import IVF, probes
+from ..sources.tables import book_table, checkpointed, load_index, read_book, save_index
+from .flat import Kernel, asked, matrix, rerank, scan
+from .ivf import IVF, of_tables, probed_of
 from .kmeans import DIGITS, assign, first_rows, lloyd
 from .topk import ranked, vector_columns
 
@@ -57,44 +56,51 @@ def coded(rows: DataFrame, book: np.ndarray, *keep: str) -> DataFrame:
     return rows.select("vec_id", *keep, "v").mapInArrow(run, ", ".join(["vec_id long", *(f"{k} {kinds[k]}" for k in keep), "code array<smallint>"]))
 
 
-def tables(queries: DataFrame, book: np.ndarray, how: str = "l2") -> DataFrame:
-    """(qid, lut): for each sub-space the distances (l2) or products (ip) of the query with all codewords."""
-    dsub = book.shape[2]
+def lookup(q: np.ndarray, book: np.ndarray, how: str = "l2") -> np.ndarray:
+    """(queries, sub-spaces, codes): distances (l2) or products (ip) of queries with all codewords."""
+    part = q.reshape(len(q), len(book), 1, book.shape[2])
+    return ((part - book[None]) ** 2).sum(3) if how == "l2" else (part * book[None]).sum(3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = matrix(batch["embedding"])
-            out = []
-            for x in q:
-                part = x.reshape(len(book), 1, dsub)
-                out.append((((part - book) ** 2).sum(2) if how == "l2" else (part * book).sum(2)).tolist())
-            yield pa.RecordBatch.from_arrays([batch["qid"], pa.array(out, type=pa.list_(pa.list_(pa.float64())))], names=["qid", "lut"])
 
-    return queries.select("qid", "embedding").mapInArrow(run, "qid long, lut array<array<double>>")
+def looked_up(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Asymmetric distances: the sum of each code's entry in its sub-space's table, rounded so that equal codes tie."""
+    out = np.zeros((len(lut), len(codes)))
+    for m in range(lut.shape[1]):
+        out += lut[:, m][:, codes[:, m]]
+    return np.round(out, 12)
+
+
+def codes_of(part: pa.RecordBatch, book: np.ndarray) -> np.ndarray:
+    """Stored codes of a batch, or those of its vectors."""
+    if "code" in part.schema.names:
+        return matrix(part["code"], len(book)).astype(np.int64)
+    return encode(matrix(part["v"], len(book) * book.shape[2]), book)
+
 
+def _adc_kernel(book: np.ndarray):
+    def kernel_of(q: np.ndarray) -> Kernel:
+        lut = lookup(q, book)
+        return lambda which, part: looked_up(lut[which], codes_of(part, book))
 
-def _asked(queries: DataFrame) -> DataFrame:
-    return queries.select("qid", F.col("embedding").alias("v"))
+    return kernel_of
 
 
 def adc(codes: DataFrame, queries: DataFrame, book: np.ndarray, top_p: int) -> DataFrame:
-    """The ``top_p`` rows of least table distance."""
-    parts = [codes.join(F.broadcast(tables(part, book))).select("qid", "vec_id", lookup_distance(F.col("code"), F.col("lut")).alias("dist")) for part in query_parts(queries)]
-    return ranked(reduce(DataFrame.unionByName, parts), top_p)
+    """The ``top_p`` rows of least table distance, from codes (vec_id, code) or vectors (vec_id, v)."""
+    return ranked(scan(codes, asked(queries), _adc_kernel(book), top_p), top_p)
 
 
 def search(base: DataFrame, queries: DataFrame, book: np.ndarray, k: int = 10, top_p: int = 50) -> DataFrame:
     """Candidates by table distance, then exact distances."""
     rows = vector_columns(base)
-    return rerank(adc(coded(rows, book), queries, book, max(k, top_p)), rows, _asked(queries), k)
+    return rerank(adc(rows, queries, book, max(k, top_p)), rows, asked(queries), k)
 
 
-def ivf_search(index: IVF, queries: DataFrame, book: np.ndarray, k: int = 10, top_p: int = 50, nprobe: int = 4) -> DataFrame:
-    """Raw vectors coded by one book; candidates come from the probed lists."""
-    asked = probes(index, queries, nprobe).select("qid", "list_id").join(tables(queries, book), "qid")
-    met = coded(index.lists, book, "list_id").join(asked, "list_id")
-    near = ranked(met.select("qid", "vec_id", lookup_distance(F.col("code"), F.col("lut")).alias("dist")), max(k, top_p))
-    return rerank(near, index.lists.select("vec_id", "v"), _asked(queries), k)
+def ivf_search(index: IVF, queries: DataFrame, book: np.ndarray, k: int = 10, top_p: int = 50, nprobe: int = 4, codes: DataFrame | None = None) -> DataFrame:
+    """Raw vectors coded by one book; candidates come from the probed lists. ``codes`` (vec_id, list_id, code) may be stored ones."""
+    p = max(k, top_p)
+    near = ranked(scan(index.lists if codes is None else codes, asked(queries), _adc_kernel(book), p, probed_of=probed_of(index, nprobe)), p)
+    return rerank(near, index.lists.select("vec_id", "v"), asked(queries), k)
 
 
 def local_books(index: IVF, subspaces: int, size: int, steps: int = 10) -> DataFrame:
@@ -107,7 +113,7 @@ def local_books(index: IVF, subspaces: int, size: int, steps: int = 10) -> DataF
     seats = index.lists.select("list_id", "vec_id").withColumn("seat", seat).join(index.sizes().select("list_id", "size"), "list_id")
     picks = seats.select("list_id", "vec_id", "seat", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("c"), "size").where("seat = floor(c * size / %d)" % size)
     d = index.centroids.shape[1] // subspaces
-    cut = lambda v: F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(subspaces - 1)), lambda m: F.slice(v, m * d + 1, d)))
+    cut = lambda v: F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(subspaces - 1)), lambda m: subvector(v, m, d)))
     book = picks.join(index.lists.select("vec_id", "v"), "vec_id").select("list_id", "c", cut(F.col("v")).alias("m", "x"))
     book = _round(book.select("list_id", "m", "c", F.transform("x", lambda y: y.cast("double")).alias("centroid")))
     parts = index.lists.select("list_id", "vec_id", cut(F.col("v")).alias("m", "x"))
@@ -131,18 +137,25 @@ def _nearest(parts: DataFrame, book: DataFrame) -> DataFrame:
 
 
 def local_search(index: IVF, books: DataFrame, queries: DataFrame, k: int = 10, top_p: int = 50, nprobe: int = 4) -> DataFrame:
-    """Codes and tables by the books of the lists: a table for each (query, list)."""
-    n = books.agg(F.max("m")).first()[0] + 1
-    dsub = index.centroids.shape[1] // n
-    per = books.groupBy("list_id", "m").agg(F.array_sort(F.collect_list(F.struct("c", "centroid"))).alias("book"))
-    per = per.groupBy("list_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "book"))), lambda s: s["book"]).alias("books"))
-    asked = probes(index, queries, nprobe).select("qid", "q", "list_id").join(per, "list_id")
-    lut = F.transform("books", lambda b, m: F.transform(b, lambda w: l2_distance(F.slice(F.col("q"), m * dsub + 1, F.lit(dsub)), w["centroid"])))
-    asked = asked.select("qid", "list_id", lut.alias("lut"))
-    parts = index.lists.select("list_id", "vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda m: F.slice("v", m * dsub + 1, F.lit(dsub)))).alias("m", "x"))
-    codes = _nearest(parts, books).groupBy("list_id", "vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "c"))), lambda s: s["c"]).alias("code"))
-    near = ranked(codes.join(asked, "list_id").select("qid", "vec_id", lookup_distance(F.col("code"), F.col("lut")).alias("dist")), max(k, top_p))
-    return rerank(near, index.lists.select("vec_id", "v"), _asked(queries), k)
+    """Codes and tables by the books of the lists: a table for each list that a query probes."""
+    found: dict[int, dict[tuple[int, int], list[float]]] = {}
+    for r in books.collect():
+        found.setdefault(r.list_id, {})[r.m, r.c] = r.centroid
+    held = {}
+    for x, cells in found.items():
+        n, size = 1 + max(m for m, _ in cells), 1 + max(c for _, c in cells)
+        held[x] = np.array([[cells[m, c] for c in range(size)] for m in range(n)])
+
+    def kernel_of(q: np.ndarray) -> Kernel:
+        def kernel(which: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+            book = held[part["list_id"][0].as_py()]
+            return looked_up(lookup(q[which], book), codes_of(part, book))
+
+        return kernel
+
+    p = max(k, top_p)
+    near = ranked(scan(index.lists, asked(queries), kernel_of, p, probed_of=probed_of(index, nprobe)), p)
+    return rerank(near, index.lists.select("vec_id", "v"), asked(queries), k)
 
 
 @dataclass
@@ -163,8 +176,45 @@ def build_residual(index: IVF, subspaces: int, size: int, steps: int = 10) -> Re
 
 def residual_search(r: Residual, queries: DataFrame, k: int = 10, rerank_p: int = 50, nprobe: int = 4) -> DataFrame:
     """Score 1 - (q . centroid + sum of q_m . codeword); the best go through exact distances."""
-    asked = probes(r.index, queries, nprobe).select("qid", "q", "list_id").join(F.broadcast(r.index.table()), "list_id")
-    asked = asked.select("qid", "list_id", dot(F.col("q"), F.col("centroid")).alias("base")).join(tables(queries, r.book, "ip"), "qid")
-    met = r.codes.join(asked, "list_id")
-    near = ranked(met.select("qid", "vec_id", (1 - (F.col("base") + lookup_distance(F.col("code"), F.col("lut")))).alias("dist")), max(k, rerank_p))
-    return near if rerank_p <= k else rerank(near, r.index.lists.select("vec_id", "v"), _asked(queries), k)
+    centroids, book = r.index.centroids, r.book
+
+    def kernel_of(q: np.ndarray) -> Kernel:
+        lut, top = lookup(q, book, "ip"), q @ centroids.T
+
+        def kernel(which: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+            return 1 - (top[which, part["list_id"][0].as_py()][:, None] + looked_up(lut[which], codes_of(part, book)))
+
+        return kernel
+
+    p = max(k, rerank_p)
+    near = ranked(scan(r.codes, asked(queries), kernel_of, p, probed_of=probed_of(r.index, nprobe)), p)
+    return near if rerank_p <= k else rerank(near, r.index.lists.select("vec_id", "v"), asked(queries), k)
+
+
+def save_residual(r: Residual, path: str, meta: dict) -> None:
+    spark = r.codes.sparkSession
+    save_index({"centroids": r.index.table(), "lists": r.index.lists, "book": book_table(spark, r.book), "codes": r.codes}, path, meta)
+
+
+def load_residual(spark: SparkSession, path: str, meta: dict | None = None) -> Residual | None:
+    """A saved residual index ready to be searched, or None."""
+    found = load_index(spark, path, meta)
+    if found is None:
+        return None
+    ship(spark)
+    return Residual(of_tables(found), read_book(found["book"]), found["codes"].withColumn("list_id", F.col("list_id").cast("long")))
+
+
+def save_coded(index: IVF, book: np.ndarray, path: str, meta: dict) -> None:
+    """Lists, a book of the raw vectors, and their codes by list."""
+    spark = index.lists.sparkSession
+    save_index({"centroids": index.table(), "lists": index.lists, "book": book_table(spark, book), "codes": coded(index.lists, book, "list_id")}, path, meta)
+
+
+def load_coded(spark: SparkSession, path: str, meta: dict | None = None) -> tuple[IVF, np.ndarray, DataFrame] | None:
+    """(index, book, codes) for ``ivf_search``, or None."""
+    found = load_index(spark, path, meta)
+    if found is None:
+        return None
+    ship(spark)
+    return of_tables(found), read_book(found["book"]), found["codes"].withColumn("list_id", F.col("list_id").cast("long"))

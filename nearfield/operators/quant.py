@@ -1,22 +1,18 @@
-"""Scalar quantisation: 8-bit unsigned with rerank, 8-bit signed, half precision."""
+"""Scalar quantisation: 8-bit unsigned with rerank, 8-bit signed, half precision.
 
-from __future__ import annotations
+Rows are quantised where they are scanned; codes meet a block of queries as matrices.
+"""
 
-from collections.abc import Iterator
-from functools import reduce
+from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import halved, integer_dot, ip_distance, quantized_i8, quantized_u8
-from .flat import query_parts, rerank
+from ..functions.vectors import quantized_u8
+from .flat import Kernel, asked, matrix, rerank, scan
 from .topk import ranked, vector_columns
 
-def _asked(queries: DataFrame) -> Iterator[DataFrame]:
-    """Queries as (qid, q), in blocks small enough to be sent out whole."""
-    for part in query_parts(queries):
-        yield part.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("q")).where("qid is not null and q is not null")
-
 
 def u8_params(base: DataFrame) -> DataFrame:
     """(low, high, step): the range of all components; a constant table gets a range of 1e-6."""
@@ -35,15 +31,23 @@ def u8_codes(base: DataFrame) -> DataFrame:
 
 def u8_search(base: DataFrame, queries: DataFrame, k: int = 10, top_p: int = 50) -> DataFrame:
     """Candidates by the score low * step * sum + step^2 * codes . query codes, then exact distances."""
-    p = F.broadcast(u8_params(base))
-    codes = u8_codes(base)
-    score = F.col("bias") + F.col("step") * F.col("step") * integer_dot(F.col("code"), F.col("qc"))
-    parts = []
-    for asked in _asked(queries):
-        asked = asked.join(p).select("qid", quantized_u8(F.col("q"), F.col("low"), F.col("step")).alias("qc"), "step")
-        parts.append(codes.join(F.broadcast(asked)).select("qid", "vec_id", (-score).alias("dist")))
-    scored = reduce(DataFrame.unionByName, parts)
-    return rerank(ranked(scored, max(k, top_p)), vector_columns(base), queries.select("qid", F.col("embedding").alias("v")), k)
+    p = u8_params(base).first()
+    low, step = p["low"], p["step"]
+
+    def kernel_of(q: np.ndarray) -> Kernel:
+        code = lambda x: np.clip(np.floor((x - low) / step + 0.5), 0, 255)
+        qc = code(q)
+
+        def kernel(which: np.ndarray, part) -> np.ndarray:
+            x = code(matrix(part["v"], q.shape[1]))
+            return -(low * step * x.sum(1)[None] + step * step * (qc[which] @ x.T))
+
+        return kernel
+
+    if low is None:
+        return ranked(scan(vector_columns(base).limit(0), asked(queries), kernel_of, k), k)
+    near = ranked(scan(vector_columns(base), asked(queries), kernel_of, max(k, top_p)), max(k, top_p))
+    return rerank(near, vector_columns(base), asked(queries), k)
 
 
 def i8_scale(base: DataFrame, queries: DataFrame) -> DataFrame:
@@ -55,18 +59,22 @@ def i8_scale(base: DataFrame, queries: DataFrame) -> DataFrame:
 
 def i8_search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The distance is minus the integer product of the codes."""
-    s = F.broadcast(i8_scale(base, queries))
-    rows = vector_columns(base).join(s).select("vec_id", quantized_i8(F.col("v"), F.col("scale")).alias("code"))
-    parts = []
-    for asked in _asked(queries):
-        asked = asked.join(s).select("qid", quantized_i8(F.col("q"), F.col("scale")).alias("qc"))
-        parts.append(rows.join(F.broadcast(asked)).select("qid", "vec_id", (-integer_dot(F.col("code"), F.col("qc"))).cast("double").alias("dist")))
-    return ranked(reduce(DataFrame.unionByName, parts), k)
+    scale = i8_scale(base, queries).first()["scale"]
+    code = lambda x: np.clip(np.rint(x * scale), -127, 127)
+
+    def kernel_of(q: np.ndarray) -> Kernel:
+        qc = code(q)
+        return lambda which, part: 0.0 - qc[which] @ code(matrix(part["v"], q.shape[1])).T
+
+    return ranked(scan(vector_columns(base), asked(queries), kernel_of, k), k)
 
 
 def half_search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Inner product distance of vectors rounded to half precision."""
-    rows = vector_columns(base).select("vec_id", halved(F.col("v")).alias("h"))
-    asked = [a.select("qid", halved(F.col("q")).alias("qh")) for a in _asked(queries)]
-    parts = [rows.join(F.broadcast(a)).select("qid", "vec_id", ip_distance(F.col("qh"), F.col("h")).alias("dist")) for a in asked]
-    return ranked(reduce(DataFrame.unionByName, parts), k)
+    half = lambda x: x.astype(np.float16).astype(np.float64)
+
+    def kernel_of(q: np.ndarray) -> Kernel:
+        qh = half(q)
+        return lambda which, part: 1 - qh[which] @ half(matrix(part["v"], q.shape[1])).T
+
+    return ranked(scan(vector_columns(base), asked(queries), kernel_of, k), k)

@@ -32,14 +32,6 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return each.agg(F.lit(k).cast("long").alias("k"), F.count(F.lit(1)).alias("n_queries"), F.round(F.avg(F.col("n") / F.lit(k)), 6).alias("recall"))
 
 
-def documents(rows: DataFrame, n: int) -> DataFrame:
-    """For rows (qid, vec_id, dist, doc): all rows nearer than the first row of document n + 1."""
-    first = rows.groupBy("qid", "doc").agg(F.min(F.struct("dist", "vec_id")).alias("first"))
-    order = first.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("first.dist", "first.vec_id")))
-    bound = order.where(F.col("place") == n + 1).select("qid", F.col("first").alias("bound"))
-    return rows.join(bound, "qid", "left").where(F.col("bound").isNull() | (F.struct("dist", "vec_id") < F.col("bound"))).drop("bound")
-
-
 def rounded(rows: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return rows.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import K, KS, M, NLIST, NPROBE, STEPS, TOP_P
+from .queries import K, KS, M, NLIST, NPROBE, SHARDS, STEPS, TOP_P
 
 DIM = 64
 _Q = "q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0)"
@@ -96,11 +96,11 @@ _NEG = "list_transform(v, lambda x: -x)"
 
 
 def _local_first() -> str:
-    """Searches by a book for each list (4 codes, one step)."""
+    """Searches by a book for each list (one step)."""
     parts = [
         f"lp AS (SELECT list_id, vec_id, m, list_slice(v, m * {_SUB} + 1, m * {_SUB} + {_SUB}) AS x FROM lists, range({M}) t(m))",
         "ln AS (SELECT *, row_number() OVER (PARTITION BY list_id, m ORDER BY vec_id) - 1 AS seat, count(*) OVER (PARTITION BY list_id, m) AS size FROM lp)",
-        "l0 AS (SELECT list_id, m, c, list_transform(x, lambda y: round(y, 9)) AS cen FROM ln, range(4) t(c) WHERE seat = c * size // 4)",
+        f"l0 AS (SELECT list_id, m, c, list_transform(x, lambda y: round(y, 9)) AS cen FROM ln, range({KS}) t(c) WHERE seat = c * size // {KS})",
     ]
     near = lambda i: f"(SELECT * FROM (SELECT lp.*, c, row_number() OVER (PARTITION BY vec_id, m ORDER BY round({_l2('x', 'cen')}, 12), c) AS pick FROM lp JOIN l{i} USING (list_id, m)) WHERE pick = 1)"
     parts += [
@@ -129,9 +129,37 @@ def _ivf(rows: str = "lists") -> str:
     return _with(_Q, _B, *_IVF, f"d AS (SELECT qid, vec_id, {_IP} AS dist FROM probes JOIN lists USING (list_id))") + _final(_rank("d"))
 
 
+def _shards() -> str:
+    """Each shard's own index, searched and merged."""
+    one = lambda i: _with(
+        _Q, f"b AS (SELECT vec_id, v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_contiguous(SHARDS)} AS shard FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS rn, count(*) OVER () AS n FROM embeddings)) WHERE shard = {i})",
+        *_IVF, *_PQ, _LUT, _IVFPQ, *_reranked("adc"),
+    ) + _rank("d")
+    return "WITH " + ", ".join(f"shard{i} AS ({one(i)})" for i in range(SHARDS)) + _final(_rank("(" + " UNION ALL ".join(f"SELECT qid, vec_id, dist FROM shard{i}" for i in range(SHARDS)) + ")"))
+
+
+_IVFPQ = "adc AS (SELECT qid, vec_id, round(sum(d), 12) AS dist FROM probes JOIN lists USING (list_id) JOIN ka USING (vec_id) JOIN lut USING (qid, m, c) GROUP BY qid, vec_id)"
+
+
 def oracle_sql() -> dict[str, str]:
     pq_final = _final(_rank("d"))
+    quarter = "(row_number() OVER (ORDER BY vec_id) * 4 - 1) // count(*) OVER ()"
+    documents = _with(
+        _Q, _B, f"d AS (SELECT qid, vec_id, label AS doc, {_IP} AS dist FROM q, b)",
+        "f AS (SELECT qid, doc, min(struct_pack(dist := dist, vec_id := vec_id)) AS first FROM d GROUP BY qid, doc)",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FROM f)",
+    ) + "SELECT d.qid, vec_id, d.doc, round(dist, 6) + 0.0 AS dist FROM d LEFT JOIN o ON o.qid = d.qid AND place = 4 WHERE first IS NULL OR dist < first.dist OR (dist = first.dist AND vec_id < first.vec_id)"
+    ivfpq = _with(_Q, _B, *_IVF, *_PQ, _LUT, _IVFPQ, *_reranked("adc")) + pq_final
     return {
+        "hnsw_saved_topk": _flat(),
+        "hnsw_filtered_topk": _flat(where="label % 2 = 0"),
+        "part_hnsw_pruned_topk": _with(_Q, f"b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {quarter} AS part FROM embeddings)", f"d AS (SELECT qid, vec_id, {_IP} AS dist FROM q, b WHERE part IN ((qid // 100) % 3, 1))") + pq_final,
+        "hnsw_range_eps": _with(_Q, _B, f"d AS (SELECT * FROM (SELECT qid, vec_id, {_IP} AS dist FROM q, b) WHERE dist <= 0.6)") + _final(_rank("d", None)),
+        "hnsw_doc_topk": documents,
+        "shard_ivfpq_topk": _shards(),
+        "ivf_loaded_topk": _ivf(),
+        "ivfpq_loaded_topk": ivfpq,
+        "ivfpq_residual_loaded_topk": _residual(),
         "flat_ip_topk": _flat(),
         "flat_l2_topk": _flat(_l2("q", "v")),
         "flat_cosine_topk": _flat(f"1 - list_inner_product({_unit('q')}, {_unit('v')})"),
@@ -140,11 +168,7 @@ def oracle_sql() -> dict[str, str]:
         "flat_dims_rerank": _with(_Q, _B, "s AS (SELECT qid, vec_id, 1 - list_inner_product(list_slice(q, 1, 32), list_slice(v, 1, 32)) AS dist FROM q, b)", *_reranked("s", 40)) + pq_final,
         "flat_local_p": _with(_Q, _B, _NUMBERED, f"d AS (SELECT qid, vec_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid, shard ORDER BY dist, vec_id) AS place FROM (SELECT qid, vec_id, {_IP} AS dist, {_contiguous(8)} AS shard FROM q, nb)) WHERE place <= 4)") + pq_final,
         "range_search_eps": _with(_Q, _B, f"d AS (SELECT * FROM (SELECT qid, vec_id, {_l2('q', 'v')} AS dist FROM q, b) WHERE dist <= 1.2)") + _final(_rank("d", None)),
-        "multivector_doc_topk": _with(
-            _Q, _B, f"d AS (SELECT qid, vec_id, label AS doc, {_IP} AS dist FROM q, b)",
-            "f AS (SELECT qid, doc, min(struct_pack(dist := dist, vec_id := vec_id)) AS first FROM d GROUP BY qid, doc)",
-            "o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FROM f)",
-        ) + "SELECT d.qid, vec_id, d.doc, round(dist, 6) + 0.0 AS dist FROM d LEFT JOIN o ON o.qid = d.qid AND place = 4 WHERE first IS NULL OR dist < first.dist OR (dist = first.dist AND vec_id < first.vec_id)",
+        "multivector_doc_topk": documents,
         "sq8_params": _with(_B, _LOW) + "SELECT round(low, 9) + 0.0 AS low, round(high, 9) + 0.0 AS high, round(step, 9) + 0.0 AS step FROM params",
         "sq8_topk": _with(
             _Q, _B, _LOW, f"bc AS (SELECT vec_id, {_U8.format('v')} AS code, low, step FROM b, params)", f"qc AS (SELECT qid, {_U8.format('q')} AS qcode FROM q, params)",
@@ -167,7 +191,7 @@ def oracle_sql() -> dict[str, str]:
         "pq_codes": _with(_B, *_PQ) + "SELECT vec_id, CAST(m AS BIGINT) AS m, CAST(c AS BIGINT) AS c FROM ka",
         "pq_adc_topp": _with(_Q, _B, *_PQ, _LUT, _ADC) + _final(_rank("adc", TOP_P)),
         "pq_topk": _with(_Q, _B, *_PQ, _LUT, _ADC, *_reranked("adc")) + pq_final,
-        "ivfpq_topk": _with(_Q, _B, *_IVF, *_PQ, _LUT, "adc AS (SELECT qid, vec_id, round(sum(d), 12) AS dist FROM probes JOIN lists USING (list_id) JOIN ka USING (vec_id) JOIN lut USING (qid, m, c) GROUP BY qid, vec_id)", *_reranked("adc")) + pq_final,
+        "ivfpq_topk": ivfpq,
         "ivffirstpq_topk": _local_first(),
         "ivfpq_residual_topk": _residual(),
         "shard_flat_merge": _flat(),

@@ -39,3 +39,26 @@ class Timings:
 
     def rows(self) -> list[tuple[str, float]]:
         return list(self.seconds.items())
+
+
+def quality(found: DataFrame, truth: DataFrame, k: int, name: str, seconds: float) -> DataFrame:
+    """(name, k, n_queries, recall, seconds, queries_per_second) of one search."""
+    from ..operators.topk import recall
+
+    rows = recall(found, truth, k)
+    return rows.select(F.lit(name).alias("name"), "k", "n_queries", "recall", F.lit(float(seconds)).alias("seconds"), (F.col("n_queries") / F.lit(max(float(seconds), 1e-9))).alias("queries_per_second"))
+
+
+def merge_profile(parts: dict[str, DataFrame]) -> DataFrame:
+    """(part, candidates, queries, bytes): what each part of a sharded search sends to the merge (ids and distances)."""
+    out = None
+    for name, rows in parts.items():
+        one = rows.agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct("qid").alias("queries"))
+        one = one.select(F.lit(name).alias("part"), "candidates", "queries", (F.col("candidates") * 24).alias("bytes"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A report as one CSV file with a header; reports have a row for each part, step or search."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .operators import flat, graph, ivf, maintain, partition, pq, quant, shard, topk
 from .plans.options import SearchOptions
-from .sources.tables import read
+from .sources.tables import checkpointed, read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
-K, NLIST, STEPS, NPROBE, M, KS, TOP_P = 10, 8, 2, 3, 4, 8, 50
+K, NLIST, STEPS, NPROBE, M, KS, TOP_P, SHARDS = 10, 8, 2, 7, 16, 16, 300, 2
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +54,8 @@ def range_search_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multivector_doc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    near = flat.distances(topk.vector_columns(b), asked(b).select("qid", F.col("embedding").alias("v")), 0, "ip", eps=float("inf"))
-    rows = near.join(b.select("vec_id", F.col("label").alias("doc")), "vec_id")
-    return topk.rounded(topk.documents(rows, 3).select("qid", "vec_id", "doc", "dist"), "dist")
+    rows = b.select("vec_id", F.col("label").cast("long").alias("doc"), F.col("embedding").alias("v"))
+    return topk.rounded(flat.document_search(rows, flat.asked(asked(b)), 3), "dist")
 
 
 def sq8_params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ def ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ivffirstpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, index = _index(spark, sf_dir)
-    return _out(pq.local_search(index, pq.local_books(index, M, 4, 1), asked(b), K, TOP_P, NPROBE))
+    return _out(pq.local_search(index, pq.local_books(index, M, KS, 1), asked(b), K, TOP_P, NPROBE))
 
 
 def ivfpq_residual_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,11 +212,79 @@ def two_level_hnsw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(graph.search_two_level(index, asked(b), K, NPROBE, 64, 2000))
 
 
+def _kept(spark: SparkSession, name: str) -> str:
+    """A place for an index of this call in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def hnsw_saved_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs are built and saved, then searched as they are loaded."""
+    b = base(spark, sf_dir)
+    nodes = graph.build_or_load(partition.partitioned(b, 2, "contiguous"), _kept(spark, "graph"))
+    return _out(graph.search_nodes(nodes, asked(b), K, 5000))
+
+
+def hnsw_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    nodes = checkpointed(graph.build(partition.partitioned(b, 2, "contiguous")))
+    return _out(graph.search_nodes(nodes, asked(b), K, 5000, allowed=b.where("label % 2 = 0").select("vec_id")))
+
+
+def part_hnsw_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query asks two of four parts; a part that no query asks is not read."""
+    b = base(spark, sf_dir)
+    path = _kept(spark, "parts")
+    graph.save(graph.build(partition.partitioned(b, 4, "contiguous")), path, {"kind": "graph"})
+    q = asked(b)
+    wanted = q.select("qid", F.explode(F.array(F.floor(F.col("qid") / 100) % 3, F.lit(1).cast("long"))).alias("part")).distinct()
+    return _out(graph.search_nodes(graph.load(spark, path, {"kind": "graph"}, [0, 1, 2]), q, K, 5000, wanted=wanted))
+
+
+def hnsw_range_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    nodes = checkpointed(graph.build(partition.partitioned(b, 1, "contiguous")))
+    return _out(graph.range_nodes(nodes, asked(b), 0.6, least=5000))
+
+
+def hnsw_doc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    nodes = checkpointed(graph.build(partition.partitioned(b, 1, "contiguous")))
+    return topk.rounded(graph.document_nodes(nodes, asked(b), b.select("vec_id", F.col("label").alias("doc")), 3, 5000), "dist")
+
+
+def shard_ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    path = _kept(spark, "shards")
+    shard.save(shard.build_ivfpq(b, SHARDS, NLIST, M, KS, STEPS), path, {"kind": "shards"})
+    return _out(shard.search_ivfpq(shard.load(spark, path, {"kind": "shards"}), asked(b), K, TOP_P, NPROBE))
+
+
+def ivf_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    return _out(ivf.search(ivf.build_or_load(b, _kept(spark, "ivf"), NLIST, STEPS), asked(b), K, NPROBE))
+
+
+def ivfpq_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, index = _index(spark, sf_dir)
+    path, meta = _kept(spark, "ivfpq"), {"kind": "ivfpq"}
+    pq.save_coded(index, pq.train(topk.vector_columns(b), M, KS, STEPS), path, meta)
+    index, book, codes = pq.load_coded(spark, path, meta)
+    return _out(pq.ivf_search(index, asked(b), book, K, TOP_P, NPROBE, codes))
+
+
+def ivfpq_residual_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, index = _index(spark, sf_dir)
+    path, meta = _kept(spark, "residual"), {"kind": "residual"}
+    pq.save_residual(pq.build_residual(index, M, KS, STEPS), path, meta)
+    return _out(pq.residual_search(pq.load_residual(spark, path, meta), asked(b), K, TOP_P, NPROBE))
+
+
 def queries() -> dict[str, Query]:
     named = {f.__name__: f for f in (
         flat_exclude_self_topk, flat_local_p, range_search_eps, multivector_doc_topk, sq8_params, sq8_topk, int8_topk, fp16_topk, kmeans_ip_centroids,
         ivf_list_offsets, ivf_probe_lists, ivf_flat_topk, ivf_union_topk, pq_codes, pq_adc_topp, pq_topk, ivfpq_topk, ivffirstpq_topk, ivfpq_residual_topk,
         shard_flat_merge, shard_balance, partition_strategies, recall_at_k, delete_then_search, upsert_then_search, replace_deleted, ivf_hnsw_topk, two_level_hnsw_topk,
+        hnsw_saved_topk, hnsw_filtered_topk, part_hnsw_pruned_topk, hnsw_range_eps, hnsw_doc_topk, shard_ivfpq_topk, ivf_loaded_topk, ivfpq_loaded_topk, ivfpq_residual_loaded_topk,
     )}
     return {
         "flat_ip_topk": _flat(SearchOptions(k=K)),

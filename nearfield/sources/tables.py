@@ -14,11 +14,24 @@ from pyspark.sql import functions as F
 from .ship import ship
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share.
+
+    Where the session names none, one of our own is set in local mode, as in tests; on
+    a cluster a folder of one machine would lose what other machines wrote.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="nearfield-"))
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of ``spark.checkpoint.dir``; one of our own where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearfield-"))
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -87,11 +100,12 @@ def fingerprint(base: DataFrame) -> str:
     return f"{r['n']}-{r['d']}-{r['h']}"
 
 
-def save_index(tables: dict[str, DataFrame], path: str, meta: dict) -> None:
-    """Write an index as parquet tables and a one-row meta table; tables with list_id are laid out by it."""
+def save_index(tables: dict[str, DataFrame], path: str, meta: dict, by: dict[str, str] | None = None) -> None:
+    """Write an index as parquet tables and a one-row meta table, which comes last; ``by`` names the column that a table is laid out by."""
+    by = {"lists": "list_id", "codes": "list_id"} | (by or {})
     for name, df in tables.items():
         w = df.write.mode("overwrite")
-        (w.partitionBy("list_id") if "list_id" in df.columns and name in ("lists", "codes") else w).parquet(f"{path}/{name}")
+        (w.partitionBy(by[name]) if by.get(name) in df.columns else w).parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(json.dumps(meta, sort_keys=True), ",".join(sorted(tables)))], "meta string, names string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -106,7 +120,7 @@ def load_index(spark: SparkSession, path: str, meta: dict | None = None) -> dict
         return None
     if meta is not None and json.loads(row["meta"]) != json.loads(json.dumps(meta)):
         return None
-    return {n: spark.read.parquet(f"{path}/{n}") for n in row["names"].split(",")}
+    return {n: spark.read.parquet(f"{path}/{n}") for n in [*row["names"].split(","), "meta"]}
 
 
 def build_or_load(spark: SparkSession, path: str, meta: dict, build) -> dict[str, DataFrame]:
@@ -116,3 +130,23 @@ def build_or_load(spark: SparkSession, path: str, meta: dict, build) -> dict[str
         save_index(build(), path, meta)
         found = load_index(spark, path, meta)
     return found
+
+
+def index_path(root: str, kind: str, **parameters) -> str:
+    """Where an index of a kind and these parameters is kept under a root."""
+    return "/".join([root, kind, *(f"{k}={parameters[k]}" for k in sorted(parameters))])
+
+
+def book_table(spark: SparkSession, book: np.ndarray) -> DataFrame:
+    """(m, c, centroid) of a book (sub-spaces, codes, components)."""
+    rows = [(m, c, [float(x) for x in book[m, c]]) for m in range(book.shape[0]) for c in range(book.shape[1])]
+    return spark.createDataFrame(rows, "m long, c long, centroid array<double>")
+
+
+def read_book(table: DataFrame) -> np.ndarray:
+    """The book of such a table; gaps and rows of another length are errors."""
+    rows = table.orderBy("m", "c").collect()
+    n, size = 1 + max(r.m for r in rows), 1 + max(r.c for r in rows)
+    if [(r.m, r.c) for r in rows] != [(m, c) for m in range(n) for c in range(size)] or len({len(r.centroid) for r in rows}) != 1:
+        raise ValueError("the book has gaps, or centroids of several lengths")
+    return np.array([r.centroid for r in rows]).reshape(n, size, -1)

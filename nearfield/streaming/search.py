@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.topk import ranked
+from ..plans.report import Timings
+from ..sources.tables import checkpointed
+
 
 def read_queries(spark: SparkSession, path: str, schema: str = "qid long, embedding array<float>", files: int = 8) -> DataFrame:
     """A stream of query files; ``files`` of them at most enter a batch."""
@@ -20,3 +24,47 @@ def answer(queries: DataFrame, search: Callable[[DataFrame], DataFrame], out: st
         search(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: A stage takes the batch's queries and what the stage before it found.
+Stage = Callable[[DataFrame, DataFrame | None], DataFrame]
+
+
+def answer_staged(queries: DataFrame, stages: dict[str, Stage], out: str, checkpoint: str) -> StreamingQuery:
+    """Answer each batch stage by stage (probe, candidates, rerank, ...), each written before the next one reads it.
+
+    The last stage's rows are the answer; the seconds of each stage are kept beside
+    them, under ``timings``. A batch that is done again overwrites itself.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        timings, found = Timings(), None
+        asked = checkpointed(df)
+        names = list(stages)
+        for name in names:
+            with timings.step(name):
+                rows = stages[name](asked, found)
+                if name == names[-1]:
+                    rows.write.mode("overwrite").parquet(f"{out}/answers/batch={number}")
+                else:
+                    found = checkpointed(rows)
+        seconds = df.sparkSession.createDataFrame(timings.rows(), "stage string, seconds double")
+        seconds.coalesce(1).write.mode("overwrite").parquet(f"{out}/timings/batch={number}")
+
+    return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ivfpq_stages(index, book, k: int = 10, top_p: int = 50, nprobe: int = 4) -> dict[str, Stage]:
+    """Probe, table distances and rerank as three stages."""
+    from ..operators import flat, ivf, pq
+
+    def candidates(queries: DataFrame, probed: DataFrame | None) -> DataFrame:
+        held = index.lists.join(probed.select("list_id").distinct(), "list_id", "left_semi")
+        p = max(k, top_p)
+        return ranked(flat.scan(held, flat.asked(queries), pq._adc_kernel(book), p, probed_of=ivf.probed_of(index, nprobe)), p)
+
+    return {
+        "probe": lambda queries, _: ivf.probes(index, queries, nprobe).drop("q"),
+        "candidates": candidates,
+        "rerank": lambda queries, near: flat.rerank(near, index.lists.select("vec_id", "v"), flat.asked(queries), k),
+    }

@@ -49,8 +49,10 @@ def test_ties_go_to_the_least_id(spark):
 
 
 def test_nulls_other_lengths_and_empty_tables(spark, asked):
-    b = spark.createDataFrame([(1, None), (None, [1.0] * 16), (2, [1.0]), (3, [0.5] * 16)], VECTORS)
+    b = spark.createDataFrame([(1, None), (None, [1.0] * 16), (3, [0.5] * 16)], VECTORS)
     assert {r.vec_id for r in flat.search(b, asked, SearchOptions(k=5)).collect()} == {3}
+    with pytest.raises(Exception, match="1 components, not 16"):
+        flat.search(b.union(spark.createDataFrame([(2, [1.0])], VECTORS)), asked).collect()
     assert flat.search(b.where("false"), asked).count() == 0
     assert flat.search(b, asked.where("false")).count() == 0
 
@@ -98,9 +100,8 @@ def test_partitions_are_balanced(base):
 
 
 def test_documents_and_range(spark, base, asked):
-    rows = flat.distances(topk.vector_columns(base), asked.select("qid", F.col("embedding").alias("v")), 0, "ip", eps=float("inf"))
-    rows = rows.withColumn("doc", F.col("vec_id") % 20)
-    got = topk.documents(rows, 3).groupBy("qid").agg(F.countDistinct("doc").alias("n")).collect()
+    rows = base.select("vec_id", (F.col("vec_id") % 20).alias("doc"), F.col("embedding").alias("v"))
+    got = flat.document_search(rows, flat.asked(asked), 3).groupBy("qid").agg(F.countDistinct("doc").alias("n")).collect()
     assert [r.n for r in got] == [3] * 6
     near = flat.range_search(base, asked, 0.8, "l2").collect()
     assert all(r.dist <= 0.8 for r in near) and {(r.qid, r.vec_id) for r in near} >= {(i, i) for i in range(6)}
