@@ -1,17 +1,16 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-Documents with one shingle set are one class, of which the least doc_id stands
-for all. Each class is posted under the values of its signature coordinates,
-two coordinates to a key (one where the threshold is low). A pair that agrees on ``least`` of the coordinates
-disagrees on K - least, so it must share one of the first K - least + 1 keys:
-only that prefix is posted. Within a list of postings the collisions of two
-classes are counted over their whole signatures. Lists are not turned into
-pairs: a class is compared with the list's leaders only. One within the
-allowed distance of a leader follows it, one within twice that ties
-it to the leader it follows or becomes, and one beyond leads by itself. By the triangle inequality of
-the Hamming distance no pair within the allowed distance ends in different
-families. Families then meet as whole texts, and links between members are
-confirmed on full shingle sets; links that join nothing new are not written.
+Documents with one shingle set are one class. Each class is posted under the values
+of its signature coordinates, two coordinates to a key (one where the threshold is
+low). A pair that agrees on ``least`` of the coordinates disagrees on K - least, so
+it must share one of the first K - least + 1 keys: only that prefix is posted. Within
+a list of postings collisions are counted, and pairs of ``least`` or more are kept.
+Lists are not turned into pairs, though: near copies are first joined with the member
+that is nearest to the list's most common values, and only members that this leaves apart are
+counted against all others, by merging their K - least + 1 shortest coordinate lists and
+skipping the long ones, which a pair of enough collisions cannot need. What the kept pairs
+connect, a family, then meets as whole texts, and links between members are confirmed
+on full shingle sets in the same manner; links that join nothing new are not written.
 """
 
 from __future__ import annotations
@@ -25,14 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import checkpointed, grouped, table, texts
+from ._spark import checkpointed, grouped, table, texts, unused
 from ._text import BYTE_A, U64, WORD_A, Block, Words, blocks, inside, mix, ragged, signed
 
 COORDINATES = 48
 #: Chance that a pair at the very threshold falls short of the counted collisions.
 MISS = 2e-5
 #: Bytes of text of one family that meet in one task; larger families meet block by block.
-FAMILY_BYTES = 24 << 20
+FAMILY_BYTES = 8 << 20
+#: A list of more postings, and more than one in HOT of all, is dealt out to several tasks.
+LIST_ROWS, HOT = 1 << 14, 500
+#: How often the rest of a group is joined with its most central member.
+CENTRES = 3
 
 _rng = np.random.default_rng(1010)
 _XOR = _rng.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -82,6 +85,15 @@ def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], at
 
 
+def set_sums(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One hash of each set."""
+    out = np.zeros(len(at) - 1, dtype=np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        out[full] = np.add.reduceat(mix(grams), at[:-1][full])
+    return out
+
+
 def _signed_batches(size: int, keys: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +106,7 @@ def _signed_batches(size: int, keys: int, width: int):
                 low = np.zeros((len(block), COORDINATES), dtype=np.uint64)
                 if len(full):
                     first = at[:-1][full]
-                    sums[full] = np.add.reduceat(mix(grams), first)
+                    sums[full] = set_sums(grams, at)[full]
                     xors[full] = np.bitwise_xor.reduceat(mix(grams ^ U64(0x5851F42D4C957F2D)), first)
                     for j in range(COORDINATES):
                         low[full, j] = np.minimum.reduceat((grams ^ _XOR[j]) * _TIMES[j], first)
@@ -113,134 +125,155 @@ def _signed_batches(size: int, keys: int, width: int):
     return run
 
 
-class _List:
-    """The leaders of one list of postings and the edges that join what they tie.
-
-    Leaders that some member ties (both within twice the distance) are joined, by
-    one edge at most for each leader; a follower gets one edge to its leader.
-    """
+class _Joined:
+    """Union-find over the members of a group, and the links that join them."""
 
-    def __init__(self, most: int):
-        self.most, self.sigs, self.ids, self.root = most, [], [], []
+    def __init__(self, n: int):
+        self.root, self.u, self.v = np.arange(n), [], []
 
     def find(self, x: int) -> int:
         while self.root[x] != x:
             self.root[x] = self.root[self.root[x]]
-            x = self.root[x]
+            x = int(self.root[x])
         return x
 
-    def add(self, sig: np.ndarray, rep: np.ndarray, u: list, v: list) -> None:
-        left = np.arange(len(rep))
-        tie = np.full(len(rep), -1)
-        k = 0
-        while len(left):
-            if k == len(self.ids):
-                self.sigs.append(sig[left[0]])
-                self.ids.append(int(rep[left[0]]))
-                self.root.append(k)
-            d = (sig[left] != self.sigs[k]).sum(1)
-            near = left[d <= 2 * self.most]
-            for t in np.unique(tie[near]).tolist():
-                a, b = (self.find(t), self.find(k)) if t >= 0 else (0, 0)
-                if a != b:
-                    self.root[max(a, b)] = min(a, b)
-                    u.append(self.ids[k])
-                    v.append(self.ids[t])
-            tie[near] = k
-            follow = left[d <= self.most]
-            follow = follow[rep[follow] != self.ids[k]]
-            u += rep[follow].tolist()
-            v += [self.ids[k]] * len(follow)
-            left = left[d > self.most]
-            k += 1
+    def link(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+            self.u.append(x)
+            self.v.append(y)
+
+    def roots(self) -> np.ndarray:
+        while (self.root[self.root] != self.root).any():
+            self.root = self.root[self.root]
+        return self.root
+
+    def apart(self) -> np.ndarray:
+        """The members outside the largest part: a missing link has one of them at an end."""
+        roots = self.roots()
+        return np.flatnonzero(roots != np.bincount(roots).argmax()) if len(roots) else roots
+
+
+def list_links(sig: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Links that connect what pairs of at most ``most`` differing coordinates connect."""
+    n, width = sig.shape
+    if n == 2:
+        return ([1], [0]) if (sig[0] != sig[1]).sum() <= most else ([], [])
+    joined = _Joined(n)
+    left = np.arange(n)
+    for _ in range(CENTRES):
+        if len(left) < 3:
+            break
+        common = np.array([np.bincount(c, minlength=256).argmax() for c in sig[left].T], dtype=np.uint8)
+        centre = left[np.argmin((sig[left] != common).sum(1))]
+        near = (sig[left] != sig[centre]).sum(1) <= most
+        for x in left[near].tolist():
+            joined.link(x, int(centre))
+        left = left[~near]
+    rest = joined.apart()
+    if not len(rest):
+        return joined.u, joined.v
+    order = np.argsort(sig, axis=0, kind="stable")
+    size = np.stack([np.bincount(c, minlength=256) for c in sig.T])
+    first = np.cumsum(size, axis=1) - size
+    each = np.arange(width)
+    for x in rest.tolist():
+        own = sig[x]
+        short = np.argsort(size[each, own], kind="stable")[: min(most + 1, width)]
+        lists = [order[first[j, own[j]] : first[j, own[j]] + size[j, own[j]], j] for j in short.tolist() if size[j, own[j]] > 1]
+        if not lists:
+            continue
+        met = np.unique(np.concatenate(lists)) if most < width else np.arange(n)
+        met = met[(sig[met] != own).sum(1) <= most]
+        for y in met[met != x].tolist():
+            joined.link(x, y)
+    return joined.u, joined.v
 
 
 def _lists(most: int):
-    """Edges (member, leader) within each list of postings, which come sorted by key."""
+    """Edges between the classes of each list of postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, _List(most)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
-            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+        for part in grouped(batches, ["key", "i", "j"]):
+            key, i, j, node = (part[k].to_numpy() for k in ("key", "i", "j", "node"))
+            sig = np.frombuffer(b"".join(part["sig"].to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
             start, count = edge[:-1], np.diff(edge)
-            inner = (start > 0) & (start + count < len(h))  # lists at the batch's ends may go on
-            twos = start[inner & (count == 2)]
+            twos = start[count == 2]
             twos = twos[(sig[twos] != sig[twos + 1]).sum(1) <= most]
-            u, v = rep[twos + 1].tolist(), rep[twos].tolist()
-            todo = ~inner | (count > 2)
-            for a, c in zip(start[todo].tolist(), count[todo].tolist(), strict=True):
-                if h[a] != key:
-                    key, held = h[a], _List(most)
-                held.add(sig[a : a + c], rep[a : a + c], u, v)
-            yield table("u:l,v:l", u=u, v=v)
+            us, vs = [node[twos + 1]], [node[twos]]
+            for a, c in zip(start[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+                u, v = list_links(sig[a : a + c], most)
+                us.append(node[a + np.array(u, dtype=np.int64)])
+                vs.append(node[a + np.array(v, dtype=np.int64)])
+            yield table("u:l,v:l", u=np.concatenate(us), v=np.concatenate(vs))
 
     return run
 
 
-def set_links(grams: np.ndarray, at: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[list[int], list[int]]:
-    """Spanning links of the documents whose sets reach ``percent`` Jaccard similarity.
-
-    With ``side``, only documents on different sides are compared.
-    """
+def set_links(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    """Spanning links of the documents whose sets reach ``percent`` Jaccard similarity."""
     m, n = len(at) - 1, np.diff(at)
-    root = list(range(m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    us: list[int] = []
-    vs: list[int] = []
+    joined = _Joined(m)
+    if m < 2:
+        return joined.u, joined.v
     _, token = np.unique(grams, return_inverse=True)
     doc = np.repeat(np.arange(m), n)
     order = np.argsort(token, kind="stable")
     listed = doc[order]
-    first = np.concatenate([[0], np.cumsum(np.bincount(token))])
-    seat = np.empty(len(order), dtype=np.int64)
-    seat[order] = np.arange(len(order))
-    for x in range(1, m):
-        own = slice(int(at[x]), int(at[x + 1]))
-        begin = first[token[own]]
-        count = seat[own] - begin
-        shared = np.zeros(x, dtype=np.int64)
-        for a in range(0, len(begin), step := max(1, (1 << 21) // x)):
-            shared += np.bincount(listed[ragged(begin[a : a + step], count[a : a + step])], minlength=x)[:x]
-        alike = (shared > 0) & (100 * shared >= percent * (n[:x] + n[x] - shared))
-        if side is not None:
-            alike &= side[:x] != side[x]
-        for y in np.flatnonzero(alike).tolist():
-            a, b = find(x), find(y)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                us.append(x)
-                vs.append(y)
-    return us, vs
+    size = np.bincount(token)
+    first = np.concatenate([[0], np.cumsum(size)])
+
+    def alike(x: int) -> np.ndarray:
+        own = token[at[x] : at[x + 1]]
+        shared = np.zeros(m, dtype=np.int64)
+        for a in range(0, len(own), step := max(1, (1 << 21) // m)):
+            part = own[a : a + step]
+            shared += np.bincount(listed[ragged(first[part], size[part])], minlength=m)
+        return (shared > 0) & (100 * shared >= percent * (n + n[x] - shared))
+
+    left = np.ones(m, dtype=bool)
+    for _ in range(CENTRES):
+        if left.sum() < 3:
+            break
+        held = np.bincount(token[left[doc]], minlength=len(size))
+        often = (2 * held > left.sum()).astype(np.int64)
+        gain = np.bincount(doc, 2 * often[token] - 1, minlength=m)
+        centre = int(np.flatnonzero(left)[np.argmax(gain[left])])
+        near = alike(centre)
+        for x in np.flatnonzero(near).tolist():
+            joined.link(x, centre)
+        left &= ~near
+    for x in joined.apart().tolist():
+        for y in np.flatnonzero(alike(x)).tolist():
+            joined.link(x, y)
+    return joined.u, joined.v
 
 
 def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, ["family", "i", "j"]):
-            f, i, j = (part[k].to_numpy() for k in ("family", "i", "j"))
-            rep, own = part["rep"].to_numpy(), part["own"].to_numpy()
-            text = part["text"].combine_chunks()
+            f, i, j, rep, want = (part[k].to_numpy() for k in ("family", "i", "j", "rep", "set_a"))
             cut = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
             sets, lengths = [], []
-            for block in blocks(text):
+            for block in blocks(part["text"].combine_chunks()):
                 g, at = shingle_sets(block, size)
+                # of rows that repeat an id only those of the class in question count
+                other = np.flatnonzero(signed(set_sums(g, at)) != want[block.rows])
+                if len(other):
+                    keep = np.ones(len(g), dtype=bool)
+                    keep[ragged(at[other], np.diff(at)[other])] = False
+                    n = np.diff(at)
+                    n[other] = 0
+                    g, at = g[keep], np.concatenate([[0], np.cumsum(n)])
                 sets.append(g)
                 lengths.append(np.diff(at))
             grams = np.concatenate(sets)
             at = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
             us, vs = [], []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                side = own[a:b] if i[a] != j[a] else None
-                u, v = set_links(grams[at[a] : at[b]], at[a : b + 1] - at[a], percent, side)
+                u, v = set_links(grams[at[a] : at[b]], at[a : b + 1] - at[a], percent)
                 us += [rep[a + x] for x in u]
                 vs += [rep[a + x] for x in v]
             yield table("u:l,v:l", u=np.array(us, dtype=np.int64), v=np.array(vs, dtype=np.int64))
@@ -248,14 +281,27 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _dealt(posted: DataFrame) -> DataFrame:
+    """Postings with i and j: lists of very many rows meet block by block, each member in all blocks of its own part; i = j = 0 for others."""
+    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    counts = checkpointed(counts.where(F.col("rows") > LIST_ROWS))
+    if counts.isEmpty():
+        return posted.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "sig")
+    limit = max(LIST_ROWS, posted.count() // HOT)
+    hot = F.broadcast(counts.where(F.col("rows") > limit).select(F.col("key").alias("hot"), F.ceil(F.col("rows") / F.lit(limit)).cast("int").alias("parts")))
+    rows = posted.join(hot, F.col("key") == F.col("hot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sig")
+
+
 def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int = 80, family_bytes: int = FAMILY_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the link is ``percent`` Jaccard similarity or more.
 
     Texts are lower-cased (A-Z) and cut into words; the set of a document is its
     distinct shingles of ``shingle_words`` words, or its whole sequence if it has
     fewer. Null and wordless texts have no shingles, link with nothing and are
-    their own component, as are rows whose doc_id is null (component null). Rows
-    that repeat a doc_id are members of one node. No rows in, no rows out.
+    their own component, as are rows whose doc_id is null (component null). A doc_id
+    is one node: of rows that repeat it, each text brings its own links. No rows in, no rows out.
     Components do not depend on row order or partitioning.
     """
     docs = texts(documents)
@@ -269,16 +315,18 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     some = base.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "keys")).alias("m")).select("set_a", "set_b", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), "m.sig", "m.keys")
     same = some.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    posted = classes.select(F.explode("keys").alias("key"), "rep", "sig")
+    # a class by one number: should two share it, they only meet as one family more
+    classes = classes.withColumn("node", F.xxhash64("set_a", "set_b"))
+    posted = classes.select(F.explode("keys").alias("key"), "node", "sig")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = posted.repartition(n, "key").sortWithinPartitions("key", "rep")
-    family = components(listed.mapInArrow(_lists(most), "u long, v long")).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
-    sizes = family.join(classes.select("rep", "n"), "rep")
+    listed = _dealt(posted).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    family = components(listed.mapInArrow(_lists(most), "u long, v long")).withColumnRenamed("component", "family")
+    sizes = family.join(classes.select("node", "rep", "set_a", "n"), "node")
     parts = sizes.groupBy("family").agg(F.ceil(8 * F.sum("n") / F.lit(family_bytes)).cast("int").alias("parts"))
-    family = sizes.join(parts, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    members = docs.join(family, docs.doc_id == family.rep).dropDuplicates(["rep"])
+    family = sizes.join(parts, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("node", "n")
+    members = docs.join(family, docs.doc_id == family.rep).withColumn("hash", F.xxhash64("text")).dropDuplicates(["rep", "set_a", "hash"])
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "text")
+    members = members.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "set_a", "text")
     met = members.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
     links = met.mapInArrow(_confirm(shingle_words, percent), "u long, v long")
     found = components(links.union(same))
@@ -291,5 +339,6 @@ def drop_near_duplicates(documents: DataFrame, shingle_words: int = 5, percent:
     Columns stay as they are. Rows that repeat a kept doc_id, and rows whose
     doc_id is null, stay.
     """
-    gone = near_duplicates(documents, shingle_words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+    gone, = unused(documents, "gone")
+    found = near_duplicates(documents, shingle_words, percent).where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return documents.join(found, documents["doc_id"].cast("long") == found[gone], "left_anti")

@@ -10,7 +10,7 @@ import pytest
 
 import brute
 import corpus_pipeline
-from nearfield.llm import decontaminate, line_dedup, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from nearfield.llm import decontaminate, line_dedup, minhash_dedup, quality_rules, secret_scan, substring_dedup, suffix_dedup
 from nearfield.llm._stats import FEATURES
 from nearfield.llm._text import blocks
 from nearfield.sources.ship import ship
@@ -246,3 +246,46 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
         held = [(r.predicted, labels[r.doc_id][column]) for r in rows if r.held_out and r.doc_id in labels]
         hits = sum(p == t == 1 for p, t in held)
         assert hits >= least * sum(t for _, t in held) and hits >= 0.85 * sum(p for p, _ in held)
+
+
+def test_list_links_connect_what_pairs_connect():
+    rng = np.random.default_rng(6)
+    for case in range(60):
+        n, most = int(rng.integers(2, 60)), int(rng.integers(0, 48))
+        sig = rng.integers(0, 256 if case % 2 else 4, (n, 48), dtype=np.uint8)
+        for k in range(1, n):
+            if rng.random() < 0.6:
+                sig[k] = sig[rng.integers(k)]
+                change = rng.random(48) < rng.random() * 0.7
+                sig[k, change] = rng.integers(0, 256, change.sum())
+        near = (sig[:, None] != sig[None]).sum(2) <= most
+        def labels(u, v):
+            root = list(range(n))
+            for _ in range(n):
+                for a, b in zip(u, v):
+                    root[a] = root[b] = min(root[a], root[b])
+            return root
+        u, v = minhash_dedup.list_links(sig, most)
+        assert all(near[a, b] for a, b in zip(u, v)) and len(u) < n
+        assert labels(u, v) == labels(*np.nonzero(near))
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80), (2, 60)])
+def test_differing_rows_of_one_id_keep_their_links(spark, monkeypatch, size, percent):
+    monkeypatch.setattr(minhash_dedup, "LIST_ROWS", 4)
+    monkeypatch.setattr(minhash_dedup, "HOT", 100_000)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(8)]
+    texts += [" ".join(w if rng.random() > 0.02 else "x" for w in rng.choice(texts[:8]).split()) for _ in range(60)]
+    docs = [(rng.randrange(1, 40), t) for t in texts]
+    got = {}
+    for r in minhash_dedup.near_duplicates(frame(spark, docs), size, percent).collect():
+        assert got.setdefault(r.doc_id, r.component_id) == r.component_id
+    root = {i: i for i, _ in docs}
+    sets = [(i, brute.shingles(t, size)) for i, t in docs]
+    for _ in docs:
+        for i, a in sets:
+            for k, b in sets:
+                if 100 * len(a & b) >= percent * len(a | b):
+                    root[i] = root[k] = min(root[i], root[k])
+    assert got == root
