@@ -34,7 +34,9 @@ from .quality_classifier import held_out
 #: Labelled texts of either kind that are learned from, at most (those of least hash).
 SAMPLE_TEXTS = 6000
 #: Nyström landmarks, words drawn from each clean text, and turns of choosing the highest words.
-LANDMARKS, DRAWN, TURNS = 400, 2, 3
+LANDMARKS, DRAWN, TURNS = 400, 1, 2
+#: A witness is this many times as frequent in toxic texts as in clean ones, at least.
+RATIO = 8
 #: The part of clean texts whose highest word a toxic text's must exceed to count.
 CLEAR = 0.995
 #: Hashes of a text's words that are compared to find near copies among toxic texts, and how many must agree.
@@ -234,14 +236,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copies(ids: list[int], sigs: np.ndarray) -> list[int]:
     """The ids that near-repeat one of a lesser id that stays."""
-    gone, seen = [], {}
+    gone, kept, n = [], np.empty_like(sigs), 0
     for k in np.argsort(ids, kind="stable").tolist():
-        near = {x for j in range(SIGNATURE) for x in seen.get((j, sigs[k, j]), ())}
-        if any((sigs[x] == sigs[k]).sum() >= ALIKE for x in near):
+        if n and (kept[:n] == sigs[k]).sum(1).max() >= ALIKE:
             gone.append(ids[k])
         else:
-            for j in range(SIGNATURE):
-                seen.setdefault((j, sigs[k, j]), []).append(k)
+            kept[n] = sigs[k]
+            n += 1
     return gone
 
 
@@ -308,7 +309,7 @@ def fit(train: DataFrame) -> Model | None:
     bad = significant(once, n[0], n[1] - len(gone))
     if not bad:
         # where no word stands out, the best cover by words of two texts or more has to do
-        counts = _counted(train).where("bad >= 2").where(F.col("good") * F.lit(n[1]) * 8 <= F.col("bad") * F.lit(n[0]))
+        counts = _counted(train).where("bad >= 2").where(F.col("good") * F.lit(RATIO * n[1]) <= F.col("bad") * F.lit(n[0]))
         pool = [bytes(r.type) for r in counts.orderBy(F.desc("bad"), "type").collect()]
         bad = witnesses([np.array(r.places) for r in _incidence(toxic, pool).collect()], pool)
     if not bad:
@@ -343,14 +344,18 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def significant(rows: DataFrame, clean: int, toxic: int) -> list[bytes]:
-    """Words in so many more toxic texts than chance gives that less than one word of all would do as well."""
+    """Words RATIO times as frequent in toxic texts as in clean ones, in more of them than chance explains.
+
+    Were toxic texts no likelier to hold a word than clean ones, the chance of its counts would be
+    below exp(-n * KL) (Chernoff); it must be so small that less than one of all words would do as well.
+    """
     counts = checkpointed(_counted(rows).where("bad >= 2"))
-    tried = counts.count()
-    share = toxic / (clean + toxic)
-    # a word in g clean texts must be in some need(g) toxic ones, which rises with g: bad alone bounds the rows
-    found = counts.where(F.col("bad") >= F.lit(chance_bound(0, share, tried))).where(F.col("bad") * F.lit(1 - share) > F.col("good") * F.lit(share)).orderBy(F.desc("bad"), "type").collect()
-    need = {g: chance_bound(g, share, tried) for g in {r.good for r in found}}
-    return [bytes(r.type) for r in found if r.bad >= need[r.good]]
+    tried, share = max(counts.count(), 2), toxic / (clean + toxic)
+    n, part = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
+    rest = F.when(F.col("good") == 0, F.lit(0.0)).otherwise((1 - part) * F.log((1 - part) / F.lit(1 - share)))
+    clear = n * (part * F.log(part / F.lit(share)) + rest) >= F.lit(math.log(tried))
+    often = F.col("good") * F.lit(RATIO * toxic) <= F.col("bad") * F.lit(clean)
+    return [bytes(r.type) for r in counts.where(often & clear).orderBy(F.desc("bad"), "type").collect()]
 
 
 def _incidence(toxic: DataFrame, bad: list[bytes]) -> DataFrame:
@@ -371,20 +376,6 @@ def _incidence(toxic: DataFrame, bad: list[bytes]) -> DataFrame:
     return toxic.select("text").mapInArrow(run, "places array<long>").where("size(places) > 0")
 
 
-def chance_bound(good: int, share: float, tried: int) -> int:
-    """Toxic texts that a word in ``good`` clean texts must be in.
-
-    So many that, were toxic texts (a ``share`` of all) no likelier to hold it, less
-    than one of the ``tried`` words would do as well by chance.
-    """
-    b, tail = 1, 1.0
-    while tail > 1 / max(tried, 2) and b < 1_000_000:
-        b += 1
-        n = b + good
-        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(1 - share) + (n - k) * math.log(share)) for k in range(good + 1))
-    return b
-
-
 def witnesses(held: list[np.ndarray], bad: list[bytes]) -> list[bytes]:
     """Words that cover the toxic texts, greedily: the word of most texts that have none yet comes next, if it has two."""
     texts_of: list[list[int]] = [[] for _ in bad]
