@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 #: The word pattern, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage in the shared folder of ``spark.checkpoint.dir``.
-
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearfield-"))
+    """Cut lineage in the shared folder of ``spark.checkpoint.dir``; local sessions that name none get one, clusters an error."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 

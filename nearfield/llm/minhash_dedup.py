@@ -342,3 +342,28 @@ def drop_near_duplicates(documents: DataFrame, shingle_words: int = 5, percent:
     gone, = unused(documents, "gone")
     found = near_duplicates(documents, shingle_words, percent).where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
     return documents.join(found, documents["doc_id"].cast("long") == found[gone], "left_anti")
+
+
+#: DuckDB form of op10's rows (3-word shingles, 85 %); {documents} names the table.
+SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM {documents}
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, start, start + 2), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS start FROM texts WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reached AS (
+  SELECT u AS doc_id, u AS other FROM both_ways UNION SELECT r.doc_id, b.v FROM reached r JOIN both_ways b ON b.u = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.component_id, t.doc_id) AS component_id, t.doc_id = coalesce(l.component_id, t.doc_id) AS kept
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN least l ON l.doc_id = t.doc_id
+"""

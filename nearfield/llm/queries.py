@@ -63,4 +63,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL.format(documents="documents"), "op9_line_dedup": line_dedup.SQL.format(documents="documents")}
+    forms = {"op2_suffix_dedup": suffix_dedup, "op3_substring_dedup": substring_dedup, "op6_mixing": mixing, "op9_line_dedup": line_dedup, "op10_minhash_dedup": minhash_dedup}
+    return {name: module.SQL.format(documents="documents") for name, module in forms.items()}

@@ -172,3 +172,25 @@ def drop_repeated_windows(documents: DataFrame, window: int = 20, keep_text: boo
     docs = based(documents)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
     return marked(docs, _repeated_windows(docs, window), keep_all=True).mapInArrow(_cut(window, keep_text), schema)
+
+
+#: DuckDB form of op3's rows with windows of 20 words; {documents} names the table.
+SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM {documents}
+), windows AS (
+  SELECT doc_id, start, array_to_string(list_slice(words, start, start + 19), ' ') AS key
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM texts WHERE len(words) >= 20)
+), later AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY key ORDER BY doc_id, start) AS place FROM windows) WHERE place > 1
+), gone AS (
+  SELECT DISTINCT doc_id, start + step AS pos FROM later, range(20) AS r(step)
+), words AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts
+), kept AS (
+  SELECT w.doc_id, count(g.pos) AS n_removed, string_agg(w.word, ' ' ORDER BY w.pos) FILTER (WHERE g.pos IS NULL) AS kept
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY w.doc_id
+)
+SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""

@@ -466,3 +466,28 @@ def drop_repeated_strings(documents: DataFrame, length: int = 50, keep_text: boo
     docs = based(documents)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if keep_text else "")
     return marked(docs, repeated_strings(docs, length, most_fragments), keep_all=True).mapInArrow(_cut(length, keep_text), schema)
+
+
+#: DuckDB form of op2's rows with strings of 50 bytes; {documents} names the table. Bytes are pairs of hexadecimal digits.
+SQL = r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM {documents}
+), strings AS (
+  SELECT doc_id, start, substr(digits, 2 * start - 1, 100) AS string
+  FROM (SELECT doc_id, digits, unnest(range(1, n_bytes - 48)) AS start FROM texts WHERE n_bytes >= 50)
+), later AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, min(doc_id) OVER (PARTITION BY string) AS least FROM strings) WHERE doc_id > least
+), bytes AS (
+  SELECT doc_id, pos, substr(digits, 2 * pos - 1, 2) AS byte FROM (SELECT doc_id, digits, unnest(range(1, n_bytes + 1)) AS pos FROM texts)
+), flagged AS (
+  SELECT b.doc_id, b.pos, b.byte, coalesce(b.pos - max(l.start) OVER (PARTITION BY b.doc_id ORDER BY b.pos ROWS UNBOUNDED PRECEDING) < 50, false) AS gone
+  FROM bytes b LEFT JOIN later l ON l.doc_id = b.doc_id AND l.start = b.pos
+), opened AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM flagged
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(byte, '' ORDER BY pos) FILTER (WHERE NOT gone) AS digits
+  FROM opened GROUP BY doc_id
+)
+SELECT t.doc_id, t.n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.digits, ''))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""

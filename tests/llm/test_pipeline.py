@@ -75,7 +75,7 @@ def test_queries_equal_sql(spark):
 
     duck = duckdb.connect()
     duck.sql(f"create view documents as select * from '{SF}/documents.parquet'")
-    for name in ("op6_mixing", "op9_line_dedup"):
+    for name in ("op2_suffix_dedup", "op3_substring_dedup", "op6_mixing", "op9_line_dedup", "op10_minhash_dedup"):
         df = entry.queries()[name](spark, SF)
         want = duck.sql(entry.oracle_sql()[name])
         at = [want.columns.index(c) for c in df.columns]
