@@ -11,6 +11,11 @@ counted against all others, by merging their K - least + 1 shortest coordinate l
 skipping the long ones, which a pair of enough collisions cannot need. What the kept pairs
 connect, a family, then meets as whole texts, and links between members are confirmed
 on full shingle sets in the same manner; links that join nothing new are not written.
+
+Keys of very long lists come last in every document's prefix, so that a document posts
+under one only where it has too few others. The long lists and large families that are
+left are dealt out: all members are held against one central member, part by part, and
+only those far from it meet the others, block by block.
 """
 
 from __future__ import annotations
@@ -30,10 +35,12 @@ from ._text import BYTE_A, U64, WORD_A, Block, Words, blocks, inside, mix, ragge
 COORDINATES = 48
 #: Chance that a pair at the very threshold falls short of the counted collisions.
 MISS = 2e-5
-#: Bytes of text of one family that meet in one task; larger families meet block by block.
+#: Bytes of hashes of one family that meet in one task; larger families are dealt out.
 FAMILY_BYTES = 8 << 20
-#: A list of more postings, and more than one in HOT of all, is dealt out to several tasks.
-LIST_ROWS, HOT = 1 << 14, 500
+#: A list of more postings is long, and dealt out to several tasks; keys and centres of at most HOT groups are broadcast.
+LIST_ROWS, HOT = 1 << 14, 100_000
+#: The centre of a dealt-out group is the most central of this many members, the least nodes of as many slots.
+SLOTS = 64
 #: How often the rest of a group is joined with its most central member.
 CENTRES = 3
 
@@ -172,8 +179,14 @@ def list_links(sig: np.ndarray, most: int) -> tuple[list[int], list[int]]:
             joined.link(x, int(centre))
         left = left[~near]
     rest = joined.apart()
-    if not len(rest):
-        return joined.u, joined.v
+    if len(rest):
+        _count_collisions(sig, rest, most, joined)
+    return joined.u, joined.v
+
+
+def _count_collisions(sig: np.ndarray, rest: np.ndarray, most: int, joined: _Joined) -> None:
+    """Link each of ``rest`` with all that differ from it in at most ``most`` coordinates, by its shortest coordinate lists."""
+    n, width = sig.shape
     order = np.argsort(sig, axis=0, kind="stable")
     size = np.stack([np.bincount(c, minlength=256) for c in sig.T])
     first = np.cumsum(size, axis=1) - size
@@ -188,17 +201,29 @@ def list_links(sig: np.ndarray, most: int) -> tuple[list[int], list[int]]:
         met = met[(sig[met] != own).sum(1) <= most]
         for y in met[met != x].tolist():
             joined.link(x, y)
-    return joined.u, joined.v
+
+
+def _cuts(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal keys begin, and the end."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _signatures(part: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(part["sig"].to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
 
 
 def _lists(most: int):
     """Edges between the classes of each list of postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in grouped(batches, ["key", "i", "j"]):
-            key, i, j, node = (part[k].to_numpy() for k in ("key", "i", "j", "node"))
-            sig = np.frombuffer(b"".join(part["sig"].to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
-            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+        for part in grouped(batches, ["key"]):
+            key, node = (part[k].to_numpy() for k in ("key", "node"))
+            sig = _signatures(part)
+            edge = _cuts(key)
             start, count = edge[:-1], np.diff(edge)
             twos = start[count == 2]
             twos = twos[(sig[twos] != sig[twos + 1]).sum(1) <= most]
@@ -212,8 +237,8 @@ def _lists(most: int):
     return run
 
 
-def set_links(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
-    """Spanning links of the documents whose sets reach ``percent`` Jaccard similarity."""
+def set_links(grams: np.ndarray, at: np.ndarray, percent: int, asked: int | None = None) -> tuple[list[int], list[int]]:
+    """Spanning links of the documents whose sets reach ``percent`` Jaccard similarity; of the first ``asked`` with all, if given."""
     m, n = len(at) - 1, np.diff(at)
     joined = _Joined(m)
     if m < 2:
@@ -234,7 +259,7 @@ def set_links(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[list[int
         return (shared > 0) & (100 * shared >= percent * (n + n[x] - shared))
 
     left = np.ones(m, dtype=bool)
-    for _ in range(CENTRES):
+    for _ in range(CENTRES if asked is None else 0):
         if left.sum() < 3:
             break
         held = np.bincount(token[left[doc]], minlength=len(size))
@@ -245,32 +270,38 @@ def set_links(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[list[int
         for x in np.flatnonzero(near).tolist():
             joined.link(x, centre)
         left &= ~near
-    for x in joined.apart().tolist():
+    for x in joined.apart().tolist() if asked is None else range(asked):
         for y in np.flatnonzero(alike(x)).tolist():
             joined.link(x, y)
     return joined.u, joined.v
 
 
+def _sets(part: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of the texts; of rows that repeat an id only those of the class in question count, others are empty."""
+    want = part["set_a"].to_numpy()
+    sets, lengths = [], []
+    for block in blocks(part["text"].combine_chunks()):
+        g, at = shingle_sets(block, size)
+        other = np.flatnonzero(signed(set_sums(g, at)) != want[block.rows])
+        if len(other):
+            keep = np.ones(len(g), dtype=bool)
+            keep[ragged(at[other], np.diff(at)[other])] = False
+            n = np.diff(at)
+            n[other] = 0
+            g, at = g[keep], np.concatenate([[0], np.cumsum(n)])
+        sets.append(g)
+        lengths.append(np.diff(at))
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+
+
 def _confirm(size: int, percent: int):
+    """Links of whole families."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in grouped(batches, ["family", "i", "j"]):
-            f, i, j, rep, want = (part[k].to_numpy() for k in ("family", "i", "j", "rep", "set_a"))
-            cut = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-            sets, lengths = [], []
-            for block in blocks(part["text"].combine_chunks()):
-                g, at = shingle_sets(block, size)
-                # of rows that repeat an id only those of the class in question count
-                other = np.flatnonzero(signed(set_sums(g, at)) != want[block.rows])
-                if len(other):
-                    keep = np.ones(len(g), dtype=bool)
-                    keep[ragged(at[other], np.diff(at)[other])] = False
-                    n = np.diff(at)
-                    n[other] = 0
-                    g, at = g[keep], np.concatenate([[0], np.cumsum(n)])
-                sets.append(g)
-                lengths.append(np.diff(at))
-            grams = np.concatenate(sets)
-            at = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        for part in grouped(batches, ["g"]):
+            rep = part["id"].to_numpy()
+            grams, at = _sets(part, size)
+            cut = _cuts(part["g"].to_numpy())
             us, vs = [], []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 u, v = set_links(grams[at[a] : at[b]], at[a : b + 1] - at[a], percent)
@@ -281,17 +312,151 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _dealt(posted: DataFrame) -> DataFrame:
-    """Postings with i and j: lists of very many rows meet block by block, each member in all blocks of its own part; i = j = 0 for others."""
-    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    counts = checkpointed(counts.where(F.col("rows") > LIST_ROWS))
-    if counts.isEmpty():
-        return posted.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "sig")
-    limit = max(LIST_ROWS, posted.count() // HOT)
-    hot = F.broadcast(counts.where(F.col("rows") > limit).select(F.col("key").alias("hot"), F.ceil(F.col("rows") / F.lit(limit)).cast("int").alias("parts")))
-    rows = posted.join(hot, F.col("key") == F.col("hot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "sig")
+def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group's candidates the one nearest to their most common values."""
+    for batch in batches:
+        heads = []
+        for members in batch["members"].to_pylist():
+            sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint8).reshape(-1, COORDINATES)
+            common = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], dtype=np.uint8)
+            heads.append(min((int(d), m["node"]) for d, m in zip((sig != common).sum(1), members, strict=True))[1])
+        yield pa.RecordBatch.from_arrays([batch["g"], pa.array(heads, type=pa.int64()), batch["parts"]], names=["g", "head", "parts"])
+
+
+STAR = "g:l,node:l,u:l,v:l,near:b"
+
+
+def _list_star(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, ["g", "i"]):
+            g, i, node = (part[k].to_numpy() for k in ("g", "i", "node"))
+            sig, cut = _signatures(part), _cuts(g, i)
+            head = np.repeat(cut[:-1], np.diff(cut))
+            near = (sig != sig[head]).sum(1) <= most
+            own = np.flatnonzero(part["kind"].to_numpy() == 1)
+            yield table(STAR, g=g[own], node=node[own], u=node[own], v=node[head[own]], near=near[own])
+
+    return run
+
+
+def _set_star(size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, ["g", "i"]):
+            g, i, kind, node, rep = (part[k].to_numpy() for k in ("g", "i", "kind", "node", "id"))
+            grams, at = _sets(part, size)
+            n, cut = np.diff(at), _cuts(g, i)
+            head, shared = np.repeat(cut[:-1], np.diff(cut)), np.zeros(len(g), dtype=np.int64)
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                first = a + int(np.argmax((kind[a:b] == 0) & (n[a:b] > 0)))
+                head[a:b] = first
+                hit = np.concatenate([[0], np.cumsum(np.isin(grams[at[a] : at[b]], grams[at[first] : at[first + 1]]))])
+                shared[a:b] = hit[at[a + 1 : b + 1] - at[a]] - hit[at[a:b] - at[a]]
+            near = 100 * shared >= percent * (n + n[head] - shared)
+            own = np.flatnonzero((kind == 1) & (n > 0))
+            yield table(STAR, g=g[own], node=node[own], u=rep[own], v=rep[head[own]], near=near[own])
+
+    return run
+
+
+def _list_rest(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, ["g", "i", "j"]):
+            node, asks, sig = part["id"].to_numpy(), part["kind"].to_numpy() == 0, _signatures(part)
+            cut = _cuts(*(part[k].to_numpy() for k in ("g", "i", "j")))
+            us, vs = [], []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                joined = _Joined(b - a)
+                _count_collisions(sig[a:b], np.flatnonzero(asks[a:b]), most, joined)
+                us += [node[a + x] for x in joined.u]
+                vs += [node[a + x] for x in joined.v]
+            yield table("u:l,v:l", u=np.array(us, dtype=np.int64), v=np.array(vs, dtype=np.int64))
+
+    return run
+
+
+def _set_rest(size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in grouped(batches, ["g", "i", "j"]):
+            rep, asks = part["id"].to_numpy(), part["kind"].to_numpy() == 0
+            grams, at = _sets(part, size)
+            cut = _cuts(*(part[k].to_numpy() for k in ("g", "i", "j")))
+            us, vs = [], []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                u, v = set_links(grams[at[a] : at[b]], at[a : b + 1] - at[a], percent, int(asks[a:b].sum()))
+                us += [rep[a + x] for x in u]
+                vs += [rep[a + x] for x in v]
+            yield table("u:l,v:l", u=np.array(us, dtype=np.int64), v=np.array(vs, dtype=np.int64))
+
+    return run
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A table of one row a long list or large family, broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= HOT else df
+
+
+def _part(parts: str):
+    return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+
+
+def _all_parts(parts: str):
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def _dealt_out(rows: DataFrame, signatures: DataFrame, limit: int, star, rest) -> DataFrame:
+    """Links (u, v) in groups of too many rows (g, node, id, weight, and what ``star`` and ``rest`` read); signatures are (g, node, weight, sig).
+
+    Each part of a group meets the group's centre. Only members that this leaves
+    apart are asked for: they meet all others, a part of either in one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = signatures.groupBy("g", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SLOTS)).alias("slot"))
+    few = slots.agg(F.min(F.struct("node", "sig")).alias("m"), F.sum("weight").alias("weight")).groupBy("g")
+    few = few.agg(F.collect_list("m").alias("members"), F.ceil(F.sum("weight") / F.lit(limit)).cast("int").alias("parts"))
+    centres = checkpointed(few.mapInArrow(_central, "g long, head long, parts int"))
+    parted = rows.join(_sized(centres), "g").withColumn("kind", F.lit(1))
+    heads = parted.where("node = head").withColumn("i", _all_parts("parts")).withColumn("kind", F.lit(0))
+    met = parted.withColumn("i", _part("parts")).unionByName(heads).drop("head", "parts", "weight")
+    stars = met.repartition(n, "g", "i").sortWithinPartitions("g", "i", "kind", "node").mapInArrow(star, "g long, node long, u long, v long, near boolean")
+    stars = checkpointed(stars.distinct())
+    links = stars.where("near and u <> v").select("u", "v")
+    apart = stars.where("not near").select("g", "node")
+    if apart.isEmpty():
+        return links
+    marked = parted.drop("kind").join(apart.withColumn("asks", F.lit(True)), ["g", "node"], "left")
+    asking = checkpointed(marked.where("asks").groupBy("g").agg(F.ceil(F.sum("weight") / F.lit(limit)).cast("int").alias("asking")))
+    marked = marked.join(_sized(asking), "g")
+    asks = marked.where("asks").withColumn("i", _all_parts("parts")).withColumn("j", _part("asking")).withColumn("kind", F.lit(0))
+    others = marked.withColumn("i", _part("parts")).withColumn("j", _all_parts("asking")).withColumn("kind", F.lit(1))
+    met = asks.unionByName(others).drop("head", "parts", "weight", "asks", "asking")
+    return links.union(met.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "kind", "node").mapInArrow(rest, "u long, v long"))
+
+
+def _candidates(classes: DataFrame, most: int) -> DataFrame:
+    """Links (u, v) between nodes that connect what pairs of ``least`` collisions or more connect."""
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(posted: DataFrame) -> DataFrame:
+        return posted.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_lists(most), "u long, v long")
+
+    def long_keys(posted: DataFrame) -> DataFrame:
+        return posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > LIST_ROWS).select("key")
+
+    posted = classes.select(F.explode(F.slice("keys", 1, most + 1)).alias("key"), "node", "sig")
+    long = checkpointed(long_keys(posted))
+    if long.isEmpty():
+        return listed(posted)
+    # a spare key is posted by nodes of long lists alone
+    spare = classes.join(posted.join(_sized(long), "key").select("node").distinct(), "node", "left_semi").select(F.explode("keys").alias("key"))
+    long = _sized(checkpointed(long.union(long_keys(spare)).distinct()))
+    held = classes.select(F.explode("keys").alias("key"), "node").join(long, "key").groupBy("node").agg(F.collect_set("key").alias("long"))
+    is_long = F.array_contains("long", F.col("key"))
+    last = F.concat(F.filter("keys", lambda k: ~F.array_contains("long", k)), F.filter("keys", lambda k: F.array_contains("long", k)))
+    posted = classes.join(held, "node", "left").withColumn("long", F.coalesce("long", F.array().cast("array<long>")))
+    posted = checkpointed(posted.select("node", "sig", "long", F.explode(F.slice(last, 1, most + 1)).alias("key")).select("key", "node", "sig", is_long.alias("is_long")))
+    rows = posted.where("is_long").select(F.col("key").alias("g"), "node", F.col("node").alias("id"), F.lit(1).alias("weight"), "sig")
+    hot = _dealt_out(rows, rows, LIST_ROWS, _list_star(most), _list_rest(most))
+    return listed(posted.where("not is_long").select("key", "node", "sig")).union(hot)
 
 
 def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int = 80, family_bytes: int = FAMILY_BYTES) -> DataFrame:
@@ -307,28 +472,35 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     docs = texts(documents)
     least = least_collisions(percent)
     most = COORDINATES - least
-    keys = most + 1
     # two coordinates a key, as long as there are pairs enough for the prefix
-    width = 2 if 2 * keys <= COORDINATES else 1
+    width = 2 if 2 * (most + 1) <= COORDINATES else 1
     schema = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, keys array<long>"
-    base = checkpointed(docs.mapInArrow(_signed_batches(shingle_words, keys, width), schema))
+    base = checkpointed(docs.mapInArrow(_signed_batches(shingle_words, COORDINATES // width, width), schema))
     some = base.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "keys")).alias("m")).select("set_a", "set_b", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), "m.sig", "m.keys")
     same = some.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     # a class by one number: should two share it, they only meet as one family more
     classes = classes.withColumn("node", F.xxhash64("set_a", "set_b"))
-    posted = classes.select(F.explode("keys").alias("key"), "node", "sig")
+    family = components(_candidates(classes, most)).withColumnRenamed("component", "g")
+    # the bytes of a member's hashes are its weight
+    family = family.join(classes.select("node", F.col("rep").alias("id"), "set_a", (8 * F.col("n")).alias("weight"), "sig"), "node")
+    large = checkpointed(family.groupBy("g").agg(F.sum("weight").alias("all")).where(F.col("all") > family_bytes).select("g"))
+
+    def members(family: DataFrame) -> DataFrame:
+        held = docs.join(family.drop("sig"), docs.doc_id == family.id).withColumn("hash", F.xxhash64("text"))
+        return held.dropDuplicates(["id", "set_a", "hash"]).select("g", "node", "id", "set_a", "weight", "text")
+
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = _dealt(posted).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    family = components(listed.mapInArrow(_lists(most), "u long, v long")).withColumnRenamed("component", "family")
-    sizes = family.join(classes.select("node", "rep", "set_a", "n"), "node")
-    parts = sizes.groupBy("family").agg(F.ceil(8 * F.sum("n") / F.lit(family_bytes)).cast("int").alias("parts"))
-    family = sizes.join(parts, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("node", "n")
-    members = docs.join(family, docs.doc_id == family.rep).withColumn("hash", F.xxhash64("text")).dropDuplicates(["rep", "set_a", "hash"])
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "set_a", "text")
-    met = members.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
-    links = met.mapInArrow(_confirm(shingle_words, percent), "u long, v long")
+    confirm = _confirm(shingle_words, percent)
+    if large.isEmpty():
+        met = members(family).repartition(n, "g").sortWithinPartitions("g", "id")
+        links = met.mapInArrow(confirm, "u long, v long")
+    else:
+        large = _sized(large)
+        met = members(family.join(large, "g", "left_anti")).repartition(n, "g").sortWithinPartitions("g", "id")
+        of_large = checkpointed(family.join(large, "g", "left_semi"))
+        hot = _dealt_out(checkpointed(members(of_large)), of_large, family_bytes, _set_star(shingle_words, percent), _set_rest(shingle_words, percent))
+        links = met.mapInArrow(confirm, "u long, v long").union(hot)
     found = components(links.union(same))
     return base.join(found, base.doc_id == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

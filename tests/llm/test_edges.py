@@ -289,3 +289,40 @@ def test_differing_rows_of_one_id_keep_their_links(spark, monkeypatch, size, per
                 if 100 * len(a & b) >= percent * len(a | b):
                     root[i] = root[k] = min(root[i], root[k])
     assert got == root
+
+
+@pytest.mark.parametrize(("rows", "size"), [(4, 500), (30, 20_000), (1 << 14, 3_000)])
+@pytest.mark.parametrize("percent", [60, 85])
+def test_long_lists_and_large_families(spark, monkeypatch, rows, size, percent):
+    """Near copies in chains and stars, and texts that share most of a passage, with lists and families dealt out or not."""
+    monkeypatch.setattr(minhash_dedup, "LIST_ROWS", rows)
+    rng = random.Random(rows)
+    first = [f"w{k}" for k in range(80)]
+    texts, chain = [], list(first)
+    for k in range(60):
+        chain[k] = f"c{k}"
+        texts.append(" ".join(chain))
+    texts += [" ".join(w if rng.random() > 0.02 else f"x{rng.randrange(99)}" for w in first) for _ in range(60)]
+    texts += [" ".join(first[:50] + [f"y{rng.randrange(9999)}" for _ in range(rng.randrange(4, 40))]) for _ in range(60)]
+    docs = list(enumerate(texts))
+    rng.shuffle(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(frame(spark, docs), 3, percent, family_bytes=size).collect()}
+    assert got == brute.near(docs, 3, percent)
+
+
+def test_a_compact_group_meets_its_centre_alone(spark, monkeypatch):
+    """The members of one long list are each held against the centre, whatever their number; none meets all others."""
+    monkeypatch.setattr(minhash_dedup, "LIST_ROWS", 8)
+    rng = np.random.default_rng(3)
+    sig = np.tile(rng.integers(0, 256, 48, dtype=np.uint8), (500, 1))
+    sig[np.arange(500), rng.integers(0, 48, 500)] ^= 1
+    ship(spark)
+    rows = spark.createDataFrame([(1, k, k, 1, bytearray(s.tobytes())) for k, s in enumerate(sig)], "g long, node long, id long, weight int, sig binary")
+
+    def none(batches):
+        for b in batches:
+            assert not b.num_rows
+            yield pa.RecordBatch.from_pydict({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+
+    links = minhash_dedup._dealt_out(rows, rows, 8, minhash_dedup._list_star(6), none).collect()
+    assert len(links) == 499 and len({r.v for r in links}) == 1
