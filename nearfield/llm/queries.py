@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship
-from . import decontaminate, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity
+from . import ball_kmeans, decontaminate, hard_negatives, line_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +58,29 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op11_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(_read(spark, sf_dir, "pages"), shard_rows=8192, roll_bytes=256 << 20, revisit_from=1000)
+    return found.select("page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.report(ball_kmeans.cluster(_read(spark, sf_dir, "embeddings"), size=8, rounds=10, dim=64, scale=1024, seed=3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
     forms = {"op2_suffix_dedup": suffix_dedup, "op3_substring_dedup": substring_dedup, "op6_mixing": mixing, "op9_line_dedup": line_dedup, "op10_minhash_dedup": minhash_dedup}
-    return {name: module.SQL.format(documents="documents") for name, module in forms.items()}
+    found = {name: module.SQL.format(documents="documents") for name, module in forms.items()}
+    found["op11_warc_writer"] = warc.SQL.format(pages="pages")
+    found["op12_hard_negatives"] = hard_negatives.SQL.format(embeddings="embeddings")
+    found["op13_ball_kmeans"] = ball_kmeans.sql().format(embeddings="embeddings")
+    return found
