@@ -343,7 +343,8 @@ def dangling(found: DataFrame) -> DataFrame:
     """(refers_to_id, payload_sha1, payload_bytes) of revisits whose response is absent or has another payload."""
     responses = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "payload_sha1", "payload_bytes")
     asked = found.where("record_type = 'revisit'").select("refers_to_id", "payload_sha1", "payload_bytes").distinct()
-    return asked.join(responses, ["refers_to_id", "payload_sha1", "payload_bytes"], "left_anti")
+    # a row a response is no small side, though the manifest that it comes from is a small table
+    return asked.join(responses.hint("merge"), ["refers_to_id", "payload_sha1", "payload_bytes"], "left_anti")
 
 
 def round_trip(pages: DataFrame, shard_rows: int = 65_536, roll_bytes: int = 1 << 30, revisit_from: int = 1000) -> DataFrame:
