@@ -19,8 +19,8 @@ def integers(column: pa.Array, scale: int, most: int) -> tuple[np.ndarray, list[
     beyond ``most`` is an error: sums over it could exceed 64 bits.
     """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    present = column.is_valid().to_numpy(zero_copy_only=False).copy()
     column = pc.fill_null(column, pa.scalar([], column.type)) if column.null_count else column
-    present = np.ones(len(column), dtype=bool)
     flat = column.flatten()
     sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     values = flat.to_numpy(zero_copy_only=False).astype(np.float64)

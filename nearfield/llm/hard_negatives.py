@@ -159,8 +159,8 @@ def _negatives(chunk: Chunk, block: pa.Table, k: int, low: int, high: int) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor_id", "positive_id", "positive_score", "vec_id", "score"])
 
 
-def _meeting(answer: Callable[[Chunk, pa.Table], pa.RecordBatch], chunk_rows: int, bucket: int, block: int):
-    """Rows of one chunk, candidates first: anchors pass by in blocks. Beyond ``chunk_rows`` candidates are an error."""
+def _meeting(answer: Callable[[Chunk, pa.Table], pa.RecordBatch], bucket: int, block: int):
+    """Rows of one chunk, candidates first: anchors pass by in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk: Chunk | None = None
@@ -194,7 +194,7 @@ def _met(candidates: DataFrame, anchors: DataFrame, chunks: int, answer, schema:
     have = candidates.select("chunk", F.lit(0).alias("asks"), "vec_id", "label", "norm", "x", F.lit(None).cast(kind).alias("positives"))
     ask = anchors.where("last >= 0").select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk"), F.lit(1).alias("asks"), "vec_id", "label", "norm", "x", F.col("positives").cast(kind).alias("positives"))
     both = have.unionByName(ask).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("asks", F.col("norm").desc(), "vec_id")
-    return both.drop("chunk").mapInArrow(_meeting(answer, CHUNK_ROWS, bucket, ANCHORS), schema)
+    return both.drop("chunk").mapInArrow(_meeting(answer, bucket, ANCHORS), schema)
 
 
 def _first(rows: DataFrame, k: int, *key: str) -> DataFrame:
@@ -250,7 +250,7 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     # chunks fall in norm: those whose bound is below the least limit come last
     limit = F.floor(F.col("least") * low / 100)
     reached = F.size(F.filter(F.lit([float(t) for t in tops]), lambda t: F.sqrt(t * F.col("norm")) * (1 + 1e-9) + 1 >= limit)) - 1
-    windows = asking.join(held, asking["vec_id"] == held["anchor_id"]).withColumn("last", reached)
+    windows = asking.join(held.hint("merge"), asking["vec_id"] == held["anchor_id"]).withColumn("last", reached)
     found = _met(have, windows, chunks, lambda c, b: _negatives(c, b, negatives, low, high), _NEGATIVE, bucket)
     out = _first(found, negatives, "anchor_id", "positive_id")
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
