@@ -1,16 +1,16 @@
-"""Proximity graphs: a hierarchical small-world graph for each part, kept as tables.
+"""Small-world graphs of parts as tables: build, save, load, search, change.
 
-A part is bounded (``PART_ROWS``): larger parts are cut further by a hash of the id,
-and their answers merge. Insertion follows vec_id and levels come from a hash of
-the id, so a graph depends on its rows only. Graphs are built once, to one row a node
+A part is bounded (``PART_ROWS``): larger parts are cut further by a hash of the id into pieces with a graph each,
+and their answers merge; ``biggraph`` links one graph across pieces. Levels come from a hash of
+the id, so a graph depends on its rows only. Graphs are built once, to one row an id
 with its links by level; searches read those rows back and build nothing.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections import Counter
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,307 +20,26 @@ from pyspark.sql import functions as F
 
 from ..sources.ship import ship
 from ..sources.tables import checkpointed, fingerprint, load_index, save_index
-from .flat import FOUND, asked, matrix, query_blocks
+from .flat import FOUND, asked, matrix
 from .partition import partitioned
+from .smallworld import Beam, Documents, Graph, Within, level_of
 from .topk import ranked
 
-PART_ROWS = 50_000
-
-
-def _level(vec_id: int, m: int) -> int:
-    x = (vec_id * 0x9E3779B97F4A7C15 + 100) & (2**64 - 1)
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
-    x ^= x >> 31
-    return int(-math.log((x + 1) / 2**64) / math.log(m))
-
-
-class Beam:
-    """Ends a walk when the ``ef`` nearest found are nearer than all that is left to visit."""
-
-    def __init__(self, ef: int):
-        self.ef, self.held = ef, 0
-
-    def done(self, d: float, worst: float) -> bool:
-        return self.held >= self.ef and d > worst
+__all__ = ["Beam", "Bundle", "Documents", "Graph", "Within", "build", "build_or_load", "level_of", "load", "save", "search"]
 
-    def takes(self, d: float, worst: float) -> bool:
-        return self.held < self.ef or d < worst
-
-    def entered(self, node: int, d: float) -> None:
-        self.held += 1
-
-    def left(self, node: int, d: float) -> None:
-        self.held -= 1
-
-    def over(self) -> bool:
-        return self.held > self.ef
-
-    def results(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        return found
-
-
-class Within(Beam):
-    """Finds what lies within ``eps``; looks at ``least`` nodes at least, and keeps ``most`` at most."""
-
-    def __init__(self, eps: float, least: int = 100, most: int = 10_000):
-        super().__init__(most)
-        self.eps, self.least = eps, least
-
-    def done(self, d: float, worst: float) -> bool:
-        return (self.held >= self.least and d > self.eps) or super().done(d, worst)
-
-    def results(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        return [x for x in found if x[0] <= self.eps]
-
-
-class Documents(Beam):
-    """Counts documents instead of nodes: keeps the nodes of the ``ef`` nearest, returns those of the first ``n``."""
-
-    def __init__(self, doc_of: np.ndarray, n: int, ef: int):
-        super().__init__(max(ef, n + 1))
-        self.doc_of, self.n, self.nodes = doc_of, n, Counter()
-
-    def entered(self, node: int, d: float) -> None:
-        self.nodes[self.doc_of[node]] += 1
-        self.held = len(self.nodes)
-
-    def left(self, node: int, d: float) -> None:
-        doc = self.doc_of[node]
-        self.nodes[doc] -= 1
-        if not self.nodes[doc]:
-            del self.nodes[doc]
-        self.held = len(self.nodes)
-
-    def results(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        docs: dict = {}
-        for at, (_, node) in enumerate(found):
-            docs.setdefault(self.doc_of[node], at)
-        first = sorted(docs.values())
-        return found[: first[self.n]] if len(first) > self.n else found
-
-
-class Graph:
-    """Nodes by number; links by level and node; distance 1 - product."""
-
-    def __init__(self, x: np.ndarray, ids: np.ndarray, m: int = 16, ef: int = 150):
-        self.x, self.ids, self.m, self.ef = x, ids, m, ef
-        self.links: list[dict[int, list[int]]] = []
-        self.entry, self.hops, self.seen = -1, 0, 0
-        self.longest: float | None = None
-        for i in np.argsort(ids, kind="stable").tolist():
-            self._insert(i)
-
-    @classmethod
-    def of_table(cls, nodes: pa.Table, m: int = 16, ef: int = 150) -> Graph:
-        """A stored graph; gaps, foreign or double links and a missing entry are errors."""
-        nodes = nodes.sort_by("node")
-        n = nodes.num_rows
-        out = cls(np.zeros((0, 0)), np.zeros(0, dtype=np.int64), m, ef)
-        out.x, out.ids = matrix(nodes["embedding"]), nodes["vec_id"].to_numpy()
-        entry = np.flatnonzero(nodes["entry"].to_numpy(zero_copy_only=False))
-        if nodes["node"].to_pylist() != list(range(n)) or len(entry) != 1:
-            raise ValueError("nodes or the entry of a graph are missing")
-        out.entry = int(entry[0])
-        levels = nodes["links"].to_pylist()
-        out.links = [{i: list(to[at]) for i, to in enumerate(levels) if len(to) > at} for at in range(len(levels[out.entry]))]
-        out.check()
-        return out
-
-    def table(self) -> pa.Table:
-        """One row a node: number, id, links by level, whether it is the entry, vector."""
-        n = len(self.x)
-        links = [[level[i] for level in self.links if i in level] for i in range(n)]
-        return pa.table({
-            "node": pa.array(np.arange(n), pa.int64()), "vec_id": pa.array(self.ids, pa.int64()), "links": pa.array(links, pa.list_(pa.list_(pa.int32()))),
-            "entry": pa.array(np.arange(n) == self.entry), "embedding": pa.array(list(self.x), pa.list_(pa.float64())),
-        })
-
-    def check(self) -> None:
-        for level in self.links:
-            for n, out in level.items():
-                if n in out or len(set(out)) != len(out) or not all(y in level for y in out):
-                    raise ValueError(f"node {n} links to itself, twice to another, or to one that is not on its level")
-
-    def _far(self, q: np.ndarray, nodes: list[int]) -> list[float]:
-        self.seen += len(nodes)
-        return (1 - self.x[nodes] @ q).tolist()
-
-    def _walk(self, q: np.ndarray, start: list[int], ef: int, level: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """Beam search of one level; forbidden nodes are passed through but not returned."""
-        visited = set(start)
-        near = [(d, n) for d, n in zip(self._far(q, start), start, strict=True)]
-        heapq.heapify(near)
-        best = [(-d, -n) for d, n in near if allowed is None or allowed[n]]
-        heapq.heapify(best)
-        while near:
-            d, n = heapq.heappop(near)
-            if len(best) >= ef and d > -best[0][0]:
-                break
-            self.hops += 1
-            new = [y for y in self.links[level].get(n, ()) if y not in visited]
-            visited.update(new)
-            for e, y in zip(self._far(q, new), new, strict=True) if new else ():
-                if len(best) < ef or e < -best[0][0]:
-                    heapq.heappush(near, (e, y))
-                    if allowed is None or allowed[y]:
-                        heapq.heappush(best, (-e, -y))
-                        if len(best) > ef:
-                            heapq.heappop(best)
-        return sorted((-d, -n) for d, n in best)
-
-    def _diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Neighbours that are nearer to the node than to any neighbour taken before."""
-        out: list[int] = []
-        for d, n in found:
-            if len(out) == most:
-                break
-            if not out or min(self._far(self.x[n], out)) >= d:
-                out.append(n)
-        # unused places go to the nearest of the rest: sparse parts stay connected
-        return out + [n for _, n in found if n not in out][: max(0, min(most, len(found)) - len(out))]
-
-    def _insert(self, i: int) -> None:
-        level = _level(int(self.ids[i]), self.m)
-        q = self.x[i]
-        if self.entry < 0:
-            self.links = [{i: []} for _ in range(level + 1)]
-            self.entry = i
-            return
-        start = [self.entry]
-        for at in range(len(self.links) - 1, level, -1):
-            start = [self._walk(q, start, 1, at)[0][1]]
-        for at in range(min(level, len(self.links) - 1), -1, -1):
-            found = self._walk(q, start, self.ef, at)
-            self._link(i, found, at)
-            start = [n for _, n in found]
-        while len(self.links) <= level:
-            self.links.append({i: []})
-            self.entry = i
-
-    def _link(self, i: int, found: list[tuple[float, int]], at: int) -> None:
-        """Link a node with the best of what was found, and those back to it."""
-        most = 2 * self.m if at == 0 else self.m
-        mine = self._diverse(found, self.m)
-        self.links[at][i] = mine
-        for n in mine:
-            theirs = self.links[at][n]
-            if i not in theirs:
-                theirs.append(i)
-            if len(theirs) > most:
-                d = self._far(self.x[n], theirs)
-                self.links[at][n] = self._diverse(sorted(zip(d, theirs, strict=True)), most)
-
-    def move(self, i: int, x: np.ndarray) -> None:
-        """Give a node another vector: its neighbours link past it, then it is linked anew."""
-        self.x[i], self.longest = x, None
-        levels = [at for at, level in enumerate(self.links) if i in level]
-        for at in levels:
-            level, old = self.links[at], self.links[at][i]
-            for n in [n for n, out in level.items() if i in out]:
-                near = sorted((set(level[n]) | set(old)) - {n, i})
-                level[n] = self._diverse(sorted(zip(self._far(self.x[n], near), near, strict=True)), 2 * self.m if at == 0 else self.m) if near else []
-        start = [self.entry]
-        for at in range(len(self.links) - 1, levels[-1], -1):
-            start = [self._walk(x, start, 1, at)[0][1]]
-        for at in reversed(levels):
-            # from the node's own place the walk leads on by its old links
-            found = [p for p in self._walk(x, list(dict.fromkeys([*(n for n in start if n in self.links[at]), i])), self.ef, at) if p[1] != i]
-            self.links[at][i] = []
-            if found:
-                self._link(i, found, at)
-                start = [n for _, n in found]
-
-    def search_until(self, q: np.ndarray, stop: Beam, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """(distance, id) of what a stop condition keeps."""
-        if self.entry < 0:
-            return []
-        start = [self.entry]
-        for at in range(len(self.links) - 1, 0, -1):
-            start = [self._walk(q, start, 1, at)[0][1]]
-        near = list(zip(self._far(q, start), start, strict=True))
-        visited, best = set(start), []
-        for d, n in near:
-            if allowed is None or allowed[n]:
-                heapq.heappush(best, (-d, -n))
-                stop.entered(n, d)
-        worst = lambda: -best[0][0] if best else math.inf
-        while near:
-            d, n = heapq.heappop(near)
-            if stop.done(d, worst()):
-                break
-            self.hops += 1
-            new = [y for y in self.links[0].get(n, ()) if y not in visited]
-            visited.update(new)
-            for e, y in zip(self._far(q, new), new, strict=True) if new else ():
-                if stop.takes(e, worst()):
-                    heapq.heappush(near, (e, y))
-                    if allowed is None or allowed[y]:
-                        heapq.heappush(best, (-e, -y))
-                        stop.entered(y, e)
-                        while stop.over():
-                            far = heapq.heappop(best)
-                            stop.left(-far[1], -far[0])
-        found = stop.results(sorted((-d, -n) for d, n in best))
-        return sorted((d, int(self.ids[n])) for d, n in found)
-
-    def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """(distance, id) of the k nearest found."""
-        if self.entry < 0:
-            return []
-        start = [self.entry]
-        for at in range(len(self.links) - 1, 0, -1):
-            start = [self._walk(q, start, 1, at)[0][1]]
-        return self._out(self._walk(q, start, max(ef, k), 0, allowed), k)
-
-    def search_flat(self, q: np.ndarray, k: int, ef: int, entries: int = 1) -> list[tuple[float, int]]:
-        """Level 0 only, from entry nodes picked by a hash of the query."""
-        if self.entry < 0:
-            return []
-        found: dict[int, float] = {}
-        for salt in range(entries):
-            h = int(np.frombuffer(np.round(q[:16], 6).tobytes(), np.uint64).sum(dtype=np.uint64)) ^ (salt * 0x9E3779B97F4A7C15)
-            h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
-            found |= {n: d for d, n in self._walk(q, [(h >> 20) % len(self.x)], max(ef, k), 0)}
-        return self._out(sorted((d, n) for n, d in found.items()), k)
-
-    def every(self, q: np.ndarray, bound: float, allowed: np.ndarray | None = None, least: int = 0) -> list[tuple[float, int]]:
-        """(distance, id) of all nodes within ``bound``, linked to or not, and of the ``least`` nearest at least.
-
-        Distances are summed row by row, so that equal vectors tie.
-        """
-        far = 1 - self.x @ q
-        nodes = np.arange(len(far)) if allowed is None else np.flatnonzero(allowed)
-        if least and len(nodes):
-            bound = max(bound, np.partition(far[nodes], min(least, len(nodes)) - 1)[min(least, len(nodes)) - 1])
-        # products of a matrix may differ in their last bits from those of its rows
-        if self.longest is None:
-            self.longest = math.sqrt((self.x * self.x).sum(1).max(initial=0))
-        slack = 1e-12 * (1 + math.sqrt(q @ q) * self.longest)
-        nodes = nodes[far[nodes] <= bound + slack]
-        dist = 1 - (self.x[nodes] * q).sum(1)
-        order = np.lexsort((self.ids[nodes], dist))
-        return list(zip(dist[order].tolist(), self.ids[nodes[order]].tolist(), strict=True))
-
-    def confirmed(self, q: np.ndarray, k: int, found: list[tuple[float, int]], allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k nearest, if a search found ``found``: all rows are held against its k-th."""
-        if len(found) < k:
-            return self.every(q, -math.inf, allowed, k)[:k]
-        return self.every(q, found[k - 1][0], allowed)[:k]
-
-    def _out(self, found: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
-        return sorted((d, int(self.ids[n])) for d, n in found)[:k]
-
-    def degrees(self) -> tuple[int, int]:
-        """Least and greatest in-degree on level 0; self-links and double links are errors."""
-        count = np.zeros(len(self.x), dtype=int)
-        for n, out in self.links[0].items() if self.links else ():
-            if n in out or len(set(out)) != len(out):
-                raise ValueError("a node links to itself or twice to another")
-            count[out] += 1
-        return (int(count.min()), int(count.max())) if len(count) else (0, 0)
+PART_ROWS = 50_000
+#: Queries that a piece answers at once.
+ASK_ROWS = 1024
+#: Pieces get a partition each by a table of their numbers, which is broadcast, up to so many; beyond, by hash.
+NUMBERED_PIECES = 10_000
+NODES = "part long, piece long, node long, vec_id long, links array<array<int>>, entry boolean, embedding array<double>"
+_NAMES = [c.split(" ")[0] for c in NODES.split(", ")]
 
 
-NODES = "part long, piece long, node long, vec_id long, links array<array<int>>, entry boolean, embedding array<double>"
+def _typed(names: list[str], columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    types = dict(f.split(" ") for f in schema.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[types[n]]) for n, c in zip(names, columns, strict=True)], names=names)
 
 
 def _builder(m: int, ef: int):
@@ -333,19 +52,32 @@ def _builder(m: int, ef: int):
 
 
 def build(rows: DataFrame, m: int = 16, ef: int = 150, piece_rows: int = PART_ROWS) -> DataFrame:
-    """Nodes of the graphs of (part, vec_id, embedding) rows; nulls are left out."""
+    """Nodes of the graphs of (part, vec_id, embedding) rows; nulls are left out, a vec_id counts once a part and row."""
     ship(rows.sparkSession)
     rows = rows.where("vec_id is not null and embedding is not null")
     held = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece_rows)).alias("cuts"))
-    cut = rows.join(F.broadcast(held), "part").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("cuts"))).select("part", "piece", "vec_id", "embedding")
+    cut = rows.join(held, "part").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("cuts"))).select("part", "piece", "vec_id", "embedding")
     return cut.groupBy("part", "piece").applyInArrow(_builder(m, ef), NODES)
 
 
-def save(nodes: DataFrame, path: str, meta: dict) -> None:
-    """Nodes laid out by part, and how many each piece has."""
+def _sizes(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+def save(nodes: DataFrame, path: str, meta: dict, more: dict[str, DataFrame] | None = None) -> None:
+    """Nodes laid out by part, and how many rows each piece has; ``more`` tables go with them."""
     nodes = checkpointed(nodes)
-    sizes = nodes.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("n"))
-    save_index({"nodes": nodes, "sizes": sizes}, path, meta, by={"nodes": "part"})
+    save_index({"nodes": nodes, "sizes": _sizes(nodes)} | (more or {}), path, meta, by={"nodes": "part"})
+
+
+def _checked(found: dict[str, DataFrame], path: str, parts: list[int] | None = None) -> DataFrame:
+    nodes, sizes = found["nodes"].withColumn("part", F.col("part").cast("long")), found["sizes"]
+    if parts is not None:
+        nodes, sizes = nodes.where(F.col("part").isin(parts)), sizes.where(F.col("part").isin(parts))
+    now = nodes.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("now"))
+    if sizes.join(now, ["part", "piece"], "full").where("n is null or now is null or n <> now").limit(1).count():
+        raise ValueError(f"{path}: a graph has lost or gained nodes")
+    return nodes.select(*_NAMES)
 
 
 def load(spark: SparkSession, path: str, meta: dict | None = None, parts: list[int] | None = None) -> DataFrame | None:
@@ -357,18 +89,18 @@ def load(spark: SparkSession, path: str, meta: dict | None = None, parts: list[i
     if found is None:
         return None
     ship(spark)
-    nodes, sizes = found["nodes"].withColumn("part", F.col("part").cast("long")), found["sizes"]
-    if parts is not None:
-        nodes, sizes = nodes.where(F.col("part").isin(parts)), sizes.where(F.col("part").isin(parts))
-    now = nodes.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("now"))
-    if sizes.join(now, ["part", "piece"], "full").where("n is null or now is null or n <> now").limit(1).count():
-        raise ValueError(f"{path}: a graph has lost or gained nodes")
-    return nodes.select(*(c.split(" ")[0] for c in NODES.split(", ")))
+    return _checked(found, path, parts)
+
+
+def _data(rows: DataFrame) -> dict:
+    """What tells rows (part, vec_id, embedding) from others, in one pass."""
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("vec_id", "embedding", "part").cast("decimal(20,0)")).alias("h")).first()
+    return {"n": r["n"], "data": int(r["h"] or 0)}
 
 
 def build_or_load(rows: DataFrame, path: str, m: int = 16, ef: int = 150) -> DataFrame:
     """The graphs saved at ``path`` if they have these parameters and rows, else built and saved now."""
-    meta = {"kind": "graph", "m": m, "ef": ef, "data": fingerprint(rows), "parts": rows.agg(F.sum(F.xxhash64("vec_id", "part").cast("decimal(20,0)"))).first()[0].__str__()}
+    meta = {"kind": "graph", "m": m, "ef": ef} | _data(rows)
     found = load(rows.sparkSession, path, meta)
     if found is None:
         save(build(rows, m, ef), path, meta)
@@ -376,34 +108,93 @@ def build_or_load(rows: DataFrame, path: str, m: int = 16, ef: int = 150) -> Dat
     return found
 
 
-def _answers(qid: np.ndarray, q: np.ndarray, of: dict[int, set[int]] | None, answer, schema: str):
-    fields = [f.split(" ") for f in schema.split(", ")]
-    kinds = {"long": pa.int64(), "double": pa.float64()}
-
-    def run(key, table):
-        g = Graph.of_table(table)
-        out = [(i, *row) for i, x in zip(qid.tolist(), q, strict=True) if of is None or i in of.get(key[0].as_py(), ()) for row in answer(g, table, x)]
-        return pa.table([pa.array([r[j] for r in out], kinds[t]) for j, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+#: From a graph and its rows: what answers a block of queries (numbers, matrix) with columns of the schema.
+Answer = Callable[[Graph, pa.Table], Callable[[np.ndarray, np.ndarray], pa.RecordBatch]]
+
+
+def _aligned(g: Graph, table: pa.Table, column: str) -> np.ndarray:
+    """A column of a graph's rows in the order of its ids."""
+    return table.sort_by([("node", "ascending"), ("vec_id", "ascending")])[column].to_numpy(zero_copy_only=False)
+
+
+def _met(answer: Answer):
+    """Pieces in turn, each with its rows first: its graph is set up once, and queries pass by in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, asks, ready = None, [], [], None
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            nonlocal asks, ready
+            if not asks:
+                return
+            if ready is None:
+                table = pa.Table.from_batches(rows)
+                ready = answer(Graph.of_table(table), table)
+            t = pa.Table.from_batches(asks)
+            yield ready(t["qid"].to_numpy(), matrix(t["embedding"]))
+            asks = []
+
+        for batch in batches:
+            part, piece, kind = (batch[c].to_numpy(zero_copy_only=False) for c in ("part", "piece", "kind"))
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(piece) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if (key := (part[a], piece[a])) != at:
+                    yield from answered()
+                    at, rows, asks, ready = key, [], [], None
+                if kind[a] == 0:
+                    rows.append(batch.slice(a, b - a))
+                    continue
+                if not rows:
+                    continue  # a piece that has no nodes
+                for c in range(a, b, ASK_ROWS):
+                    asks.append(batch.slice(c, min(ASK_ROWS, b - c)))
+                    if sum(x.num_rows for x in asks) >= ASK_ROWS:
+                        yield from answered()
+        yield from answered()
 
     return run
 
 
-def _pieces(nodes: DataFrame, queries: DataFrame, wanted: DataFrame | None, answer, schema: str) -> DataFrame:
-    """``answer(graph, table, x)`` rows of each query in the pieces whose part it wants, after qid."""
-    found = None
-    for qid, q in query_blocks(asked(queries)):
-        of: dict[int, set[int]] | None = None
-        some = nodes
-        if wanted is not None:
-            of = {}
-            block = F.broadcast(nodes.sparkSession.createDataFrame([(int(i),) for i in qid], "qid long"))
-            for r in wanted.join(block, "qid").collect():
-                of.setdefault(r.part, set()).add(r.qid)
-            some = nodes.where(F.col("part").isin(list(of)))
+def _dealt(both: DataFrame, pieces: list[tuple[int, int]]) -> DataFrame:
+    """Rows of a piece in one partition, a piece to each if they are not very many."""
+    if len(pieces) <= NUMBERED_PIECES:
+        slots = both.sparkSession.createDataFrame([(*p, i) for i, p in enumerate(pieces)], "part long, piece long, slot int")
+        return both.join(F.broadcast(slots), ["part", "piece"]).repartitionById(max(1, len(pieces)), F.col("slot")).drop("slot")
+    return both.repartition(len(pieces), "part", "piece")
+
 
-        part = some.groupBy("part", "piece").applyInArrow(_answers(qid, q, of, answer, schema), schema)
-        found = part if found is None else found.unionByName(part)
-    return nodes.sparkSession.createDataFrame([], schema) if found is None else found
+def _pieces(nodes: DataFrame, queries: DataFrame, wanted: DataFrame | None, answer: Answer, schema: str) -> DataFrame:
+    """``answer`` to each query in the pieces whose part it wants.
+
+    Queries are a table: they are dealt out to the pieces and stream past them, so neither the driver nor a task holds them all.
+    """
+    spark = nodes.sparkSession
+    queries = asked(queries).withColumnRenamed("v", "embedding").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    if wanted is not None:
+        wanted = wanted.select("qid", F.col("part").cast("long").alias("part")).distinct()
+        # one row a part
+        nodes = nodes.where(F.col("part").isin([r.part for r in wanted.select("part").distinct().collect()]))
+    # one row a piece
+    pieces = sorted((r.part, r.piece) for r in nodes.select("part", "piece").distinct().collect())
+    if not pieces:
+        return spark.createDataFrame([], schema)
+    if wanted is None:
+        listed = F.array(*(F.struct(F.lit(a).cast("long").alias("part"), F.lit(b).cast("long").alias("piece")) for a, b in pieces))
+        asks = queries.withColumn("p", F.explode(listed)).select("p.part", "p.piece", "qid", "embedding")
+    else:
+        of = spark.createDataFrame(pieces, "part long, piece long")
+        asks = wanted.join(of, "part").join(queries, "qid").select("part", "piece", "qid", "embedding")
+    have = nodes.withColumn("kind", F.lit(0)).withColumn("qid", F.lit(None).cast("long"))
+    both = have.unionByName(asks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    dealt = _dealt(both, pieces).sortWithinPartitions("part", "piece", "kind")
+    return dealt.mapInArrow(_met(answer), schema)
+
+
+def _found(qid: np.ndarray, near: list[list[tuple[float, int]]]) -> pa.RecordBatch:
+    counts = [len(x) for x in near]
+    return _typed(["qid", "vec_id", "dist"], [np.repeat(qid, counts), [i for x in near for _, i in x], [d for x in near for d, _ in x]], FOUND)
 
 
 def _with_allowed(nodes: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -412,72 +203,74 @@ def _with_allowed(nodes: DataFrame, allowed: DataFrame | None) -> DataFrame:
     return nodes.join(allowed.select("vec_id").distinct().withColumn("allowed", F.lit(True)), "vec_id", "left").select(*nodes.columns, F.coalesce("allowed", F.lit(False)).alias("allowed"))
 
 
-def _flags(table: pa.Table) -> np.ndarray | None:
-    return table.sort_by("node")["allowed"].to_numpy(zero_copy_only=False) if "allowed" in table.column_names else None
+#: Tells from the vec_id and vectors of a part's rows (an Arrow batch) which of them may be found.
+Predicate = Callable[[pa.Table], np.ndarray]
+
+
+def _flags(g: Graph, table: pa.Table, predicate: Predicate | None = None) -> np.ndarray | None:
+    flags = _aligned(g, table, "allowed").astype(bool) if "allowed" in table.column_names else None
+    if predicate is None:
+        return flags
+    rows = table.sort_by([("node", "ascending"), ("vec_id", "ascending")]).select(["vec_id", "embedding"])
+    said = np.asarray(predicate(rows), dtype=bool)
+    return said if flags is None else flags & said
 
 
 def search_nodes(
-    nodes: DataFrame, queries: DataFrame, k: int, ef: int, mode: str = "hierarchical", entries: int = 1, wanted: DataFrame | None = None, allowed: DataFrame | None = None, exact: bool = False
+    nodes: DataFrame, queries: DataFrame, k: int, ef: int, mode: str = "hierarchical", entries: int = 1, wanted: DataFrame | None = None, allowed: DataFrame | None = None, predicate: Predicate | None = None
 ) -> DataFrame:
     """(qid, vec_id, dist, rank): every part's graph is searched, and the answers merged.
 
     ``wanted`` (qid, part) names the parts to search for each query; of other
-    parts nothing is read. Rows that are not ``allowed`` (vec_id) are walked through but not found.
-    A walk misses nodes that its beam or the links do not reach; with ``exact`` each answer is held
-    against all rows of its part.
+    parts nothing is read. Rows that are not ``allowed`` (vec_id), or for which ``predicate`` says no, are walked through but not found.
+    A search finds what its walk meets: recall grows with ``ef``, and is whole where ``ef`` reaches a piece's distinct vectors.
     """
     ship(nodes.sparkSession)
+    if mode != "hierarchical" and (allowed is not None or predicate is not None):
+        raise ValueError("only hierarchical searches take a filter")
 
-    def answer(g: Graph, table: pa.Table, x: np.ndarray) -> list[tuple]:
-        flags = _flags(table)
-        near = g.search(x, k, ef, flags) if mode == "hierarchical" else g.search_flat(x, k, ef, entries)
-        return [(n, d) for d, n in (g.confirmed(x, k, near, flags) if exact else near)]
+    def answer(g: Graph, table: pa.Table):
+        if mode != "hierarchical":
+            return lambda qid, q: _found(qid, g.flat_all(q, k, ef, entries))
+        flags = _flags(g, table, predicate)
+        return lambda qid, q: _found(qid, g.search_all(q, k, ef, flags))
 
-    if mode != "hierarchical" and allowed is not None:
-        raise ValueError("only hierarchical searches take a filter")
     return ranked(_pieces(_with_allowed(nodes, allowed), queries, wanted, answer, FOUND), k)
 
 
-def range_nodes(nodes: DataFrame, queries: DataFrame, eps: float, least: int = 100, most: int = 10_000, allowed: DataFrame | None = None, exact: bool = False) -> DataFrame:
-    """(qid, vec_id, dist, rank): what the graphs find within ``eps``; with ``exact`` also all that they miss or have no place for."""
+def range_nodes(nodes: DataFrame, queries: DataFrame, eps: float, least: int = 100, most: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, vec_id, dist, rank): what the graphs find within ``eps`` (the ``most`` nearest, if given).
+
+    A beam of ``least`` nodes grows until it reaches beyond ``eps``; nothing else bounds what is found.
+    """
     ship(nodes.sparkSession)
 
-    def answer(g: Graph, table: pa.Table, x: np.ndarray) -> list[tuple]:
-        flags = _flags(table)
-        found = g.search_until(x, Within(eps, least, most), flags)
-        return [(n, d) for d, n in (g.every(x, eps, flags) if exact else found) if d <= eps]
+    def answer(g: Graph, table: pa.Table):
+        flags = _flags(g, table)
+        return lambda qid, q: _found(qid, g.range_all(q, eps, least, flags))
 
-    return ranked(_pieces(_with_allowed(nodes, allowed), queries, None, answer, FOUND))
+    return ranked(_pieces(_with_allowed(nodes, allowed), queries, None, answer, FOUND), most)
 
 
-def _firsts(found: list[tuple[float, int]], doc: dict[int, int]) -> list[tuple[float, int]]:
-    """The nearest row of each document, nearest first."""
-    out: dict[int, tuple[float, int]] = {}
-    for row in found:
-        out.setdefault(doc[row[1]], row)
-    return list(out.values())
+def document_nodes(nodes: DataFrame, queries: DataFrame, docs: DataFrame, n: int, ef: int) -> DataFrame:
+    """(qid, vec_id, doc, dist): the rows of the n nearest documents that the graphs find; docs: (vec_id, doc)."""
+    ship(nodes.sparkSession)
+    schema = FOUND + ", doc long"
+    rows = nodes.join(docs.select("vec_id", F.col("doc").cast("long").alias("doc")), "vec_id", "left").select(*nodes.columns, "doc")
 
+    def answer(g: Graph, table: pa.Table):
+        # rows without a document count as one, and are not found
+        of = np.nan_to_num(_aligned(g, table, "doc").astype(np.float64), nan=-1).astype(np.int64)
+        doc = dict(zip(g.ids.tolist(), of.tolist(), strict=True))
 
-def document_nodes(nodes: DataFrame, queries: DataFrame, docs: DataFrame, n: int, ef: int, exact: bool = False) -> DataFrame:
-    """(qid, vec_id, doc, dist): the rows of the n nearest documents that the graphs find; docs: (vec_id, doc).
+        def run(qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            near = [[row for row in found if doc[row[1]] >= 0] for found in g.documents_all(q, of, n + 1, ef)]
+            b = _found(qid, near)
+            return _typed(["qid", "vec_id", "dist", "doc"], [*b.columns, [doc[i] for x in near for _, i in x]], schema)
 
-    With ``exact`` all rows of a part are held against the document n + 1 that its graph finds.
-    """
-    ship(nodes.sparkSession)
-    rows = nodes.join(docs.select("vec_id", F.col("doc").cast("long").alias("doc")), "vec_id")
+        return run
 
-    def answer(g: Graph, table: pa.Table, x: np.ndarray) -> list[tuple]:
-        of = table.sort_by("node")["doc"].to_numpy()
-        doc = dict(zip(g.ids.tolist(), of.tolist(), strict=True))
-        found = g.search_until(x, Documents(of, n + 1, ef))
-        if exact:
-            firsts = _firsts(found, doc)
-            found = g.every(x, firsts[n][0] if len(firsts) > n else math.inf)
-            firsts = _firsts(found, doc)
-            found = [row for row in found if row <= firsts[n]] if len(firsts) > n else found
-        return [(i, d, doc[i]) for d, i in found]
-
-    found = _pieces(rows.select(*nodes.columns, "doc"), queries, None, answer, FOUND + ", doc long")
+    found = _pieces(rows, queries, None, answer, schema)
     first = found.groupBy("qid", "doc").agg(F.min(F.struct("dist", "vec_id")).alias("first"))
     order = first.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("first.dist", "first.vec_id")))
     bound = order.where(F.col("place") == n + 1).select("qid", F.col("first").alias("bound"))
@@ -487,37 +280,210 @@ def document_nodes(nodes: DataFrame, queries: DataFrame, docs: DataFrame, n: int
 def counters(nodes: DataFrame, queries: DataFrame, k: int, ef: int) -> DataFrame:
     """(qid, hops, seen): nodes that the searches of a query expand, and distances that they take."""
     ship(nodes.sparkSession)
+    schema = "qid long, hops long, seen long"
+
+    def answer(g: Graph, table: pa.Table):
+        def run(qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            out = []
+            for v in q:
+                g.hops = g.seen = 0
+                g.search(v, k, ef)
+                out.append((g.hops, g.seen))
+            return _typed(["qid", "hops", "seen"], [qid, [h for h, _ in out], [s for _, s in out]], schema)
+
+        return run
+
+    return _pieces(nodes, queries, None, answer, schema).groupBy("qid").agg(F.sum("hops").alias("hops"), F.sum("seen").alias("seen"))
+
+
+def degrees(nodes: DataFrame) -> DataFrame:
+    """(part, piece, nodes, least, greatest, reached): in-degrees on level 0, and how many nodes can be reached from the entry."""
+    ship(nodes.sparkSession)
+
+    def run(key, table):
+        g = Graph.of_table(table)
+        low, high = g.degrees()
+        reached = int(g.layers[0].reached(np.array([g.entry])).sum())
+        return pa.table({"part": [key[0].as_py()], "piece": [key[1].as_py()], "nodes": [len(g.x)], "least": [low], "greatest": [high], "reached": [reached]})
+
+    return nodes.groupBy("part", "piece").applyInArrow(run, "part long, piece long, nodes long, least long, greatest long, reached long")
+
+
+def _changed(m: int, ef: int):
+    """A piece's rows and its changes (kind 1: goes, kind 2: comes): its graph with those made."""
+
+    def run(key, table):
+        kind = table["kind"].to_numpy()
+        pick = lambda k: table.filter(pa.array(kind == k))
+        rows, gone, new = pick(0), pick(1), pick(2)
+        g = Graph.of_table(rows, m, ef) if rows.num_rows else Graph(np.zeros((0, 0)), np.zeros(0, dtype=np.int64), m, ef)
+        if gone.num_rows:
+            g.remove(gone["vec_id"].to_numpy())
+        if new.num_rows:
+            g.add(new["vec_id"].to_numpy(), matrix(new["embedding"]))
+        t = g.table() if len(g.ids) else None
+        if t is None:
+            return pa.table({n: pa.array([], f.type) for n, f in zip(_NAMES, [table.schema.field(c) for c in _NAMES], strict=True)})
+        fixed = [pa.array(np.full(t.num_rows, k.as_py()), pa.int64()) for k in key]
+        return pa.table([*fixed, *t.columns], names=["part", "piece", *t.column_names])
+
+    return run
+
+
+def changed(nodes: DataFrame, rows: DataFrame | None = None, gone: DataFrame | None = None, m: int = 16, ef: int = 150, piece_rows: int = PART_ROWS) -> tuple[DataFrame, list[int]]:
+    """(nodes of the parts that change, those parts): ``rows`` (part, vec_id, embedding) come or replace those of their vec_id, ids ``gone`` leave.
+
+    Only pieces that gain or lose a row are worked on: new nodes are linked with what walks find, and what linked to a node that
+    leaves chooses anew among its links and the node's (two hops). A part whose pieces would grow beyond twice
+    ``piece_rows`` is built anew, cut further.
+    """
+    spark = nodes.sparkSession
+    ship(spark)
+    none = spark.createDataFrame([], "part long, vec_id long, embedding array<double>")
+    rows = none if rows is None else rows.where("part is not null and vec_id is not null and embedding is not null").select(F.col("part").cast("long").alias("part"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    leave = rows.select("vec_id") if gone is None else rows.select("vec_id").union(gone.select(F.col("vec_id").cast("long")))
+    leave = nodes.join(leave.distinct(), "vec_id", "left_semi").select("part", "piece", "vec_id")
+    held = nodes.groupBy("part").agg((F.max("piece") + 1).alias("cuts"))
+    placed = rows.join(held, "part", "left").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.coalesce("cuts", F.lit(1)))).select("part", "piece", "vec_id", "embedding")
+    placed, leave = checkpointed(placed), checkpointed(leave)
+    # one row a part or piece
+    touched = sorted({(r.part, r.piece) for r in placed.select("part", "piece").union(leave.select("part", "piece")).distinct().collect()})
+    parts = sorted({p for p, _ in touched})
+    if not touched:
+        return nodes.where("false"), []
+    grown = _sizes(placed.select("part", "piece").union(nodes.where(F.col("part").isin(parts)).select("part", "piece"))).where(F.col("n") > 2 * piece_rows)
+    anew = sorted({r.part for r in grown.select("part").distinct().collect()})
+    mine = nodes.where(F.col("part").isin(parts))
+    key = F.struct("part", "piece").isin([F.struct(F.lit(a).cast("long").alias("part"), F.lit(b).cast("long").alias("piece")) for a, b in touched])
+    empty = lambda c: F.lit(None).cast(dict(nodes.dtypes)[c]).alias(c)
+    moves = leave.select("part", "piece", empty("node"), "vec_id", empty("links"), empty("entry"), empty("embedding"), F.lit(1).alias("kind"))
+    comes = placed.select("part", "piece", empty("node"), "vec_id", empty("links"), empty("entry"), "embedding", F.lit(2).alias("kind"))
+    work = mine.where(key).withColumn("kind", F.lit(0)).unionByName(moves).unionByName(comes).where(~F.col("part").isin(anew))
+    out = work.groupBy("part", "piece").applyInArrow(_changed(m, ef), NODES).unionByName(mine.where(~key & ~F.col("part").isin(anew)))
+    if anew:
+        stays = mine.where(F.col("part").isin(anew)).join(leave, ["part", "piece", "vec_id"], "left_anti").select("part", "vec_id", "embedding")
+        out = out.unionByName(build(stays.unionByName(placed.where(F.col("part").isin(anew)).select("part", "vec_id", "embedding")), m, ef, piece_rows))
+    return out, parts
+
+
+def change_saved(spark: SparkSession, path: str, rows: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """Change saved graphs in place: only the folders of parts that change are written anew. Returns the nodes as loaded after."""
+    found = load_index(spark, path)
+    if found is None:
+        raise FileNotFoundError(path)
+    meta = json.loads(found["meta"].first()["meta"])
+    nodes = _checked(found, path)
+    now, parts = changed(nodes, rows, gone, meta.get("m", 16), meta.get("ef", 150))
+    if parts:
+        now = checkpointed(now)
+        sizes = checkpointed(_sizes(nodes.where(~F.col("part").isin(parts))).unionByName(_sizes(now)))
+        now.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/nodes")
+        # parts that have lost all rows leave no new folder: their old one is written over by nothing, so it goes with the sizes' check
+        left = {r.part for r in now.select("part").distinct().collect()}
+        emptied = [p for p in parts if p not in left]
+        meta |= {"data": f"changed:{fingerprint(now)}", "emptied": sorted({*meta.get("emptied", []), *emptied} - left)}
+        save_index({"sizes": sizes}, path, meta, keep=["nodes", *[n for n in found if n not in ("nodes", "sizes", "meta")]])
+    return load_changed(spark, path)
+
+
+def load_changed(spark: SparkSession, path: str) -> DataFrame:
+    """Saved nodes after changes: folders of parts without rows are not read."""
+    found = load_index(spark, path)
+    emptied = json.loads(found["meta"].first()["meta"]).get("emptied", [])
+    if emptied:
+        found["nodes"] = found["nodes"].where(~F.col("part").isin(emptied))
+    ship(spark)
+    return _checked(found, path)
+
+
+@dataclass
+class Bundle:
+    """Inverted lists with a graph each, and a graph over their centroids."""
 
-    def answer(g: Graph, table: pa.Table, x: np.ndarray) -> list[tuple]:
-        g.hops = g.seen = 0
-        g.search(x, k, ef)
-        return [(g.hops, g.seen)]
+    centroids: np.ndarray
+    top: Graph
+    nodes: DataFrame
 
-    return _pieces(nodes, queries, None, answer, "qid long, hops long, seen long").groupBy("qid").agg(F.sum("hops").alias("hops"), F.sum("seen").alias("seen"))
+    def probes(self, queries: DataFrame, nprobe: int, upper_ef: int | None = None) -> DataFrame:
+        """(qid, part): the nearest lists of each query, by all centroids or, with ``upper_ef``, by their graph."""
+        from .ivf import nearest_lists
 
+        centroids, top = self.centroids, self.top
 
-def search_parts(rows: DataFrame, queries: DataFrame, k: int, ef: int, mode: str = "hierarchical", entries: int = 1, wanted: DataFrame | None = None, exact: bool = False) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    q = matrix(batch["v"], centroids.shape[1])
+                    found = nearest_lists(q, centroids, nprobe)[0].tolist() if upper_ef is None else [[i for _, i in x] for x in top.search_all(q, nprobe, upper_ef)]
+                    yield _typed(["qid", "part"], [np.repeat(batch["qid"].to_numpy(), [len(x) for x in found]), [i for x in found for i in x]], "qid long, part long")
+
+        ship(queries.sparkSession)
+        return asked(queries).mapInArrow(run, "qid long, part long")
+
+    def search(self, queries: DataFrame, k: int = 10, ef: int = 64, nprobe: int = 4, upper_ef: int | None = None, mode: str = "hierarchical", entries: int = 1) -> DataFrame:
+        """(qid, vec_id, dist, rank): the graphs of the probed lists; graphs of lists that nobody probes are not read."""
+        return search_nodes(self.nodes, queries, k, ef, mode, entries, wanted=checkpointed(self.probes(queries, nprobe, upper_ef)))
+
+
+def bundle(index, m: int = 16, ef: int = 150) -> Bundle:
+    """Graphs of the lists of an inverted index, and of its centroids (as many as lists, a parameter)."""
+    rows = index.lists.select(F.col("list_id").alias("part"), "vec_id", F.col("v").alias("embedding"))
+    return Bundle(index.centroids, Graph(index.centroids, np.arange(len(index.centroids)), m, ef), build(rows, m, ef))
+
+
+def save_bundle(b: Bundle, path: str, meta: dict) -> None:
+    """Centroids, their graph, and the lists' graphs laid out by list, under one meta table."""
+    spark = b.nodes.sparkSession
+    centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(b.centroids)], "list_id long, centroid array<double>")
+    top = spark.createDataFrame(b.top.table().to_pylist(), "node long, vec_id long, links array<array<int>>, entry boolean, embedding array<double>")
+    save(b.nodes, path, meta, {"centroids": centroids, "top": top})
+
+
+def load_bundle(spark: SparkSession, path: str, meta: dict | None = None) -> Bundle | None:
+    """A saved bundle ready to be searched, nothing is built; None if it is absent or was built otherwise. Missing nodes or centroids are errors."""
+    found = load_index(spark, path, meta)
+    if found is None:
+        return None
+    ship(spark)
+    rows = found["centroids"].orderBy("list_id").collect()
+    top = Graph.of_table(found["top"].toArrow())
+    if [r.list_id for r in rows] != list(range(len(rows))) or len(top.ids) != len(rows):
+        raise ValueError(f"{path}: centroids are missing")
+    return Bundle(np.array([r.centroid for r in rows]), top, _checked(found, path))
+
+
+def build_or_load_bundle(base: DataFrame, path: str, nlist: int, steps: int = 10, m: int = 16, ef: int = 150) -> Bundle:
+    """The bundle saved at ``path`` if it has these parameters and vectors, else built and saved now."""
+    from . import ivf
+
+    meta = {"kind": "bundle", "nlist": nlist, "steps": steps, "m": m, "ef": ef, "data": fingerprint(base)}
+    found = load_bundle(base.sparkSession, path, meta)
+    if found is None:
+        save_bundle(bundle(ivf.build(base, nlist, steps), m, ef), path, meta)
+        found = load_bundle(base.sparkSession, path, meta)
+    return found
+
+
+def search_parts(rows: DataFrame, queries: DataFrame, k: int, ef: int, mode: str = "hierarchical", entries: int = 1, wanted: DataFrame | None = None) -> DataFrame:
     """Graphs of (part, vec_id, embedding) rows, built once for this search; see ``build_or_load`` for kept ones."""
-    return search_nodes(checkpointed(build(rows)), queries, k, ef, mode, entries, wanted, exact=exact)
+    return search_nodes(checkpointed(build(rows)), queries, k, ef, mode, entries, wanted)
 
 
-def search(base: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, parts: int = 1, strategy: str = "contiguous", mode: str = "hierarchical", entries: int = 1, exact: bool = False) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, parts: int = 1, strategy: str = "contiguous", mode: str = "hierarchical", entries: int = 1) -> DataFrame:
     """Partitioned graph search over ``parts`` parts of a strategy."""
-    return search_parts(partitioned(base, parts, strategy), queries, k, ef, mode, entries, exact=exact)
+    return search_parts(partitioned(base, parts, strategy), queries, k, ef, mode, entries)
 
 
-def search_lists(index, queries: DataFrame, k: int = 10, ef: int = 64, nprobe: int = 4, exact: bool = False) -> DataFrame:
-    """A graph for each inverted list; the probed lists' graphs are searched."""
-    from .ivf import probes
+def _fresh(index) -> Bundle:
+    b = bundle(index)
+    return Bundle(b.centroids, b.top, checkpointed(b.nodes))
 
-    rows = index.lists.select(F.col("list_id").alias("part"), "vec_id", F.col("v").alias("embedding"))
-    return search_parts(rows, queries, k, ef, wanted=probes(index, queries, nprobe).select("qid", F.col("list_id").alias("part")), exact=exact)
 
+def search_lists(index, queries: DataFrame, k: int = 10, ef: int = 64, nprobe: int = 4) -> DataFrame:
+    """A graph for each inverted list; the probed lists' graphs are searched."""
+    return _fresh(index).search(queries, k, ef, nprobe)
 
-def search_two_level(index, queries: DataFrame, k: int = 10, upper_probe: int = 4, upper_ef: int = 32, bottom_ef: int = 64, exact: bool = False) -> DataFrame:
-    """A graph over the centroids picks the lists; their graphs are searched. ``exact`` holds for both."""
-    spark = queries.sparkSession
-    top = spark.createDataFrame([(0, i, [float(v) for v in c]) for i, c in enumerate(index.centroids)], "part long, vec_id long, embedding array<double>")
-    lists = search_parts(top, queries, upper_probe, upper_ef, exact=exact).select("qid", F.col("vec_id").alias("part"))
-    rows = index.lists.select(F.col("list_id").alias("part"), "vec_id", F.col("v").alias("embedding"))
-    return search_parts(rows, queries, k, bottom_ef, wanted=lists, exact=exact)
+
+def search_two_level(index, queries: DataFrame, k: int = 10, upper_probe: int = 4, upper_ef: int = 32, bottom_ef: int = 64) -> DataFrame:
+    """A graph over the centroids picks the lists; their graphs are searched."""
+    return _fresh(index).search(queries, k, bottom_ef, upper_probe, upper_ef)

@@ -100,14 +100,14 @@ def fingerprint(base: DataFrame) -> str:
     return f"{r['n']}-{r['d']}-{r['h']}"
 
 
-def save_index(tables: dict[str, DataFrame], path: str, meta: dict, by: dict[str, str] | None = None) -> None:
-    """Write an index as parquet tables and a one-row meta table, which comes last; ``by`` names the column that a table is laid out by."""
+def save_index(tables: dict[str, DataFrame], path: str, meta: dict, by: dict[str, str] | None = None, keep: list[str] | None = None) -> None:
+    """Write an index as parquet tables and a one-row meta table, which comes last; ``by`` names the column that a table is laid out by, ``keep`` tables that are there already."""
     by = {"lists": "list_id", "codes": "list_id"} | (by or {})
     for name, df in tables.items():
         w = df.write.mode("overwrite")
         (w.partitionBy(by[name]) if by.get(name) in df.columns else w).parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True), ",".join(sorted(tables)))], "meta string, names string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True), ",".join(sorted([*tables, *(keep or [])])))], "meta string, names string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load_index(spark: SparkSession, path: str, meta: dict | None = None) -> dict[str, DataFrame] | None:
