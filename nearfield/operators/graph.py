@@ -72,6 +72,8 @@ def save(nodes: DataFrame, path: str, meta: dict, more: dict[str, DataFrame] | N
 
 def _checked(found: dict[str, DataFrame], path: str, parts: list[int] | None = None) -> DataFrame:
     nodes, sizes = found["nodes"].withColumn("part", F.col("part").cast("long")), found["sizes"]
+    if emptied := json.loads(found["meta"].first()["meta"]).get("emptied"):
+        nodes = nodes.where(~F.col("part").isin(emptied))  # folders of parts that have lost all their rows
     if parts is not None:
         nodes, sizes = nodes.where(F.col("part").isin(parts)), sizes.where(F.col("part").isin(parts))
     now = nodes.groupBy("part", "piece").agg(F.count(F.lit(1)).alias("now"))
@@ -378,22 +380,12 @@ def change_saved(spark: SparkSession, path: str, rows: DataFrame | None = None,
         now = checkpointed(now)
         sizes = checkpointed(_sizes(nodes.where(~F.col("part").isin(parts))).unionByName(_sizes(now)))
         now.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/nodes")
-        # parts that have lost all rows leave no new folder: their old one is written over by nothing, so it goes with the sizes' check
+        # a part that has lost all rows keeps its old folder, which is not read
         left = {r.part for r in now.select("part").distinct().collect()}
         emptied = [p for p in parts if p not in left]
         meta |= {"data": f"changed:{fingerprint(now)}", "emptied": sorted({*meta.get("emptied", []), *emptied} - left)}
         save_index({"sizes": sizes}, path, meta, keep=["nodes", *[n for n in found if n not in ("nodes", "sizes", "meta")]])
-    return load_changed(spark, path)
-
-
-def load_changed(spark: SparkSession, path: str) -> DataFrame:
-    """Saved nodes after changes: folders of parts without rows are not read."""
-    found = load_index(spark, path)
-    emptied = json.loads(found["meta"].first()["meta"]).get("emptied", [])
-    if emptied:
-        found["nodes"] = found["nodes"].where(~F.col("part").isin(emptied))
-    ship(spark)
-    return _checked(found, path)
+    return load(spark, path)
 
 
 @dataclass
