@@ -205,13 +205,31 @@ class Layer:
             seen[front] = True
         return seen
 
+    def _extend(self, source: np.ndarray, target: np.ndarray) -> None:
+        """More links; sources are sorted."""
+        place = (self.links >= 0).sum(1)
+        offset = np.arange(len(source)) - np.searchsorted(source, source)
+        width = int((place[source] + offset).max()) + 1
+        if width > self.links.shape[1]:
+            self.links = np.hstack([self.links, np.full((len(self.nodes), width - self.links.shape[1]), -1, dtype=np.int32)])
+        self.links[source, place[source] + offset] = target
+
+    def _leads_to(self, entry: int) -> np.ndarray:
+        """Which nodes have a way to the entry."""
+        row, col = np.nonzero(self.links >= 0)
+        to = self.links[row, col]
+        order = np.argsort(to, kind="stable")
+        back = Layer.__new__(Layer)
+        back.nodes, back.links = self.nodes, padded(to[order], row[order].astype(np.int32), len(self.nodes), -1)
+        return back.reached(np.array([entry]))
+
     def repair(self, entry: int) -> None:
-        """Link to every node that cannot be reached from the entry: from the nearest that can, a few at a time."""
+        """Link to every node that cannot be reached from the entry: from the nearest that can, a few at a time. Then link those without a way to it."""
         while True:
             seen = self.reached(np.array([entry]))
             lost, there = np.flatnonzero(~seen), np.flatnonzero(seen)
             if not len(lost):
-                return
+                break
             near, dist = nearest(self.xf[there], self.xf[lost], 1)
             source = there[near[:, 0]]
             # of those that would link to many, the nearest come first and bring others along
@@ -219,12 +237,11 @@ class Layer:
             source, target = source[order], lost[order]
             some = np.arange(len(source)) - np.searchsorted(source, source) < 4
             source, target = source[some], target[some]
-            place = (self.links >= 0).sum(1)
-            offset = np.arange(len(source)) - np.searchsorted(source, source)
-            width = int((place[source] + offset).max()) + 1
-            if width > self.links.shape[1]:
-                self.links = np.hstack([self.links, np.full((len(self.nodes), width - self.links.shape[1]), -1, dtype=np.int32)])
-            self.links[source, place[source] + offset] = target
+            self._extend(source, target)
+        seen = self._leads_to(entry)
+        lost, there = np.flatnonzero(~seen), np.flatnonzero(seen)
+        if len(lost):
+            self._extend(lost, there[nearest(self.xf[there], self.xf[lost], 1)[0][:, 0]])
 
 
 class Graph:

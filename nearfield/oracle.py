@@ -152,6 +152,12 @@ def oracle_sql() -> dict[str, str]:
     ivfpq = _with(_Q, _B, *_IVF, *_PQ, _LUT, _IVFPQ, *_reranked("adc")) + pq_final
     return {
         "hnsw_saved_topk": _flat(),
+        "hnsw_layer0_entry": _flat(),
+        "hnsw_updated_topk": _flat(base=f"b AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN {_NEG} ELSE v END AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 7 <> 0))"),
+        "ivf_hnsw_loaded_topk": _ivf(),
+        "two_level_hnsw_loaded_topk": _ivf(),
+        "graph_recall": "SELECT search, CAST(10 AS BIGINT) AS k, (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS n_queries, true AS recall_ok FROM (VALUES "
+        + ", ".join(f"('{x}')" for x in ("whole, beam 32", "whole, beam 64", "whole, beam 128", "halves, beam 64", "filtered, beam 64", "level 0, one entry, beam 64", "level 0, four entries, beam 64", "lists, beam 64", "two levels, beam 64", "links joined, beam 64")) + ") t(search)",
         "hnsw_filtered_topk": _flat(where="label % 2 = 0"),
         "part_hnsw_pruned_topk": _with(_Q, f"b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {quarter} AS part FROM embeddings)", f"d AS (SELECT qid, vec_id, {_IP} AS dist FROM q, b WHERE part IN ((qid // 100) % 3, 1))") + pq_final,
         "hnsw_range_eps": _with(_Q, _B, f"d AS (SELECT * FROM (SELECT qid, vec_id, {_IP} AS dist FROM q, b) WHERE dist <= 0.6)") + _final(_rank("d", None)),

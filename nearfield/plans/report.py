@@ -49,6 +49,14 @@ def quality(found: DataFrame, truth: DataFrame, k: int, name: str, seconds: floa
     return rows.select(F.lit(name).alias("name"), "k", "n_queries", "recall", F.lit(float(seconds)).alias("seconds"), (F.col("n_queries") / F.lit(max(float(seconds), 1e-9))).alias("queries_per_second"))
 
 
+def tied_recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(k, n_queries, recall): what is found no farther than the true k-th counts, whichever of equals it is."""
+    far = truth.where(F.col("rank") <= k).groupBy("qid").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("true"))
+    near = far.join(found.where(F.col("rank") <= k).select("qid", "dist"), "qid", "left")
+    each = near.groupBy("qid", "true").agg(F.sum((F.col("dist") <= F.col("far") + 1e-9).cast("long")).alias("n"))
+    return each.agg(F.lit(k).cast("long").alias("k"), F.count(F.lit(1)).alias("n_queries"), F.avg(F.coalesce("n", F.lit(0)) / F.col("true")).alias("recall"))
+
+
 def merge_profile(parts: dict[str, DataFrame]) -> DataFrame:
     """(part, candidates, queries, bytes): what each part of a sharded search sends to the merge (ids and distances)."""
     out = None

@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import flat, graph, ivf, maintain, partition, pq, quant, shard, topk
+from .operators import biggraph, flat, graph, ivf, maintain, partition, pq, quant, shard, topk
+from .plans import report
 from .plans.options import SearchOptions
-from .sources.tables import checkpointed, read, shared_folder
+from .sources.tables import checkpointed, drop_index, fingerprint, read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, NLIST, STEPS, NPROBE, M, KS, TOP_P, SHARDS = 10, 8, 2, 7, 16, 16, 300, 2
@@ -212,70 +213,149 @@ def two_level_hnsw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(graph.search_two_level(index, asked(b), K, NPROBE, 64, 2000))
 
 
-def _kept(spark: SparkSession, name: str) -> str:
-    """A place for an index of this call in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def _kept(b: DataFrame, name: str) -> tuple[str, dict]:
+    """A place in the shared folder for an index of this table, and its meta: later calls find what the first one saved."""
+    data = fingerprint(b)
+    return f"{shared_folder(b.sparkSession)}/{name}-{data}", {"kind": name, "data": data}
+
+
+def _contiguous(b: DataFrame, parts: int) -> DataFrame:
+    return graph.build_or_load(partition.partitioned(b, parts, "contiguous"), _kept(b, f"graph{parts}")[0])
 
 
 def hnsw_saved_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs are built and saved, then searched as they are loaded."""
     b = base(spark, sf_dir)
-    nodes = graph.build_or_load(partition.partitioned(b, 2, "contiguous"), _kept(spark, "graph"))
-    return _out(graph.search_nodes(nodes, asked(b), K, 5000))
+    return _out(graph.search_nodes(_contiguous(b, 2), asked(b), K, 5000))
 
 
 def hnsw_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    nodes = checkpointed(graph.build(partition.partitioned(b, 2, "contiguous")))
-    return _out(graph.search_nodes(nodes, asked(b), K, 5000, allowed=b.where("label % 2 = 0").select("vec_id")))
+    return _out(graph.search_nodes(_contiguous(b, 2), asked(b), K, 5000, allowed=b.where("label % 2 = 0").select("vec_id")))
 
 
 def part_hnsw_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query asks two of four parts; a part that no query asks is not read."""
     b = base(spark, sf_dir)
-    path = _kept(spark, "parts")
-    graph.save(graph.build(partition.partitioned(b, 4, "contiguous")), path, {"kind": "graph"})
+    path, meta = _kept(b, "parts")
+    if graph.load(spark, path, meta) is None:
+        graph.save(graph.build(partition.partitioned(b, 4, "contiguous")), path, meta)
     q = asked(b)
     wanted = q.select("qid", F.explode(F.array(F.floor(F.col("qid") / 100) % 3, F.lit(1).cast("long"))).alias("part")).distinct()
-    return _out(graph.search_nodes(graph.load(spark, path, {"kind": "graph"}, [0, 1, 2]), q, K, 5000, wanted=wanted))
+    return _out(graph.search_nodes(graph.load(spark, path, meta, [0, 1, 2]), q, K, 5000, wanted=wanted))
 
 
 def hnsw_range_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    nodes = checkpointed(graph.build(partition.partitioned(b, 1, "contiguous")))
-    return _out(graph.range_nodes(nodes, asked(b), 0.6, least=5000))
+    return _out(graph.range_nodes(_contiguous(b, 1), asked(b), 0.6, least=5000))
 
 
 def hnsw_doc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    nodes = checkpointed(graph.build(partition.partitioned(b, 1, "contiguous")))
-    return topk.rounded(graph.document_nodes(nodes, asked(b), b.select("vec_id", F.col("label").alias("doc")), 3, 5000), "dist")
+    return topk.rounded(graph.document_nodes(_contiguous(b, 1), asked(b), b.select("vec_id", F.col("label").alias("doc")), 3, 5000), "dist")
+
+
+def hnsw_layer0_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 0 alone, from one entry that a hash of the query picks."""
+    b = base(spark, sf_dir)
+    return _out(graph.search_nodes(_contiguous(b, 1), asked(b), K, 5000, "flat", 1))
+
+
+def hnsw_updated_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved graph of four fifths of the rows; the rest joins, a tenth moves, a seventh leaves; then it is searched as loaded."""
+    b = base(spark, sf_dir)
+    rows = partition.partitioned(b.select("vec_id", "embedding"), 2, "contiguous")
+    path, meta = f"{shared_folder(spark)}/updated-{uuid.uuid4().hex}", {"kind": "updated", "m": 16, "ef": 150}
+    graph.save(graph.build(rows.where("vec_id % 5 > 0")), path, meta)
+    comes = rows.where("vec_id % 7 <> 0 and (vec_id % 5 = 0 or vec_id % 10 = 3)")
+    comes = comes.withColumn("embedding", F.when(F.col("vec_id") % 10 == 3, F.transform("embedding", lambda x: (-x).cast("float"))).otherwise(F.col("embedding")))
+    nodes = graph.change_saved(spark, path, comes, b.where("vec_id % 7 = 0").select("vec_id"))
+    found = checkpointed(graph.search_nodes(nodes, asked(b), K, 5000))
+    drop_index(spark, path)
+    return _out(found)
+
+
+def _bundle(b: DataFrame) -> graph.Bundle:
+    return graph.build_or_load_bundle(b, _kept(b, "bundle")[0], NLIST, STEPS)
+
+
+def ivf_hnsw_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    return _out(_bundle(b).search(asked(b), K, 2000, NPROBE))
+
+
+def two_level_hnsw_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    return _out(_bundle(b).search(asked(b), K, 2000, NPROBE, upper_ef=64))
+
+
+def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(search, k, n_queries, recall_ok): whether graphs find 0.9 of the true neighbours at beams far below their parts; ties count."""
+    b = base(spark, sf_dir)
+    q, whole, halves, lists = asked(b), _contiguous(b, 1), _contiguous(b, 2), _bundle(b)
+    truth = checkpointed(flat.search(b, q, SearchOptions(k=K)))
+    even = b.where("label % 2 = 0").select("vec_id")
+    of_lists = ivf.IVF(lists.centroids, lists.nodes.select("vec_id", F.col("embedding").alias("v"), F.col("part").alias("list_id")))
+    probed = checkpointed(ivf.search(of_lists, q, K, NPROBE))
+    found = {
+        **{f"whole, beam {ef}": (graph.search_nodes(whole, q, K, ef), truth) for ef in (32, 64, 128)},
+        "halves, beam 64": (graph.search_nodes(halves, q, K, 64), truth),
+        "filtered, beam 64": (graph.search_nodes(halves, q, K, 64, allowed=even), checkpointed(flat.search(b, q, SearchOptions(k=K), F.col("label") % 2 == 0))),
+        "level 0, one entry, beam 64": (graph.search_nodes(whole, q, K, 64, "flat", 1), truth),
+        "level 0, four entries, beam 64": (graph.search_nodes(whole, q, K, 64, "flat", 4), truth),
+        "lists, beam 64": (lists.search(q, K, 64, NPROBE), probed),
+        "two levels, beam 64": (lists.search(q, K, 64, NPROBE, upper_ef=16), probed),
+        "links joined, beam 64": (biggraph.search(_linked(b), q, K, 64), truth),
+    }
+    out = None
+    for name, (rows, true) in found.items():
+        r = report.tied_recall(rows, true, K).select(F.lit(name).alias("search"), "k", "n_queries", (F.col("recall") >= 0.9).alias("recall_ok"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _linked(b: DataFrame) -> biggraph.Linked:
+    path, meta = _kept(b, "linked")
+    found = biggraph.load(b.sparkSession, path, meta)
+    if found is None:
+        biggraph.save(biggraph.build(b, piece_rows=20_000), path, meta)
+        found = biggraph.load(b.sparkSession, path, meta)
+    return found
+
+
+def graph_joined_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One graph across pieces, walked by joins of all queries' beams with its links."""
+    b = base(spark, sf_dir)
+    return _out(biggraph.search(_linked(b), asked(b), K, 128))
 
 
 def shard_ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    path = _kept(spark, "shards")
-    shard.save(shard.build_ivfpq(b, SHARDS, NLIST, M, KS, STEPS), path, {"kind": "shards"})
-    return _out(shard.search_ivfpq(shard.load(spark, path, {"kind": "shards"}), asked(b), K, TOP_P, NPROBE))
+    path, meta = _kept(b, "shards")
+    if shard.load(spark, path, meta) is None:
+        shard.save(shard.build_ivfpq(b, SHARDS, NLIST, M, KS, STEPS), path, meta)
+    return _out(shard.search_ivfpq(shard.load(spark, path, meta), asked(b), K, TOP_P, NPROBE))
 
 
 def ivf_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
-    return _out(ivf.search(ivf.build_or_load(b, _kept(spark, "ivf"), NLIST, STEPS), asked(b), K, NPROBE))
+    return _out(ivf.search(ivf.build_or_load(b, _kept(b, "ivf")[0], NLIST, STEPS), asked(b), K, NPROBE))
 
 
 def ivfpq_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, index = _index(spark, sf_dir)
-    path, meta = _kept(spark, "ivfpq"), {"kind": "ivfpq"}
-    pq.save_coded(index, pq.train(topk.vector_columns(b), M, KS, STEPS), path, meta)
+    b = base(spark, sf_dir)
+    path, meta = _kept(b, "ivfpq")
+    if pq.load_coded(spark, path, meta) is None:
+        pq.save_coded(_index(spark, sf_dir)[1], pq.train(topk.vector_columns(b), M, KS, STEPS), path, meta)
     index, book, codes = pq.load_coded(spark, path, meta)
     return _out(pq.ivf_search(index, asked(b), book, K, TOP_P, NPROBE, codes))
 
 
 def ivfpq_residual_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, index = _index(spark, sf_dir)
-    path, meta = _kept(spark, "residual"), {"kind": "residual"}
-    pq.save_residual(pq.build_residual(index, M, KS, STEPS), path, meta)
+    b = base(spark, sf_dir)
+    path, meta = _kept(b, "residual")
+    if pq.load_residual(spark, path, meta) is None:
+        pq.save_residual(pq.build_residual(_index(spark, sf_dir)[1], M, KS, STEPS), path, meta)
     return _out(pq.residual_search(pq.load_residual(spark, path, meta), asked(b), K, TOP_P, NPROBE))
 
 
@@ -285,6 +365,7 @@ def queries() -> dict[str, Query]:
         ivf_list_offsets, ivf_probe_lists, ivf_flat_topk, ivf_union_topk, pq_codes, pq_adc_topp, pq_topk, ivfpq_topk, ivffirstpq_topk, ivfpq_residual_topk,
         shard_flat_merge, shard_balance, partition_strategies, recall_at_k, delete_then_search, upsert_then_search, replace_deleted, ivf_hnsw_topk, two_level_hnsw_topk,
         hnsw_saved_topk, hnsw_filtered_topk, part_hnsw_pruned_topk, hnsw_range_eps, hnsw_doc_topk, shard_ivfpq_topk, ivf_loaded_topk, ivfpq_loaded_topk, ivfpq_residual_loaded_topk,
+        hnsw_layer0_entry, hnsw_updated_topk, ivf_hnsw_loaded_topk, two_level_hnsw_loaded_topk, graph_recall, graph_joined_topk,
     )}
     return {
         "flat_ip_topk": _flat(SearchOptions(k=K)),

@@ -132,6 +132,13 @@ def build_or_load(spark: SparkSession, path: str, meta: dict, build) -> dict[str
     return found
 
 
+def drop_index(spark: SparkSession, path: str) -> None:
+    """Remove a saved index, through the store that Spark keeps it in."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def index_path(root: str, kind: str, **parameters) -> str:
     """Where an index of a kind and these parameters is kept under a root."""
     return "/".join([root, kind, *(f"{k}={parameters[k]}" for k in sorted(parameters))])
