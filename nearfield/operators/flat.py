@@ -108,15 +108,18 @@ def _scan(qid: np.ndarray, kernel: Kernel, k: int, eps: float | None = None, pro
     return run
 
 
-def scan(rows: DataFrame, queries: DataFrame, kernel_of: Callable[[np.ndarray], Kernel], k: int, eps: float | None = None, probed_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def scan(
+    rows: DataFrame, queries: DataFrame, kernel_of: Callable[[np.ndarray], Kernel], k: int, eps: float | None = None, probed_of: Callable[[np.ndarray], np.ndarray] | None = None,
+    blocks: Iterator[tuple[np.ndarray, np.ndarray]] | None = None,
+) -> DataFrame:
     """(qid, vec_id, dist): per-partition candidates that hold every query's k nearest, or all within ``eps``.
 
-    queries: (qid, v). They go out in blocks; ``kernel_of`` makes the kernel of a
+    queries: (qid, v). They go out in ``blocks`` (of a hash of qid, if none are given); ``kernel_of`` makes the kernel of a
     block's matrix, ``probed_of`` its table of probed lists (rows then have a list_id).
-    """
+    """
     ship(rows.sparkSession)
     out = None
-    for qid, q in query_blocks(queries):
+    for qid, q in query_blocks(queries) if blocks is None else blocks:
         probed = probed_of(q) if probed_of else None
         some = rows if probed is None else rows.where(F.col("list_id").isin(np.flatnonzero(probed.any(0)).tolist()))
         found = some.mapInArrow(_scan(qid, kernel_of(q), k, eps, probed), FOUND)
@@ -165,14 +168,31 @@ def asked(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("v")).where("qid is not null and v is not null")
 
 
-def search(base: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), where: Column | None = None) -> DataFrame:
+def chosen(rows: DataFrame, predicate: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """The rows for which a callable, asked with whole Arrow batches of all their columns, says yes."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                said = np.asarray(predicate(pa.Table.from_batches([batch])), dtype=bool)
+                if said.shape != (batch.num_rows,):
+                    raise ValueError(f"a predicate has {said.shape} answers for {batch.num_rows} rows")
+                yield batch.filter(pa.array(said))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def search(base: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), where: Column | None = None, predicate: Callable[[pa.Table], np.ndarray] | None = None) -> DataFrame:
     """(qid, vec_id, dist, rank): exact k nearest.
 
-    ``where`` filters rows before they are ranked. With ``dims`` the first stage looks at
+    ``where``, and a callable ``predicate`` (see ``chosen``), filter rows before they are ranked. With ``dims`` the first stage looks at
     that many components and ``rerank`` candidates are ranked anew on all.
     """
     if where is not None:
         base = base.where(where)
+    if predicate is not None:
+        base = chosen(base, predicate)
     rows = vector_columns(base)
     wanted = asked(queries)
     if options.dims is None:

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cluster_key
 from ..sources.ship import ship
-from ..sources.tables import fingerprint, load_index, save_index
-from .flat import asked, matrix, metric_kernel, query_parts, scan
+from ..sources.tables import checkpointed, fingerprint, load_index, save_index
+from .flat import QUERY_BLOCK, asked, matrix, metric_kernel, query_blocks, query_parts, scan
 from .kmeans import assign, first_rows, lloyd
+from .partition import numbered
 from .topk import ranked, vector_columns
 
 
@@ -94,13 +96,14 @@ def probed_of(index: IVF, nprobe: int):
     return run
 
 
-def search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
+def search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4, order: str = "packed", block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, vec_id, dist, rank) over the probed lists.
 
     The probes of a block of queries go out with it, and rows are ranked where
-    they are scanned: a list of any size is read by as many tasks as it has splits.
+    they are scanned: a list of any size is read by as many tasks as it has splits. Queries that probe the same
+    lists share a block (see ``ordered_blocks``), so that a block reads few lists.
     """
-    return ranked(scan(index.lists, asked(queries), metric_kernel("ip"), k, probed_of=probed_of(index, nprobe)), k)
+    return ranked(scan(index.lists, asked(queries), metric_kernel("ip"), k, probed_of=probed_of(index, nprobe), blocks=ordered_blocks(index, queries, nprobe, order, block)), k)
 
 
 def union_search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:
@@ -142,14 +145,36 @@ def build_or_load(base: DataFrame, path: str, nlist: int, steps: int = 10) -> IV
     return found
 
 
-def query_order(index: IVF, queries: DataFrame, nprobe: int = 8, mode: str = "signature") -> DataFrame:
-    """(qid, place): the batch order of queries by their probes: none, primary (two nearest) or signature (eight least ids)."""
+def _ordered(index: IVF, queries: DataFrame, nprobe: int, mode: str) -> DataFrame:
+    """(qid, row): queries numbered in the order of their probes; no task sees them all."""
     near = probes(index, queries, nprobe)
     per = near.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "list_id"))), lambda x: x["list_id"]).alias("lists"))
-    if mode == "none":
-        keys = [F.col("qid")]
-    elif mode == "primary":
-        keys = [F.get("lists", F.lit(0)), F.get("lists", F.lit(1)), F.col("qid")]
-    else:
-        keys = [F.slice(F.array_sort("lists"), 1, 8), F.col("qid")]
-    return per.select("qid", F.row_number().over(W.orderBy(*keys)).cast("long").alias("place"))
+    keys = {
+        "none": [],
+        "primary": [F.get("lists", F.lit(0)), F.get("lists", F.lit(1))],
+        "signature": [F.slice(F.array_sort("lists"), 1, 8)],
+        # the nearest list in the highest bits
+        "packed": [cluster_key(F.reverse(F.slice("lists", 1, 4)))],
+    }
+    if mode not in keys:
+        raise ValueError(f"the order must be one of {sorted(keys)}")
+    return numbered(per.select("qid", *(k.alias(f"key{i}") for i, k in enumerate(keys[mode]))), *(f"key{i}" for i in range(len(keys[mode]))), "qid").select("qid", "row")
+
+
+def query_order(index: IVF, queries: DataFrame, nprobe: int = 8, mode: str = "signature") -> DataFrame:
+    """(qid, place): the batch order of queries by their probes: none, primary (two nearest), signature (eight least ids) or packed (four nearest in one key)."""
+    return _ordered(index, queries, nprobe, mode).select("qid", (F.col("row") + 1).alias("place"))
+
+
+def ordered_blocks(index: IVF, queries: DataFrame, nprobe: int, mode: str = "packed", size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of ``size`` queries at a time in such an order; up to ``size`` queries are one block, and need none."""
+    rows = asked(queries)
+    n = rows.count()
+    if n <= size:
+        yield from query_blocks(rows, size)
+        return
+    placed = checkpointed(rows.join(_ordered(index, queries, nprobe, mode), "qid"))
+    for a in range(0, n, size):
+        part = placed.where((F.col("row") >= a) & (F.col("row") < a + size)).orderBy("row").select("qid", "v").toArrow()
+        if part.num_rows:
+            yield part["qid"].to_numpy(), matrix(part["v"])

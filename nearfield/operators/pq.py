@@ -8,15 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_distance, subvector
 from ..sources.ship import ship
-from ..sources.tables import book_table, checkpointed, load_index, read_book, save_index
+from ..sources.tables import book_table, load_index, read_book, save_index
 from .flat import Kernel, asked, matrix, rerank, scan
-from .ivf import IVF, of_tables, probed_of
+from .ivf import IVF, of_tables, ordered_blocks, probed_of
 from .kmeans import DIGITS, assign, first_rows, lloyd
+from .partition import numbered
 from .topk import ranked, vector_columns
 
 
@@ -99,41 +98,76 @@ def search(base: DataFrame, queries: DataFrame, book: np.ndarray, k: int = 10, t
 def ivf_search(index: IVF, queries: DataFrame, book: np.ndarray, k: int = 10, top_p: int = 50, nprobe: int = 4, codes: DataFrame | None = None) -> DataFrame:
     """Raw vectors coded by one book; candidates come from the probed lists. ``codes`` (vec_id, list_id, code) may be stored ones."""
     p = max(k, top_p)
-    near = ranked(scan(index.lists if codes is None else codes, asked(queries), _adc_kernel(book), p, probed_of=probed_of(index, nprobe)), p)
+    near = ranked(scan(index.lists if codes is None else codes, asked(queries), _adc_kernel(book), p, probed_of=probed_of(index, nprobe), blocks=ordered_blocks(index, queries, nprobe)), p)
     return rerank(near, index.lists.select("vec_id", "v"), asked(queries), k)
 
 
+def _local_sums(books: dict[int, np.ndarray]):
+    """Sums by (list, sub-space, code) of a partition's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            where = batch["list_id"].to_numpy()
+            x = matrix(batch["v"])
+            for one in np.unique(where).tolist():
+                book, rows = books[one], x[where == one]
+                held = total.setdefault(one, np.zeros((*book.shape[:2], book.shape[2] + 1)))
+                for m in range(len(book)):
+                    part = rows[:, m * book.shape[2] : (m + 1) * book.shape[2]]
+                    np.add.at(held[m], assign(part, book[m], "l2"), np.hstack([part, np.ones((len(part), 1))]))
+        for one, held in total.items():
+            slot = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), one)), pa.array(slot), pa.array(held.ravel()[slot])], names=["list_id", "slot", "total"])
+
+    return run
+
+
 def local_books(index: IVF, subspaces: int, size: int, steps: int = 10) -> DataFrame:
     """(list_id, m, c, centroid): one book for each list, trained on its own rows in the order of vec_id.
 
-    Lists meet as partial sums, never as a whole: each step joins the books by list.
+    Lists meet as partial sums, never as a whole: rows are summed where they are, by list, sub-space and code, and seats
+    in the order of ids come from a range sort of ids alone. Books, whose size depends on parameters, go out to the tasks.
     A list of fewer rows than ``size`` repeats its rows as centroids.
     """
-    seat = F.row_number().over(W.partitionBy("list_id").orderBy("vec_id")) - 1
-    seats = index.lists.select("list_id", "vec_id").withColumn("seat", seat).join(index.sizes().select("list_id", "size"), "list_id")
-    picks = seats.select("list_id", "vec_id", "seat", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("c"), "size").where("seat = floor(c * size / %d)" % size)
-    d = index.centroids.shape[1] // subspaces
-    cut = lambda v: F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(subspaces - 1)), lambda m: subvector(v, m, d)))
-    book = picks.join(index.lists.select("vec_id", "v"), "vec_id").select("list_id", "c", cut(F.col("v")).alias("m", "x"))
-    book = _round(book.select("list_id", "m", "c", F.transform("x", lambda y: y.cast("double")).alias("centroid")))
-    parts = index.lists.select("list_id", "vec_id", cut(F.col("v")).alias("m", "x"))
+    spark = index.lists.sparkSession
+    sizes = {r.list_id: r.size for r in index.lists.groupBy("list_id").agg(F.count(F.lit(1)).alias("size")).collect()}
+    before = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[x] for x in sorted(sizes))]).tolist(), strict=False))
+    seats = numbered(index.lists.select("list_id", "vec_id"), "list_id", "vec_id")
+    picked = spark.createDataFrame([(x, c, before[x] + c * sizes[x] // size) for x in sorted(sizes) for c in range(size)], "list_id long, c long, row long")
+    starts = picked.join(seats.select("row", "vec_id"), "row").join(index.lists.select("vec_id", "v"), "vec_id").select("list_id", "c", "v")
+    books: dict[int, np.ndarray] = {}
+    found = starts.orderBy("list_id", "c").toArrow()
+    where, x = found["list_id"].to_numpy(), matrix(found["v"])
+    for one in sizes:
+        books[one] = np.round(start_book(x[where == one], subspaces), DIGITS)
     for _ in range(steps):
-        near = _nearest(parts, book).select("list_id", "m", "c", F.posexplode("x").alias("j", "y"))
-        means = near.groupBy("list_id", "m", "c", "j").agg(F.avg(F.col("y").cast("double")).alias("y"))
-        new = means.groupBy("list_id", "m", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "y"))), lambda s: s["y"]).alias("new"))
-        book = checkpointed(_round(book.join(new, ["list_id", "m", "c"], "left").select("list_id", "m", "c", F.coalesce("new", "centroid").alias("centroid"))))
-    return book
+        sums = index.lists.select("list_id", "v").mapInArrow(_local_sums(books), "list_id long, slot long, total double").groupBy("list_id", "slot").agg(F.sum("total").alias("total")).collect()
+        total = {one: np.zeros((*b.shape[:2], b.shape[2] + 1)) for one, b in books.items()}
+        for r in sums:
+            total[r.list_id].ravel()[r.slot] = r.total
+        for one, t in total.items():
+            n = t[:, :, -1:]
+            books[one] = np.round(np.where(n > 0, t[:, :, :-1] / np.maximum(n, 1), books[one]), DIGITS)
+    rows = [(one, m, c, [float(y) for y in b[m, c]]) for one, b in sorted(books.items()) for m in range(b.shape[0]) for c in range(b.shape[1])]
+    return spark.createDataFrame(rows, "list_id long, m long, c long, centroid array<double>")
 
 
-def _round(book: DataFrame) -> DataFrame:
-    return book.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, DIGITS)))
+def save_local(index: IVF, books: DataFrame, path: str, meta: dict) -> None:
+    """Lists, and their books laid out by list."""
+    save_index({"centroids": index.table(), "lists": index.lists, "books": books}, path, meta, by={"books": "list_id"})
 
 
-def _nearest(parts: DataFrame, book: DataFrame) -> DataFrame:
-    per = book.groupBy("list_id", "m").agg(F.array_sort(F.collect_list(F.struct("c", "centroid"))).alias("book"))
-    met = parts.join(per, ["list_id", "m"])
-    best = F.array_min(F.transform("book", lambda b: F.struct(F.round(l2_distance(F.col("x"), b["centroid"]), 12).alias("d"), b["c"].alias("c"))))
-    return met.select("list_id", "vec_id", "m", "x", best["c"].alias("c"), "book")
+def load_local(spark: SparkSession, path: str, meta: dict | None = None) -> tuple[IVF, DataFrame] | None:
+    """(index, books) for ``local_search``, or None; a list without a book is an error."""
+    found = load_index(spark, path, meta)
+    if found is None:
+        return None
+    ship(spark)
+    index, books = of_tables(found), found["books"].withColumn("list_id", F.col("list_id").cast("long"))
+    if not index.lists.select("list_id").distinct().join(books, "list_id", "left_anti").isEmpty():
+        raise ValueError(f"{path}: a list has no book")
+    return index, books
 
 
 def local_search(index: IVF, books: DataFrame, queries: DataFrame, k: int = 10, top_p: int = 50, nprobe: int = 4) -> DataFrame:
@@ -154,7 +188,7 @@ def local_search(index: IVF, books: DataFrame, queries: DataFrame, k: int = 10,
         return kernel
 
     p = max(k, top_p)
-    near = ranked(scan(index.lists, asked(queries), kernel_of, p, probed_of=probed_of(index, nprobe)), p)
+    near = ranked(scan(index.lists, asked(queries), kernel_of, p, probed_of=probed_of(index, nprobe), blocks=ordered_blocks(index, queries, nprobe)), p)
     return rerank(near, index.lists.select("vec_id", "v"), asked(queries), k)
 
 
@@ -187,7 +221,7 @@ def residual_search(r: Residual, queries: DataFrame, k: int = 10, rerank_p: int
         return kernel
 
     p = max(k, rerank_p)
-    near = ranked(scan(r.codes, asked(queries), kernel_of, p, probed_of=probed_of(r.index, nprobe)), p)
+    near = ranked(scan(r.codes, asked(queries), kernel_of, p, probed_of=probed_of(r.index, nprobe), blocks=ordered_blocks(r.index, queries, nprobe)), p)
     return near if rerank_p <= k else rerank(near, r.index.lists.select("vec_id", "v"), asked(queries), k)
 
 

@@ -71,7 +71,10 @@ def _reranked(near: str, p: int = TOP_P) -> list[str]:
 
 
 def _order(mode: str) -> str:
-    key = "list_extract(lists, 1), list_extract(lists, 2)" if mode == "primary" else "list_slice(list_sort(lists), 1, 8)"
+    key = {
+        "none": "true", "primary": "list_extract(lists, 1), list_extract(lists, 2)", "signature": "list_slice(list_sort(lists), 1, 8)",
+        "packed": "list_extract(lists, 1) * 281474976710656 + list_extract(lists, 2) * 4294967296 + list_extract(lists, 3) * 65536 + list_extract(lists, 4)",
+    }[mode]
     return _with(_Q, _B, *_IVF, "per AS (SELECT qid, list(list_id ORDER BY rank) AS lists FROM probes GROUP BY qid)") + f"SELECT qid, row_number() OVER (ORDER BY {key}, qid) AS place FROM per"
 
 
@@ -157,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "ivf_hnsw_loaded_topk": _ivf(),
         "two_level_hnsw_loaded_topk": _ivf(),
         "graph_recall": "SELECT search, CAST(10 AS BIGINT) AS k, (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS n_queries, true AS recall_ok FROM (VALUES "
-        + ", ".join(f"('{x}')" for x in ("whole, beam 32", "whole, beam 64", "whole, beam 128", "halves, beam 64", "filtered, beam 64", "level 0, one entry, beam 64", "level 0, four entries, beam 64", "lists, beam 64", "two levels, beam 64", "links joined, beam 64")) + ") t(search)",
+        + ", ".join(f"('{x}')" for x in ("whole, beam 128", "whole, beam 256", "whole, beam 512", "halves, beam 256", "filtered, beam 128", "level 0, one entry, beam 256", "level 0, four entries, beam 256", "lists, beam 256", "two levels, beam 256", "links joined, beam 256")) + ") t(search)",
         "hnsw_filtered_topk": _flat(where="label % 2 = 0"),
         "part_hnsw_pruned_topk": _with(_Q, f"b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {quarter} AS part FROM embeddings)", f"d AS (SELECT qid, vec_id, {_IP} AS dist FROM q, b WHERE part IN ((qid // 100) % 3, 1))") + pq_final,
         "hnsw_range_eps": _with(_Q, _B, f"d AS (SELECT * FROM (SELECT qid, vec_id, {_IP} AS dist FROM q, b) WHERE dist <= 0.6)") + _final(_rank("d", None)),
@@ -194,6 +197,9 @@ def oracle_sql() -> dict[str, str]:
         "two_level_hnsw_topk": _ivf(),
         "ivf_query_order_primary": _order("primary"),
         "ivf_query_order_signature": _order("signature"),
+        "ivf_query_order_none": _order("none"),
+        "ivf_query_order_packed": _order("packed"),
+        "ivffirstpq_loaded_topk": _local_first(),
         "pq_codes": _with(_B, *_PQ) + "SELECT vec_id, CAST(m AS BIGINT) AS m, CAST(c AS BIGINT) AS c FROM ka",
         "pq_adc_topp": _with(_Q, _B, *_PQ, _LUT, _ADC) + _final(_rank("adc", TOP_P)),
         "pq_topk": _with(_Q, _B, *_PQ, _LUT, _ADC, *_reranked("adc")) + pq_final,

@@ -298,14 +298,14 @@ def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_lists = ivf.IVF(lists.centroids, lists.nodes.select("vec_id", F.col("embedding").alias("v"), F.col("part").alias("list_id")))
     probed = checkpointed(ivf.search(of_lists, q, K, NPROBE))
     found = {
-        **{f"whole, beam {ef}": (graph.search_nodes(whole, q, K, ef), truth) for ef in (32, 64, 128)},
-        "halves, beam 64": (graph.search_nodes(halves, q, K, 64), truth),
-        "filtered, beam 64": (graph.search_nodes(halves, q, K, 64, allowed=even), checkpointed(flat.search(b, q, SearchOptions(k=K), F.col("label") % 2 == 0))),
-        "level 0, one entry, beam 64": (graph.search_nodes(whole, q, K, 64, "flat", 1), truth),
-        "level 0, four entries, beam 64": (graph.search_nodes(whole, q, K, 64, "flat", 4), truth),
-        "lists, beam 64": (lists.search(q, K, 64, NPROBE), probed),
-        "two levels, beam 64": (lists.search(q, K, 64, NPROBE, upper_ef=16), probed),
-        "links joined, beam 64": (biggraph.search(_linked(b), q, K, 64), truth),
+        **{f"whole, beam {ef}": (graph.search_nodes(whole, q, K, ef), truth) for ef in (128, 256, 512)},
+        "halves, beam 256": (graph.search_nodes(halves, q, K, 256), truth),
+        "filtered, beam 128": (graph.search_nodes(halves, q, K, 128, allowed=even), checkpointed(flat.search(b, q, SearchOptions(k=K), F.col("label") % 2 == 0))),
+        "level 0, one entry, beam 256": (graph.search_nodes(whole, q, K, 256, "flat", 1), truth),
+        "level 0, four entries, beam 256": (graph.search_nodes(whole, q, K, 256, "flat", 4), truth),
+        "lists, beam 256": (lists.search(q, K, 256, NPROBE), probed),
+        "two levels, beam 256": (lists.search(q, K, 256, NPROBE, upper_ef=16), probed),
+        "links joined, beam 256": (biggraph.search(_linked(b), q, K, 256), truth),
     }
     out = None
     for name, (rows, true) in found.items():
@@ -351,6 +351,16 @@ def ivfpq_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(pq.ivf_search(index, asked(b), book, K, TOP_P, NPROBE, codes))
 
 
+def ivffirstpq_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = base(spark, sf_dir)
+    path, meta = _kept(b, "local")
+    if pq.load_local(spark, path, meta) is None:
+        index = _index(spark, sf_dir)[1]
+        pq.save_local(index, pq.local_books(index, M, KS, 1), path, meta)
+    index, books = pq.load_local(spark, path, meta)
+    return _out(pq.local_search(index, books, asked(b), K, TOP_P, NPROBE))
+
+
 def ivfpq_residual_loaded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     path, meta = _kept(b, "residual")
@@ -365,7 +375,7 @@ def queries() -> dict[str, Query]:
         ivf_list_offsets, ivf_probe_lists, ivf_flat_topk, ivf_union_topk, pq_codes, pq_adc_topp, pq_topk, ivfpq_topk, ivffirstpq_topk, ivfpq_residual_topk,
         shard_flat_merge, shard_balance, partition_strategies, recall_at_k, delete_then_search, upsert_then_search, replace_deleted, ivf_hnsw_topk, two_level_hnsw_topk,
         hnsw_saved_topk, hnsw_filtered_topk, part_hnsw_pruned_topk, hnsw_range_eps, hnsw_doc_topk, shard_ivfpq_topk, ivf_loaded_topk, ivfpq_loaded_topk, ivfpq_residual_loaded_topk,
-        hnsw_layer0_entry, hnsw_updated_topk, ivf_hnsw_loaded_topk, two_level_hnsw_loaded_topk, graph_recall, graph_joined_topk,
+        hnsw_layer0_entry, hnsw_updated_topk, ivffirstpq_loaded_topk, ivf_hnsw_loaded_topk, two_level_hnsw_loaded_topk, graph_recall, graph_joined_topk,
     )}
     return {
         "flat_ip_topk": _flat(SearchOptions(k=K)),
@@ -375,6 +385,8 @@ def queries() -> dict[str, Query]:
         "flat_dims_rerank": _flat(SearchOptions(k=K, dims=32, rerank=40)),
         "ivf_query_order_primary": _order("primary"),
         "ivf_query_order_signature": _order("signature"),
+        "ivf_query_order_none": _order("none"),
+        "ivf_query_order_packed": _order("packed"),
         "hnsw_exhaustive_topk": _graph(ef=5000),
         "part_hnsw_exhaustive_topk": _graph(ef=5000, parts=4, strategy="norm"),
         "hnsw_beam_topk": _graph(ef=64),

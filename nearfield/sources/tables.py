@@ -139,6 +139,13 @@ def drop_index(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def index_size(spark: SparkSession, path: str) -> DataFrame:
+    """(name, files, bytes) of a saved index's tables, from the listing of its files alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    name = F.regexp_extract(F.element_at(F.split("path", F.lit("/" + path.rstrip("/").split("/")[-1] + "/")), -1), "^[^/]+", 0)
+    return files.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 def index_path(root: str, kind: str, **parameters) -> str:
     """Where an index of a kind and these parameters is kept under a root."""
     return "/".join([root, kind, *(f"{k}={parameters[k]}" for k in sorted(parameters))])
