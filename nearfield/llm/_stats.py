@@ -131,12 +131,3 @@ def feature(name: str) -> Column:
         return F.col(name).cast("double")
     _, top, below = next(r for r in RATIOS if r[0] == name)
     return F.when(F.col(below) > 0, F.col(top) / F.col(below)).otherwise(F.lit(0.0))
-
-
-def ratio(name: str, counts: dict[str, np.ndarray]) -> np.ndarray:
-    """``feature`` of counts in memory, by the same divisions."""
-    if name in NAMES:
-        return counts[name].astype(float)
-    _, top, below = next(r for r in RATIOS if r[0] == name)
-    a, b = counts[top].astype(float), counts[below].astype(float)
-    return np.divide(a, b, out=np.zeros_like(a), where=b > 0)

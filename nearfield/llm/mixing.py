@@ -69,7 +69,8 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     keyed = lambda t: (F.broadcast(t) if small else t).withColumnRenamed("source", "_source")
     on = F.col("source").eqNullSafe(F.col("_source"))
     before = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    drawn = buckets.withColumn("before", before).join(keyed(targets), on).where(F.col("before") + F.col("bucket_size") / 2 <= F.col("want"))
+    # buckets without words are no draw: at want 0 they would count, and their documents be taken once too often
+    drawn = buckets.withColumn("before", before).join(keyed(targets), on).where((F.col("bucket_size") > 0) & (F.col("before") + F.col("bucket_size") / 2 <= F.col("want")))
     last = drawn.groupBy("source").agg(F.max("bucket").alias("last")).withColumnRenamed("source", "_drawn")
     plan = targets.join(last, F.col("source").eqNullSafe(F.col("_drawn")), "left").select("source", "source_size", "target", "whole", F.coalesce("last", F.lit(-1)).alias("last"))
     out = sized.join(keyed(plan), on).withColumn("copies", F.col("whole") + (F.col("bucket") <= F.col("last")).cast("long"))
@@ -110,7 +111,7 @@ WITH sized AS (
 ), last AS (
   SELECT c.source, max(c.bucket) AS last
   FROM cumulated c JOIN plan p ON c.source IS NOT DISTINCT FROM p.source
-  WHERE c.before + c.bucket_size / 2.0::DOUBLE <= p.target - p.whole * p.source_size
+  WHERE c.bucket_size > 0 AND c.before + c.bucket_size / 2.0::DOUBLE <= p.target - p.whole * p.source_size
   GROUP BY c.source
 )
 SELECT s.doc_id, s.source, s.size, p.source_size, p.target,

@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ._spark import checkpointed, texts
-from ._stats import FEATURES, NAMES, count, feature, ratio, statistics
+from ._spark import checkpointed, table, texts
+from ._stats import FEATURES, NAMES, count, feature, statistics
 from ._text import blocks
 
 #: Labelled rows that the list is learned from, at most (those of least hash).
@@ -148,22 +149,15 @@ def judge(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     return statistics(documents).withColumn("base_failed", F.expr(BASE_SQL)).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
-def passes(rules: list[Rule], counts: dict[str, np.ndarray]) -> np.ndarray:
-    """What ``judge`` calls kept, from counts in memory."""
-    n = len(counts["n_words"])
-    out = (counts["n_words"] >= 50) & (100 * counts["n_repeat_words"] <= 50 * counts["n_words"])
-    x = {k: ratio(k, counts) for k in FEATURES}
-    for rule in rules:
-        out &= ~_covered(rule, x, n)
-    return out
-
+def _counted(column: int):
+    """Rows as they are, with the counts of their texts beside them."""
 
-def _kept(rules: list[Rule], column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [passes(rules, count(block)) for block in blocks(batch.column(column).cast(pa.string()))]
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+            rows = batch.column(0)
+            for block in blocks(rows.flatten()[column].cast(pa.string())):
+                counts = table(",".join(f"{n}:l" for n in NAMES), **count(block))
+                yield pa.RecordBatch.from_arrays([rows.slice(block.rows.start, len(block)), *counts.columns], names=["row", *NAMES])
 
     return run
 
@@ -171,8 +165,11 @@ def _kept(rules: list[Rule], column: int):
 def keep_good(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of the table whose text is kept; columns stay as they are.
 
-    Rows are judged where they are read, each by its own text, whatever its doc_id
+    Rows are judged where they are read by the learned conditional, each by its own text, whatever its doc_id
     (null and repeated ones too); null and empty texts go.
     """
     rules = fit(documents, labels, sample_rows)
-    return documents.mapInArrow(_kept(rules, documents.columns.index("text")), documents.schema)
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    schema = StructType([StructField("row", rows.schema["row"].dataType), *(StructField(n, LongType()) for n in NAMES)])
+    counted = rows.mapInArrow(_counted(documents.columns.index("text")), schema)
+    return counted.where(~F.expr(BASE_SQL) & verdict(rules)).select("row.*")

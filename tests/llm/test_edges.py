@@ -326,3 +326,44 @@ def test_a_compact_group_meets_its_centre_alone(spark, monkeypatch):
 
     links = minhash_dedup._dealt_out(rows, rows, 8, minhash_dedup._list_star(6), none).collect()
     assert len(links) == 499 and len({r.v for r in links}) == 1
+
+
+def test_wordless_documents_are_not_taken_beyond_their_source(spark):
+    """3,000 wordless rows of a source that is clamped at two copies, in all hash buckets."""
+    from nearfield.llm import mixing
+
+    ship(spark)
+    rows = [(i, "", "a") for i in range(3000)] + [(3000, "one two three", "a"), (3001, "w " * 400, "b"), (3002, None, "c")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert max(r.copies for r in got) <= 2 and {r.taken for r in got if r.source == "a"} == {0, 6}
+    assert [r.copies for r in got if r.source == "c"] == [0]
+
+
+def test_long_texts_of_several_blocks(spark):
+    """Texts of over 2 MB through the operators on whole documents."""
+    from nearfield.llm import mixing, quality_classifier, toxicity
+
+    rng = random.Random(9)
+    words = ["w%d" % i for i in range(5000)]
+    long_ = " ".join(rng.choice(words) for _ in range(400_000))
+    docs = [(1, long_), (2, long_), (3, long_[: len(long_) // 2] + " tail"), (4, "short text"), (5, "x" * 2_500_000)]
+    docs += [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(10, 60)]
+    table = frame(spark, docs)
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0 and 1 or 0) for i in range(10, 60)], "doc_id long, quality int, toxic int")
+    n = {i: len(t.split()) for i, t in docs}
+    assert {r.doc_id: r.n_words for r in quality_rules.judge(table, labels).collect()} == n
+    assert {r.doc_id: r["size"] for r in mixing.mix(table).collect()} == n
+    for scored in (quality_classifier.classify(table, labels, folds=5, out=0, threshold=0.3), toxicity.classify(table, labels, folds=3, out=1, threshold=0.7)):
+        assert all(0 <= r.score <= 1 for r in scored.collect()) and scored.count() == len(docs)
+    # whole repeats go, and the part that document 3 shares
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.drop_repeated_windows(table, window=20).collect()}
+    assert removed[1] == 0 and removed[2] == n[2] and removed[3] >= n[3] - 2 and removed[5] == 0
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.drop_repeated_strings(table, length=50).collect()}
+    assert cut[1][1] == 0 and cut[2] == (len(long_), len(long_)) and cut[3][1] >= len(long_) // 2 - 1
+    near = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(table, shingle_words=3, percent=85).collect()}
+    assert near[1] == near[2] == 1 and near[3] == 3
+    lines = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(table, window=2, long_words=51).collect()}
+    assert lines[1] == 0 and lines[2] == 1
+    item = " ".join(long_.split()[300_000:300_040])
+    found = decontaminate.find(table, spark.createDataFrame([(1, item)], "item_id long, text string"), tolerance=0.2)
+    assert {1, 2} <= {r.doc_id for r in found.collect()}
