@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import METRICS, truncated
 from ..plans.options import SearchOptions
 from ..sources.ship import ship
+from ..sources.tables import checkpointed
 from .topk import ranked, vector_columns
 
 #: Queries that go out at once; more take further passes over the rows.
@@ -203,10 +204,19 @@ def search(base: DataFrame, queries: DataFrame, options: SearchOptions = SearchO
     return short if options.rerank <= options.k else rerank(short, rows, wanted, options.k, options.metric)
 
 
+#: Candidates (16 bytes each) that go out to the rows; more meet them by a merge join.
+BROADCAST_CANDIDATES = 1_000_000
+
+
 def rerank(candidates: DataFrame, rows: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -> DataFrame:
-    """Exact distances of candidates (qid, vec_id), and the k nearest by them."""
+    """Exact distances of candidates (qid, vec_id), and the k nearest by them.
+
+    Candidates are found once, and counted: few go out to the rows, which then stay where they are.
+    """
     column = METRICS[metric][0]
-    exact = candidates.select("qid", "vec_id").join(rows, "vec_id").join(queries.withColumnRenamed("v", "_q"), "qid")
+    near = checkpointed(candidates.select("qid", "vec_id"))
+    near = F.broadcast(near) if near.count() <= BROADCAST_CANDIDATES else near.hint("merge")
+    exact = rows.join(near, "vec_id").join(queries.withColumnRenamed("v", "_q"), "qid")
     return ranked(exact.select("qid", "vec_id", column(F.col("_q"), F.col("v")).alias("dist")), k)
 
 
