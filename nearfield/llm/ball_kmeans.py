@@ -15,6 +15,7 @@ over them once and shuffles sums by cluster and component.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,13 @@ from ..sources.ship import ship
 from ._spark import checkpointed
 from ._vectors import exact, integers, slices
 
-#: The largest integer component: squared distances of up to 64 K components fit 64 bits.
-MOST = 1 << 22
+
+
+def most(dim: int) -> int:
+    """The largest integer component: four times a squared distance fits 64 bits (2**26 for 64 components)."""
+    return math.isqrt((1 << 58) // max(1, dim))
+
+
 BLOCKS = "ids array<long>, x binary, own binary, dist binary, slots array<long>, totals array<long>, compared long"
 
 
@@ -70,7 +76,7 @@ class Clusters:
 def _blocks(scale: int, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows, vectors = integers(part["embedding"], scale, MOST)
+            rows, vectors = integers(part["embedding"], scale, most(dim))
             fit = [i for i, v in enumerate(vectors) if len(v) == dim]
             if fit:
                 ids = part["vec_id"].take(pa.array(rows[fit]))
@@ -172,7 +178,7 @@ def cluster(rows: DataFrame, size: int = 8, rounds: int = 10, dim: int = 64, sca
     centroid (ties: the smaller number), then each centroid becomes the componentwise floor of its vectors'
     mean, and empty ones stay. At the end vectors are assigned once more. Rows that repeat a vec_id count each; a null
     vec_id is clustered, but never a start. Fewer vectors than ``size`` give as many clusters; none, no rows.
-    Components beyond 2**22 / scale are an error. Only centroids and sums by cluster come to the driver.
+    Components beyond ``most(dim)`` / scale (65,536 by default) are an error. Only centroids and sums by cluster come to the driver.
     """
     spark = rows.sparkSession
     ship(spark)

@@ -244,7 +244,7 @@ def test_ball_steps_find_the_nearest(subtests=None):
         k, d = int(rng.integers(1, 12)), int(rng.integers(1, 4))
         x, c = rng.integers(-6, 7, size=(80, d)).astype(np.int32), rng.integers(-6, 7, size=(k, d))
         if case % 3 == 0:
-            x, c = x * (1 << 19), c * (1 << 19)
+            x, c = x * (1 << 23), c * (1 << 23)
         far = ((x[:, None].astype(np.int64) - c[None]) ** 2).sum(2)
         for own in (np.full(80, -1, np.int32), rng.integers(0, k, 80).astype(np.int32)):
             got, dist, _ = ball_kmeans.assign(x, own, c)
