@@ -29,7 +29,6 @@ from ._spark import checkpointed
 from ._vectors import exact, integers, slices
 
 
-
 def most(dim: int) -> int:
     """The largest integer component: four times a squared distance fits 64 bits (2**26 for 64 components)."""
     return math.isqrt((1 << 58) // max(1, dim))
