@@ -51,6 +51,11 @@ def integer_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("long") * y.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+def jittered(a: Column, key: Column, spread: float) -> Column:
+    """Each component moved by up to half of ``spread`` either way, as a hash of the key and its place says."""
+    return F.transform(a, lambda x, i: x.cast("double") + (F.pmod(F.xxhash64(key, i), F.lit(1_000_003)) / F.lit(1_000_003.0) - 0.5) * spread)
+
+
 def truncated(a: Column, dims: int) -> Column:
     return F.slice(a, 1, dims)
 

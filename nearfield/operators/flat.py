@@ -63,7 +63,8 @@ class Best:
         width = max(part.dist.shape[1], self.dist.shape[1])
         for name, fill in (("dist", np.inf), ("ids", 0)):
             mine, theirs = getattr(self, name), getattr(part, name)
-            mine = np.pad(mine, ((0, 0), (0, width - mine.shape[1])), constant_values=fill)
+            if width > mine.shape[1]:
+                mine = np.pad(mine, ((0, 0), (0, width - mine.shape[1])), constant_values=fill)
             mine[which, : theirs.shape[1]] = theirs
             mine[which, theirs.shape[1] :] = fill
             setattr(self, name, mine)

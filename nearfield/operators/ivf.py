@@ -118,7 +118,7 @@ def union_search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4) -
 
 def save(index: IVF, path: str, meta: dict) -> None:
     """Centroids, and the lists laid out by list_id, as tables."""
-    save_index({"centroids": index.table(), "lists": index.lists}, path, meta)
+    save_index({"centroids": index.table(), "lists": index.lists}, path, meta, lists=len(index.centroids))
 
 
 def load(spark: SparkSession, path: str, meta: dict | None = None) -> IVF | None:

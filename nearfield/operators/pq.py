@@ -227,7 +227,7 @@ def residual_search(r: Residual, queries: DataFrame, k: int = 10, rerank_p: int
 
 def save_residual(r: Residual, path: str, meta: dict) -> None:
     spark = r.codes.sparkSession
-    save_index({"centroids": r.index.table(), "lists": r.index.lists, "book": book_table(spark, r.book), "codes": r.codes}, path, meta)
+    save_index({"centroids": r.index.table(), "lists": r.index.lists, "book": book_table(spark, r.book), "codes": r.codes}, path, meta, lists=len(r.index.centroids))
 
 
 def load_residual(spark: SparkSession, path: str, meta: dict | None = None) -> Residual | None:
@@ -242,7 +242,7 @@ def load_residual(spark: SparkSession, path: str, meta: dict | None = None) -> R
 def save_coded(index: IVF, book: np.ndarray, path: str, meta: dict) -> None:
     """Lists, a book of the raw vectors, and their codes by list."""
     spark = index.lists.sparkSession
-    save_index({"centroids": index.table(), "lists": index.lists, "book": book_table(spark, book), "codes": coded(index.lists, book, "list_id")}, path, meta)
+    save_index({"centroids": index.table(), "lists": index.lists, "book": book_table(spark, book), "codes": coded(index.lists, book, "list_id")}, path, meta, lists=len(index.centroids))
 
 
 def load_coded(spark: SparkSession, path: str, meta: dict | None = None) -> tuple[IVF, np.ndarray, DataFrame] | None:

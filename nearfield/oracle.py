@@ -161,6 +161,7 @@ def oracle_sql() -> dict[str, str]:
         "two_level_hnsw_loaded_topk": _ivf(),
         "graph_recall": "SELECT search, CAST(10 AS BIGINT) AS k, (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS n_queries, true AS recall_ok FROM (VALUES "
         + ", ".join(f"('{x}')" for x in ("whole, beam 128", "whole, beam 256", "whole, beam 512", "halves, beam 256", "filtered, beam 128", "level 0, one entry, beam 256", "level 0, four entries, beam 256", "lists, beam 256", "two levels, beam 256", "links joined, beam 256")) + ") t(search)",
+        "ivf_wide_recall": "SELECT search, CAST(64 AS BIGINT) AS n_lists, CAST(8 AS BIGINT) AS nprobe, CAST(10 AS BIGINT) AS k, (SELECT count(*) FROM embeddings, range(16) r(i) WHERE (vec_id * 16 + i) % 100 = 0) AS n_queries, true AS recall_ok, true AS few_rows FROM (VALUES ('ivf'), ('ivfpq')) t(search)",
         "hnsw_filtered_topk": _flat(where="label % 2 = 0"),
         "part_hnsw_pruned_topk": _with(_Q, f"b AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {quarter} AS part FROM embeddings)", f"d AS (SELECT qid, vec_id, {_IP} AS dist FROM q, b WHERE part IN ((qid // 100) % 3, 1))") + pq_final,
         "hnsw_range_eps": _with(_Q, _B, f"d AS (SELECT * FROM (SELECT qid, vec_id, {_IP} AS dist FROM q, b) WHERE dist <= 0.6)") + _final(_rank("d", None)),

@@ -100,12 +100,27 @@ def fingerprint(base: DataFrame) -> str:
     return f"{r['n']}-{r['d']}-{r['h']}"
 
 
-def save_index(tables: dict[str, DataFrame], path: str, meta: dict, by: dict[str, str] | None = None, keep: list[str] | None = None) -> None:
-    """Write an index as parquet tables and a one-row meta table, which comes last; ``by`` names the column that a table is laid out by, ``keep`` tables that are there already."""
+#: Lists that have a folder each; more are range-sorted into files, which readers skip by their statistics.
+LIST_FOLDERS = 256
+
+
+def save_index(tables: dict[str, DataFrame], path: str, meta: dict, by: dict[str, str] | None = None, keep: list[str] | None = None, lists: int = 0) -> None:
+    """Write an index as parquet tables and a one-row meta table, which comes last.
+
+    ``by`` names the column that a table is laid out by, ``keep`` tables that are there already. With more than LIST_FOLDERS
+    ``lists``, rows of that column are sorted into files instead of folders. Rows of a known number of lists go to ranges of
+    (list, id) first, so that each task writes few lists and a long list is written by several tasks.
+    """
     by = {"lists": "list_id", "codes": "list_id"} | (by or {})
     for name, df in tables.items():
+        key = by.get(name)
+        if key not in df.columns:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            continue
+        if lists:
+            df = df.repartitionByRange(key, "vec_id").sortWithinPartitions(key, "vec_id")
         w = df.write.mode("overwrite")
-        (w.partitionBy(by[name]) if by.get(name) in df.columns else w).parquet(f"{path}/{name}")
+        (w if lists > LIST_FOLDERS else w.partitionBy(key)).parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(json.dumps(meta, sort_keys=True), ",".join(sorted([*tables, *(keep or [])])))], "meta string, names string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
