@@ -123,12 +123,20 @@ def scan(
     out = None
     for qid, q in query_blocks(queries) if blocks is None else blocks:
         probed = probed_of(q) if probed_of else None
-        some = rows if probed is None else rows.where(F.col("list_id").isin(np.flatnonzero(probed.any(0)).tolist()))
+        some = rows if probed is None else of_lists(rows, probed.any(0))
         found = some.mapInArrow(_scan(qid, kernel_of(q), k, eps, probed), FOUND)
         out = found if out is None else out.unionByName(found)
     return nothing(rows.sparkSession) if out is None else out
 
 
+def of_lists(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """The rows of the wanted lists (a flag each); all rows where every list is wanted."""
+    if wanted.all():
+        return rows
+    # one expression: a call for each of many lists would take longer than the scan
+    return rows.where(f"list_id in ({', '.join(map(str, np.flatnonzero(wanted).tolist()))})" if wanted.any() else "false")
+
+
 def nothing(spark: SparkSession) -> DataFrame:
     """What no queries find."""
     return spark.createDataFrame([], FOUND)

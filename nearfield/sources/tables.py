@@ -118,7 +118,8 @@ def save_index(tables: dict[str, DataFrame], path: str, meta: dict, by: dict[str
             df.write.mode("overwrite").parquet(f"{path}/{name}")
             continue
         if lists:
-            df = df.repartitionByRange(key, "vec_id").sortWithinPartitions(key, "vec_id")
+            # a number of its own: by size alone, codes would end up in too few files for the work that a search does on them
+            df = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "vec_id").sortWithinPartitions(key, "vec_id")
         w = df.write.mode("overwrite")
         (w if lists > LIST_FOLDERS else w.partitionBy(key)).parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession

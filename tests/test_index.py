@@ -1,5 +1,7 @@
 """Kept indexes, stop conditions, the index face, staged streams and plans."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +174,31 @@ def test_recall_of_the_registered_settings(spark):
         found[name] = report.quality(every[name](spark, SF), truth, queries.K, name, 1.0).first()["recall"]
     print(found)
     assert min(found.values()) >= 0.9, found
+
+
+def test_many_lists_lie_in_files(spark, base, asked, tmp_path):
+    for nlist in (8, 300):
+        index, path = ivf.build(base, nlist, 1), f"{tmp_path}/{nlist}"
+        ivf.save(index, path, {"nlist": nlist})
+        files = [f for f in Path(path, "lists").rglob("*.parquet")]
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert any("list_id=" in str(f) for f in files) == (nlist == 8)
+        assert len(files) <= (nlist + parts if nlist == 8 else parts)
+        found = ivf.load(spark, path, {"nlist": nlist})
+        assert ids(ivf.search(found, asked, 10, 3)) == ids(ivf.search(index, asked, 10, 3))
+
+
+def test_lists_that_no_query_probes_are_not_read(spark):
+    rows = spark.createDataFrame([(i, i % 4) for i in range(20)], "vec_id long, list_id long")
+    assert flat.of_lists(rows, np.array([False] * 4)).count() == 0
+    assert {r.list_id for r in flat.of_lists(rows, np.array([True, False, False, True])).collect()} == {0, 3}
+    assert flat.of_lists(rows, np.array([True] * 4)) is rows
+
+
+def test_varied_rows_stay_near_their_row(spark, base):
+    rows = queries.varied(base.where("vec_id < 20"), 4).collect()
+    old = {r.vec_id: np.array(r.embedding) for r in base.where("vec_id < 20").collect()}
+    assert sorted(r.vec_id for r in rows) == list(range(80))
+    moved = [np.abs(np.array(r.embedding) - old[r.vec_id // 4]).max() for r in rows]
+    assert 0.03 < min(moved) and max(moved) <= queries.SPREAD / 2 + 1e-6
+    assert len({tuple(r.embedding) for r in rows}) == 80
