@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..sources.ship import ship
 from ..sources.tables import book_table, load_index, read_book, save_index
-from .flat import Kernel, asked, matrix, rerank, scan
+from .flat import Kernel, asked, matrix, query_blocks
 from .ivf import IVF, of_tables, ordered_blocks, probed_of
 from .kmeans import DIGITS, assign, first_rows, lloyd
 from .partition import numbered
-from .topk import ranked, vector_columns
+from .shortlist import block_size, candidates, refined
+from .topk import vector_columns
 
 
 def start_book(first: np.ndarray, subspaces: int) -> np.ndarray:
@@ -57,15 +58,20 @@ def coded(rows: DataFrame, book: np.ndarray, *keep: str) -> DataFrame:
 
 def lookup(q: np.ndarray, book: np.ndarray, how: str = "l2") -> np.ndarray:
     """(queries, sub-spaces, codes): distances (l2) or products (ip) of queries with all codewords."""
-    part = q.reshape(len(q), len(book), 1, book.shape[2])
-    return ((part - book[None]) ** 2).sum(3) if how == "l2" else (part * book[None]).sum(3)
+    out = np.zeros((len(q), len(book), book.shape[1]))
+    for m, words in enumerate(book):
+        for j in range(book.shape[2]):
+            mine, theirs = q[:, m * book.shape[2] + j, None], words[None, :, j]
+            out[:, m] += (mine - theirs) ** 2 if how == "l2" else mine * theirs
+    return out
 
 
-def looked_up(lut: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Asymmetric distances: the sum of each code's entry in its sub-space's table, rounded so that equal codes tie."""
-    out = np.zeros((len(lut), len(codes)))
+def looked_up(lut: np.ndarray, codes: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """Asymmetric distances: the sum of each code's entry in its sub-space's table, rounded so that equal codes tie; for some of the queries, or all."""
+    out = np.zeros((len(lut) if which is None else len(which), len(codes)))
     for m in range(lut.shape[1]):
-        out += lut[:, m][:, codes[:, m]]
+        table = lut[:, m] if which is None else lut[which, m]
+        out += table[:, codes[:, m]]
     return np.round(out, 12)
 
 
@@ -79,27 +85,27 @@ def codes_of(part: pa.RecordBatch, book: np.ndarray) -> np.ndarray:
 def _adc_kernel(book: np.ndarray):
     def kernel_of(q: np.ndarray) -> Kernel:
         lut = lookup(q, book)
-        return lambda which, part: looked_up(lut[which], codes_of(part, book))
+        return lambda which, part: looked_up(lut, codes_of(part, book), which)
 
     return kernel_of
 
 
 def adc(codes: DataFrame, queries: DataFrame, book: np.ndarray, top_p: int) -> DataFrame:
     """The ``top_p`` rows of least table distance, from codes (vec_id, code) or vectors (vec_id, v)."""
-    return ranked(scan(codes, asked(queries), _adc_kernel(book), top_p), top_p)
+    return candidates(codes, query_blocks(asked(queries), block_size(top_p)), _adc_kernel(book), top_p)
 
 
 def search(base: DataFrame, queries: DataFrame, book: np.ndarray, k: int = 10, top_p: int = 50) -> DataFrame:
     """Candidates by table distance, then exact distances."""
-    rows = vector_columns(base)
-    return rerank(adc(rows, queries, book, max(k, top_p)), rows, asked(queries), k)
+    rows, p = vector_columns(base), max(k, top_p)
+    return refined(rows, rows, query_blocks(asked(queries), block_size(p)), _adc_kernel(book), k, p)
 
 
 def ivf_search(index: IVF, queries: DataFrame, book: np.ndarray, k: int = 10, top_p: int = 50, nprobe: int = 4, codes: DataFrame | None = None) -> DataFrame:
     """Raw vectors coded by one book; candidates come from the probed lists. ``codes`` (vec_id, list_id, code) may be stored ones."""
     p = max(k, top_p)
-    near = ranked(scan(index.lists if codes is None else codes, asked(queries), _adc_kernel(book), p, probed_of=probed_of(index, nprobe), blocks=ordered_blocks(index, queries, nprobe)), p)
-    return rerank(near, index.lists.select("vec_id", "v"), asked(queries), k)
+    blocks = ordered_blocks(index, queries, nprobe, size=block_size(p))
+    return refined(index.lists if codes is None else codes, index.lists.select("vec_id", "v"), blocks, _adc_kernel(book), k, p, probed_of(index, nprobe))
 
 
 def _local_sums(books: dict[int, np.ndarray]):
@@ -188,8 +194,8 @@ def local_search(index: IVF, books: DataFrame, queries: DataFrame, k: int = 10,
         return kernel
 
     p = max(k, top_p)
-    near = ranked(scan(index.lists, asked(queries), kernel_of, p, probed_of=probed_of(index, nprobe), blocks=ordered_blocks(index, queries, nprobe)), p)
-    return rerank(near, index.lists.select("vec_id", "v"), asked(queries), k)
+    blocks = ordered_blocks(index, queries, nprobe, size=block_size(p))
+    return refined(index.lists, index.lists.select("vec_id", "v"), blocks, kernel_of, k, p, probed_of(index, nprobe))
 
 
 @dataclass
@@ -216,13 +222,15 @@ def residual_search(r: Residual, queries: DataFrame, k: int = 10, rerank_p: int
         lut, top = lookup(q, book, "ip"), q @ centroids.T
 
         def kernel(which: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
-            return 1 - (top[which, part["list_id"][0].as_py()][:, None] + looked_up(lut[which], codes_of(part, book)))
+            return 1 - (top[which, part["list_id"][0].as_py()][:, None] + looked_up(lut, codes_of(part, book), which))
 
         return kernel
 
     p = max(k, rerank_p)
-    near = ranked(scan(r.codes, asked(queries), kernel_of, p, probed_of=probed_of(r.index, nprobe), blocks=ordered_blocks(r.index, queries, nprobe)), p)
-    return near if rerank_p <= k else rerank(near, r.index.lists.select("vec_id", "v"), asked(queries), k)
+    probed, blocks = probed_of(r.index, nprobe), ordered_blocks(r.index, queries, nprobe, size=block_size(p))
+    if rerank_p <= k:
+        return candidates(r.codes, blocks, kernel_of, p, probed)
+    return refined(r.codes, r.index.lists.select("vec_id", "v"), blocks, kernel_of, k, p, probed)
 
 
 def save_residual(r: Residual, path: str, meta: dict) -> None:
