@@ -20,8 +20,12 @@ from .flat import matrix
 
 #: Nearest nodes that links are chosen from, and what is chosen from when links meet links back.
 CANDIDATES, MEETING = 48, 96
-#: Cells of the largest matrices of a block (doubles or flags).
-_CELLS = 1 << 25
+#: Cells of the largest matrices of a block (doubles or flags). Several tasks share a machine: a block's matrices are some 32 MB each.
+_CELLS = 1 << 22
+#: Beams from this width on, if their links are as many as the nodes, meet most nodes: distances of a block are one product then.
+WIDE = 512
+#: How far distances of a product may be from those summed row by row.
+_SLACK = 1e-9
 
 
 def level_of(vec_id: int, m: int) -> int:
@@ -104,6 +108,19 @@ def padded(row: np.ndarray, value: np.ndarray, n: int, fill) -> np.ndarray:
     return out
 
 
+def apart(x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, some at a time."""
+    step, d = max(1, _CELLS // max(1, x.shape[1])), np.zeros(len(row), dtype=x.dtype)
+    for a in range(0, len(row), step):
+        d[a : a + step] = 1 - np.einsum("ij,ij->i", x[row[a : a + step]], x[col[a : a + step]])
+    return d
+
+
+def first_of(row: np.ndarray, most: int) -> np.ndarray:
+    """Flags of the first ``most`` entries of each row (sorted by row)."""
+    return np.arange(len(row)) - np.searchsorted(row, row) < most
+
+
 def nearest(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, distances) of the k nearest rows of x to each row of q, nearest first; ``own`` rows are left out.
 
@@ -182,11 +199,12 @@ class Layer:
         pairs = np.unique(pairs)
         row, col = pairs // len(self.nodes), pairs % len(self.nodes)
         full = np.flatnonzero(np.bincount(row, minlength=len(self.nodes)) > most)
-        d = np.zeros(len(row), dtype=np.float32)
-        for a in range(0, len(row), 1 << 18):
-            d[a : a + (1 << 18)] = 1 - np.einsum("ij,ij->i", self.xf[row[a : a + (1 << 18)]], self.xf[col[a : a + (1 << 18)]])
+        d = apart(self.xf, row, col)
         order = np.lexsort((col, d, row))
         row, col, d = row[order], col[order], d[order]
+        # many may link to one node: rows beyond what is chosen from would widen the matrices of all
+        some = first_of(row, max(MEETING, most))
+        row, col, d = row[some], col[some], d[some]
         links, far = padded(row, col.astype(np.int32), len(self.nodes), -1), padded(row, d, len(self.nodes), np.inf)
         out = np.full((len(self.nodes), most), -1, dtype=np.int32)
         out[:, : min(most, links.shape[1])] = links[:, :most]
@@ -219,9 +237,16 @@ class Layer:
         row, col = np.nonzero(self.links >= 0)
         to = self.links[row, col]
         order = np.argsort(to, kind="stable")
-        back = Layer.__new__(Layer)
-        back.nodes, back.links = self.nodes, padded(to[order], row[order].astype(np.int32), len(self.nodes), -1)
-        return back.reached(np.array([entry]))
+        source, first = row[order], np.searchsorted(to[order], np.arange(len(self.nodes) + 1))
+        seen = np.zeros(len(self.nodes), dtype=bool)
+        seen[entry] = True
+        front = np.array([entry])
+        while len(front):
+            size = first[front + 1] - first[front]
+            front = np.unique(source[np.repeat(first[front] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+            front = front[~seen[front]]
+            seen[front] = True
+        return seen
 
     def repair(self, entry: int) -> None:
         """Link to every node that cannot be reached from the entry: from the nearest that can, a few at a time. Then link those without a way to it."""
@@ -349,9 +374,42 @@ class Graph:
         count = np.bincount(to[to >= 0], minlength=len(self.x))
         return int(count.min()), int(count.max())
 
-    def _walk(self, layer: Layer, q: np.ndarray, start: np.ndarray, ef: int) -> np.ndarray:
-        """Local numbers of the ``ef`` nearest that the walks find, nearest first (-1 fills up), for queries of one block."""
+    def _wide(self, layer: Layer, ef: int) -> bool:
+        return ef >= WIDE and ef * layer.links.shape[1] >= len(layer.nodes)
+
+    def _spread(self, layer: Layer, q: np.ndarray, start: np.ndarray, ef: int, good: np.ndarray | None) -> np.ndarray:
+        """As ``_walk``, for wide beams: each step opens all of a query's beam that is not open yet. With ``good`` flags only such nodes count and are found."""
+        n = len(layer.nodes)
+        out, dist = np.full((len(q), ef), -1, dtype=np.int32), 1 - q @ layer.x.T
+        self.seen += dist.size
+        for i, d in enumerate(dist):
+            new = start[i][start[i] >= 0]
+            seen = np.zeros(n + 1, dtype=bool)  # the last flag takes the -1 that fill links up
+            seen[-1] = True
+            held, far = np.zeros(0), np.inf
+            while len(new):
+                seen[new] = True
+                near = d[new] if good is None else d[new[good[new]]]
+                held = np.concatenate([held, near[near <= far]])
+                if len(held) >= ef:
+                    held = np.partition(held, ef - 1)[:ef]
+                    far = held[-1]
+                new = new[d[new] <= far]
+                self.hops += len(new)
+                met = np.zeros(n + 1, dtype=bool)
+                met[layer.links[new]] = True
+                new = np.flatnonzero(met & ~seen)
+            seen[:-1] &= d <= far
+            found = np.flatnonzero(seen[:-1] if good is None else seen[:-1] & good)
+            found = found[np.argsort(d[found], kind="stable")[:ef]]
+            out[i, : len(found)] = found
+        return out
+
+    def _walk(self, layer: Layer, q: np.ndarray, start: np.ndarray, ef: int, good: np.ndarray | None = None) -> np.ndarray:
+        """Local numbers of the ``ef`` nearest that the walks find, nearest first (-1 fills up), for queries of one block; ``good`` is for wide beams."""
         n, ef = len(layer.nodes), min(ef, len(layer.nodes))
+        if self._wide(layer, ef):
+            return self._spread(layer, q, start, ef, good)
         width = max(4, ef // 64)
         seen = np.zeros((len(q), n), dtype=bool)
         ids, dist, open_ = np.full((len(q), ef), -1, dtype=np.int32), np.full((len(q), ef), np.inf), np.zeros((len(q), ef), dtype=bool)
@@ -389,8 +447,12 @@ class Graph:
         return ids
 
     def _block(self, ef: int) -> int:
+        if not self.layers:
+            return 1024
         width = max(4, min(ef, len(self.x)) // 64)
         degree = self.layers[0].links.shape[1] or 1
+        if self._wide(self.layers[0], min(ef, len(self.x))):
+            return int(max(1, _CELLS // len(self.x)))
         return int(max(1, min(_CELLS // max(1, len(self.x)), _CELLS // (width * degree * max(1, self.x.shape[1])))))
 
     def _descend(self, q: np.ndarray, level: int = 0) -> np.ndarray:
@@ -402,34 +464,47 @@ class Graph:
             start = np.where(found >= 0, layer.nodes[found], -1)
         return start
 
-    def nodes_near(self, q: np.ndarray, ef: int, start: np.ndarray | None = None) -> np.ndarray:
+    def nodes_near(self, q: np.ndarray, ef: int, start: np.ndarray | None = None, good: np.ndarray | None = None) -> np.ndarray:
         """Nodes of the ``ef`` nearest found for each query, -1 fills up; from ``start`` nodes on level 0, if given."""
         if not self.layers:
             return np.full((len(q), 0), -1, dtype=np.int64)
         q, out = np.asarray(q, dtype=np.float64), []
-        step = self._block(ef)
+        step, more = self._block(ef), () if good is None else (good,)
         for a in range(0, len(q), step):
             part = q[a : a + step]
-            out.append(self._walk(self.layers[0], part, self._descend(part) if start is None else start[a : a + step], ef))
+            out.append(self._walk(self.layers[0], part, self._descend(part) if start is None else start[a : a + step], ef, *more))
         return np.vstack(out) if out else np.full((0, 0), -1, dtype=np.int32)
 
-    def grown(self, q: np.ndarray, ef: int, enough: Callable[[int, np.ndarray], bool]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(nodes, distances) of what a beam finds for each query, nearest first; it is doubled until ``enough(query, nodes, distances)``, or to all nodes.
+    def _distances(self, v: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Summed row by row in double precision: equal vectors tie."""
+        return 1 - (self.x[nodes] * v).sum(1)
 
-        Distances are summed row by row in double precision: equal vectors tie.
+    def _until(self, v: np.ndarray, nodes: np.ndarray, p: int, bound: Callable[[np.ndarray, np.ndarray], float | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, distances) in order, of nodes as a walk finds them: as many as it takes to be sure of those within ``bound(nodes, distances)``, which is None if they are too few."""
+        while True:
+            some = nodes[:p]
+            d = self._distances(v, some)
+            order = np.lexsort((some, d))
+            some, d = some[order], d[order]
+            if p >= len(nodes) or ((far := bound(some, d)) is not None and d[-1] > far + _SLACK):
+                return some, d
+            p *= 4
+
+    def grown(self, q: np.ndarray, ef: int, answer: Callable[[int, np.ndarray, bool], object | None], good: np.ndarray | None = None) -> list:
+        """``answer(query, nodes, last)`` for each query and what a beam finds, nearest first; the beam is doubled while the answer is None, up to all nodes (``last``).
+
+        Queries are answered block by block: what their beams hold is not kept.
         """
         out: list = [None] * len(q)
         left = np.arange(len(q))
         while len(left):
-            found = self.nodes_near(q[left], ef)
-            again = []
-            for i, nodes in zip(left.tolist(), found, strict=True):
-                nodes = nodes[nodes >= 0]
-                d = 1 - (self.x[nodes] * q[i]).sum(1)
-                order = np.lexsort((nodes, d))
-                out[i] = nodes[order], d[order]
-                if ef < len(self.x) and not enough(i, *out[i]):
-                    again.append(i)
+            again, step, last = [], self._block(ef), ef >= len(self.x)
+            for a in range(0, len(left), step):
+                some = left[a : a + step]
+                for i, nodes in zip(some.tolist(), self.nodes_near(q[some], ef, good=good), strict=True):
+                    out[i] = answer(i, nodes[nodes >= 0], last)
+                    if out[i] is None and not last:
+                        again.append(i)
             left, ef = np.array(again, dtype=int), 2 * ef
         return out
 
@@ -453,24 +528,59 @@ class Graph:
         """
         ef = max(ef, k)
         if allowed is None:
-            found = self.grown(q, ef, lambda i, nodes, d: True)
-        else:
-            good = np.zeros(len(self.x), dtype=bool)
-            good[self.node[allowed]] = True
-            want = min(ef, int(good.sum()))
-            found = self.grown(q, ef, lambda i, nodes, d: int(good[nodes].sum()) >= want)
-        return [self.rows_of(nodes, d, k, allowed) for nodes, d in found]
+            return self.grown(q, ef, lambda i, nodes, last: self._rows_near(q[i], nodes, k))
+        good = np.zeros(len(self.x), dtype=bool)
+        good[self.node[allowed]] = True
+        want = min(ef, int(good.sum()))
+        # wide beams count good nodes only, so they need not grow
+        wide = bool(self.layers) and self._wide(self.layers[0], min(ef, len(self.x)))
+
+        def answer(i: int, nodes: np.ndarray, last: bool) -> list | None:
+            nodes = nodes[good[nodes]]
+            return self._rows_near(q[i], nodes, k, allowed) if wide or last or len(nodes) >= want else None
+
+        return self.grown(q, ef, answer, good if wide else None)
+
+    def _rows_near(self, v: np.ndarray, nodes: np.ndarray, k: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
+        return self.rows_of(*self._until(v, nodes, 2 * k + 32, lambda some, d: d[k - 1] if len(d) >= k else None), k, allowed)
 
     def range_all(self, q: np.ndarray, eps: float, least: int = 100, allowed: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
         """(distance, id) of the rows found within ``eps``: the beam grows until it reaches beyond."""
-        found = self.grown(q, max(1, least), lambda i, nodes, d: bool(len(d)) and d[-1] > eps)
-        return [self.rows_of(nodes[d <= eps], d[d <= eps], None, allowed) for nodes, d in found]
+
+        def answer(i: int, nodes: np.ndarray, last: bool) -> list | None:
+            if not last and not (len(nodes) and self._distances(q[i], nodes[-1:])[0] > eps):
+                return None
+            nodes, d = self._until(q[i], nodes, 128, lambda some, d: eps)
+            return self.rows_of(nodes[d <= eps], d[d <= eps], None, allowed)
+
+        return self.grown(q, max(1, least), answer)
 
     def documents_all(self, q: np.ndarray, doc_of: np.ndarray, n: int, ef: int) -> list[list[tuple[float, int]]]:
-        """(distance, id) of rows in order, up to the first row of document n + 1; ``doc_of``: documents of rows, in the order of ``ids``."""
-        docs_of = lambda nodes: {int(x) for y in nodes.tolist() for x in doc_of[self.first[y] : self.first[y + 1]]}
-        found = self.grown(q, max(ef, n + 1), lambda i, nodes, d: len(docs_of(nodes)) > n)
-        return [self.rows_of(nodes, d, None) for nodes, d in found]
+        """(distance, id) of rows in order, up to the first row of document n + 1, with it; ``doc_of``: documents of rows, in the order of ``ids``."""
+        number = np.argsort(self.ids)
+
+        def bound(nodes: np.ndarray, d: np.ndarray) -> float | None:
+            docs: set[int] = set()
+            for y, far in zip(nodes.tolist(), d.tolist(), strict=True):
+                docs.update(doc_of[self.first[y] : self.first[y + 1]].tolist())
+                if len(docs) > n:
+                    return far
+            return None
+
+        def answer(i: int, nodes: np.ndarray, last: bool) -> list | None:
+            nodes, d = self._until(q[i], nodes, 64, bound)
+            if (far := bound(nodes, d)) is None:
+                return self.rows_of(nodes, d, None) if last else None
+            rows = self.rows_of(nodes[d <= far], d[d <= far], None)
+            docs = doc_of[number[np.searchsorted(self.ids, [i for _, i in rows], sorter=number)]].tolist()
+            met: set[int] = set()
+            for at, doc in enumerate(docs):
+                met.add(doc)
+                if len(met) > n:
+                    return rows[: at + 1]
+            return rows
+
+        return self.grown(q, max(ef, n + 1), answer)
 
     def flat_all(self, q: np.ndarray, k: int, ef: int, entries: int = 1) -> list[list[tuple[float, int]]]:
         """Level 0 only, from ``entries`` nodes picked by a hash of the query, each with a walk of its own."""
@@ -478,9 +588,12 @@ class Graph:
         starts = np.array([[_entry(v, salt, len(self.x)) for salt in range(entries)] for v in q], dtype=np.int64).reshape(len(q), entries)
         walks = [self.nodes_near(q, max(ef, k), starts[:, [s]]) for s in range(entries)] if len(self.x) else []
         for i, v in enumerate(q):
+            if len(walks) == 1:
+                out.append(self._rows_near(v, walks[0][i][walks[0][i] >= 0], k))
+                continue
             nodes = np.unique(np.concatenate([w[i] for w in walks])) if walks else np.zeros(0, dtype=int)
             nodes = nodes[nodes >= 0]
-            d = 1 - (self.x[nodes] * v).sum(1)
+            d = self._distances(v, nodes)
             order = np.lexsort((nodes, d))
             out.append(self.rows_of(nodes[order], d[order], k))
         return out
@@ -544,20 +657,11 @@ class Graph:
             links = layer.links
             dead = (links >= 0) & ~live[links]
             hit = np.flatnonzero(live & dead.any(1))
-            row, col = np.nonzero(dead[hit])
-            two = links[links[hit[row], col]]
-            who, step = np.nonzero(two >= 0)
-            own_row, own_col = np.nonzero(links[hit] >= 0)
-            pairs = np.concatenate([row[who] * len(live) + two[who, step], own_row * len(live) + links[hit][own_row, own_col]]).astype(np.int64)
-            pairs = np.unique(pairs)
-            r, c = pairs // len(live), pairs % len(live)
-            ok = live[c] & (c != hit[r])
-            r, c = r[ok], c[ok]
-            d = 1 - np.einsum("ij,ij->i", layer.xf[hit[r]], layer.xf[c])
-            order = np.lexsort((c, d, r))
-            r, c, d = r[order], c[order], d[order]
+            most = 2 * self.m if at == 0 else self.m
+            chosen, some = np.full((len(hit), most), -1, dtype=np.int32), max(1, _CELLS // max(1, links.shape[1] ** 2))
+            for a in range(0, len(hit), some):
+                chosen[a : a + some] = _anew(layer, live, dead, hit[a : a + some], most)
             links = links.copy()
-            chosen = diverse(layer.xf, padded(r, c.astype(np.int32), len(hit), -1)[:, :MEETING], padded(r, d, len(hit), np.inf)[:, :MEETING], 2 * self.m if at == 0 else self.m)
             if chosen.shape[1] > links.shape[1]:
                 links = np.hstack([links, np.full((len(links), chosen.shape[1] - links.shape[1]), -1, dtype=np.int32)])
             links[hit] = -1
@@ -601,7 +705,9 @@ class Graph:
             there = (walked if at == 0 else starts.get(at, np.full((len(which), 0), -1)))[:, :CANDIDATES]
             among, _ = nearest(layer.xf[old:], layer.xf[old:], CANDIDATES, np.arange(len(which)))
             found = np.hstack([there, np.where(among >= 0, among + old, -1)]).astype(np.int64)
-            dist = np.where(found >= 0, 1 - np.einsum("ijk,ik->ij", layer.xf[found], layer.xf[old:]), np.inf) if found.shape[1] else np.zeros((len(which), 0))
+            dist = np.full(found.shape, np.inf, dtype=np.float32)
+            row, col = np.nonzero(found >= 0)
+            dist[row, col] = apart(layer.xf, row + old, found[row, col])
             order = np.argsort(dist, axis=1, kind="stable")[:, :CANDIDATES]
             layer.connect(np.take_along_axis(found, order, 1), np.take_along_axis(dist, order, 1), self.m, 2 * self.m if at == 0 else self.m, old)
         self._mend()
@@ -635,6 +741,25 @@ class Graph:
         self._set(self.x[order], self.ids, number[self.node])
 
 
+def _anew(layer: Layer, live: np.ndarray, dead: np.ndarray, hit: np.ndarray, most: int) -> np.ndarray:
+    """What nodes that linked to dead ones choose among their own links and those of the dead."""
+    links = layer.links
+    row, col = np.nonzero(dead[hit])
+    two = links[links[hit[row], col]]
+    who, step = np.nonzero(two >= 0)
+    own_row, own_col = np.nonzero(links[hit] >= 0)
+    pairs = np.unique(np.concatenate([row[who] * len(live) + two[who, step], own_row * len(live) + links[hit][own_row, own_col]]).astype(np.int64))
+    r, c = pairs // len(live), pairs % len(live)
+    ok = live[c] & (c != hit[r])
+    r, c = r[ok], c[ok]
+    d = apart(layer.xf, hit[r], c)
+    order = np.lexsort((c, d, r))
+    r, c, d = r[order], c[order], d[order]
+    first = first_of(r, MEETING)
+    r, c, d = r[first], c[first], d[first]
+    return diverse(layer.xf, padded(r, c.astype(np.int32), len(hit), -1), padded(r, d, len(hit), np.inf), most)
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first row of each distinct vector, in order; the number of each row's vector)."""
     if not len(x):
