@@ -20,6 +20,8 @@ from .topk import ranked, vector_columns
 #: Queries that go out at once; more take further passes over the rows.
 QUERY_BLOCK = 4096
 _ROWS = 2048
+#: Distances (8 bytes each) of a block of queries that are looked at at once: tasks share a machine's memory.
+CELLS = 1 << 20
 FOUND = "qid long, vec_id long, dist double"
 
 
@@ -78,6 +80,22 @@ class Best:
 Kernel = Callable[[np.ndarray, pa.RecordBatch], np.ndarray]
 
 
+def spans(batch: pa.RecordBatch, every: np.ndarray, probed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Queries (by number) with the rows that they meet, about ``CELLS`` pairs at a time; with ``probed`` (queries x lists) those of their lists only."""
+    if probed is None:
+        step = max(64, min(_ROWS, CELLS // max(1, len(every))))
+        for a in range(0, batch.num_rows, step):
+            yield every, batch.slice(a, step)
+        return
+    lists = batch["list_id"].to_numpy()
+    for x in np.unique(lists).tolist():
+        which = np.flatnonzero(probed[:, x])
+        if len(which):
+            rows, step = np.flatnonzero(lists == x), max(64, min(_ROWS, CELLS // len(which)))
+            for a in range(0, len(rows), step):
+                yield which, batch.take(pa.array(rows[a : a + step]))
+
+
 def _scan(qid: np.ndarray, kernel: Kernel, k: int, eps: float | None = None, probed: np.ndarray | None = None):
     """The k nearest rows of each query within a partition, or all within ``eps``.
 
@@ -86,26 +104,21 @@ def _scan(qid: np.ndarray, kernel: Kernel, k: int, eps: float | None = None, pro
     every = np.arange(len(qid))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(len(qid), k)
+        from .shortlist import Nearest
+
+        best = Nearest(len(qid), k)
         for batch in batches:
-            for a in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(a, _ROWS)
-                ids = part["vec_id"].to_numpy()
-                if probed is not None:
-                    lists = part["list_id"].to_numpy()
-                    for x in np.unique(lists).tolist():
-                        which = np.flatnonzero(probed[:, x])
-                        if len(which):
-                            rows = np.flatnonzero(lists == x)
-                            best.add_some(which, kernel(which, part.take(pa.array(rows))), ids[rows])
-                elif eps is None:
-                    best.add(kernel(every, part), ids)
+            for which, part in spans(batch, every, probed):
+                dist, ids = kernel(which, part), part["vec_id"].to_numpy()
+                if eps is None:
+                    best.add(which, dist, ids)
                 else:
-                    dist = kernel(every, part)
                     i, j = np.nonzero(dist <= eps)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(dist[i, j])], names=["qid", "vec_id", "dist"])
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[which[i]]), pa.array(ids[j]), pa.array(dist[i, j])], names=["qid", "vec_id", "dist"])
         if eps is None:
-            yield best.rows(qid)
+            # a row beyond the k-th of its query in this partition never leaves the task
+            which, dist, ids = best.thin()
+            yield pa.RecordBatch.from_arrays([pa.array(qid[which], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], names=["qid", "vec_id", "dist"])
 
     return run
 

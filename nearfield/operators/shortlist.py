@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from ..sources.ship import ship
 from ..sources.tables import checkpointed
-from .flat import QUERY_BLOCK, Kernel, matrix, nothing, of_lists
+from .flat import QUERY_BLOCK, Kernel, matrix, nothing, of_lists, spans
 
 #: Candidates of a block of queries, which go out to all rows (16 bytes each).
 PAIRS = 1 << 20
-_ROWS, _CHUNK = 2048, 1 << 16
+#: Pairs whose distances are summed at once, and candidates that are merged at once.
+_CHUNK, _MERGED = 1 << 16, 1 << 18
 PACKED = "qid long, vec_ids array<long>, dists array<double>"
 
 #: Ids and matrices of some queries at a time.
@@ -113,10 +114,8 @@ def _merged(k: int):
     """The k nearest of each query, of packed rows in order of qid; the last query of a batch waits for the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        wait, rows = None, max(1, _MERGED // max(k, 1))
+        for batch in (b.slice(a, rows) for b in batches for a in range(0, b.num_rows, rows)):
             qid, dist, ids = _flat(batch)
             if wait is not None:
                 qid, dist, ids = (np.concatenate(x) for x in zip(wait, (qid, dist, ids), strict=True))
@@ -153,19 +152,9 @@ def _scan(qid: np.ndarray, q: np.ndarray, kernel_of: Callable[[np.ndarray], Kern
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel, best = None, Nearest(len(qid), k)
         for batch in batches:
-            for a in range(0, batch.num_rows, _ROWS):
+            for which, part in spans(batch, every, probed):
                 kernel = kernel_of(q) if kernel is None else kernel
-                part = batch.slice(a, _ROWS)
-                ids = part["vec_id"].to_numpy()
-                if probed is None:
-                    best.add(every, kernel(every, part), ids)
-                    continue
-                lists = part["list_id"].to_numpy()
-                for x in np.unique(lists).tolist():
-                    which = np.flatnonzero(probed[:, x])
-                    if len(which):
-                        rows = np.flatnonzero(lists == x)
-                        best.add(which, kernel(which, part.take(pa.array(rows))), ids[rows])
+                best.add(which, kernel(which, part), part["vec_id"].to_numpy())
         yield best.packed(qid)
 
     return run
