@@ -71,8 +71,8 @@ def looked_up(lut: np.ndarray, codes: np.ndarray, which: np.ndarray | None = Non
     out = np.zeros((len(lut) if which is None else len(which), len(codes)))
     for m in range(lut.shape[1]):
         table = lut[:, m] if which is None else lut[which, m]
-        out += table[:, codes[:, m]]
-    return np.round(out, 12)
+        out += np.take(table, codes[:, m], axis=1)
+    return np.round(out, 12, out=out)
 
 
 def codes_of(part: pa.RecordBatch, book: np.ndarray) -> np.ndarray:
@@ -187,9 +187,13 @@ def local_search(index: IVF, books: DataFrame, queries: DataFrame, k: int = 10,
         held[x] = np.array([[cells[m, c] for c in range(size)] for m in range(n)])
 
     def kernel_of(q: np.ndarray) -> Kernel:
+        last: list = [None, None, None]  # rows of one list come in a row: its tables are made once
+
         def kernel(which: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
-            book = held[part["list_id"][0].as_py()]
-            return looked_up(lookup(q[which], book), codes_of(part, book))
+            one = part["list_id"][0].as_py()
+            if last[0] != one or not np.array_equal(last[1], which):
+                last[:] = one, which, lookup(q[which], held[one])
+            return looked_up(last[2], codes_of(part, held[one]))
 
         return kernel
 
