@@ -22,6 +22,7 @@ from ..sources.ship import ship
 from ..sources.tables import checkpointed, load_index, save_index
 from . import ivf
 from .flat import asked, matrix
+from .graph import by_piece
 from .smallworld import CANDIDATES, Graph, Layer, nearest
 from .topk import ranked, vector_columns
 
@@ -45,7 +46,7 @@ def _regions(centroids: np.ndarray, overlap: int):
             if batch.num_rows:
                 found, _ = ivf.nearest_lists(matrix(batch["v"]), centroids, overlap)
                 row = np.repeat(np.arange(len(found)), found.shape[1])
-                yield pa.RecordBatch.from_arrays([batch["node"].take(pa.array(row)), batch["v"].take(pa.array(row)), pa.array(found.ravel(), pa.int64())], names=["node", "v", "region"])
+                yield pa.RecordBatch.from_arrays([batch["node"].take(pa.array(row)), batch["v"].take(pa.array(row)), pa.array(found.ravel(), pa.int64())], names=["node", "v", "part"])
 
     return run
 
@@ -83,12 +84,10 @@ def build(base: DataFrame, m: int = 16, overlap: int = 2, piece_rows: int = PIEC
     if regions > 1:
         sample = vectors.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // (256 * regions)))) == 0).withColumnRenamed("node", "vec_id").withColumnRenamed("v", "embedding")
         centroids = ivf.build(sample, min(regions, sample.count()), steps).centroids
-        dealt = vectors.mapInArrow(_regions(centroids, overlap), "node long, v array<double>, region long")
-        cuts = dealt.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece_rows)).alias("cuts"))
-        dealt = dealt.join(cuts, "region").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("cuts")))
+        dealt = vectors.mapInArrow(_regions(centroids, overlap), "node long, v array<double>, part long")
     else:
-        dealt = vectors.select("node", "v", F.lit(0).cast("long").alias("region"), F.lit(0).cast("long").alias("piece"))
-    linked = checkpointed(dealt.groupBy("region", "piece").applyInArrow(_linker(m), "node long, links array<long>, first boolean"))
+        dealt = vectors.select("node", "v", F.lit(0).cast("long").alias("part"))
+    linked = checkpointed(by_piece(dealt, "node", piece_rows, _linker(m), "node long, links array<long>, first boolean"))
     links = linked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))  # one list a piece that the node is in
     # a sample of bounded size, besides one node a piece
     picked = vectors.orderBy(F.xxhash64("node"), "node").limit(entries).select("node").union(linked.where("first").select("node")).distinct()
