@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -490,23 +490,23 @@ class Graph:
                 return some, d
             p *= 4
 
-    def grown(self, q: np.ndarray, ef: int, answer: Callable[[int, np.ndarray, bool], object | None], good: np.ndarray | None = None) -> list:
-        """``answer(query, nodes, last)`` for each query and what a beam finds, nearest first; the beam is doubled while the answer is None, up to all nodes (``last``).
+    def grown(self, q: np.ndarray, ef: int, answer: Callable[[int, np.ndarray, bool], object | None], good: np.ndarray | None = None) -> Iterator[tuple[int, object]]:
+        """(query, ``answer(query, nodes, last)``) for each query and what a beam finds, nearest first; the beam is doubled while the answer is None, up to all nodes (``last``).
 
-        Queries are answered block by block: what their beams hold is not kept.
+        Queries are answered block by block, and each answer is handed on at once: neither what beams hold nor what they find is kept.
         """
-        out: list = [None] * len(q)
         left = np.arange(len(q))
         while len(left):
             again, step, last = [], self._block(ef), ef >= len(self.x)
             for a in range(0, len(left), step):
                 some = left[a : a + step]
                 for i, nodes in zip(some.tolist(), self.nodes_near(q[some], ef, good=good), strict=True):
-                    out[i] = answer(i, nodes[nodes >= 0], last)
-                    if out[i] is None and not last:
+                    found = answer(i, nodes[nodes >= 0], last)
+                    if found is None and not last:
                         again.append(i)
+                    else:
+                        yield i, found
             left, ef = np.array(again, dtype=int), 2 * ef
-        return out
 
     def rows_of(self, nodes: np.ndarray, dist: np.ndarray, k: int | None, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
         """(distance, id) of the rows of such nodes, the k least."""
@@ -528,7 +528,7 @@ class Graph:
         """
         ef = max(ef, k)
         if allowed is None:
-            return self.grown(q, ef, lambda i, nodes, last: self._rows_near(q[i], nodes, k))
+            return _in_order(self.grown(q, ef, lambda i, nodes, last: self._rows_near(q[i], nodes, k)))
         good = np.zeros(len(self.x), dtype=bool)
         good[self.node[allowed]] = True
         want = min(ef, int(good.sum()))
@@ -539,13 +539,17 @@ class Graph:
             nodes = nodes[good[nodes]]
             return self._rows_near(q[i], nodes, k, allowed) if wide or last or len(nodes) >= want else None
 
-        return self.grown(q, ef, answer, good if wide else None)
+        return _in_order(self.grown(q, ef, answer, good if wide else None))
 
     def _rows_near(self, v: np.ndarray, nodes: np.ndarray, k: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
         return self.rows_of(*self._until(v, nodes, 2 * k + 32, lambda some, d: d[k - 1] if len(d) >= k else None), k, allowed)
 
     def range_all(self, q: np.ndarray, eps: float, least: int = 100, allowed: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
         """(distance, id) of the rows found within ``eps``: the beam grows until it reaches beyond."""
+        return _in_order(self.range_each(q, eps, least, allowed))
+
+    def range_each(self, q: np.ndarray, eps: float, least: int = 100, allowed: np.ndarray | None = None) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+        """``range_all`` by query, as they are answered."""
 
         def answer(i: int, nodes: np.ndarray, last: bool) -> list | None:
             if not last and not (len(nodes) and self._distances(q[i], nodes[-1:])[0] > eps):
@@ -557,6 +561,10 @@ class Graph:
 
     def documents_all(self, q: np.ndarray, doc_of: np.ndarray, n: int, ef: int) -> list[list[tuple[float, int]]]:
         """(distance, id) of rows in order, up to the first row of document n + 1, with it; ``doc_of``: documents of rows, in the order of ``ids``."""
+        return _in_order(self.documents_each(q, doc_of, n, ef))
+
+    def documents_each(self, q: np.ndarray, doc_of: np.ndarray, n: int, ef: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+        """``documents_all`` by query, as they are answered."""
         number = np.argsort(self.ids)
 
         def bound(nodes: np.ndarray, d: np.ndarray) -> float | None:
@@ -741,6 +749,10 @@ class Graph:
         self._set(self.x[order], self.ids, number[self.node])
 
 
+def _in_order(answers: Iterator[tuple[int, list]]) -> list[list]:
+    return [found for _, found in sorted(answers, key=lambda a: a[0])]
+
+
 def _anew(layer: Layer, live: np.ndarray, dead: np.ndarray, hit: np.ndarray, most: int) -> np.ndarray:
     """What nodes that linked to dead ones choose among their own links and those of the dead."""
     links = layer.links
