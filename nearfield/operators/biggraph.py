@@ -144,21 +144,23 @@ def search(g: Linked, queries: DataFrame, k: int = 10, ef: int = 64, width: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = g.links.select("node", "links").repartition(parts, "node").persist()
     vectors = g.vectors.select("node", "v").repartition(parts, "node").persist()
-    beam = checkpointed(wanted.mapInArrow(_entered(g.entries, starts), "qid long, node long, dist double").withColumn("opened", F.lit(False)))
     by_dist = W.partitionBy("qid").orderBy("dist", "node")
+    next_ = ~F.col("opened") & (F.row_number().over(W.partitionBy("qid", "opened").orderBy("dist", "node")) <= width)
+    # a step's beams are not joined with what came from them: Spark's estimate of their size would be squared each time, and its digits double
+    first = wanted.mapInArrow(_entered(g.entries, starts), "qid long, node long, dist double").withColumn("opened", F.lit(False))
+    beam = checkpointed(first.withColumn("now", next_))
     try:
         for _ in range(most_steps):
-            open_ = beam.where("not opened").withColumn("place", F.row_number().over(by_dist)).where(F.col("place") <= width).select("qid", "node")
-            open_ = checkpointed(open_)
+            open_ = beam.where("now").select("qid", "node")
             if open_.isEmpty():
                 break
             near = open_.join(links.hint("merge"), "node").select("qid", F.explode("links").alias("node")).distinct()
             new = near.join(beam.select("qid", "node"), ["qid", "node"], "left_anti")
             met = new.join(vectors.hint("merge"), "node").join(wanted.withColumnRenamed("v", "q").hint("merge"), "qid").select("qid", "node", "q", "v")
             met = met.mapInArrow(_far, "qid long, node long, dist double").withColumn("opened", F.lit(False))
-            kept = beam.join(open_.withColumn("now", F.lit(True)), ["qid", "node"], "left").select("qid", "node", "dist", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-            both = kept.unionByName(met).withColumn("place", F.row_number().over(by_dist))
-            beam = checkpointed(both.where(F.col("place") <= ef).drop("place"))
+            both = beam.select("qid", "node", "dist", (F.col("opened") | F.col("now")).alias("opened")).unionByName(met)
+            nearest_ = both.withColumn("place", F.row_number().over(by_dist)).where(F.col("place") <= ef).drop("place")
+            beam = checkpointed(nearest_.withColumn("now", next_))
         # the k nearest nodes hold the k nearest rows
         best = beam.withColumn("place", F.rank().over(W.partitionBy("qid").orderBy("dist"))).where(F.col("place") <= k)
         return checkpointed(ranked(best.join(g.rows.hint("merge"), "node").select("qid", "vec_id", "dist"), k))
