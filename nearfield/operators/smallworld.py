@@ -12,6 +12,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ from .flat import matrix
 
 #: Nearest nodes that links are chosen from, and what is chosen from when links meet links back.
 CANDIDATES, MEETING = 48, 96
-#: Cells of the largest matrices of a block (doubles or flags). Several tasks share a machine: a block's matrices are some 32 MB each.
-_CELLS = 1 << 22
+#: Cells of the largest matrices of a block (doubles or flags). Several tasks share a machine: a block's matrices are some 8 MB each.
+_CELLS = 1 << 20
+#: The same of a block of narrow walks: flags that take a byte each, and doubles of far fewer cells, as few nodes are new to a step.
+_WALKED = 1 << 22
 #: Beams from this width on, if their links are as many as the nodes, meet most nodes: distances of a block are one product then.
 WIDE = 512
 #: How far distances of a product may be from those summed row by row.
@@ -185,10 +188,14 @@ class Layer:
     """The links of one level, by local numbers; ``nodes`` are their numbers in the graph."""
 
     def __init__(self, nodes: np.ndarray, x: np.ndarray, links: np.ndarray | None = None):
-        # walks compare in double precision, links are chosen in single
-        self.nodes, self.x, self.xf = nodes, x, x.astype(np.float32)
+        self.nodes, self.x = nodes, x
         self.links = np.full((len(nodes), 0), -1, dtype=np.int32) if links is None else links
 
+    @cached_property
+    def xf(self) -> np.ndarray:
+        """Walks compare in double precision, links are chosen in single."""
+        return self.x.astype(np.float32)
+
     def connect(self, found: np.ndarray, dist: np.ndarray, m: int, most: int, first: int = 0) -> None:
         """Give the nodes from ``first`` on their links (m of what was found), and those that they link to links back (``most`` in all)."""
         mine = diverse(self.xf, found, dist, m)
@@ -197,7 +204,8 @@ class Layer:
         old_row, old_col = np.nonzero(self.links >= 0)
         pairs = np.concatenate([source * len(self.nodes) + target, target * len(self.nodes) + source, old_row * len(self.nodes) + self.links[old_row, old_col]])
         pairs = np.unique(pairs)
-        row, col = pairs // len(self.nodes), pairs % len(self.nodes)
+        row, col = (pairs // len(self.nodes)).astype(np.int32), (pairs % len(self.nodes)).astype(np.int32)
+        del pairs, source, target, old_row, old_col
         full = np.flatnonzero(np.bincount(row, minlength=len(self.nodes)) > most)
         d = apart(self.xf, row, col)
         order = np.lexsort((col, d, row))
@@ -205,7 +213,7 @@ class Layer:
         # many may link to one node: rows beyond what is chosen from would widen the matrices of all
         some = first_of(row, max(MEETING, most))
         row, col, d = row[some], col[some], d[some]
-        links, far = padded(row, col.astype(np.int32), len(self.nodes), -1), padded(row, d, len(self.nodes), np.inf)
+        links, far = padded(row, col, len(self.nodes), -1), padded(row, d, len(self.nodes), np.inf)
         out = np.full((len(self.nodes), most), -1, dtype=np.int32)
         out[:, : min(most, links.shape[1])] = links[:, :most]
         if len(full):
@@ -275,16 +283,18 @@ class Graph:
     def __init__(self, x: np.ndarray, ids: np.ndarray, m: int = 16, ef: int = 150):
         self.m, self.ef = m, ef
         self.hops = self.seen = 0
-        x, ids = np.asarray(x, dtype=np.float64) + 0.0, np.asarray(ids, dtype=np.int64)
+        ids = np.asarray(ids, dtype=np.int64)
         order = np.argsort(ids, kind="stable")
-        x, ids = x[order], ids[order]
+        x, ids = np.asarray(x, dtype=np.float64)[order], ids[order]
+        x += 0.0  # no negative zeros
         first, node = _distinct(x)
-        self._set(x[first], ids, node)
+        x = _at(x, first)
+        self._set(x, ids, node)
         self.layers: list[Layer] = []
         levels = np.array([level_of(int(i), m) for i in ids[first]], dtype=np.int64)
         for at in range(int(levels.max(initial=-1)) + 1):
             nodes = np.flatnonzero(levels >= at)
-            layer = Layer(nodes, self.x[nodes])
+            layer = Layer(nodes, _at(self.x, nodes))
             found, dist = nearest(layer.xf, layer.xf, CANDIDATES, np.arange(len(nodes)))
             layer.connect(found, dist, m, 2 * m if at == 0 else m)
             self.layers.append(layer)
@@ -332,7 +342,7 @@ class Graph:
             local = np.searchsorted(nodes, to)
             if len(to) and (nodes[np.minimum(local, len(nodes) - 1)] != to).any():
                 raise ValueError("a node links to one that is not on its level")
-            out.layers.append(Layer(nodes, out.x[nodes], padded(row, local.astype(np.int32), len(nodes), -1)))
+            out.layers.append(Layer(nodes, _at(out.x, nodes), padded(row, local.astype(np.int32), len(nodes), -1)))
         out.entry = int(entry[0])
         if depth[out.entry] != len(out.layers):
             raise ValueError("the entry is not on the highest level")
@@ -341,21 +351,30 @@ class Graph:
 
     def table(self) -> pa.Table:
         """One row an id: node, id, links by level (null for all but a node's least id), whether it is the entry, vector."""
-        links: list[list[list[int]]] = [[] for _ in range(len(self.x))]
-        for layer in self.layers:
-            numbers = np.append(layer.nodes, -1)[layer.links]
-            for n, out, k in zip(layer.nodes.tolist(), numbers.tolist(), (layer.links >= 0).sum(1).tolist(), strict=True):
-                links[n].append(out[:k])
         head = np.zeros(len(self.ids), dtype=bool)
         head[self.first[:-1]] = True
-        cells = [links[n] if h else None for n, h in zip(self.node.tolist(), head.tolist(), strict=True)]
-        x = self.x[self.node]
+        cells = self._cells(head)
+        x = _at(self.x, self.node)
         vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1] or 1)[: len(x) + 1], pa.int32()), pa.array(x.ravel()))
         return pa.table({
-            "node": pa.array(self.node, pa.int64()), "vec_id": pa.array(self.ids, pa.int64()), "links": pa.array(cells, pa.list_(pa.list_(pa.int32()))),
+            "node": pa.array(self.node, pa.int64()), "vec_id": pa.array(self.ids, pa.int64()), "links": cells,
             "entry": pa.array((self.node == self.entry) & head), "embedding": vectors,
         })
 
+    def _cells(self, head: np.ndarray) -> pa.ListArray:
+        """Links of each node by level, in lists that are cut from one array: at the first rows of nodes, null at others."""
+        offsets = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        has = [layer.links >= 0 for layer in self.layers]
+        owner = np.concatenate([np.zeros(0, dtype=np.int64), *(np.repeat(layer.nodes, h.sum(1)) for layer, h in zip(self.layers, has, strict=True))])
+        to = np.concatenate([np.zeros(0, dtype=np.int32), *(layer.nodes.astype(np.int32)[layer.links[h]] for layer, h in zip(self.layers, has, strict=True))])
+        # by node, levels of a node in turn
+        to = to[np.argsort(owner, kind="stable")]
+        nodes = np.concatenate([np.zeros(0, dtype=np.int64), *(layer.nodes for layer in self.layers)])
+        sizes = np.concatenate([np.zeros(0, dtype=np.int64), *(h.sum(1) for h in has)])[np.argsort(nodes, kind="stable")]
+        levels = np.zeros(len(head), dtype=np.int64)
+        levels[head] = np.bincount(nodes, minlength=len(self.x))
+        return pa.ListArray.from_arrays(offsets(levels), pa.ListArray.from_arrays(offsets(sizes), pa.array(to, pa.int32())), mask=pa.array(~head))
+
     def check(self) -> None:
         for layer in self.layers:
             if not len(layer.links.T):
@@ -380,7 +399,8 @@ class Graph:
     def _spread(self, layer: Layer, q: np.ndarray, start: np.ndarray, ef: int, good: np.ndarray | None) -> np.ndarray:
         """As ``_walk``, for wide beams: each step opens all of a query's beam that is not open yet. With ``good`` flags only such nodes count and are found."""
         n = len(layer.nodes)
-        out, dist = np.full((len(q), ef), -1, dtype=np.int32), 1 - q @ layer.x.T
+        out, dist = np.full((len(q), ef), -1, dtype=np.int32), q @ layer.x.T
+        np.subtract(1, dist, out=dist)
         self.seen += dist.size
         for i, d in enumerate(dist):
             new = start[i][start[i] >= 0]
@@ -453,7 +473,7 @@ class Graph:
         degree = self.layers[0].links.shape[1] or 1
         if self._wide(self.layers[0], min(ef, len(self.x))):
             return int(max(1, _CELLS // len(self.x)))
-        return int(max(1, min(_CELLS // max(1, len(self.x)), _CELLS // (width * degree * max(1, self.x.shape[1])))))
+        return int(max(1, min(_WALKED // max(1, len(self.x)), _WALKED // (width * degree * max(1, self.x.shape[1])))))
 
     def _descend(self, q: np.ndarray, level: int = 0) -> np.ndarray:
         """Starts on ``level``, by node number."""
@@ -708,7 +728,8 @@ class Graph:
             layer = self.layers[at]
             old = len(layer.nodes)
             nodes = np.concatenate([layer.nodes, n + which])
-            layer.nodes, layer.x, layer.xf = nodes, self.x[nodes], self.x[nodes].astype(np.float32)
+            layer.nodes, layer.x = nodes, _at(self.x, nodes)
+            layer.xf = layer.x.astype(np.float32)
             layer.links = np.vstack([layer.links, np.full((len(which), layer.links.shape[1]), -1, dtype=np.int32)])
             there = (walked if at == 0 else starts.get(at, np.full((len(which), 0), -1)))[:, :CANDIDATES]
             among, _ = nearest(layer.xf[old:], layer.xf[old:], CANDIDATES, np.arange(len(which)))
@@ -749,6 +770,11 @@ class Graph:
         self._set(self.x[order], self.ids, number[self.node])
 
 
+def _at(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of x by number; x itself where these are all rows in turn, which most levels 0 and tables without copies are."""
+    return x if len(rows) == len(x) and (rows == np.arange(len(x))).all() else x[rows]
+
+
 def _in_order(answers: Iterator[tuple[int, list]]) -> list[list]:
     return [found for _, found in sorted(answers, key=lambda a: a[0])]
 
