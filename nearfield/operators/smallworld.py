@@ -612,18 +612,23 @@ class Graph:
 
     def flat_all(self, q: np.ndarray, k: int, ef: int, entries: int = 1) -> list[list[tuple[float, int]]]:
         """Level 0 only, from ``entries`` nodes picked by a hash of the query, each with a walk of its own."""
+        if not len(self.x):
+            return [[] for _ in q]
         out: list[list[tuple[float, int]]] = []
         starts = np.array([[_entry(v, salt, len(self.x)) for salt in range(entries)] for v in q], dtype=np.int64).reshape(len(q), entries)
-        walks = [self.nodes_near(q, max(ef, k), starts[:, [s]]) for s in range(entries)] if len(self.x) else []
-        for i, v in enumerate(q):
-            if len(walks) == 1:
-                out.append(self._rows_near(v, walks[0][i][walks[0][i] >= 0], k))
-                continue
-            nodes = np.unique(np.concatenate([w[i] for w in walks])) if walks else np.zeros(0, dtype=int)
-            nodes = nodes[nodes >= 0]
-            d = self._distances(v, nodes)
-            order = np.lexsort((nodes, d))
-            out.append(self.rows_of(nodes[order], d[order], k))
+        # what beams hold is not kept from block to block
+        step = self._block(max(ef, k))
+        for a in range(0, len(q), step):
+            walks = [self.nodes_near(q[a : a + step], max(ef, k), starts[a : a + step, [s]]) for s in range(entries)]
+            for v, *near in zip(q[a : a + step], *walks, strict=True):
+                if len(near) == 1:
+                    out.append(self._rows_near(v, near[0][near[0] >= 0], k))
+                    continue
+                nodes = np.unique(np.concatenate(near))
+                nodes = nodes[nodes >= 0]
+                d = self._distances(v, nodes)
+                order = np.lexsort((nodes, d))
+                out.append(self.rows_of(nodes[order], d[order], k))
         return out
 
     def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
