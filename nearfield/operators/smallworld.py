@@ -402,7 +402,18 @@ class Graph:
         out, dist = np.full((len(q), ef), -1, dtype=np.int32), q @ layer.x.T
         np.subtract(1, dist, out=dist)
         self.seen += dist.size
+        reach: dict[bytes, np.ndarray] = {}
         for i, d in enumerate(dist):
+            if ef >= n:
+                # a beam without an edge opens all that links lead to, in whatever order: that depends on the start only
+                if (key := start[i].tobytes()) not in reach:
+                    reach[key] = np.flatnonzero(layer.reached(start[i][start[i] >= 0]))
+                found = reach[key] if good is None else reach[key][good[reach[key]]]
+                self.hops += len(reach[key])
+                near = d[found]
+                found = found[np.argsort(near)[: np.count_nonzero(near <= np.inf)]]
+                out[i, : len(found)] = found
+                continue
             new = start[i][start[i] >= 0]
             seen = np.zeros(n + 1, dtype=bool)  # the last flag takes the -1 that fill links up
             seen[-1] = True
@@ -490,6 +501,9 @@ class Graph:
             return np.full((len(q), 0), -1, dtype=np.int64)
         q, out = np.asarray(q, dtype=np.float64), []
         step, more = self._block(ef), () if good is None else (good,)
+        if start is None and ef >= len(self.x) >= WIDE:
+            # where a beam as wide as the graph starts does not matter: its queries share the entry
+            start = np.full((len(q), 1), self.entry, dtype=np.int64)
         for a in range(0, len(q), step):
             part = q[a : a + step]
             out.append(self._walk(self.layers[0], part, self._descend(part) if start is None else start[a : a + step], ef, *more))
