@@ -109,7 +109,12 @@ def _scan(qid: np.ndarray, kernel: Kernel, k: int, eps: float | None = None, pro
         best = Nearest(len(qid), k)
         for batch in batches:
             for which, part in spans(batch, every, probed):
-                dist, ids = kernel(which, part), part["vec_id"].to_numpy()
+                ids = part["vec_id"].to_numpy()
+                if hasattr(kernel, "near"):
+                    some, dist, row = kernel.near(which, part, best)
+                    best.add_pairs(some, dist, ids[row])
+                    continue
+                dist = kernel(which, part)
                 if eps is None:
                     best.add(which, dist, ids)
                 else:
@@ -130,7 +135,7 @@ def scan(
     """(qid, vec_id, dist): per-partition candidates that hold every query's k nearest, or all within ``eps``.
 
     queries: (qid, v). They go out in ``blocks`` (of a hash of qid, if none are given); ``kernel_of`` makes the kernel of a
-    block's matrix, ``probed_of`` its table of probed lists (rows then have a list_id).
+    block's matrix, ``probed_of`` its table of probed lists (rows then have a list_id). Kernels of ``quick`` find pairs, without ``eps``.
     """
     ship(rows.sparkSession)
     out = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cluster_key
 from ..sources.ship import ship
 from ..sources.tables import checkpointed, fingerprint, load_index, save_index
-from .flat import QUERY_BLOCK, asked, matrix, metric_kernel, query_blocks, query_parts, scan
+from .flat import QUERY_BLOCK, Kernel, asked, matrix, metric_kernel, query_blocks, query_parts, scan
 from .kmeans import assign, first_rows, lloyd
 from .partition import numbered
 from .topk import ranked, vector_columns
@@ -96,14 +96,14 @@ def probed_of(index: IVF, nprobe: int):
     return run
 
 
-def search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4, order: str = "packed", block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4, order: str = "packed", block: int = QUERY_BLOCK, kernel_of: Callable[[np.ndarray], Kernel] | None = None) -> DataFrame:
     """(qid, vec_id, dist, rank) over the probed lists.
 
     The probes of a block of queries go out with it, and rows are ranked where
     they are scanned: a list of any size is read by as many tasks as it has splits. Queries that probe the same
     lists share a block (see ``ordered_blocks``), so that a block reads few lists.
     """
-    return ranked(scan(index.lists, asked(queries), metric_kernel("ip"), k, probed_of=probed_of(index, nprobe), blocks=ordered_blocks(index, queries, nprobe, order, block)), k)
+    return ranked(scan(index.lists, asked(queries), kernel_of or metric_kernel("ip"), k, probed_of=probed_of(index, nprobe), blocks=ordered_blocks(index, queries, nprobe, order, block)), k)
 
 
 def union_search(index: IVF, queries: DataFrame, k: int = 10, nprobe: int = 4) -> DataFrame:

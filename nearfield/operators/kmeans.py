@@ -22,8 +22,18 @@ DIGITS = 9
 
 def assign(x: np.ndarray, book: np.ndarray, how: str) -> np.ndarray:
     """Nearest centroid, the first of equals: by largest product (ip) or least squared distance (l2)."""
-    score = -(x @ book.T) if how == "ip" else (book * book).sum(1)[None] - 2 * x @ book.T
-    return np.argmin(np.round(score, 12), axis=1)
+    score = x @ (-book.T) if how == "ip" else x @ (-2 * book.T)
+    if how != "ip":
+        score += (book * book).sum(1)
+    best, every = np.argmin(score, axis=1), np.arange(len(score))
+    if score.shape[1] > 1:
+        # scores that agree in 12 digits tie: only rows whose second score is that near need rounding
+        low = score[every, best]
+        score[every, best] = np.inf
+        tied = np.flatnonzero(score.min(axis=1) - low <= 1e-11 + 1e-14 * np.abs(low))
+        score[every, best] = low
+        best[tied] = np.argmin(np.round(score[tied], 12), axis=1)
+    return best
 
 
 def _sums(book: np.ndarray, how: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,11 +101,11 @@ def search(base: DataFrame, queries: DataFrame, book: np.ndarray, k: int = 10, t
     return refined(rows, rows, query_blocks(asked(queries), block_size(p)), _adc_kernel(book), k, p)
 
 
-def ivf_search(index: IVF, queries: DataFrame, book: np.ndarray, k: int = 10, top_p: int = 50, nprobe: int = 4, codes: DataFrame | None = None) -> DataFrame:
+def ivf_search(index: IVF, queries: DataFrame, book: np.ndarray, k: int = 10, top_p: int = 50, nprobe: int = 4, codes: DataFrame | None = None, kernel_of: Callable[[np.ndarray], Kernel] | None = None) -> DataFrame:
     """Raw vectors coded by one book; candidates come from the probed lists. ``codes`` (vec_id, list_id, code) may be stored ones."""
     p = max(k, top_p)
     blocks = ordered_blocks(index, queries, nprobe, size=block_size(p))
-    return refined(index.lists if codes is None else codes, index.lists.select("vec_id", "v"), blocks, _adc_kernel(book), k, p, probed_of(index, nprobe))
+    return refined(index.lists if codes is None else codes, index.lists.select("vec_id", "v"), blocks, kernel_of or _adc_kernel(book), k, p, probed_of(index, nprobe))
 
 
 def _local_sums(books: dict[int, np.ndarray]):

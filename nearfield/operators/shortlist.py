@@ -41,6 +41,8 @@ class Nearest:
         self.n, self.k = n, k
         #: No candidate beyond it can count; those that tie with it stay until ids decide. Infinite distances and NaN never count.
         self.bound = np.full(n, np.finfo(np.float64).max)
+        #: As many rows as are wanted score so much at least, where a kernel knows that (see ``quick``).
+        self.score = np.full(n, -np.inf)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows, self.kept = 0, 0
 
@@ -154,7 +156,12 @@ def _scan(qid: np.ndarray, q: np.ndarray, kernel_of: Callable[[np.ndarray], Kern
         for batch in batches:
             for which, part in spans(batch, every, probed):
                 kernel = kernel_of(q) if kernel is None else kernel
-                best.add(which, kernel(which, part), part["vec_id"].to_numpy())
+                ids = part["vec_id"].to_numpy()
+                if hasattr(kernel, "near"):
+                    some, dist, row = kernel.near(which, part, best)
+                    best.add_pairs(some, dist, ids[row])
+                else:
+                    best.add(which, kernel(which, part), ids)
         yield best.packed(qid)
 
     return run
